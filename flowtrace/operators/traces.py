@@ -235,25 +235,34 @@ def sorted_slices(flows: DataFrame, num_partitions: int | None = None,
 def conn_traces_segmented(flows: DataFrame, single_flow: str = "zero", num_partitions: int | None = None,
                           exclude_protocols: Sequence[str] = ()) -> DataFrame:
     """Connection traces, safe for hot keys (see module doc)."""
-    R = sorted_slices(flows, num_partitions, exclude_protocols)
-    part = R.drop("uid").mapInPandas(_scan_plain, _PARTIAL_SCHEMA)
+    spark = flows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        raise RuntimeError("segmented traces need spark.checkpoint.dir (a shared folder); "
+                           "see flowtrace.session.ensure_checkpoint_dir")
+    # Three consumers read the slices; each would otherwise plan its own range
+    # exchange with its own sampled bounds.  A reliable checkpoint (shared
+    # folder) fixes the slice ids once, keeps range partitioning and order, and
+    # survives executor loss.
+    R = sorted_slices(flows, num_partitions, exclude_protocols).checkpoint(eager=True)
     wk = Window.partitionBy(*TRACE_KEY)
     wo = wk.orderBy("pid")
     before = wo.rowsBetween(Window.unboundedPreceding, -1)
-    P = part.select(
-        "*",
-        F.count(F.lit(1)).over(wk).alias("slices"),
-        (F.col("first_ts") - F.lag("last_ts").over(wo)).alias("bgap"),
+    # prefix count and sums of each key in earlier slices, from a JVM aggregate
+    # over the same range exchange; a key that began in an earlier slice can only
+    # be a slice's first run, so at most one row per partition survives the filter
+    slice_sums = R.groupBy(*TRACE_KEY, "pid").agg(F.count(F.lit(1)).alias("n"),
+                                                 *[F.sum(x).alias("s_" + x) for x in TRACE_VALUES])
+    offsets = (slice_sums.select(
+        *TRACE_KEY, "pid",
         F.coalesce(F.sum("n").over(before), F.lit(0)).cast("double").alias("off_n"),
-        *[F.coalesce(F.sum("s_" + x).over(before), F.lit(0.0)).alias("off_" + x) for x in TRACE_VALUES],
-    )
-    # runs whose key began in an earlier partition: at most one per partition
-    offsets = P.where(F.col("off_n") > 0).select(*TRACE_KEY, "pid", "off_n",
-                                                 *["off_" + x for x in TRACE_VALUES])
+        *[F.coalesce(F.sum("s_" + x).over(before), F.lit(0.0)).alias("off_" + x) for x in TRACE_VALUES])
+        .where(F.col("off_n") > 0))
     # broadcast-hash join keeps the streamed side's partitioning and row order
     rescan = (R.drop("uid").join(F.broadcast(offsets), TRACE_KEY + ["pid"], "inner")
               .mapInPandas(_scan_with_offsets, _PARTIAL_SCHEMA)
               .select(*TRACE_KEY, "pid", *[F.col("mad_" + x).alias("mad2_" + x) for x in TRACE_VALUES]))
+    part = R.drop("uid").mapInPandas(_scan_plain, _PARTIAL_SCHEMA)
+    P = part.select("*", (F.col("first_ts") - F.lag("last_ts").over(wo)).alias("bgap"))
     fixed = P.join(F.broadcast(rescan), TRACE_KEY + ["pid"], "left").withColumns(
         {"mad_" + x: F.coalesce(F.col("mad2_" + x), F.col("mad_" + x)) for x in TRACE_VALUES})
     has_b = F.col("bgap").isNotNull()
