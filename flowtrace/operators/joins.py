@@ -1,0 +1,27 @@
+"""Joins whose small side is broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    conf = df.sparkSession.conf.get("flowtrace.broadcast.maxRows", None)
+    return int(conf) if conf else DEFAULT_MAX_BROADCAST_ROWS
+
+
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner",
+               max_rows: int | None = None) -> DataFrame:
+    """Join ``big`` to ``small``; broadcast ``small`` only if it has at most
+    ``max_rows`` rows (counted first).  Otherwise a shuffle join, where AQE
+    splits skewed partitions of ``big``.
+    """
+    limit = max_rows if max_rows is not None else broadcast_limit(big)
+    n = small.count()
+    right = F.broadcast(small) if n <= limit else small
+    return big.join(right, on, how)

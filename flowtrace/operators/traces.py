@@ -5,14 +5,14 @@ Two physical forms give the same connection-trace table:
 * ``method="window"``: one window pass and one ``groupBy`` on the key (one
   hash exchange).  Every key is handled by one task, so a key holding a large
   share of all flows becomes one long task.
-* ``method="segmented"`` (default): flows are range-partitioned on
-  (key, ts, uid), so a hot key is cut into contiguous, ordered slices that run
-  in parallel.  Each slice is scanned once with numpy (Arrow batches); slices
-  of one key are joined by their edge values (first/last time, prefix count
-  and sums).  The running-mean deviation needs the prefix of earlier slices,
-  so the first run of each slice whose key began earlier is scanned a second
-  time; at most one such run exists per partition, so the prefix table that is
-  broadcast for it has at most ``num_partitions`` rows.
+* ``method="segmented"`` (default): flows are cut into ordered slices by a
+  range exchange on (key, ts, uid) (:mod:`flowtrace.operators.ordered`), so a
+  hot key runs in many tasks.  Each slice is scanned once with numpy over
+  Arrow batches and gives one partial row per key run (count, sums, running
+  deviation, gap count/mean/M2, flags).  The running mean of a run that began
+  in an earlier slice starts from that slice's prefix count and sums, taken
+  from a broadcast edge table of at most two rows per partition.  Partials
+  are then merged per key with JVM aggregates.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowtrace.functions.exprs import history_flags, unset_to_zero
+from flowtrace.operators.ordered import ordered_slices, slice_edges, with_edges
 from flowtrace.schema import FLAG_COLUMNS, TRACE_COLUMNS_A, TRACE_KEY, TRACE_VALUES
 
 # flow column feeding each trace value (reference naming: src = originator)
@@ -121,11 +122,12 @@ def _chan(n1, m1, q1, n2, m2, q2):
     return n, m1 + d * n2 / n, q1 + q2 + d * d * n1 * n2 / n
 
 
-def _scan_slices(batches: Iterator[pd.DataFrame], with_offsets: bool) -> Iterator[pd.DataFrame]:
+def _scan_with_offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Scan one range partition sorted by (key, ts, uid); one output row per key run.
 
-    With ``with_offsets`` the rows carry ``off_n`` and ``off_<v>``: count and
-    sums of the same key in earlier partitions, used by the running mean.
+    Rows carry ``off_n`` and ``off_<v>`` (NULL when the key starts in this
+    partition): count and sums of the same key in earlier partitions, used
+    by the running mean.
     """
     keys = TRACE_KEY
     open_run: _Run | None = None
@@ -153,9 +155,9 @@ def _scan_slices(batches: Iterator[pd.DataFrame], with_offsets: bool) -> Iterato
         if cont:
             off_n[0] = open_run.pre_n + open_run.n
             off_s[0] = open_run.pre_s + open_run.s
-        elif with_offsets:
-            off_n[:] = pdf["off_n"].to_numpy(float)[starts]
-            off_s[:] = pdf[["off_" + x for x in TRACE_VALUES]].to_numpy(float)[starts]
+        else:
+            off_n[:] = np.nan_to_num(pdf["off_n"].to_numpy(float)[starts])
+            off_s[:] = np.nan_to_num(pdf[["off_" + x for x in TRACE_VALUES]].to_numpy(float)[starts])
         X = pdf[TRACE_VALUES].to_numpy(float)
         csum = np.vstack([np.zeros((1, _NV)), np.cumsum(X, axis=0)])
         local = csum[1:] - csum[starts][rid]
@@ -210,61 +212,26 @@ def _scan_slices(batches: Iterator[pd.DataFrame], with_offsets: bool) -> Iterato
         yield pd.DataFrame(out, columns=_PARTIAL_SCHEMA.fieldNames())
 
 
-def _scan_plain(batches):
-    return _scan_slices(batches, with_offsets=False)
-
-
-def _scan_with_offsets(batches):
-    return _scan_slices(batches, with_offsets=True)
-
-
 def sorted_slices(flows: DataFrame, num_partitions: int | None = None,
                   exclude_protocols: Sequence[str] = ()) -> DataFrame:
-    """Flows range-partitioned and sorted on (key, ts, uid), tagged with the slice id."""
+    """Flows in the reference view, range-sliced on (key, ts, uid) and checkpointed."""
     v = trace_inputs(flows, exclude_protocols)
     fmask = sum((F.col(c).cast("long") * F.lit(1 << i)) for i, c in enumerate(FLAG_COLUMNS))
     v = v.select(*TRACE_KEY, "ts", "uid", *TRACE_VALUES, fmask.cast("long").alias("fmask"))
-    if num_partitions is None:
-        num_partitions = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = TRACE_KEY + ORDER
-    return (v.repartitionByRange(num_partitions, *order)
-            .sortWithinPartitions(*order)
-            .withColumn("pid", F.spark_partition_id()))
+    return ordered_slices(v, TRACE_KEY, ORDER, num_partitions)
 
 
 def conn_traces_segmented(flows: DataFrame, single_flow: str = "zero", num_partitions: int | None = None,
                           exclude_protocols: Sequence[str] = ()) -> DataFrame:
     """Connection traces, safe for hot keys (see module doc)."""
-    spark = flows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        raise RuntimeError("segmented traces need spark.checkpoint.dir (a shared folder); "
-                           "see flowtrace.session.ensure_checkpoint_dir")
-    # Three consumers read the slices; each would otherwise plan its own range
-    # exchange with its own sampled bounds.  A reliable checkpoint (shared
-    # folder) fixes the slice ids once, keeps range partitioning and order, and
-    # survives executor loss.
-    R = sorted_slices(flows, num_partitions, exclude_protocols).checkpoint(eager=True)
+    R = sorted_slices(flows, num_partitions, exclude_protocols)
+    edges = slice_edges(R, TRACE_KEY, TRACE_VALUES).drop("prev_last", "next_first")
+    part = with_edges(R.drop("uid"), edges, TRACE_KEY).mapInPandas(_scan_with_offsets, _PARTIAL_SCHEMA)
     wk = Window.partitionBy(*TRACE_KEY)
     wo = wk.orderBy("pid")
-    before = wo.rowsBetween(Window.unboundedPreceding, -1)
-    # prefix count and sums of each key in earlier slices, from a JVM aggregate
-    # over the same range exchange; a key that began in an earlier slice can only
-    # be a slice's first run, so at most one row per partition survives the filter
-    slice_sums = R.groupBy(*TRACE_KEY, "pid").agg(F.count(F.lit(1)).alias("n"),
-                                                 *[F.sum(x).alias("s_" + x) for x in TRACE_VALUES])
-    offsets = (slice_sums.select(
-        *TRACE_KEY, "pid",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).cast("double").alias("off_n"),
-        *[F.coalesce(F.sum("s_" + x).over(before), F.lit(0.0)).alias("off_" + x) for x in TRACE_VALUES])
-        .where(F.col("off_n") > 0))
-    # broadcast-hash join keeps the streamed side's partitioning and row order
-    rescan = (R.drop("uid").join(F.broadcast(offsets), TRACE_KEY + ["pid"], "inner")
-              .mapInPandas(_scan_with_offsets, _PARTIAL_SCHEMA)
-              .select(*TRACE_KEY, "pid", *[F.col("mad_" + x).alias("mad2_" + x) for x in TRACE_VALUES]))
-    part = R.drop("uid").mapInPandas(_scan_plain, _PARTIAL_SCHEMA)
-    P = part.select("*", (F.col("first_ts") - F.lag("last_ts").over(wo)).alias("bgap"))
-    fixed = P.join(F.broadcast(rescan), TRACE_KEY + ["pid"], "left").withColumns(
-        {"mad_" + x: F.coalesce(F.col("mad2_" + x), F.col("mad_" + x)) for x in TRACE_VALUES})
+    fixed = part.select("*", (F.col("first_ts") - F.lag("last_ts").over(wo)).alias("bgap"))
+    # gaps of a key = gaps inside each slice + one gap per slice edge; merged as
+    # (count, mean, M2) around the key's overall mean so the std stays stable
     has_b = F.col("bgap").isNotNull()
     seg_gn = F.col("gn") + has_b.cast("long")
     seg_gsum = F.col("gn") * F.col("gmean") + F.coalesce(F.col("bgap"), F.lit(0.0))
@@ -279,7 +246,8 @@ def conn_traces_segmented(flows: DataFrame, single_flow: str = "zero", num_parti
     for x in TRACE_VALUES:
         aggs += [(F.sum("s_" + x) / n).alias("mean_" + x), (F.sum("mad_" + x) / n).alias("stdev_" + x)]
     aggs += [F.coalesce(F.try_divide(F.sum("seg_gsum"), g), F.lit(0.0)).alias("mean_intvl"),
-             F.coalesce(F.sqrt(F.greatest(F.try_divide(F.sum("seg_m2"), g), F.lit(0.0))), F.lit(0.0)).alias("stdev_intvl")]
+             F.coalesce(F.sqrt(F.greatest(F.try_divide(F.sum("seg_m2"), g), F.lit(0.0))),
+                        F.lit(0.0)).alias("stdev_intvl")]
     aggs += [F.sum(c).alias(c) for c in FLAG_COLUMNS]
     return _finish(staged.groupBy(*TRACE_KEY).agg(*aggs), single_flow)
 

@@ -18,3 +18,115 @@ from flowtrace.sources import fixture as fx
        with_ctes(V.TRACES, "SELECT * FROM traces"))
 def conn_traces(spark, sf_dir):
     return tr.conn_traces(fx.flows(spark, sf_dir))
+
+
+# --- flows: expressions, per-row windows, ids -------------------------------
+
+from flowtrace.functions.exprs import history_flags  # noqa: E402
+from flowtrace.operators import flows as fl  # noqa: E402
+from flowtrace.schema import FLAG_COLUMNS  # noqa: E402
+
+_K = "id_orig_h, id_resp_h, id_resp_p, proto"
+_WK = f"PARTITION BY {_K} ORDER BY ts, uid"
+_FLAGS_SQL = ", ".join(FLAG_COLUMNS)
+
+
+@query("flow_flags", "P5", with_ctes(V.FLOWS, "SELECT uid, " + ", ".join(
+    f"coalesce(CAST(instr(history, '{c[-1]}') > 0 AS INTEGER), 0) AS {c}" for c in FLAG_COLUMNS) + " FROM flows"))
+def flow_flags(spark, sf_dir):
+    return fx.flows(spark, sf_dir).select("uid", *history_flags("history"))
+
+
+@query("flow_totals", "P4", with_ctes(V.FLOWS, """
+SELECT uid, CAST(coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0) AS BIGINT) AS tot_bytes,
+       CAST(coalesce(orig_pkts, 0) + coalesce(resp_pkts, 0) AS BIGINT) AS tot_pkts FROM flows"""))
+def flow_totals(spark, sf_dir):
+    return fl.totals(fx.flows(spark, sf_dir))
+
+
+@query("flow_keys", "P6", with_ctes(V.FLOWS, f"""
+SELECT uid, concat_ws('|', id_orig_h, CAST(id_resp_h AS VARCHAR), CAST(id_resp_p AS VARCHAR), proto) AS trace_key
+FROM flows"""))
+def flow_keys(spark, sf_dir):
+    return fl.with_key_text(fx.flows(spark, sf_dir))
+
+
+@query("flow_gaps_lead", "W1", with_ctes(V.FLOWS, f"SELECT uid, lead(ts) OVER ({_WK}) - ts AS gap_next FROM flows"))
+def flow_gaps_lead(spark, sf_dir):
+    return fl.gaps(fx.flows(spark, sf_dir)).select("uid", "gap_next")
+
+
+@query("flow_gaps_lag", "W3", with_ctes(V.FLOWS, f"SELECT uid, ts - lag(ts) OVER ({_WK}) AS gap_prev FROM flows"))
+def flow_gaps_lag(spark, sf_dir):
+    return fl.gaps(fx.flows(spark, sf_dir)).select("uid", "gap_prev")
+
+
+@query("last_flow", "W2", with_ctes(V.FLOWS, f"""
+SELECT uid, CASE WHEN g IS NULL THEN 1 ELSE 0 END AS is_last, coalesce(g, -1.0) AS time_interval
+FROM (SELECT uid, lead(ts) OVER ({_WK}) - ts AS g FROM flows)"""))
+def last_flow(spark, sf_dir):
+    g = fl.gaps(fx.flows(spark, sf_dir))
+    return g.select("uid", "is_last", F.coalesce("gap_next", F.lit(-1.0)).alias("time_interval"))
+
+
+_RV = ["orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "duration"]
+
+
+@query("running_mean", "W4", with_ctes(V.FLOWS, "SELECT uid, " + f"CAST(row_number() OVER ({_WK}) AS BIGINT) AS pos, " + ", ".join(
+    f"avg(CAST(coalesce({v}, 0) AS DOUBLE)) OVER ({_WK} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_mean_{v}"
+    for v in _RV) + " FROM flows"))
+def running_mean(spark, sf_dir):
+    r = fl.running_values(fx.flows(spark, sf_dir))
+    return r.select("uid", "pos", *["run_mean_" + v for v in _RV])
+
+
+@query("running_mad", "A3", with_ctes(V.TRACES, "SELECT srcIP, destIP, destPt, protocol, flowct, " + ", ".join(
+    f"stdev_{v}" for v in tr.TRACE_VALUES) + " FROM traces"))
+def running_mad(spark, sf_dir):
+    t = tr.conn_traces(fx.flows(spark, sf_dir))
+    return t.select(*tr.TRACE_KEY, "flowct", *["stdev_" + v for v in tr.TRACE_VALUES])
+
+
+_IDS_SQL = f"""
+ids AS (SELECT {_K}, CAST(row_number() OVER (ORDER BY first_ts, {_K}) - 1 AS BIGINT) AS trace_id
+        FROM (SELECT {_K}, min(ts) AS first_ts FROM flows GROUP BY {_K}))"""
+
+
+@query("trace_ids", "W5", with_ctes(V.FLOWS + "," + _IDS_SQL, "SELECT * FROM ids"))
+def trace_ids(spark, sf_dir):
+    return fl.trace_ids(fx.flows(spark, sf_dir))
+
+
+@query("flows_with_ids", "J1", with_ctes(V.FLOWS + "," + _IDS_SQL,
+                                         f"SELECT f.uid, i.trace_id FROM flows f LEFT JOIN ids i USING ({_K})"))
+def flows_with_ids(spark, sf_dir):
+    f = fx.flows(spark, sf_dir)
+    return fl.flows_with_ids(f, fl.trace_ids(f)).select("uid", "trace_id")
+
+
+@query("mean_gap", "A9", with_ctes(V.FLOWS + "," + _IDS_SQL, f"""
+SELECT i.trace_id, g.mean_gap FROM
+  (SELECT {_K}, avg(gap) AS mean_gap FROM
+     (SELECT {_K}, lead(ts) OVER ({_WK}) - ts AS gap FROM flows) WHERE gap >= 0 GROUP BY {_K}) g
+  JOIN ids i USING ({_K})"""))
+def mean_gap(spark, sf_dir):
+    f = fx.flows(spark, sf_dir)
+    return fl.mean_gap(f).join(fl.trace_ids(f), fl.CONN_KEY).select("trace_id", "mean_gap")
+
+
+@query("mean_duration", "A10", with_ctes(V.FLOWS + "," + _IDS_SQL, f"""
+SELECT i.trace_id, d.mean_duration FROM
+  (SELECT {_K}, avg(duration) AS mean_duration FROM flows GROUP BY {_K}) d JOIN ids i USING ({_K})"""))
+def mean_duration(spark, sf_dir):
+    f = fx.flows(spark, sf_dir)
+    return fl.mean_duration(f).join(fl.trace_ids(f), fl.CONN_KEY).select("trace_id", "mean_duration")
+
+
+@query("distinct_keys", "A20", with_ctes(V.FLOWS, f"SELECT DISTINCT {_K} FROM flows"))
+def distinct_keys(spark, sf_dir):
+    return fl.distinct_keys(fx.flows(spark, sf_dir))
+
+
+@query("exclude_protocols", "F9", with_ctes(V.TRACES, "SELECT * FROM traces WHERE protocol NOT IN ('icmp')"))
+def exclude_protocols(spark, sf_dir):
+    return tr.conn_traces(fx.flows(spark, sf_dir), exclude_protocols=["icmp"])
