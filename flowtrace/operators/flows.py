@@ -38,17 +38,20 @@ def distinct_keys(flows: DataFrame, key: Sequence[str] = CONN_KEY) -> DataFrame:
 # ordered per-row scan (skew safe)
 # ---------------------------------------------------------------------------
 
-def _row_schema(key_fields: list[T.StructField], values: Sequence[str]) -> T.StructType:
+def _row_schema(key_fields: list[T.StructField], values: Sequence[str],
+                carry_fields: Sequence[T.StructField] = ()) -> T.StructType:
     return T.StructType(
-        key_fields + [T.StructField("ts", T.DoubleType()), T.StructField("uid", T.StringType()),
+        key_fields + list(carry_fields)
+        + [T.StructField("ts", T.DoubleType()), T.StructField("uid", T.StringType()),
                       T.StructField("pos", T.LongType()), T.StructField("gap_prev", T.DoubleType()),
                       T.StructField("gap_next", T.DoubleType())]
         + [T.StructField("run_mean_" + v, T.DoubleType()) for v in values]
         + [T.StructField("dev_" + v, T.DoubleType()) for v in values])
 
 
-def _row_scanner(key: Sequence[str], values: Sequence[str]):
+def _row_scanner(key: Sequence[str], values: Sequence[str], carry_cols: Sequence[str] = ()):
     key = list(key)
+    carry_cols = list(carry_cols)
     nv = len(values)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +88,7 @@ def _row_scanner(key: Sequence[str], values: Sequence[str]):
             gap_next[:-1] = ts[1:] - ts[:-1]
             ends = np.append(starts[1:] - 1, n - 1)
             gap_next[ends] = pdf["next_first"].to_numpy(float)[ends] - ts[ends]
-            out = pdf[key + ["ts", "uid"]].copy()
+            out = pdf[key + carry_cols + ["ts", "uid"]].copy()
             out["pos"] = pos.astype(np.int64)
             out["gap_prev"] = gap_prev
             out["gap_next"] = gap_next
@@ -107,20 +110,24 @@ def _row_scanner(key: Sequence[str], values: Sequence[str]):
 
 
 def ordered_rows(df: DataFrame, key: Sequence[str] = CONN_KEY, values: Sequence[str] = (),
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Per row, in (ts, uid) order within the key: position, gap to the previous
     and next row, running mean (frame: first row .. current) and distance to it.
 
     Equals ``lag``/``lead``/``avg() OVER (ROWS UNBOUNDED PRECEDING)`` by key,
-    but a hot key is spread over many tasks (see :mod:`ordered`).
+    but a hot key is spread over many tasks (see :mod:`ordered`).  ``carry``
+    columns are passed through unchanged.
     """
     values = list(values)
-    src = df.select(*key, "ts", "uid", *[F.col(v).cast("double").alias(v) for v in values])
+    carry = [c for c in carry if c not in values]
+    src = df.select(*key, *carry, "ts", "uid", *[F.col(v).cast("double").alias(v) for v in values])
     R = ordered_slices(src, key, ORDER, num_partitions)
     edges = slice_edges(R, key, values)
     key_fields = [f for f in R.schema.fields if f.name in key]
     key_fields.sort(key=lambda f: list(key).index(f.name))
-    return with_edges(R, edges, key).mapInPandas(_row_scanner(key, values), _row_schema(key_fields, values))
+    carry_fields = [R.schema[c] for c in carry]
+    return with_edges(R, edges, key).mapInPandas(_row_scanner(key, values, carry),
+                                                 _row_schema(key_fields, values, carry_fields))
 
 
 def reference_values(flows: DataFrame) -> DataFrame:

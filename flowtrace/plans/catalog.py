@@ -130,3 +130,61 @@ def distinct_keys(spark, sf_dir):
 @query("exclude_protocols", "F9", with_ctes(V.TRACES, "SELECT * FROM traces WHERE protocol NOT IN ('icmp')"))
 def exclude_protocols(spark, sf_dir):
     return tr.conn_traces(fx.flows(spark, sf_dir), exclude_protocols=["icmp"])
+
+
+# --- other trace tables ---------------------------------------------------
+
+from flowtrace.operators import layouts as ly  # noqa: E402
+
+_FLAGS_SUM = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in FLAG_COLUMNS)
+_BIN = V.FLOWS + """,
+bin AS (SELECT id_orig_h, id_resp_h, id_resp_p, proto, id_orig_p, ts, uid,
+          CAST(coalesce(resp_bytes, 0) AS DOUBLE) AS resp_bytes, CAST(coalesce(duration, 0) AS DOUBLE) AS duration,
+          CAST(coalesce(resp_pkts, 0) AS DOUBLE) AS resp_pkts, CAST(coalesce(orig_pkts, 0) AS DOUBLE) AS orig_pkts,
+          """ + ", ".join(f"coalesce(CAST(instr(history, '{c[-1]}') > 0 AS INTEGER), 0) AS {c}" for c in FLAG_COLUMNS) + f"""
+        FROM flows WHERE proto NOT IN ('icmp')),
+bw AS (SELECT *, ts - lag(ts) OVER ({_WK}) AS gap, first_value(id_orig_p) OVER ({_WK}) AS first_p FROM bin)"""
+_BV = ["resp_bytes", "duration", "resp_pkts", "orig_pkts"]
+
+
+@query("http_traces", "A8", with_ctes(V.FLOWS, """
+SELECT id_orig_h AS src_host, id_resp_h AS dest_host, id_resp_p AS dest_port,
+       CASE WHEN count(*) > 1 THEN (max(ts) - min(ts)) / (count(*) - 1) ELSE 0.0 END AS avgFlowInterval,
+       count(*) AS flowCount, avg(CAST(coalesce(orig_bytes, 0) AS DOUBLE)) AS mean_request_size,
+       avg(CAST(coalesce(resp_bytes, 0) AS DOUBLE)) AS mean_response_size
+FROM flows WHERE proto = 'tcp' GROUP BY id_orig_h, id_resp_h, id_resp_p"""))
+def http_traces(spark, sf_dir):
+    return ly.http_traces(fx.http_records(fx.flows(spark, sf_dir)))
+
+
+@query("traces_layout_b", "A11", with_ctes(_BIN, f"""
+SELECT {_K}, any_value(first_p) AS id_orig_p, min(ts) AS ts, count(*) AS flow_ct,
+       {", ".join(f"avg({v}) AS mean_{v}, stddev_samp({v}) AS std_{v}" for v in _BV)},
+       avg(gap) AS mean_intvl, stddev_pop(gap) AS std_intvl, {_FLAGS_SUM}
+FROM bw GROUP BY {_K}"""))
+def traces_layout_b(spark, sf_dir):
+    return ly.traces_layout_b(fx.flows(spark, sf_dir))
+
+
+@query("traces_layout_c", "A12", with_ctes(_BIN, f"""
+SELECT {_K}, any_value(first_p) AS id_orig_p,
+       {", ".join(f"avg({v}) AS mean_{v}, quantile_cont({v}, 0.5) AS med_{v}, stddev_samp({v}) AS std_{v}" for v in _BV)},
+       {_FLAGS_SUM}
+FROM bw GROUP BY {_K}"""))
+def traces_layout_c(spark, sf_dir):
+    return ly.traces_layout_c(fx.flows(spark, sf_dir))
+
+
+_B_AS_A = ("srcIP, destIP, destPt, protocol, startTime, flowct, mean_dest_bytes, stdev_dest_bytes, mean_duration, "
+           "stdev_duration, mean_dest_pkts, stdev_dest_pkts, mean_src_pkts, stdev_src_pkts, mean_intvl, stdev_intvl, ")
+_C_AS_A = ("srcIP, destIP, destPt, protocol, mean_dest_bytes, stdev_dest_bytes, mean_duration, stdev_duration, "
+           "mean_dest_pkts, stdev_dest_pkts, mean_src_pkts, stdev_src_pkts, ")
+
+
+@query("union_layouts", "U3", with_ctes(V.TRACES, f"""
+SELECT *, 'A' AS layout FROM traces
+UNION ALL BY NAME SELECT {_B_AS_A}{_FLAGS_SQL}, 'B' AS layout FROM traces
+UNION ALL BY NAME SELECT {_C_AS_A}{_FLAGS_SQL}, 'C' AS layout FROM traces"""))
+def union_layouts(spark, sf_dir):
+    a = tr.conn_traces(fx.flows(spark, sf_dir)).checkpoint(eager=True)
+    return ly.union_layouts({"A": a, "B": ly.to_layout(a, "B"), "C": ly.to_layout(a, "C")})
