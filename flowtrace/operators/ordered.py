@@ -70,3 +70,34 @@ def with_edges(R: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFrame:
     and the in-partition order survive; rows of keys within one slice get NULLs.
     """
     return R.join(F.broadcast(edges), list(key) + ["pid"], "left")
+
+
+def global_prefix(df: DataFrame, order: Sequence[str], sums: Sequence[str] = (), group: Sequence[str] = (),
+                  num_partitions: int | None = None, descending: bool = False) -> DataFrame:
+    """Running count (``rank``, 1-based) and running sums (``cum_<c>``, inclusive)
+    in ``order`` within each ``group``, over the whole table.
+
+    A plain ``Window.orderBy`` would move every row to one task.  Here the rows
+    are range-sliced; each slice's totals per group (at most groups x
+    partitions rows, broadcast) give the offset that the slice's own running
+    sums start from.
+    """
+    group, order, sums = list(group), list(order), list(sums)
+    ocols = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    if descending:
+        df = df.select("*", *[(-F.col(c)).alias("__neg_" + c) for c in order])
+        sort_cols = ["__neg_" + c for c in order]
+    else:
+        sort_cols = order
+    R = ordered_slices(df, group, sort_cols, num_partitions)
+    totals = R.groupBy(*group, "pid").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias("__s_" + c) for c in sums])
+    wp = Window.partitionBy(*group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1) if group else \
+        Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(*group, "pid", F.coalesce(F.sum("__n").over(wp), F.lit(0)).alias("__off_n"),
+                         *[F.coalesce(F.sum("__s_" + c).over(wp), F.lit(0)).alias("__off_" + c) for c in sums])
+    run = Window.partitionBy("pid", *group).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = R.join(F.broadcast(offs), group + ["pid"], "left").select(
+        *[c for c in R.columns if c != "pid" and not c.startswith("__neg_")],
+        (F.col("__off_n") + F.count(F.lit(1)).over(run)).alias("rank"),
+        *[(F.col("__off_" + c) + F.sum(c).over(run)).alias("cum_" + c) for c in sums])
+    return out

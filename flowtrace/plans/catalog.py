@@ -188,3 +188,192 @@ UNION ALL BY NAME SELECT {_C_AS_A}{_FLAGS_SQL}, 'C' AS layout FROM traces"""))
 def union_layouts(spark, sf_dir):
     a = tr.conn_traces(fx.flows(spark, sf_dir)).checkpoint(eager=True)
     return ly.union_layouts({"A": a, "B": ly.to_layout(a, "B"), "C": ly.to_layout(a, "C")})
+
+
+# --- sources and sinks ----------------------------------------------------
+
+from flowtrace.operators import dataset as ds  # noqa: E402
+from flowtrace.schema import CONN_KEPT, HTTP_FIELDS, TRACE_COLUMNS_A, column_name  # noqa: E402
+from flowtrace.sources import csvio  # noqa: E402
+from flowtrace.sources import zeek  # noqa: E402
+
+_KEPT_COLS = ", ".join(column_name(f) for f in CONN_KEPT)
+
+
+@query("log_roundtrip", "S1 S3 S8 P1 P3 + log writer", with_ctes(V.FLOWS, f"SELECT {_KEPT_COLS} FROM flows"))
+def log_roundtrip(spark, sf_dir):
+    path = csvio.scratch_path(spark, "conn_log")
+    zeek.write_log(fx.flows(spark, sf_dir), path)
+    return zeek.read_conn_log(spark, path)
+
+
+@query("log_all_fields", "S2 P16", with_ctes(V.FLOWS, """
+SELECT printf('%.6f', ts) AS ts, uid, id_orig_h, CAST(id_orig_p AS VARCHAR) AS id_orig_p, id_resp_h,
+       CAST(id_resp_p AS VARCHAR) AS id_resp_p, proto, coalesce(service, '-') AS service,
+       coalesce(printf('%.6f', duration), '-') AS duration, coalesce(CAST(orig_bytes AS VARCHAR), '-') AS orig_bytes,
+       CAST(resp_bytes AS VARCHAR) AS resp_bytes, conn_state, 'T' AS local_orig, 'F' AS local_resp,
+       CAST(missed_bytes AS VARCHAR) AS missed_bytes, coalesce(history, '-') AS history,
+       CAST(orig_pkts AS VARCHAR) AS orig_pkts, CAST(orig_ip_bytes AS VARCHAR) AS orig_ip_bytes,
+       CAST(resp_pkts AS VARCHAR) AS resp_pkts, CAST(resp_ip_bytes AS VARCHAR) AS resp_ip_bytes,
+       '(empty)' AS tunnel_parents
+FROM flows"""))
+def log_all_fields(spark, sf_dir):
+    path = csvio.scratch_path(spark, "conn_log_all")
+    zeek.write_log(fx.flows(spark, sf_dir), path)
+    return zeek.read_conn_log(spark, path, fields="*", as_text=True)
+
+
+_HTTP_SQL = """
+SELECT ts, id_orig_h, id_orig_p, id_resp_h, id_resp_p, id_resp_h AS host, orig_bytes AS request_body_len,
+       CAST(NULL AS VARCHAR) AS proxied, CASE WHEN CAST(resp_bytes / 37 AS INTEGER) % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
+       CAST(NULL AS VARCHAR) AS orig_filenames, CAST(NULL AS VARCHAR) AS resp_filenames, resp_bytes AS response_body_len,
+       CAST(NULL AS BIGINT) AS status_code, CAST(NULL AS VARCHAR) AS status_msg, CAST(NULL AS VARCHAR) AS tags,
+       CAST(NULL AS VARCHAR) AS user_agent, '/a,b?k=' || CAST(CAST(resp_bytes / 37 AS INTEGER) AS VARCHAR) AS uri,
+       CAST(NULL AS VARCHAR) AS version
+FROM flows WHERE proto = 'tcp'"""
+
+
+@query("http_log_roundtrip", "S4 + log writer", with_ctes(V.FLOWS, _HTTP_SQL))
+def http_log_roundtrip(spark, sf_dir):
+    path = csvio.scratch_path(spark, "http_log")
+    zeek.write_log(fx.http_records(fx.flows(spark, sf_dir)), path, HTTP_FIELDS, path_name="http")
+    return zeek.read_http_log(spark, path)
+
+
+_HTTP_TRACES_SQL = """
+SELECT id_orig_h AS src_host, id_resp_h AS dest_host, id_resp_p AS dest_port,
+       CASE WHEN count(*) > 1 THEN (max(ts) - min(ts)) / (count(*) - 1) ELSE 0.0 END AS avgFlowInterval,
+       count(*) AS flowCount, avg(CAST(coalesce(orig_bytes, 0) AS DOUBLE)) AS mean_request_size,
+       avg(CAST(coalesce(resp_bytes, 0) AS DOUBLE)) AS mean_response_size
+FROM flows WHERE proto = 'tcp' GROUP BY id_orig_h, id_resp_h, id_resp_p"""
+
+
+@query("http_log_to_traces", "S4 S10 S5 A8 S13 (capture to HTTP traces)", with_ctes(V.FLOWS, _HTTP_TRACES_SQL))
+def http_log_to_traces(spark, sf_dir):
+    log_dir, csv_dir, out_dir = (csvio.scratch_path(spark, n) for n in ("http_log", "http_csv", "http_traces"))
+    zeek.write_log(fx.http_records(fx.flows(spark, sf_dir)), log_dir, HTTP_FIELDS, path_name="http")
+    csvio.write_csv(zeek.read_http_log(spark, log_dir), csv_dir)
+    http_schema = zeek.read_http_log(spark, log_dir).schema
+    traces = ly.http_traces(csvio.read_csv(spark, csv_dir, http_schema))
+    csvio.write_csv(traces, out_dir)
+    return csvio.read_csv(spark, out_dir, traces.schema)
+
+
+@query("csv_flows", "S6 S11", with_ctes(V.FLOWS, f"SELECT {_KEPT_COLS} FROM flows"))
+def csv_flows(spark, sf_dir):
+    path = csvio.scratch_path(spark, "flows_csv")
+    kept = fx.flows(spark, sf_dir).select(*[column_name(f) for f in CONN_KEPT])
+    csvio.write_csv(kept, path)
+    return csvio.read_csv(spark, path, kept.schema)
+
+
+def _labelled(spark, sf_dir):
+    return ds.label_traces(tr.conn_traces(fx.flows(spark, sf_dir)), fx.capture_labels(spark))
+
+
+_TCOLS = ", ".join(TRACE_COLUMNS_A)
+
+
+@query("trace_csv", "S7 S12", with_ctes(V.LABELLED, f"SELECT {_TCOLS}, File FROM labelled"))
+def trace_csv(spark, sf_dir):
+    path = csvio.scratch_path(spark, "traces")
+    lab = _labelled(spark, sf_dir)
+    csvio.write_csv(lab.select(*TRACE_COLUMNS_A, "File"), path, partition_by=["File"])
+    schema = lab.select(*TRACE_COLUMNS_A).schema
+    return csvio.read_trace_tables(spark, path, schema)
+
+
+@query("source_file", "S9", with_ctes(V.LABELLED, "SELECT File, count(*) AS n_traces FROM labelled GROUP BY File"))
+def source_file(spark, sf_dir):
+    path = csvio.scratch_path(spark, "traces_by_file")
+    lab = _labelled(spark, sf_dir)
+    csvio.write_parquet(lab.select(*TRACE_COLUMNS_A, "File"), path, partition_by=["File"])
+    return spark.read.parquet(path).groupBy("File").agg(F.count(F.lit(1)).alias("n_traces"))
+
+
+# --- labelled dataset -----------------------------------------------------
+
+from flowtrace.schema import SKEWED_FEATURES, feature_name  # noqa: E402
+
+_TK = "srcIP, destIP, destPt, protocol"
+
+
+@query("label_join", "J3 P11", with_ctes(V.LABELLED, f"""
+SELECT {_TK}, flowct, File, Family, Type, Malicious,
+       CAST(CASE Family WHEN 'Bunitu' THEN 1 WHEN 'Conficker' THEN 2 WHEN 'Dridex' THEN 3 WHEN 'Miuref' THEN 4
+            WHEN 'Necurs' THEN 5 WHEN 'Trickbot' THEN 6 WHEN 'Upatre' THEN 7 WHEN 'Zeus' THEN 8
+            WHEN 'Normal' THEN 9 END AS INTEGER) AS Family_level
+FROM labelled"""))
+def label_join(spark, sf_dir):
+    lab = ds.with_family_order(_labelled(spark, sf_dir))
+    return lab.select(*tr.TRACE_KEY, "flowct", "File", "Family", "Type", "Malicious", "Family_level")
+
+
+@query("drop_captures", "F1", with_ctes(V.LABELLED, f"""
+SELECT {_TK}, File FROM labelled WHERE File NOT IN ('traces_3_1.log.csv')"""))
+def drop_captures(spark, sf_dir):
+    return ds.drop_files(_labelled(spark, sf_dir), ["traces_3_1.log.csv"]).select(*tr.TRACE_KEY, "File")
+
+
+@query("family_filter", "F2 U1", with_ctes(V.LABELLED, f"""
+SELECT {_TK}, Family FROM labelled WHERE Family <> 'Normal' AND Family <> 'Zeus'
+UNION ALL SELECT {_TK}, Family FROM labelled WHERE Family = 'Normal'"""))
+def family_filter(spark, sf_dir):
+    lab = _labelled(spark, sf_dir).select(*tr.TRACE_KEY, "Family")
+    mal = lab.where((F.col("Family") != "Normal") & (F.col("Family") != "Zeus"))
+    return mal.unionByName(lab.where(F.col("Family") == "Normal"))
+
+
+_SK = [feature_name(n) for n in SKEWED_FEATURES]
+
+
+@query("log1p_features", "P7", with_ctes(V.TRACES, f"SELECT {_TK}, " + ", ".join(
+    f"ln(1 + CAST({c} AS DOUBLE)) AS {c}" for c in _SK) + " FROM traces"))
+def log1p_features(spark, sf_dir):
+    t = tr.conn_traces(fx.flows(spark, sf_dir))
+    return ds.log1p_features(t).select(*tr.TRACE_KEY, *_SK)
+
+
+@query("recode_label", "P9", with_ctes(V.LABELLED, f"""
+SELECT {_TK}, Malicious, CASE WHEN Malicious = 1 THEN 'Yes' ELSE 'No' END AS Malicious_yn,
+       CASE WHEN Malicious = 1 THEN 'Malicious' ELSE 'Benign' END AS Malicious_class FROM labelled"""))
+def recode_label(spark, sf_dir):
+    return ds.recode_label(_labelled(spark, sf_dir)).select(*tr.TRACE_KEY, "Malicious", "Malicious_yn",
+                                                            "Malicious_class")
+
+
+@query("encode_category", "P12", with_ctes(V.TRACES, f"""
+SELECT {_TK}, CAST(dense_rank() OVER (ORDER BY protocol) AS INTEGER) AS protocol_code,
+       CAST(dense_rank() OVER (ORDER BY destIP) AS INTEGER) AS destIP_code FROM traces"""))
+def encode_category(spark, sf_dir):
+    t = tr.conn_traces(fx.flows(spark, sf_dir)).select(*tr.TRACE_KEY)
+    t = ds.encode_category(ds.encode_category(t, "protocol"), "destIP")
+    return t.select(*tr.TRACE_KEY, "protocol_code", "destIP_code")
+
+
+_BCOLS = ", ".join(ly.LAYOUT_B)
+
+
+@query("complete_cases", "F5", with_ctes(_BIN, f"""
+, b AS (SELECT {_K}, any_value(first_p) AS id_orig_p, min(ts) AS ts, count(*) AS flow_ct,
+       {", ".join(f"avg({v}) AS mean_{v}, stddev_samp({v}) AS std_{v}" for v in _BV)},
+       avg(gap) AS mean_intvl, stddev_pop(gap) AS std_intvl, {_FLAGS_SUM}
+     FROM bw GROUP BY {_K})
+SELECT {_BCOLS} FROM b WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in ly.LAYOUT_B)).replace("\n, b AS", ", b AS", 1)
+       .replace(f"FROM bin)\n, b AS", "FROM bin), b AS"))
+def complete_cases(spark, sf_dir):
+    return ds.complete_cases(ly.traces_layout_b(fx.flows(spark, sf_dir)))
+
+
+@query("dns_join", "J4", with_ctes(V.FLOWS, """
+SELECT f.id_orig_h AS host, d.name, count(*) AS visits
+FROM flows f JOIN (SELECT DISTINCT id_orig_h AS host,
+                          'host' || split_part(id_orig_h, '.', 4) || '.example.net' AS name
+                   FROM flows WHERE id_orig_h LIKE '10.0.0.%'
+                     AND CAST(split_part(id_orig_h, '.', 4) AS INTEGER) % 3 = 0) d ON f.id_orig_h = d.host
+GROUP BY f.id_orig_h, d.name"""))
+def dns_join(spark, sf_dir):
+    from flowtrace.operators.joins import join_small
+    f = fx.flows(spark, sf_dir)
+    visits = f.groupBy(F.col("id_orig_h").alias("host")).agg(F.count(F.lit(1)).alias("visits"))
+    return join_small(visits, fx.dns_names(f), "host", "inner").select("host", "name", "visits")

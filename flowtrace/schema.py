@@ -44,6 +44,7 @@ HTTP_KEPT = ["ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "host", "
 HTTP_TYPES = {"ts": "time", "id.orig_h": "addr", "id.orig_p": "port", "id.resp_h": "addr",
               "id.resp_p": "port", "request_body_len": "count", "response_body_len": "count",
               "status_code": "count"}
+HTTP_FIELDS = [(f, HTTP_TYPES.get(f, "string")) for f in HTTP_KEPT]
 # Log header markers.
 UNSET = "-"
 EMPTY = "(empty)"

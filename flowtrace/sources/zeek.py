@@ -26,10 +26,10 @@ _SEP = "\t"
 
 
 def _typed(raw: Column, log_type: str, as_text: bool) -> Column:
-    """One raw text field to its Spark value (unset -> NULL)."""
-    val = F.when(raw == UNSET, F.lit(None)).otherwise(raw)
+    """One raw text field to its Spark value (unset -> NULL); ``as_text`` keeps the raw text."""
     if as_text:
-        return val
+        return raw
+    val = F.when(raw == UNSET, F.lit(None)).otherwise(raw)
     if log_type == "bool":
         return F.when(val == "T", True).when(val == "F", False)
     if log_type.startswith("set[") or log_type.startswith("vector["):
@@ -37,7 +37,7 @@ def _typed(raw: Column, log_type: str, as_text: bool) -> Column:
     target = LOG_TYPE_TO_SPARK.get(log_type, T.StringType())
     if isinstance(target, T.StringType):
         return val
-    return F.try_cast(val, target.simpleString()) if hasattr(F, "try_cast") else val.cast(target)
+    return val.try_cast(target)
 
 
 def log_headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, list[str], list[str]]]:
@@ -118,7 +118,7 @@ def _field_text(c: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.BooleanType):
         txt = F.when(c, F.lit("T")).otherwise(F.lit("F"))
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        txt = F.format_string("%.6f", c)
+        txt = F.when(c.isNotNull(), F.format_string("%.6f", c))
     else:
         txt = c.cast("string")
     return F.coalesce(txt, F.lit(UNSET))
