@@ -25,11 +25,11 @@ def value_counts(df: DataFrame, cols: Sequence[str], top: int | None = None) ->
     The columns are unpivoted once, so one aggregation (partial on the map
     side) serves all of them.
     """
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "field", "value")
+    counts = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     if top is not None:
         from pyspark.sql import Window
-        w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
+        w = Window.partitionBy("field").orderBy(F.desc("n"), F.asc("value"))
         counts = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
     return counts
 
@@ -41,10 +41,10 @@ def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
 
 
 def null_audit(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Missing values per column: one aggregate, then unpivoted to (column, n_missing)."""
+    """Missing values per column: one aggregate, then unpivoted to (field, n_missing)."""
     cols = list(cols or df.columns)
     wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    return wide.unpivot([], cols, "column", "n_missing")
+    return wide.unpivot([], cols, "field", "n_missing")
 
 
 def five_numbers(df: DataFrame, metrics: Sequence[str]) -> DataFrame:

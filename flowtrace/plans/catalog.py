@@ -377,3 +377,114 @@ def dns_join(spark, sf_dir):
     f = fx.flows(spark, sf_dir)
     visits = f.groupBy(F.col("id_orig_h").alias("host")).agg(F.count(F.lit(1)).alias("visits"))
     return join_small(visits, fx.dns_names(f), "host", "inner").select("host", "name", "visits")
+
+
+# --- profiles -------------------------------------------------------------
+
+from flowtrace.operators import profile as pf  # noqa: E402
+
+_METRICS = ["flowct", "mean_duration", "mean_intvl", "mean_src_pkts", "mean_dest_bytes"]
+_LONG_T = " UNION ALL ".join(
+    f"SELECT {_TK}, Malicious, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM labelled" for m in _METRICS)
+
+
+@query("family_summary", "A13 F2", with_ctes(V.LABELLED, """
+SELECT Family, """ + ", ".join(
+    f"quantile_cont({m}, 0.5) AS median_{m}, stddev_samp({m}) AS sd_{m}"
+    for m in ["flowct", "mean_duration", "mean_src_pkts"]) + """
+FROM labelled WHERE Family <> 'Normal' GROUP BY Family"""))
+def family_summary(spark, sf_dir):
+    mal = _labelled(spark, sf_dir).where(F.col("Family") != "Normal")
+    return pf.group_summary(mal, "Family", ["flowct", "mean_duration", "mean_src_pkts"])
+
+
+_VC = ["id_resp_h", "id_resp_p", "id_orig_h", "id_orig_p"]
+
+
+@query("value_counts", "A14 O2", with_ctes(V.FLOWS, " UNION ALL ".join(
+    f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM flows GROUP BY {c}" for c in _VC)))
+def value_counts(spark, sf_dir):
+    return pf.value_counts(fx.flows(spark, sf_dir), _VC)
+
+
+@query("top_sources", "O3 O2", with_ctes(V.FLOWS, """
+SELECT id_orig_h, count(*) AS n FROM flows GROUP BY id_orig_h ORDER BY n DESC, id_orig_h LIMIT 100"""))
+def top_sources(spark, sf_dir):
+    return pf.top_values(fx.flows(spark, sf_dir), "id_orig_h", 100)
+
+
+_NA = ["ts", "uid", "id_orig_h", "id_orig_p", "id_resp_h", "id_resp_p", "proto", "service", "duration",
+       "orig_bytes", "resp_bytes", "conn_state", "history", "orig_pkts", "resp_pkts"]
+
+
+@query("null_audit", "A15", with_ctes(V.FLOWS, " UNION ALL ".join(
+    f"SELECT '{c}' AS field, count_if({c} IS NULL) AS n_missing FROM flows" for c in _NA)))
+def null_audit(spark, sf_dir):
+    return pf.null_audit(fx.flows(spark, sf_dir), _NA)
+
+
+@query("quantiles", "A16", with_ctes(V.TRACES, " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, " + ", ".join(
+        f"quantile_cont(CAST({m} AS DOUBLE), {p}) AS q{n}" for p, n in
+        [(0.0, 0), (0.25, 25), (0.5, 50), (0.75, 75), (1.0, 100)]) + " FROM traces" for m in _METRICS)))
+def quantiles(spark, sf_dir):
+    return pf.five_numbers(tr.conn_traces(fx.flows(spark, sf_dir)), _METRICS)
+
+
+@query("box_stats", "A17", with_ctes(V.LABELLED + f""",
+long AS ({_LONG_T}),
+q AS (SELECT metric, Malicious, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+             quantile_cont(value, 0.75) AS q3 FROM long GROUP BY metric, Malicious)""", """
+SELECT q.metric, q.Malicious, q.q1, q.median, q.q3, q.q3 - q.q1 AS iqr,
+       min(CASE WHEN l.value BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) THEN l.value END) AS lower_whisker,
+       max(CASE WHEN l.value BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) THEN l.value END) AS upper_whisker,
+       count_if(NOT (l.value BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1))) AS n_outliers,
+       count(*) AS n
+FROM q JOIN long l USING (metric, Malicious)
+GROUP BY q.metric, q.Malicious, q.q1, q.median, q.q3"""))
+def box_stats(spark, sf_dir):
+    return pf.box_stats(_labelled(spark, sf_dir), _METRICS, "Malicious")
+
+
+@query("class_means", "A18", with_ctes(V.LABELLED, "SELECT Malicious, " + ", ".join(
+    f"avg({m}) AS mean_{m}" for m in _METRICS) + " FROM labelled GROUP BY Malicious"))
+def class_means(spark, sf_dir):
+    return pf.class_means(_labelled(spark, sf_dir), _METRICS, "Malicious")
+
+
+@query("contingency", "A19", with_ctes(V.LABELLED, """
+SELECT f.Family, p.protocol, coalesce(c.n, 0) AS n
+FROM (SELECT DISTINCT Family FROM labelled) f CROSS JOIN (SELECT DISTINCT protocol FROM labelled) p
+LEFT JOIN (SELECT Family, protocol, count(*) AS n FROM labelled GROUP BY Family, protocol) c
+  ON c.Family = f.Family AND c.protocol = p.protocol"""))
+def contingency(spark, sf_dir):
+    return pf.contingency(_labelled(spark, sf_dir), "Family", "protocol")
+
+
+@query("below_p90", "F4", with_ctes(V.LABELLED + f""",
+long AS ({_LONG_T}),
+q AS (SELECT metric, quantile_cont(value, 0.9) AS q FROM long GROUP BY metric)""", f"""
+SELECT {_TK}, metric, value FROM long JOIN q USING (metric) WHERE value < q"""))
+def below_p90(spark, sf_dir):
+    return pf.below_quantile(_labelled(spark, sf_dir), _METRICS, tr.TRACE_KEY, 0.9)
+
+
+@query("upper_bound", "F3", with_ctes(V.TRACES, f"SELECT {_TK}, mean_intvl FROM traces WHERE mean_intvl < 30000"))
+def upper_bound(spark, sf_dir):
+    t = tr.conn_traces(fx.flows(spark, sf_dir))
+    return t.where(F.col("mean_intvl") < 30000).select(*tr.TRACE_KEY, "mean_intvl")
+
+
+@query("first_rows", "O5", with_ctes(V.FLOWS + "," + _IDS_SQL, f"""
+SELECT i.trace_id, f.uid, f.ts FROM flows f JOIN ids i USING ({_K}) ORDER BY i.trace_id, f.ts, f.uid LIMIT 30"""))
+def first_rows(spark, sf_dir):
+    f = fx.flows(spark, sf_dir)
+    j = fl.flows_with_ids(f, fl.trace_ids(f)).select("trace_id", "uid", "ts")
+    return j.orderBy("trace_id", "ts", "uid").limit(30)
+
+
+@query("sorted_flows", "O1", with_ctes(V.FLOWS + "," + _IDS_SQL, f"""
+SELECT i.trace_id, f.uid, f.ts FROM flows f JOIN ids i USING ({_K}) ORDER BY i.trace_id, f.ts, f.uid"""))
+def sorted_flows(spark, sf_dir):
+    f = fx.flows(spark, sf_dir)
+    return fl.flows_with_ids(f, fl.trace_ids(f)).select("trace_id", "uid", "ts").orderBy("trace_id", "ts", "uid")
