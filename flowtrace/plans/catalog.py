@@ -6,6 +6,8 @@ runs in DuckDB on the same tables.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from flowtrace.operators import traces as tr
@@ -488,3 +490,75 @@ SELECT i.trace_id, f.uid, f.ts FROM flows f JOIN ids i USING ({_K}) ORDER BY i.t
 def sorted_flows(spark, sf_dir):
     f = fx.flows(spark, sf_dir)
     return fl.flows_with_ids(f, fl.trace_ids(f)).select("trace_id", "uid", "ts").orderBy("trace_id", "ts", "uid")
+
+
+# --- splits ---------------------------------------------------------------
+
+from flowtrace.operators import splits as sp  # noqa: E402
+from flowtrace.schema import MALWARE_FAMILIES  # noqa: E402
+
+_RID = "concat_ws('|', srcIP, destIP, CAST(destPt AS VARCHAR), protocol)"
+_LAB_IDS = V.LABELLED + f""",
+lab AS (SELECT {_RID} AS row_id, Family, Malicious, flowct FROM labelled)"""
+_MD5 = "md5('11|' || row_id)"
+
+
+def _lab_ids(spark, sf_dir):
+    return sp.with_id(_labelled(spark, sf_dir), tr.TRACE_KEY).select("row_id", "Family", "Malicious", "flowct")
+
+
+@query("split_fixed", "M1 J5 J6", with_ctes(_LAB_IDS, f"""
+SELECT row_id, CASE WHEN row_number() OVER (ORDER BY {_MD5}) <= 1000 THEN 'train' ELSE 'test' END AS part FROM lab"""))
+def split_fixed(spark, sf_dir):
+    lab = _lab_ids(spark, sf_dir)
+    s = sp.split_fixed(lab, "row_id", 1000)
+    train = sp.sample_rows(lab, s.where(F.col("part") == "train"), "row_id")
+    test = sp.rest_rows(lab, train, "row_id")
+    return (train.select("row_id", F.lit("train").alias("part"))
+            .unionByName(test.select("row_id", F.lit("test").alias("part"))))
+
+
+@query("split_fraction", "M2", with_ctes(_LAB_IDS, f"""
+SELECT row_id, CASE WHEN substr({_MD5}, 1, 8) < 'b3333334' THEN 'train' ELSE 'test' END AS part FROM lab"""))
+def split_fraction(spark, sf_dir):
+    return sp.split_fraction(_lab_ids(spark, sf_dir), "row_id", 0.7).select("row_id", "part")
+
+
+_FAMS = ", ".join(f"'{f}'" for f in MALWARE_FAMILIES)
+
+
+@query("leave_family_out", "M3", with_ctes(_LAB_IDS + f""",
+nr AS (SELECT row_id, row_number() OVER (ORDER BY {_MD5}) AS nrank FROM lab WHERE Family = 'Normal'),
+fc AS (SELECT Family AS fold_family, count(*) AS nf FROM lab WHERE Family IN ({_FAMS}) GROUP BY Family),
+folds AS (SELECT unnest([{_FAMS}]) AS fold_family)""", """
+SELECT l.row_id, l.Family, f.fold_family,
+       CASE WHEN l.Family = f.fold_family OR (l.Family = 'Normal' AND nr.nrank <= coalesce(fc.nf, 0))
+            THEN 'test' ELSE 'train' END AS part
+FROM lab l CROSS JOIN folds f LEFT JOIN nr ON nr.row_id = l.row_id LEFT JOIN fc ON fc.fold_family = f.fold_family"""))
+def leave_family_out(spark, sf_dir):
+    lf = sp.leave_family_out(_lab_ids(spark, sf_dir), "row_id", MALWARE_FAMILIES)
+    return lf.select("row_id", "Family", "fold_family", "part")
+
+
+@query("oversample", "M4", with_ctes(_LAB_IDS + """,
+cc AS (SELECT Malicious, count(*) AS c FROM lab GROUP BY Malicious),
+mn AS (SELECT Malicious AS m FROM cc ORDER BY c, Malicious LIMIT 1)""", """
+SELECT row_id, Malicious, CAST(unnest(generate_series(1, CASE WHEN Malicious = (SELECT m FROM mn) THEN 160 ELSE 1 END)) AS INTEGER) AS copy
+FROM lab"""))
+def oversample(spark, sf_dir):
+    return sp.oversample(_lab_ids(spark, sf_dir), "Malicious", 160).select("row_id", "Malicious", "copy")
+
+
+@query("undersample", "M5", with_ctes(_LAB_IDS + """,
+cc AS (SELECT Malicious, count(*) AS c FROM lab GROUP BY Malicious),
+mj AS (SELECT Malicious AS m FROM cc ORDER BY c DESC, Malicious LIMIT 1)""", f"""
+SELECT row_id, Malicious FROM lab
+WHERE Malicious <> (SELECT m FROM mj) OR substr({_MD5}, 1, 8) < '{math.ceil(2 ** 32 / 160):08x}'"""))
+def undersample(spark, sf_dir):
+    return sp.undersample(_lab_ids(spark, sf_dir), "Malicious", "row_id", 1 / 160).select("row_id", "Malicious")
+
+
+@query("cv_folds", "M6", with_ctes(_LAB_IDS, f"""
+SELECT CAST(('0x' || substr({_MD5}, 1, 8))::UBIGINT % 10 AS INTEGER) AS fold, count(*) AS n FROM lab GROUP BY 1"""))
+def cv_folds(spark, sf_dir):
+    return sp.cv_folds(_lab_ids(spark, sf_dir), "row_id", 10).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
