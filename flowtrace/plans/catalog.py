@@ -562,3 +562,179 @@ def undersample(spark, sf_dir):
 SELECT CAST(('0x' || substr({_MD5}, 1, 8))::UBIGINT % 10 AS INTEGER) AS fold, count(*) AS n FROM lab GROUP BY 1"""))
 def cv_folds(spark, sf_dir):
     return sp.cv_folds(_lab_ids(spark, sf_dir), "row_id", 10).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- evaluation -----------------------------------------------------------
+
+from flowtrace.operators import evaluate as ev  # noqa: E402
+
+_SCORED = """
+scored AS (SELECT l.doc_id, CAST(l.toxic AS INTEGER) AS label, CAST(d.n_chars AS DOUBLE) AS score,
+                  CASE WHEN CAST(d.n_chars AS DOUBLE) > 2000 THEN 1 ELSE 0 END AS pred
+           FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
+_COUNTS = _SCORED + """,
+cnt AS (SELECT count_if(pred = 1 AND label = 1) AS tp, count_if(pred = 1 AND label <> 1) AS fp,
+               count_if(pred <> 1 AND label = 1) AS fn, count_if(pred <> 1 AND label <> 1) AS tn FROM scored)"""
+_MEASURES = """
+  CAST(tp + tn AS DOUBLE) / NULLIF(tp + fp + fn + tn, 0) AS accuracy,
+  CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) AS sensitivity, CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0) AS specificity,
+  CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0) AS ppv, CAST(tn AS DOUBLE) / NULLIF(tn + fn, 0) AS npv,
+  CAST(tp + fn AS DOUBLE) / NULLIF(tp + fp + fn + tn, 0) AS prevalence,
+  CAST(tp AS DOUBLE) / NULLIF(tp + fp + fn + tn, 0) AS detection_rate,
+  CAST(tp + fp AS DOUBLE) / NULLIF(tp + fp + fn + tn, 0) AS detection_prevalence,
+  (CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) + CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0)) / 2 AS balanced_accuracy,
+  CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0) AS precision, CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) AS recall,
+  2 * (CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0)) * (CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0))
+    / NULLIF(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0) + CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0) AS f1"""
+
+
+def _scored(spark, sf_dir):
+    return ev.predict_at(fx.scored_documents(spark, sf_dir), "score", 2000.0)
+
+
+@query("confusion", "E1 P13", with_ctes(_COUNTS, f"SELECT tp, fp, fn, tn, {_MEASURES} FROM cnt"))
+def confusion(spark, sf_dir):
+    return ev.confusion_measures(ev.confusion_counts(_scored(spark, sf_dir)))
+
+
+@query("agreement", "E2", with_ctes(_COUNTS, """
+SELECT tp, fp, fn, tn,
+  ((CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn))
+   - (CAST((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn) AS DOUBLE) / ((tp + fp + fn + tn) * CAST(tp + fp + fn + tn AS DOUBLE))))
+  / NULLIF(1 - (CAST((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn) AS DOUBLE) / ((tp + fp + fn + tn) * CAST(tp + fp + fn + tn AS DOUBLE))), 0) AS kappa,
+  CAST(greatest(tp + fn, fp + tn) AS DOUBLE) / (tp + fp + fn + tn) AS nir,
+  power(abs(fp - fn) - 1, 2) / NULLIF(CAST(fp + fn AS DOUBLE), 0) AS mcnemar_chi2
+FROM cnt"""))
+def agreement(spark, sf_dir):
+    return ev.agreement(ev.confusion_counts(_scored(spark, sf_dir)))
+
+
+@query("agreement_tests", "E2 (exact interval, binomial and McNemar tails)")
+def agreement_tests(spark, sf_dir):
+    return ev.with_tests(ev.agreement(ev.confusion_counts(_scored(spark, sf_dir))))
+
+
+@query("ppv_npv", "E3", with_ctes(_COUNTS + f""",
+m AS (SELECT {_MEASURES} FROM cnt)""", "SELECT ppv, npv, ppv * npv / NULLIF(ppv + npv, 0) AS ppv_npv FROM m"))
+def ppv_npv(spark, sf_dir):
+    m = ev.confusion_measures(ev.confusion_counts(_scored(spark, sf_dir)))
+    return ev.ppv_npv_score(m).select("ppv", "npv", "ppv_npv")
+
+
+_SC = _SCORED + """,
+sc AS (SELECT score, CAST(count_if(label = 1) AS DOUBLE) AS pos, CAST(count_if(label <> 1) AS DOUBLE) AS neg
+       FROM scored GROUP BY score)"""
+
+
+@query("roc_points", "E4", with_ctes(_SC, """
+SELECT score, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(pos) OVER () AS tpr,
+       sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(neg) OVER () AS fpr
+FROM sc"""))
+def roc_points(spark, sf_dir):
+    return ev.roc_points(_scored(spark, sf_dir))
+
+
+_AUC_SQL = """
+SELECT sum(pos * (cn - neg / 2)) / (sum(pos) * sum(neg)) AS auc
+FROM (SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM sc)"""
+
+
+@query("auc", "E5", with_ctes(_SC, _AUC_SQL))
+def auc(spark, sf_dir):
+    return ev.auc(_scored(spark, sf_dir))
+
+
+@query("error_rates", "E6", with_ctes(_COUNTS + """,
+sc AS (SELECT score, CAST(count_if(label = 1) AS DOUBLE) AS pos, CAST(count_if(label <> 1) AS DOUBLE) AS neg
+       FROM scored GROUP BY score),
+a AS (""" + _AUC_SQL + ")", """
+SELECT 1 - CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS mmce,
+       1 - (CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) + CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0)) / 2 AS ber, a.auc
+FROM cnt, a"""))
+def error_rates(spark, sf_dir):
+    return ev.error_rates(_scored(spark, sf_dir))
+
+
+_LOO_SCORED = _LAB_IDS + f""",
+nr AS (SELECT row_id, row_number() OVER (ORDER BY {_MD5}) AS nrank FROM lab WHERE Family = 'Normal'),
+fc AS (SELECT Family AS fold_family, count(*) AS nf FROM lab WHERE Family IN ({_FAMS}) GROUP BY Family),
+folds AS (SELECT unnest([{_FAMS}]) AS fold_family),
+parts AS (SELECT l.row_id, l.Malicious AS label, CAST(l.flowct AS DOUBLE) AS score,
+                 CASE WHEN l.flowct > 6 THEN 1 ELSE 0 END AS pred, f.fold_family,
+                 CASE WHEN l.Family = f.fold_family OR (l.Family = 'Normal' AND nr.nrank <= coalesce(fc.nf, 0))
+                      THEN 'test' ELSE 'train' END AS part
+          FROM lab l CROSS JOIN folds f LEFT JOIN nr ON nr.row_id = l.row_id
+          LEFT JOIN fc ON fc.fold_family = f.fold_family),
+t AS (SELECT * FROM parts WHERE part = 'test'),
+cnt AS (SELECT fold_family, count_if(pred = 1 AND label = 1) AS tp, count_if(pred = 1 AND label <> 1) AS fp,
+               count_if(pred <> 1 AND label = 1) AS fn, count_if(pred <> 1 AND label <> 1) AS tn
+        FROM t GROUP BY fold_family),
+sc AS (SELECT fold_family, score, CAST(count_if(label = 1) AS DOUBLE) AS pos,
+              CAST(count_if(label <> 1) AS DOUBLE) AS neg FROM t GROUP BY fold_family, score),
+a AS (SELECT fold_family, sum(pos * (cn - neg / 2)) / (sum(pos) * sum(neg)) AS auc
+      FROM (SELECT fold_family, pos, neg, sum(neg) OVER (PARTITION BY fold_family ORDER BY score
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM sc) GROUP BY fold_family)"""
+
+
+def _loo_test_scored(spark, sf_dir):
+    lf = sp.leave_family_out(_lab_ids(spark, sf_dir), "row_id", MALWARE_FAMILIES)
+    t = lf.where(F.col("part") == "test").select(
+        "row_id", "fold_family", F.col("Malicious").alias("label"), F.col("flowct").cast("double").alias("score"))
+    return ev.predict_at(t, "score", 6.0)
+
+
+@query("family_metrics", "E7 U2", with_ctes(_LOO_SCORED, """
+SELECT c.fold_family,
+  (CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) + CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0)) / 2 AS balanced_accuracy,
+  CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0) AS precision, CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) AS recall,
+  2 * (CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0)) * (CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0))
+    / NULLIF(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0) + CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0) AS F1Score,
+  a.auc
+FROM cnt c JOIN a ON a.fold_family = c.fold_family"""))
+def family_metrics(spark, sf_dir):
+    return ev.metric_table(_loo_test_scored(spark, sf_dir), ["fold_family"])
+
+
+@query("auc_by_params", "E8", with_ctes(_SCORED + """,
+g AS (SELECT d.lang, s.score, s.label FROM scored s JOIN documents d ON d.doc_id = s.doc_id),
+sc AS (SELECT lang, score, CAST(count_if(label = 1) AS DOUBLE) AS pos, CAST(count_if(label <> 1) AS DOUBLE) AS neg
+       FROM g GROUP BY lang, score)""", """
+SELECT lang, sum(pos * (cn - neg / 2)) / NULLIF(sum(pos) * sum(neg), 0) AS auc
+FROM (SELECT lang, pos, neg, sum(neg) OVER (PARTITION BY lang ORDER BY score
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM sc) GROUP BY lang"""))
+def auc_by_params(spark, sf_dir):
+    s = fx.scored_documents(spark, sf_dir).join(
+        fx.read_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return ev.auc(s, group=["lang"])
+
+
+_TWO_MODELS = _SCORED + """,
+m AS (SELECT doc_id, label, score AS chars, CAST(doc_id % 97 AS DOUBLE) AS idmod FROM scored)"""
+
+
+def _two_models(spark, sf_dir):
+    s = fx.scored_documents(spark, sf_dir)
+    return {"chars": s.select("doc_id", "label", F.col("score").alias("prob")),
+            "idmod": s.select("doc_id", "label", (F.col("doc_id") % 97).cast("double").alias("prob"))}
+
+
+@query("merge_predictions", "J2 R2", with_ctes(_TWO_MODELS, "SELECT doc_id, label, chars, idmod FROM m"))
+def merge_predictions(spark, sf_dir):
+    return ev.merge_predictions(_two_models(spark, sf_dir), ["doc_id", "label"])
+
+
+@query("roc_long", "E9 R1", with_ctes(_TWO_MODELS + """,
+long AS (SELECT doc_id, label, 'chars' AS model, chars AS prob FROM m
+         UNION ALL SELECT doc_id, label, 'idmod' AS model, idmod AS prob FROM m),
+sc AS (SELECT model, prob AS score, CAST(count_if(label = 1) AS DOUBLE) AS pos,
+              CAST(count_if(label <> 1) AS DOUBLE) AS neg FROM long GROUP BY model, prob)""", """
+SELECT model, score,
+  sum(pos) OVER (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    / sum(pos) OVER (PARTITION BY model) AS tpr,
+  sum(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    / sum(neg) OVER (PARTITION BY model) AS fpr
+FROM sc"""))
+def roc_long(spark, sf_dir):
+    wide = ev.merge_predictions(_two_models(spark, sf_dir), ["doc_id", "label"])
+    long = ev.melt(wide, ["doc_id", "label"], ["chars", "idmod"])
+    return ev.roc_points(long, "label", "prob", group=["model"])
