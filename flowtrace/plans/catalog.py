@@ -738,3 +738,172 @@ def roc_long(spark, sf_dir):
     wide = ev.merge_predictions(_two_models(spark, sf_dir), ["doc_id", "label"])
     long = ev.melt(wide, ["doc_id", "label"], ["chars", "idmod"])
     return ev.roc_points(long, "label", "prob", group=["model"])
+
+
+# --- features and models --------------------------------------------------
+
+from flowtrace.operators import models as ml  # noqa: E402
+from flowtrace.schema import NB_DROPPED_FLAGS  # noqa: E402
+
+_NB_FEATS = ["flowct", "mean_duration", "mean_src_pkts", "mean_dest_bytes", "mean_intvl"]
+
+
+@query("center", "L1", with_ctes(V.TRACES, f"SELECT {_TK}, " + ", ".join(
+    f"CAST({m} AS DOUBLE) - avg(CAST({m} AS DOUBLE)) OVER () AS {m}" for m in _METRICS) + " FROM traces"))
+def center(spark, sf_dir):
+    t = tr.conn_traces(fx.flows(spark, sf_dir)).select(*tr.TRACE_KEY, *[F.col(m).cast("double").alias(m)
+                                                                         for m in _METRICS])
+    return ml.center(t, _METRICS)
+
+
+@query("range_scale", "L2", with_ctes(V.TRACES, f"SELECT {_TK}, " + ", ".join(
+    f"CASE WHEN max({m}) OVER () = min({m}) OVER () THEN 0.5 ELSE (CAST({m} AS DOUBLE) - min({m}) OVER ()) "
+    f"/ (max({m}) OVER () - min({m}) OVER ()) END AS {m}" for m in _METRICS) + " FROM traces"))
+def range_scale(spark, sf_dir):
+    t = tr.conn_traces(fx.flows(spark, sf_dir)).select(*tr.TRACE_KEY, *[F.col(m).cast("double").alias(m)
+                                                                         for m in _METRICS])
+    return ml.range_scale(t, _METRICS)
+
+
+_BC_COLS = ["flowct", "mean_src_pkts", "mean_dest_bytes", "mean_duration", "mean_intvl"]
+_LAMS = ", ".join(repr(x) for x in ml.LAMBDA_GRID)
+
+
+@query("box_cox", "L3", with_ctes(V.TRACES + """,
+long AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS field, CAST({c} AS DOUBLE) AS x FROM traces" for c in _BC_COLS)
+                                  + f"""),
+lams AS (SELECT unnest([{_LAMS}]::DOUBLE[]) AS lam),
+per AS (SELECT field, lam, count(*) AS n,
+               sum(CASE WHEN x <= 0 THEN NULL WHEN lam = 0 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END) AS sy,
+               sum(power(CASE WHEN x <= 0 THEN NULL WHEN lam = 0 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END, 2)) AS syy,
+               sum(CASE WHEN x > 0 THEN ln(x) END) AS slx, min(x) AS xmin
+        FROM long CROSS JOIN lams WHERE x IS NOT NULL GROUP BY field, lam),
+sc AS (SELECT field, lam AS bc_lambda, -n / 2.0 * ln(syy / n - power(sy / n, 2)) + (lam - 1) * slx AS loglik
+       FROM per WHERE xmin > 0)""", "SELECT field, arg_max(bc_lambda, loglik) AS bc_lambda, max(loglik) AS loglik FROM sc GROUP BY field"))
+def box_cox(spark, sf_dir):
+    return ml.box_cox_lambdas(tr.conn_traces(fx.flows(spark, sf_dir)), _BC_COLS)
+
+
+def _model_table(spark, sf_dir, folds: int = 3):
+    lab = sp.with_id(_labelled(spark, sf_dir), tr.TRACE_KEY)
+    lab = ds.log1p_features(lab)
+    lab = lab.withColumn("label", F.col("Malicious").cast("double"))
+    lab = sp.split_fraction(lab, "row_id", 0.7)
+    return sp.cv_folds(lab, "row_id", folds)
+
+
+_NB_TRAIN = V.LABELLED + f""",
+lab AS (SELECT {_RID} AS row_id, Malicious AS label, """ + ", ".join(
+    f"ln(1 + CAST({c} AS DOUBLE)) AS {c}" for c in _NB_FEATS) + f""" FROM labelled),
+parts AS (SELECT *, CASE WHEN substr({_MD5}, 1, 8) < 'b3333334' THEN 'train' ELSE 'test' END AS part FROM lab),
+st AS (SELECT label AS c, count(*) AS n, """ + ", ".join(
+    f"avg({c}) AS m_{c}, var_pop({c}) + 1e-9 AS v_{c}" for c in _NB_FEATS) + """
+       FROM parts WHERE part = 'train' GROUP BY label),
+tot AS (SELECT sum(n) AS total FROM st),
+lp AS (SELECT p.row_id, s.c, ln(s.n / tot.total) """ + " ".join(
+    f"- 0.5 * ln(2 * pi() * s.v_{c}) - power(p.{c} - s.m_{c}, 2) / (2 * s.v_{c})" for c in _NB_FEATS) + """ AS lp
+       FROM parts p, st s, tot WHERE p.part = 'test'),
+w AS (SELECT row_id, max(CASE WHEN c = 1 THEN lp END) AS l1, max(CASE WHEN c = 0 THEN lp END) AS l0
+      FROM lp GROUP BY row_id)"""
+
+
+@query("gaussian_nb", "L9 L15", with_ctes(_NB_TRAIN, """
+SELECT row_id, exp(l1 - greatest(l1, l0)) / (exp(l1 - greatest(l1, l0)) + exp(l0 - greatest(l1, l0))) AS prob FROM w"""))
+def gaussian_nb(spark, sf_dir):
+    lab = ds.log1p_features(sp.with_id(_labelled(spark, sf_dir), tr.TRACE_KEY), _NB_FEATS)
+    lab = sp.split_fraction(lab.withColumn("label", F.col("Malicious")), "row_id", 0.7)
+    model = ml.gaussian_nb_fit(lab.where(F.col("part") == "train"), _NB_FEATS, "label")
+    return ml.gaussian_nb_score(lab.where(F.col("part") == "test"), model, _NB_FEATS).select("row_id", "prob")
+
+
+def _train_test(spark, sf_dir):
+    t = _model_table(spark, sf_dir)
+    return t.where(F.col("part") == "train"), t.where(F.col("part") == "test")
+
+
+@query("rf_scores", "L4 L15 P15")
+def rf_scores(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    scored, _ = ml.random_forest(train, test, _SK, num_trees=30, fold_col="fold", subsets=["2", "6", "13", "26"])
+    return scored
+
+
+@query("rf_grid", "L5 J7 F7 O6")
+def rf_grid(spark, sf_dir):
+    """Cross-validated AUC of every (mtry, ntree) setting, sorted by mtry."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    train, _ = _train_test(spark, sf_dir)
+    rf = RandomForestClassifier(featuresCol="features", labelCol="label", maxDepth=12, seed=11)
+    grid = (ParamGridBuilder().addGrid(rf.featureSubsetStrategy, ["2", "6", "26"])
+            .addGrid(rf.numTrees, [20, 50]).build())
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, foldCol="fold", parallelism=2,
+                        evaluator=BinaryClassificationEvaluator(labelCol="label"))
+    model = cv.fit(ml.assemble(train, _SK))
+    rows = [(int(pm[rf.featureSubsetStrategy]), int(pm[rf.numTrees]), float(m))
+            for pm, m in zip(grid, model.avgMetrics)]
+    return spark.createDataFrame(rows, "mtry int, ntree int, cv_auc double").orderBy("mtry", "ntree")
+
+
+@query("lasso_scores", "L6")
+def lasso_scores(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    return ml.lasso_linear(train, test, _SK)[0]
+
+
+@query("logistic_scores", "L7")
+def logistic_scores(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    return ml.logistic(train, test, _SK)[0]
+
+
+@query("rbf_svm_scores", "L8")
+def rbf_svm_scores(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    return ml.rbf_svm(train, test, _SK)[0]
+
+
+@query("mlp_scores", "L10")
+def mlp_scores(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    return ml.mlp(train, test, _SK)[0]
+
+
+@query("tree_scores", "L11")
+def tree_scores(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    return ml.decision_tree(train, test, _SK)[0]
+
+
+_GLM_FEATS = ["flowct", "mean_duration", "mean_src_pkts", "mean_dest_bytes", "mean_intvl", "src_S", "dest_d"]
+
+
+@query("stepwise", "L12")
+def stepwise(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    rows = ml.stepwise_aic(train, _GLM_FEATS, "label", max_steps=6)
+    return spark.createDataFrame(rows, "step int, action string, term string, aic double")
+
+
+@query("deviance_test", "L13")
+def deviance_test(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    rows = ml.deviance_table(train, _GLM_FEATS, "label")
+    return spark.createDataFrame(rows, "term string, df int, deviance double, resid_dev double, p double")
+
+
+@query("importance_top25", "L14 O4 R4")
+def importance_top25(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    _, model = ml.random_forest(train, test, _SK, num_trees=30)
+    imp = model.featureImportances.toArray().tolist()
+    rows = sorted(zip(_SK, imp), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(
+        F.desc("importance"), "feature").limit(25)
+
+
+@query("loo_run", "L16 M3 E7 U2")
+def loo_run(spark, sf_dir):
+    from flowtrace.plans.loo import leave_one_family_out
+    return leave_one_family_out(_model_table(spark, sf_dir), model="nb")
