@@ -907,3 +907,34 @@ def importance_top25(spark, sf_dir):
 def loo_run(spark, sf_dir):
     from flowtrace.plans.loo import leave_one_family_out
     return leave_one_family_out(_model_table(spark, sf_dir), model="nb")
+
+
+# --- streams --------------------------------------------------------------
+
+from flowtrace.streaming import traces as st  # noqa: E402
+
+
+@query("stream_traces", "T1", with_ctes(V.TRACES, f"""
+SELECT {_TK}, startTime, flowct, mean_dest_bytes, mean_dest_pkts, mean_duration, mean_src_bytes, mean_src_pkts,
+       mean_intvl, {_FLAGS_SQL} FROM traces"""))
+def stream_traces(spark, sf_dir):
+    out, ck = csvio.scratch_path(spark, "stream_traces"), csvio.scratch_path(spark, "stream_traces_ck")
+    st.run_available(st.stream_trace_aggregates(st.flows_stream(spark, sf_dir)), out, ck, mode="complete")
+    return st.read_latest(spark, out, tr.TRACE_KEY)
+
+
+@query("stream_deviation", "T2", with_ctes(V.TRACES, f"""
+SELECT {_TK}, flowct, stdev_dest_bytes, stdev_dest_pkts, stdev_duration, stdev_src_bytes, stdev_src_pkts,
+       mean_intvl, stdev_intvl, CAST(0 AS BIGINT) AS late_rows FROM traces"""))
+def stream_deviation(spark, sf_dir):
+    out, ck = csvio.scratch_path(spark, "stream_dev"), csvio.scratch_path(spark, "stream_dev_ck")
+    st.run_available(st.stream_running_deviation(st.flows_stream(spark, sf_dir)), out, ck, mode="update")
+    return st.read_latest(spark, out, tr.TRACE_KEY)
+
+
+@query("stream_log_dir", "T3 S1", with_ctes(V.FLOWS, f"SELECT {_KEPT_COLS} FROM flows"))
+def stream_log_dir(spark, sf_dir):
+    logs, out, ck = (csvio.scratch_path(spark, n) for n in ("stream_logs", "stream_logs_out", "stream_logs_ck"))
+    zeek.write_log(fx.flows(spark, sf_dir).repartition(4), logs)
+    st.run_available(st.stream_conn_logs(spark, logs, max_files=2), out, ck, mode="append")
+    return spark.read.parquet(out)
