@@ -67,7 +67,7 @@ def parse_lines(lines: DataFrame, names: Sequence[str], types: Sequence[str],
     missing = [k for k in keep if k not in pos]
     if missing:
         raise ValueError(f"fields not in log header: {missing}")
-    data = lines.where(~F.col("value").startswith("#"))
+    data = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
     parts = F.split(F.col("value"), _SEP)
     extra = [c for c in lines.columns if c != "value"]
     return data.select(*[_typed(parts.getItem(pos[k]), typ[k], as_text).alias(column_name(k)) for k in keep],
