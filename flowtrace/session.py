@@ -37,9 +37,35 @@ def get_spark(master: str | None = None, app: str = "flowtrace", shuffle_partiti
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark, checkpoint_dir)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (as ``--py-files`` would).
+
+    Operators that run Python inside tasks (``mapInPandas``,
+    ``applyInPandasWithState``) pickle functions by module reference, so the
+    workers must be able to import ``flowtrace``.  Done once per context.
+    """
+    import shutil
+    import tempfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="flowtrace-pkg-")
+    archive = shutil.make_archive(os.path.join(staging, "flowtrace"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="flowtrace")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
