@@ -133,6 +133,7 @@ def _scan_with_offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
     open_run: _Run | None = None
     pid = None
     out: list[list] = []
+    done: list[pd.DataFrame] = []
     bits = np.arange(_NF, dtype=np.int64)
     for pdf in batches:
         n = len(pdf)
@@ -177,35 +178,56 @@ def _scan_with_offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         fl = np.add.reduceat((pdf["fmask"].to_numpy(np.int64)[:, None] >> bits) & 1, starts, axis=0)
         first_ts = ts[starts]
         last_ts = ts[starts + lens - 1]
-        for r in range(nr):
-            if r == 0 and cont:
-                run = open_run
-                bg = first_ts[0] - run.last_ts
-                run.gn, run.gmean, run.gm2 = _chan(run.gn, run.gmean, run.gm2, 1, bg, 0.0)
-                run.gn, run.gmean, run.gm2 = _chan(run.gn, run.gmean, run.gm2, int(gn[0]), gmean[0], gm2[0])
-                run.n += int(lens[0])
-                run.s = run.s + sums[0]
-                run.mad = run.mad + mad[0]
-                run.flags = run.flags + fl[0]
-                run.last_ts = float(last_ts[0])
-            else:
-                if open_run is not None:
-                    out.append(open_run.as_row(pid))
-                run = _Run()
-                run.key = tuple(a[starts[r]] for a in karr)
-                run.pre_n = off_n[r]
-                run.pre_s = off_s[r].copy()
-                run.n = int(lens[r])
-                run.s = sums[r].copy()
-                run.mad = mad[r].copy()
-                run.first_ts = float(first_ts[r])
-                run.last_ts = float(last_ts[r])
-                run.gn, run.gmean, run.gm2 = int(gn[r]), float(gmean[r]), float(gm2[r])
-                run.flags = fl[r].copy()
-            open_run = run
-        if len(out) >= 4096:
-            yield pd.DataFrame(out, columns=_PARTIAL_SCHEMA.fieldNames())
+
+        def new_run(r: int) -> _Run:
+            run = _Run()
+            run.key = tuple(a[starts[r]] for a in karr)
+            run.pre_n, run.pre_s = off_n[r], off_s[r].copy()
+            run.n, run.s, run.mad = int(lens[r]), sums[r].copy(), mad[r].copy()
+            run.first_ts, run.last_ts = float(first_ts[r]), float(last_ts[r])
+            run.gn, run.gmean, run.gm2 = int(gn[r]), float(gmean[r]), float(gm2[r])
+            run.flags = fl[r].copy()
+            return run
+
+        if cont:  # the batch's first run continues the open run
+            run = open_run
+            bg = first_ts[0] - run.last_ts
+            run.gn, run.gmean, run.gm2 = _chan(run.gn, run.gmean, run.gm2, 1, bg, 0.0)
+            run.gn, run.gmean, run.gm2 = _chan(run.gn, run.gmean, run.gm2, int(gn[0]), gmean[0], gm2[0])
+            run.n += int(lens[0])
+            run.s = run.s + sums[0]
+            run.mad = run.mad + mad[0]
+            run.flags = run.flags + fl[0]
+            run.last_ts = float(last_ts[0])
+            first_closed = 1
+        else:
+            first_closed = 0
+        whole_batch_continues = cont and nr == 1
+        if open_run is not None and not whole_batch_continues:
+            out.append(open_run.as_row(pid))  # the open run ends where the next run starts
+        # runs that start and end inside the batch are complete: emitted column-wise
+        inner = np.arange(first_closed, nr - 1)
+        if len(inner):
+            cols = {k: a[starts[inner]] for k, a in zip(keys, karr)}
+            cols["pid"] = np.full(len(inner), pid, dtype=np.int32)
+            cols["n"] = lens[inner].astype(np.int64)
+            cols["first_ts"], cols["last_ts"] = first_ts[inner], last_ts[inner]
+            for j, x in enumerate(TRACE_VALUES):
+                cols["s_" + x] = sums[inner, j]
+            for j, x in enumerate(TRACE_VALUES):
+                cols["mad_" + x] = mad[inner, j]
+            cols["gn"], cols["gmean"], cols["gm2"] = gn[inner], gmean[inner], gm2[inner]
+            for j, c in enumerate(FLAG_COLUMNS):
+                cols[c] = fl[inner, j].astype(np.int64)
+            done.append(pd.DataFrame(cols, columns=_PARTIAL_SCHEMA.fieldNames()))
+        if not whole_batch_continues:
+            open_run = new_run(nr - 1)
+        if out:
+            done.append(pd.DataFrame(out, columns=_PARTIAL_SCHEMA.fieldNames()))
             out = []
+        for frame in done:
+            yield frame
+        done = []
     if open_run is not None:
         out.append(open_run.as_row(pid))
     if out:

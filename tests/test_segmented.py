@@ -66,3 +66,24 @@ def test_trace_ids_dense_and_ordered(spark):
     f = fx.flows(spark, SF001)
     ids = fl.trace_ids(f, num_partitions=6).orderBy("trace_id").collect()
     assert [r["trace_id"] for r in ids] == list(range(len(ids)))
+
+
+@pytest.mark.parametrize("batch", [3, 7])
+def test_runs_crossing_arrow_batches(spark, batch):
+    """Keys whose runs span many Arrow batches inside one slice."""
+    from pyspark.sql import Window
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        f = hot_flows(spark)
+        assert rows(tr.conn_traces(f, method="window")) == rows(tr.conn_traces(f, num_partitions=5))
+        w = Window.partitionBy(*fl.CONN_KEY).orderBy("ts", "uid")
+        ref = f.select("uid", (F.col("ts") - F.lag("ts").over(w)).alias("gap_prev"),
+                       (F.lead("ts").over(w) - F.col("ts")).alias("gap_next"),
+                       F.avg(F.coalesce("orig_pkts", F.lit(0))).over(
+                           w.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("rm"))
+        got = fl.ordered_rows(fl.reference_values(f), fl.CONN_KEY, ["orig_pkts"], num_partitions=5)
+        got = got.select("uid", "gap_prev", "gap_next", F.col("run_mean_orig_pkts").alias("rm"))
+        assert rows(ref) == rows(got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
