@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtrace.schema import FAMILY_LEVELS, NORMAL_FAMILY, SKEWED_FEATURES, feature_name
@@ -54,13 +54,17 @@ def recode_label(df: DataFrame, col: str = "Malicious") -> DataFrame:
 def encode_category(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Category to integer code 1..k in sorted order of the distinct values.
 
-    The distinct values are few (a category); they are ranked on their own
-    small table and joined back, broadcast.
+    The distinct values are ranked with a range-sliced running count (no
+    single-task global window, so high-cardinality columns such as addresses
+    also work) and joined back; broadcast only when the code table is small
+    (checked).
     """
+    from flowtrace.operators.joins import join_small
+    from flowtrace.operators.ordered import global_prefix
     out = out or col + "_code"
     levels = df.select(col).distinct().where(F.col(col).isNotNull())
-    coded = levels.select(col, F.dense_rank().over(Window.orderBy(col)).alias(out))
-    return df.join(F.broadcast(coded), col, "left")
+    coded = global_prefix(levels, [col]).select(col, F.col("rank").cast("int").alias(out))
+    return join_small(df, coded, col, "left")
 
 
 def prefix_flags(df: DataFrame, letters: Sequence[str]) -> DataFrame:

@@ -96,7 +96,10 @@ def global_prefix(df: DataFrame, order: Sequence[str], sums: Sequence[str] = (),
     offs = totals.select(*group, "pid", F.coalesce(F.sum("__n").over(wp), F.lit(0)).alias("__off_n"),
                          *[F.coalesce(F.sum("__s_" + c).over(wp), F.lit(0)).alias("__off_" + c) for c in sums])
     run = Window.partitionBy("pid", *group).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = R.join(F.broadcast(offs), group + ["pid"], "left").select(
+    # offs: one row per (group, partition); without groups that is the partition
+    # count (broadcast); with groups AQE decides from its runtime size
+    offs = F.broadcast(offs) if not group else offs
+    out = R.join(offs, group + ["pid"], "left").select(
         *[c for c in R.columns if c != "pid" and not c.startswith("__neg_")],
         (F.col("__off_n") + F.count(F.lit(1)).over(run)).alias("rank"),
         *[(F.col("__off_" + c) + F.sum(c).over(run)).alias("cum_" + c) for c in sums])

@@ -20,18 +20,21 @@ def long_form(df: DataFrame, metrics: Sequence[str], keep: Sequence[str] = (),
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], top: int | None = None) -> DataFrame:
-    """Count of each value in each column, largest first (ties by value).
+    """Count of each value in each column (``field``, ``value``, ``n``).
 
     The columns are unpivoted once, so one aggregation (partial on the map
-    side) serves all of them.
+    side) serves all of them.  ``top``: only the ``top`` most frequent values
+    of each column (ties by value), each a bounded take-ordered per task.
     """
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "field", "value")
     counts = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-    if top is not None:
-        from pyspark.sql import Window
-        w = Window.partitionBy("field").orderBy(F.desc("n"), F.asc("value"))
-        counts = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
-    return counts
+    if top is None:
+        return counts
+    out = None
+    for c in cols:
+        part = counts.where(F.col("field") == c).orderBy(F.desc("n"), F.asc("value")).limit(top)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
@@ -62,8 +65,8 @@ def box_stats(df: DataFrame, metrics: Sequence[str], by: str) -> DataFrame:
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
-    # q has one row per (metric, class): small, broadcast
-    j = long.join(F.broadcast(q), ["metric", by])
+    # q has one row per (metric, class); AQE broadcasts it from its runtime size
+    j = long.join(q, ["metric", by])
     inside = (F.col("value") >= lo_f) & (F.col("value") <= hi_f)
     stats = j.groupBy("metric", by).agg(
         F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
@@ -78,11 +81,17 @@ def class_means(df: DataFrame, metrics: Sequence[str], by: str) -> DataFrame:
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Counts of every (a, b) pair, zeros kept: the distinct values of each
-    side are few, so their grid is built from two small distinct tables."""
-    counts = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    grid = df.select(a).distinct().crossJoin(F.broadcast(df.select(b).distinct()))
-    return grid.join(counts, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n"))
+    """Counts of every (a, b) pair, zeros kept.
+
+    A grouped pivot on ``b`` (its distinct values are few: a category)
+    gives one row per ``a`` value with a column per ``b`` value, missing
+    pairs as NULL -> 0; unpivoting returns the long table.
+    """
+    levels = [r[0] for r in df.select(b).distinct().where(F.col(b).isNotNull()).collect()]
+    wide = df.groupBy(a).pivot(b, levels).agg(F.count(F.lit(1)))
+    names = [str(v) for v in levels]
+    wide = wide.select(a, *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("bigint").alias(n) for n in names])
+    return wide.unpivot([a], names, b, "n")
 
 
 def group_summary(df: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
@@ -102,4 +111,4 @@ def below_quantile(df: DataFrame, metrics: Sequence[str], keep: Sequence[str], p
     """Per metric, the rows whose value is below that metric's own quantile."""
     long = long_form(df, metrics, keep=keep)
     q = exact_quantiles(long, "value", [prob], group=["metric"])
-    return long.join(F.broadcast(q.select("metric", "q")), "metric").where(F.col("value") < F.col("q")).drop("q")
+    return long.join(q.select("metric", "q"), "metric").where(F.col("value") < F.col("q")).drop("q")

@@ -29,9 +29,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Se
         *group, "prob", ((F.col("__cnt") - 1) * F.col("prob")).alias("__h"))
     targets = targets.select(*group, "prob", "__h", (F.floor("__h") + 1).cast("long").alias("__lo"),
                              (F.ceil("__h") + 1).cast("long").alias("__hi"))
-    # targets has (groups x probs) rows: small
+    # targets has (groups x probs) rows; AQE broadcasts it when its runtime size is small
     want = targets.select(*group, F.explode(F.array("__lo", "__hi")).alias("rank")).distinct()
-    hits = ranked.join(F.broadcast(want), group + ["rank"], "inner").select(*group, "rank", "__v")
+    hits = ranked.join(want, group + ["rank"], "inner").select(*group, "rank", "__v")
     lo = hits.select(*group, F.col("rank").alias("__lo"), F.col("__v").alias("__vlo"))
     hi = hits.select(*group, F.col("rank").alias("__hi"), F.col("__v").alias("__vhi"))
     out = targets.join(lo, group + ["__lo"]).join(hi, group + ["__hi"])
