@@ -172,10 +172,10 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score", positi
     out_group = list(group)
     df, group = _grouped(df, group)
     sc = score_counts(df, label, score, positive, group)
-    # one row per group: broadcast
+    # one row per group; AQE broadcasts it from its runtime size
     tot = sc.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     run = global_prefix(sc, [score], ["pos", "neg"], group, num_partitions, descending=True)
-    j = run.join(F.broadcast(tot), group)
+    j = run.join(tot, group)
     return j.select(*out_group, F.col(score).alias("score"), F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"),
                     F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"))
 

@@ -29,12 +29,30 @@ def require_checkpoint_dir(df: DataFrame) -> None:
                            "see flowtrace.session.ensure_checkpoint_dir")
 
 
+DEFAULT_SLICE_BYTES = 256 * 1024 * 1024
+
+
+def slice_count(df: DataFrame) -> int:
+    """Number of slices: at least ``spark.sql.shuffle.partitions``, and enough
+    that each slice holds about ``flowtrace.slice.bytes`` (default 256 MiB)
+    by Catalyst's size estimate of the input (no job is run for it)."""
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target = int(spark.conf.get("flowtrace.slice.bytes", None) or DEFAULT_SLICE_BYTES)
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        est = int(size if isinstance(size, int) else size.toString())
+    except Exception:  # noqa: BLE001  (estimates are optional)
+        est = 0
+    return max(base, min(-(-est // target), 1_000_000))
+
+
 def ordered_slices(df: DataFrame, key: Sequence[str], order: Sequence[str],
                    num_partitions: int | None = None) -> DataFrame:
     """Range-partition on key + order, sort inside partitions, tag ``pid``; checkpoint."""
     require_checkpoint_dir(df)
     if num_partitions is None:
-        num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        num_partitions = slice_count(df)
     cols = list(key) + list(order)
     sliced = (df.repartitionByRange(num_partitions, *cols)
               .sortWithinPartitions(*cols)

@@ -87,7 +87,11 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     gives one row per ``a`` value with a column per ``b`` value, missing
     pairs as NULL -> 0; unpivoting returns the long table.
     """
-    levels = [r[0] for r in df.select(b).distinct().where(F.col(b).isNotNull()).collect()]
+    max_levels = 10000
+    levels = [r[0] for r in df.select(b).distinct().where(F.col(b).isNotNull()).limit(max_levels + 1).collect()]
+    if len(levels) > max_levels:
+        raise ValueError(f"{b} has more than {max_levels} values; not a category")
+    levels.sort()
     wide = df.groupBy(a).pivot(b, levels).agg(F.count(F.lit(1)))
     names = [str(v) for v in levels]
     wide = wide.select(a, *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("bigint").alias(n) for n in names])
