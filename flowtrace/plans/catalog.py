@@ -420,7 +420,7 @@ _NA = ["ts", "uid", "id_orig_h", "id_orig_p", "id_resp_h", "id_resp_p", "proto",
 
 
 @query("null_audit", "A15", with_ctes(V.FLOWS, " UNION ALL ".join(
-    f"SELECT '{c}' AS field, count_if({c} IS NULL) AS n_missing FROM flows" for c in _NA)))
+    f"SELECT '{c}' AS field, CAST(count_if({c} IS NULL) AS BIGINT) AS n_missing FROM flows" for c in _NA)))
 def null_audit(spark, sf_dir):
     return pf.null_audit(fx.flows(spark, sf_dir), _NA)
 
@@ -440,7 +440,7 @@ q AS (SELECT metric, Malicious, quantile_cont(value, 0.25) AS q1, quantile_cont(
 SELECT q.metric, q.Malicious, q.q1, q.median, q.q3, q.q3 - q.q1 AS iqr,
        min(CASE WHEN l.value BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) THEN l.value END) AS lower_whisker,
        max(CASE WHEN l.value BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) THEN l.value END) AS upper_whisker,
-       count_if(NOT (l.value BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1))) AS n_outliers,
+       CAST(count_if(NOT (l.value BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1))) AS BIGINT) AS n_outliers,
        count(*) AS n
 FROM q JOIN long l USING (metric, Malicious)
 GROUP BY q.metric, q.Malicious, q.q1, q.median, q.q3"""))
@@ -573,8 +573,10 @@ scored AS (SELECT l.doc_id, CAST(l.toxic AS INTEGER) AS label, CAST(d.n_chars AS
                   CASE WHEN CAST(d.n_chars AS DOUBLE) > 2000 THEN 1 ELSE 0 END AS pred
            FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
 _COUNTS = _SCORED + """,
-cnt AS (SELECT count_if(pred = 1 AND label = 1) AS tp, count_if(pred = 1 AND label <> 1) AS fp,
-               count_if(pred <> 1 AND label = 1) AS fn, count_if(pred <> 1 AND label <> 1) AS tn FROM scored)"""
+cnt AS (SELECT CAST(count_if(pred = 1 AND label = 1) AS BIGINT) AS tp,
+               CAST(count_if(pred = 1 AND label <> 1) AS BIGINT) AS fp,
+               CAST(count_if(pred <> 1 AND label = 1) AS BIGINT) AS fn,
+               CAST(count_if(pred <> 1 AND label <> 1) AS BIGINT) AS tn FROM scored)"""
 _MEASURES = """
   CAST(tp + tn AS DOUBLE) / NULLIF(tp + fp + fn + tn, 0) AS accuracy,
   CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) AS sensitivity, CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0) AS specificity,
