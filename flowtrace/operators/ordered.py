@@ -32,16 +32,30 @@ def require_checkpoint_dir(df: DataFrame) -> None:
 DEFAULT_SLICE_BYTES = 256 * 1024 * 1024
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes read by the plan: the sum of its leaf relations' size estimates
+    (file sizes for scans).  Estimates of derived nodes (joins, explode) are
+    products and can be far off, so only leaves are used."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1)))
+    total = 0
+    for i in range(leaves.size()):
+        size = leaves.apply(i).stats().sizeInBytes()
+        size = int(size if isinstance(size, int) else size.toString())
+        if size < unknown:  # leaves without statistics (checkpoints, local rows) are skipped
+            total += size
+    return total
+
+
 def slice_count(df: DataFrame) -> int:
     """Number of slices: at least ``spark.sql.shuffle.partitions``, and enough
     that each slice holds about ``flowtrace.slice.bytes`` (default 256 MiB)
-    by Catalyst's size estimate of the input (no job is run for it)."""
+    of the data read (no job is run for the estimate)."""
     spark = df.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     target = int(spark.conf.get("flowtrace.slice.bytes", None) or DEFAULT_SLICE_BYTES)
     try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        est = int(size if isinstance(size, int) else size.toString())
+        est = _input_bytes(df)
     except Exception:  # noqa: BLE001  (estimates are optional)
         est = 0
     return max(base, min(-(-est // target), 1_000_000))
