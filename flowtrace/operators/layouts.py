@@ -70,21 +70,30 @@ def traces_layout_b(flows: DataFrame, exclude_protocols: Sequence[str] = ("icmp"
 
 
 def traces_layout_c(flows: DataFrame, exclude_protocols: Sequence[str] = ("icmp",), exact: bool = True,
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int = 10000, num_partitions: int | None = None) -> DataFrame:
     """Layout C: first source port, mean / median / sample std of four values, flags.
 
-    ``exact`` medians use ``percentile`` (value->count buffers, merged from
-    map-side partials); ``exact=False`` uses ``percentile_approx`` sketches of
-    fixed size, for keys with very many distinct values.
+    ``exact`` medians are order statistics found by range-sliced ranks
+    (:func:`flowtrace.operators.stats.exact_quantiles`, grouped by key and
+    value): no key's values are buffered in one task, however hot the key.
+    ``exact=False`` uses fixed-size ``percentile_approx`` sketches instead.
     """
     v = _b_inputs(flows, exclude_protocols)
     aggs = [_first_orig_port()]
     for x in B_VALUES:
-        med = F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, accuracy)
-        aggs += [F.avg(x).alias("mean_" + x), med.cast("double").alias("med_" + x),
-                 F.stddev_samp(x).alias("std_" + x)]
+        aggs += [F.avg(x).alias("mean_" + x), F.stddev_samp(x).alias("std_" + x)]
+        if not exact:
+            aggs.append(F.percentile_approx(x, 0.5, accuracy).cast("double").alias("med_" + x))
     aggs += [F.sum(c).alias(c) for c in FLAG_COLUMNS]
-    return v.groupBy(*CONN_KEY).agg(*aggs).select(*LAYOUT_C)
+    base = v.groupBy(*CONN_KEY).agg(*aggs)
+    if exact:
+        from flowtrace.operators.stats import exact_quantiles
+        long = v.select(*CONN_KEY, *B_VALUES).unpivot(list(CONN_KEY), B_VALUES, "metric", "value")
+        med = exact_quantiles(long, "value", [0.5], list(CONN_KEY) + ["metric"], num_partitions)
+        wide = med.groupBy(*CONN_KEY).agg(*[F.max(F.when(F.col("metric") == x, F.col("q"))).alias("med_" + x)
+                                            for x in B_VALUES])
+        base = base.join(wide, list(CONN_KEY))
+    return base.select(*LAYOUT_C)
 
 
 def to_layout(traces_a: DataFrame, layout: str) -> DataFrame:
