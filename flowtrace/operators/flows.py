@@ -167,9 +167,9 @@ def trace_ids(flows: DataFrame, key: Sequence[str] = CONN_KEY, exact: bool = Tru
         return flows.select(*key).distinct().select(*key, F.xxhash64(*key).alias("trace_id"))
     firsts = flows.groupBy(*key).agg(F.min("ts").alias("first_ts"))
     order = ["first_ts"] + key
+    from flowtrace.operators.ordered import require_checkpoint_dir, slice_count
     if num_partitions is None:
-        num_partitions = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from flowtrace.operators.ordered import require_checkpoint_dir
+        num_partitions = slice_count(firsts)
     require_checkpoint_dir(flows)
     srt = (firsts.repartitionByRange(num_partitions, *order).sortWithinPartitions(*order)
            .withColumn("pid", F.spark_partition_id())

@@ -11,6 +11,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -19,7 +22,7 @@ from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -99,23 +102,70 @@ def gaussian_nb_fit(df: DataFrame, features: Sequence[str], label: str = "label"
 
 
 def gaussian_nb_score(df: DataFrame, model: dict, features: Sequence[str], positive=1) -> DataFrame:
-    """``prob`` = posterior of the positive class (log densities, then softmax)."""
-    lp = {}
-    for cls, p in model.items():
+    """``prob`` = posterior of the positive class (log densities, then softmax).
+
+    The per-class log densities are materialised as columns first, so each
+    (one sum over the features) is built once; repeating them inside
+    ``greatest``/``exp`` would grow the expression tree the optimizer walks.
+    """
+    if positive not in model:
+        return df.withColumn("prob", F.lit(0.0))
+    classes = [positive] + [c for c in model if c != positive]
+    lp_cols = {}
+    for i, cls in enumerate(classes):
+        p = model[cls]
         e = F.lit(math.log(p["prior"]))
         for c in features:
             v = p["v"][c]
             e = e - F.lit(0.5 * math.log(2 * math.pi * v)) - (F.col(c) - F.lit(p["m"][c])) ** 2 / F.lit(2 * v)
-        lp[cls] = e
-    others = [e for cls, e in lp.items() if cls != positive]
-    if positive not in lp:
-        return df.withColumn("prob", F.lit(0.0))
-    mx = F.greatest(lp[positive], *others) if others else lp[positive]
-    num = F.exp(lp[positive] - mx)
-    den = num
-    for e in others:
-        den = den + F.exp(e - mx)
-    return df.withColumn("prob", num / den)
+        lp_cols[f"__lp{i}"] = e
+    names = list(lp_cols)
+    staged = df.select("*", *[e.alias(n) for n, e in lp_cols.items()])
+    mx = F.greatest(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
+    staged = staged.withColumn("__mx", mx)
+    den = None
+    for n in names:
+        term = F.exp(F.col(n) - F.col("__mx"))
+        den = term if den is None else den + term
+    return staged.withColumn("prob", F.exp(F.col(names[0]) - F.col("__mx")) / den).drop(*names, "__mx")
+
+
+def gaussian_nb_grouped(train: DataFrame, test: DataFrame, features: Sequence[str], group: Sequence[str],
+                        label: str = "label", id_col: str = "row_id", positive=1,
+                        var_floor: float = 1e-9) -> DataFrame:
+    """Gaussian naive Bayes fitted and applied per group (e.g. per left-out
+    family) in one pass each: one grouped aggregate gives every group's
+    class priors, means and variances; test rows are unpivoted to
+    (row, feature, x), joined to that parameter table (groups x classes x
+    features rows) and summed to per-class log densities.
+
+    Output: group..., ``row_id``, ``obs``, ``prob`` (positive class).
+    """
+    group, features = list(group), list(features)
+    stats = train.groupBy(*group, label).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.avg(c).alias("m__" + c) for c in features], *[F.var_pop(c).alias("v__" + c) for c in features])
+    tot = F.sum("__n").over(Window.partitionBy(*group))
+    stats = stats.withColumn("__logprior", F.log(F.col("__n") / tot))
+    params = stats.select(
+        *group, F.col(label).alias("__cls"), "__logprior",
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col("m__" + c).alias("m"),
+                                     (F.coalesce(F.col("v__" + c), F.lit(0.0)) + var_floor).alias("v"))
+                            for c in features])).alias("p")).select(*group, "__cls", "__logprior", "p.*")
+    long = test.select(*group, F.col(id_col).alias("row_id"), F.col(label).alias("obs"),
+                       *[F.col(c).cast("double").alias(c) for c in features]) \
+        .unpivot(group + ["row_id", "obs"], features, "feature", "x")
+    dens = long.join(params, group + ["feature"]).groupBy(*group, "row_id", "obs", "__cls", "__logprior").agg(
+        F.sum(-0.5 * F.log(2 * math.pi * F.col("v")) - (F.col("x") - F.col("m")) ** 2 / (2 * F.col("v")))
+        .alias("__ll"))
+    dens = dens.withColumn("__lp", F.col("__ll") + F.col("__logprior"))
+    per_row = dens.groupBy(*group, "row_id", "obs").agg(
+        F.max("__lp").alias("__mx"),
+        F.max(F.when(F.col("__cls") == F.lit(positive), F.col("__lp"))).alias("__lpos"),
+        F.collect_list(F.col("__lp")).alias("__lps"))  # one entry per class
+    den = F.aggregate("__lps", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("__mx")))
+    return per_row.select(*group, "row_id", "obs",
+                          F.coalesce(F.exp(F.col("__lpos") - F.col("__mx")) / den, F.lit(0.0)).alias("prob"))
 
 
 # ---------------------------------------------------------------------------
@@ -192,7 +242,7 @@ def lasso_path(train: DataFrame, features, label="label", fold_col="fold", lambd
     Returns (chosen lambda, [(lambda, cv mse, its standard error)]).  Each
     fold's fit is a distributed MLlib fit; only errors reach the driver.
     """
-    lambdas = lambdas or [0.1 * (0.6 ** i) for i in range(12)]
+    lambdas = lambdas or [0.1 * (0.5 ** i) for i in range(8)]
     folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mse")
     data = assemble(train, features).select("features", label, fold_col).cache()
@@ -202,7 +252,7 @@ def lasso_path(train: DataFrame, features, label="label", fold_col="fold", lambd
             errs = []
             for f in folds:
                 fit = LinearRegression(featuresCol="features", labelCol=label, regParam=lam, elasticNetParam=1.0,
-                                       standardization=True, maxIter=100).fit(data.where(F.col(fold_col) != f))
+                                       standardization=True, maxIter=50).fit(data.where(F.col(fold_col) != f))
                 errs.append(ev.evaluate(fit.transform(data.where(F.col(fold_col) == f))))
             mean = sum(errs) / len(errs)
             se = (sum((e - mean) ** 2 for e in errs) / max(len(errs) - 1, 1)) ** 0.5 / len(errs) ** 0.5
@@ -223,37 +273,50 @@ def lasso_linear(train, test, features, label="label", id_col="row_id", fold_col
 
 
 def random_fourier(df: DataFrame, features: Sequence[str], dim: int = 64, gamma: float = 0.5, seed: int = 11,
-                   prefix: str = "rff_") -> tuple[DataFrame, list[str]]:
+                   out: str = "rff") -> DataFrame:
     """Random Fourier features of an RBF kernel exp(-gamma |x - y|^2)
-    (Rahimi & Recht 2007) as plain column expressions: sqrt(2/D) cos(w.x + b)."""
-    import random
-    rng = random.Random(seed)
-    sd = math.sqrt(2 * gamma)
-    cols = {}
-    for j in range(dim):
-        e = F.lit(rng.uniform(0, 2 * math.pi))
-        for c in features:
-            e = e + F.lit(rng.gauss(0.0, sd)) * F.col(c)
-        cols[f"{prefix}{j}"] = F.lit(math.sqrt(2.0 / dim)) * F.cos(e)
-    return df.withColumns(cols), list(cols)
+    (Rahimi & Recht 2007): sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), as a
+    vector column.  One numpy matrix product per Arrow batch (a pandas UDF);
+    written as column expressions it would be dim x features terms for the
+    code generator."""
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(seed)
+    W = rng.normal(0.0, math.sqrt(2 * gamma), (len(features), dim))
+    b = rng.uniform(0.0, 2 * math.pi, dim)
+    scale = math.sqrt(2.0 / dim)
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        X = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, len(features)))
+        Z = scale * np.cos(X @ W + b)
+        return pd.Series(list(Z))
+
+    arr = F.array(*[F.col(c).cast("double") for c in features])
+    return df.withColumn(out, array_to_vector(project(arr)))
 
 
 def rbf_svm(train, test, features, label="label", id_col="row_id", dim=64, gamma=0.5, reg=0.01, seed=11):
     """Approximate radial SVM: random Fourier features -> linear SVM -> Platt
-    scaling (a logistic fit on the margin) for class probabilities."""
-    tr, rcols = random_fourier(train, features, dim, gamma, seed)
-    te, _ = random_fourier(test, features, dim, gamma, seed)
-    svm = LinearSVC(featuresCol="features", labelCol=label, regParam=reg, maxIter=50).fit(assemble(tr, rcols))
-    margin = F.col("rawPrediction")
+    scaling (a logistic fit on the margin) for class probabilities.
+
+    The projected training vectors are checkpointed once: the solver passes
+    over them once per iteration, and recomputing the projection (dim x
+    features terms per row) each time would dominate.
+    """
+    tr = random_fourier(train.select(id_col, label, *features), features, dim, gamma, seed, "features")
+    te = random_fourier(test.select(id_col, label, *features), features, dim, gamma, seed, "features")
+    tr = tr.select(id_col, label, "features").checkpoint(eager=True)
+    te = te.select(id_col, label, "features")
+    svm = LinearSVC(featuresCol="features", labelCol=label, regParam=reg, maxIter=50).fit(tr)
 
     def with_margin(d):
-        return svm.transform(assemble(d, rcols)).withColumn("margin", vector_to_array(margin).getItem(1))
+        m = svm.transform(d).withColumn("margin", vector_to_array(F.col("rawPrediction")).getItem(1))
+        return VectorAssembler(inputCols=["margin"], outputCol="m").transform(
+            m.select(id_col, label, "margin"))
 
-    platt = LogisticRegression(featuresCol="m", labelCol=label).fit(
-        VectorAssembler(inputCols=["margin"], outputCol="m").transform(
-            with_margin(tr).drop("features", "rawPrediction", "prediction")))
-    scored = platt.transform(VectorAssembler(inputCols=["margin"], outputCol="m").transform(
-        with_margin(te).drop("features").drop("rawPrediction", "prediction")))
+    platt = LogisticRegression(featuresCol="m", labelCol=label).fit(with_margin(tr))
+    scored = platt.transform(with_margin(te))
     return scored_frame(scored, id_col, label, prob_of_one()), (svm, platt)
 
 

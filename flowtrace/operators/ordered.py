@@ -48,11 +48,13 @@ def _input_bytes(df: DataFrame) -> int:
 
 
 def slice_count(df: DataFrame) -> int:
-    """Number of slices: at least ``spark.sql.shuffle.partitions``, and enough
-    that each slice holds about ``flowtrace.slice.bytes`` (default 256 MiB)
-    of the data read (no job is run for the estimate)."""
+    """Number of slices: enough that each holds about ``flowtrace.slice.bytes``
+    (default 256 MiB) of the data read (no job is run for the estimate), and
+    at least min(``spark.sql.shuffle.partitions``, default parallelism) so all
+    cores work.  (AQE does not coalesce an explicit range repartition, so the
+    floor is not the shuffle-partition count alone.)"""
     spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     target = int(spark.conf.get("flowtrace.slice.bytes", None) or DEFAULT_SLICE_BYTES)
     try:
         est = _input_bytes(df)

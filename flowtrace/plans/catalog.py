@@ -787,11 +787,18 @@ def box_cox(spark, sf_dir):
 
 
 def _model_table(spark, sf_dir, folds: int = 3):
+    """Labelled, log-transformed trace features with split and fold columns.
+
+    Model fits pass over their input many times (one job per iteration), so
+    the table is materialised once (reliable checkpoint: lineage cut, survives
+    executor loss) with no more partitions than there are cores.
+    """
     lab = sp.with_id(_labelled(spark, sf_dir), tr.TRACE_KEY)
     lab = ds.log1p_features(lab)
     lab = lab.withColumn("label", F.col("Malicious").cast("double"))
     lab = sp.split_fraction(lab, "row_id", 0.7)
-    return sp.cv_folds(lab, "row_id", folds)
+    lab = sp.cv_folds(lab, "row_id", folds).select("row_id", "Family", "Malicious", "label", "part", "fold", *_SK)
+    return lab.coalesce(spark.sparkContext.defaultParallelism).checkpoint(eager=True)
 
 
 _NB_TRAIN = V.LABELLED + f""",
