@@ -22,8 +22,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Se
     """
     group = list(group)
     v = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
-    counts = v.groupBy(*group).agg(F.count(F.lit(1)).alias("__cnt"))
     ranked = global_prefix(v, ["__v"], group=group, num_partitions=num_partitions)
+    # group sizes from the ranked rows (the largest rank), not a second pass over the input
+    counts = ranked.groupBy(*group).agg(F.max("rank").alias("__cnt"))
     ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     targets = counts.select(*group, "__cnt", ps).select(
         *group, "prob", ((F.col("__cnt") - 1) * F.col("prob")).alias("__h"))

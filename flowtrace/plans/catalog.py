@@ -188,7 +188,7 @@ SELECT *, 'A' AS layout FROM traces
 UNION ALL BY NAME SELECT {_B_AS_A}{_FLAGS_SQL}, 'B' AS layout FROM traces
 UNION ALL BY NAME SELECT {_C_AS_A}{_FLAGS_SQL}, 'C' AS layout FROM traces"""))
 def union_layouts(spark, sf_dir):
-    a = tr.conn_traces(fx.flows(spark, sf_dir)).checkpoint(eager=True)
+    a = _traces(spark, sf_dir)
     return ly.union_layouts({"A": a, "B": ly.to_layout(a, "B"), "C": ly.to_layout(a, "C")})
 
 
@@ -270,7 +270,16 @@ def csv_flows(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    return ds.label_traces(tr.conn_traces(fx.flows(spark, sf_dir)), fx.capture_labels(spark))
+    """Trace table with capture labels, written once (reliable checkpoint):
+    most of its consumers read it more than once (profiles, splits, models),
+    and it has one row per conversation, far fewer than flows."""
+    lab = ds.label_traces(tr.conn_traces(fx.flows(spark, sf_dir)), fx.capture_labels(spark))
+    return lab.checkpoint(eager=True)
+
+
+def _traces(spark, sf_dir):
+    """The trace table, written once, for queries that read it more than once."""
+    return tr.conn_traces(fx.flows(spark, sf_dir)).checkpoint(eager=True)
 
 
 _TCOLS = ", ".join(TRACE_COLUMNS_A)
@@ -430,7 +439,7 @@ def null_audit(spark, sf_dir):
         f"quantile_cont(CAST({m} AS DOUBLE), {p}) AS q{n}" for p, n in
         [(0.0, 0), (0.25, 25), (0.5, 50), (0.75, 75), (1.0, 100)]) + " FROM traces" for m in _METRICS)))
 def quantiles(spark, sf_dir):
-    return pf.five_numbers(tr.conn_traces(fx.flows(spark, sf_dir)), _METRICS)
+    return pf.five_numbers(_traces(spark, sf_dir), _METRICS)
 
 
 @query("box_stats", "A17", with_ctes(V.LABELLED + f""",
@@ -783,7 +792,7 @@ per AS (SELECT field, lam, count(*) AS n,
 sc AS (SELECT field, lam AS bc_lambda, -n / 2.0 * ln(syy / n - power(sy / n, 2)) + (lam - 1) * slx AS loglik
        FROM per WHERE xmin > 0)""", "SELECT field, arg_max(bc_lambda, loglik) AS bc_lambda, max(loglik) AS loglik FROM sc GROUP BY field"))
 def box_cox(spark, sf_dir):
-    return ml.box_cox_lambdas(tr.conn_traces(fx.flows(spark, sf_dir)), _BC_COLS)
+    return ml.box_cox_lambdas(_traces(spark, sf_dir), _BC_COLS)
 
 
 def _model_table(spark, sf_dir, folds: int = 3):
