@@ -99,3 +99,19 @@ def test_lasso_one_se_rule(spark):
     assert lam >= best[0]
     chosen = [r for r in path if r[0] == lam][0]
     assert chosen[1] <= best[1] + best[2]
+
+
+def test_forest_repeatable_and_learns_planted_rule(spark):
+    from flowtrace.operators import evaluate as ev
+    rng = np.random.default_rng(11)
+    X = rng.normal(0, 1, (400, 4))
+    y = ((X[:, 0] > 0) & (X[:, 1] > -0.5)).astype(float)
+    df = spark.createDataFrame([(str(i), float(t), *map(float, x)) for i, (t, x) in enumerate(zip(y, X))],
+                               "row_id string, label double, a double, b double, c double, d double")
+    train, test = df.where("CAST(row_id AS INT) % 4 <> 0"), df.where("CAST(row_id AS INT) % 4 = 0")
+    s1, _ = ml.random_forest(train, test, ["a", "b", "c", "d"], num_trees=20, seed=3)
+    s2, _ = ml.random_forest(train, test, ["a", "b", "c", "d"], num_trees=20, seed=3)
+    p1 = sorted((r["row_id"], r["prob"]) for r in s1.collect())
+    assert p1 == sorted((r["row_id"], r["prob"]) for r in s2.collect())
+    auc = ev.auc(s1.withColumnRenamed("obs", "label").withColumnRenamed("prob", "score")).first()["auc"]
+    assert auc > 0.9
