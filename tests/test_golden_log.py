@@ -91,3 +91,23 @@ def test_single_flow_modes(flows):
     nulls = {r["destPt"]: r for r in tr.conn_traces(flows, single_flow="null").collect()}
     assert nulls[80]["stdev_dest_bytes"] is None and nulls[80]["mean_intvl"] is None
     assert tr.conn_traces(flows, single_flow="drop").count() == 2
+
+
+def test_files_with_different_field_order(spark):
+    from flowtrace.sources.csvio import scratch_path
+    path = scratch_path(spark, "mixed_logs")
+    a_fields = [("ts", "time"), ("uid", "string"), ("resp_bytes", "count")]
+    b_fields = [("resp_bytes", "count"), ("ts", "time"), ("uid", "string")]
+    a = "\n".join(zeek.header_lines("conn", a_fields) + ["1.5\tCa\t10", "#close\tx"]) + "\n"
+    b = "\n".join(zeek.header_lines("conn", b_fields) + ["20\t2.5\tCb", "#close\tx"]) + "\n"
+    spark.createDataFrame([(a,)], "value string").write.text(path + "/a")
+    spark.createDataFrame([(b,)], "value string").write.text(path + "/b")
+    got = {r["uid"]: (r["ts"], r["resp_bytes"]) for r in
+           zeek.read_log(spark, [path + "/a", path + "/b"], ["uid", "ts", "resp_bytes"]).collect()}
+    assert got == {"Ca": (1.5, 10), "Cb": (2.5, 20)}
+    single = scratch_path(spark, "mixed_logs_one_folder")
+    spark.createDataFrame([(a,)], "value string").write.text(single)
+    spark.createDataFrame([(b,)], "value string").write.mode("append").text(single)
+    got = {r["uid"]: (r["ts"], r["resp_bytes"]) for r in
+           zeek.read_log(spark, single, ["uid", "ts", "resp_bytes"]).collect()}
+    assert got == {"Ca": (1.5, 10), "Cb": (2.5, 20)}
