@@ -921,7 +921,51 @@ def importance_top25(spark, sf_dir):
         F.desc("importance"), "feature").limit(25)
 
 
-@query("loo_run", "L16 M3 E7 U2")
+from flowtrace.plans.loo import FEATURES as _LOO_ALL  # noqa: E402
+
+_LOO_NB = [f for f in _LOO_ALL if f not in {feature_name(c) for c in NB_DROPPED_FLAGS}]
+_LOO_SQL = V.LABELLED + f""",
+lab AS (SELECT {_RID} AS row_id, Family, Malicious AS label, """ + ", ".join(
+    f"ln(1 + CAST({c} AS DOUBLE)) AS {c}" for c in _LOO_NB) + f""" FROM labelled),
+nr AS (SELECT row_id, row_number() OVER (ORDER BY {_MD5}) AS nrank FROM lab WHERE Family = 'Normal'),
+fc AS (SELECT Family AS fold_family, count(*) AS nf FROM lab WHERE Family IN ({_FAMS}) GROUP BY Family),
+folds AS (SELECT unnest([{_FAMS}]) AS fold_family),
+parts AS (SELECT l.*, f.fold_family,
+                 CASE WHEN l.Family = f.fold_family OR (l.Family = 'Normal' AND nr.nrank <= coalesce(fc.nf, 0))
+                      THEN 'test' ELSE 'train' END AS part
+          FROM lab l CROSS JOIN folds f LEFT JOIN nr ON nr.row_id = l.row_id
+          LEFT JOIN fc ON fc.fold_family = f.fold_family),
+st AS (SELECT fold_family, label AS c, count(*) AS n, """ + ", ".join(
+    f"avg({c}) AS m_{c}, var_pop({c}) + 1e-9 AS v_{c}" for c in _LOO_NB) + """
+       FROM parts WHERE part = 'train' GROUP BY fold_family, label),
+pri AS (SELECT *, ln(n / sum(n) OVER (PARTITION BY fold_family)) AS lp0 FROM st),
+lp AS (SELECT p.fold_family, p.row_id, p.label AS obs, s.c, s.lp0 """ + " ".join(
+    f"+ (-0.5 * ln(2 * pi() * s.v_{c}) - power(p.{c} - s.m_{c}, 2) / (2 * s.v_{c}))" for c in _LOO_NB) + """ AS lp
+       FROM parts p JOIN pri s ON s.fold_family = p.fold_family WHERE p.part = 'test'),
+w AS (SELECT fold_family, row_id, max(lp) AS mx FROM lp GROUP BY fold_family, row_id),
+pr AS (SELECT lp.fold_family, lp.row_id, any_value(lp.obs) AS obs,
+              sum(CASE WHEN lp.c = 1 THEN exp(lp.lp - w.mx) ELSE 0 END) / sum(exp(lp.lp - w.mx)) AS prob
+       FROM lp JOIN w ON w.fold_family = lp.fold_family AND w.row_id = lp.row_id
+       GROUP BY lp.fold_family, lp.row_id),
+t AS (SELECT fold_family, obs AS label, prob AS score, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred FROM pr),
+cnt AS (SELECT fold_family, count_if(pred = 1 AND label = 1) AS tp, count_if(pred = 1 AND label <> 1) AS fp,
+               count_if(pred <> 1 AND label = 1) AS fn, count_if(pred <> 1 AND label <> 1) AS tn
+        FROM t GROUP BY fold_family),
+sc AS (SELECT fold_family, score, CAST(count_if(label = 1) AS DOUBLE) AS pos,
+              CAST(count_if(label <> 1) AS DOUBLE) AS neg FROM t GROUP BY fold_family, score),
+a AS (SELECT fold_family, sum(pos * (cn - neg / 2)) / (sum(pos) * sum(neg)) AS auc
+      FROM (SELECT fold_family, pos, neg, sum(neg) OVER (PARTITION BY fold_family ORDER BY score
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM sc) GROUP BY fold_family)"""
+
+
+@query("loo_run", "L16 L9 M3 E7 U2", with_ctes(_LOO_SQL, """
+SELECT c.fold_family AS family,
+  (CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) + CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0)) / 2 AS balanced_accuracy,
+  CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0) AS precision, CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) AS recall,
+  2 * (CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0)) * (CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0))
+    / NULLIF(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0) + CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0) AS F1Score,
+  a.auc
+FROM cnt c JOIN a ON a.fold_family = c.fold_family"""))
 def loo_run(spark, sf_dir):
     from flowtrace.plans.loo import leave_one_family_out
     return leave_one_family_out(_model_table(spark, sf_dir), model="nb")
