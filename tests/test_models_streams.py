@@ -115,3 +115,21 @@ def test_forest_repeatable_and_learns_planted_rule(spark):
     assert p1 == sorted((r["row_id"], r["prob"]) for r in s2.collect())
     auc = ev.auc(s1.withColumnRenamed("obs", "label").withColumnRenamed("prob", "score")).first()["auc"]
     assert auc > 0.9
+
+
+def test_windowed_stream_emits_closed_windows(spark, scratch):
+    """Event-time windows with a watermark: finite state, append output."""
+    from flowtrace.schema import conn_flow_schema
+    schema = conn_flow_schema()
+    src = scratch("win_src")
+    early = spark.createDataFrame(flow_rows([("C1", 10, 100), ("C2", 20, 300)]), schema)
+    late_batch = spark.createDataFrame(flow_rows([("C3", 7200, 50), ("C4", 7300, 70)]), schema)
+    early.coalesce(1).write.parquet(src + "/a")
+    late_batch.coalesce(1).write.parquet(src + "/b")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    agg = st.stream_trace_aggregates(stream, window="1 hour", watermark="10 minutes")
+    out, ck = scratch("win_out"), scratch("win_ck")
+    st.run_available(agg, out, ck, mode="append")
+    got = spark.read.parquet(out).collect()
+    # the first hour closed once the watermark passed it; the last window stays open in state
+    assert len(got) == 1 and got[0]["flowct"] == 2 and got[0]["mean_intvl"] == pytest.approx(10.0)
