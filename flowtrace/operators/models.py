@@ -168,6 +168,60 @@ def gaussian_nb_grouped(train: DataFrame, test: DataFrame, features: Sequence[st
                           F.coalesce(F.exp(F.col("__lpos") - F.col("__mx")) / den, F.lit(0.0)).alias("prob"))
 
 
+def histogram_nb_grouped(train: DataFrame, test: DataFrame, features: Sequence[str], group: Sequence[str] = (),
+                         label: str = "label", id_col: str = "row_id", positive=1, bins: int = 32,
+                         smoothing: float = 1.0) -> DataFrame:
+    """Naive Bayes with per-class histogram densities (the "kernel" form:
+    a density estimate instead of one normal per class and feature).
+
+    Per (group, feature) the training range is cut into ``bins`` equal bins;
+    one aggregate counts (class, feature, bin); the full (class, feature,
+    bin) grid comes from ``explode(sequence(...))`` so empty bins get the
+    smoothing mass.  Test rows are unpivoted, binned with the same edges and
+    joined to the density table; log densities sum per class, then softmax.
+    Output: group..., ``row_id``, ``obs``, ``prob``.
+    """
+    group, features = list(group), list(features)
+    if not group:  # a constant group keeps every join keyed
+        train, test = train.withColumn("__all", F.lit(0)), test.withColumn("__all", F.lit(0))
+    gkey = group or ["__all"]
+    tr_long = train.select(*gkey, F.col(label).alias("__cls"),
+                           *[F.col(c).cast("double").alias(c) for c in features]) \
+        .unpivot(gkey + ["__cls"], features, "feature", "x").where(F.col("x").isNotNull())
+    rng = tr_long.groupBy(*gkey, "feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+    def bin_of(x):
+        span = F.col("hi") - F.col("lo")
+        b = F.when(span > 0, F.floor((x - F.col("lo")) / span * bins)).otherwise(F.lit(0))
+        return F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
+
+    binned = tr_long.join(rng, gkey + ["feature"]).withColumn("bin", bin_of(F.col("x")))
+    counts = binned.groupBy(*gkey, "__cls", "feature", "bin").agg(F.count(F.lit(1)).alias("k"))
+    cls_n = train.groupBy(*gkey, F.col(label).alias("__cls")).agg(F.count(F.lit(1)).alias("n"))
+    tot = F.sum("n").over(Window.partitionBy(*gkey))
+    cls_n = cls_n.withColumn("__logprior", F.log(F.col("n") / tot))
+    grid = cls_n.join(rng, gkey).select(*gkey, "__cls", "n", "__logprior", "feature", "lo", "hi",
+                                        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0))
+    dens = grid.join(counts, gkey + ["__cls", "feature", "bin"], "left").select(
+        *gkey, "__cls", "__logprior", "feature", "bin",
+        F.log((F.coalesce(F.col("k"), F.lit(0)) + smoothing) / (F.col("n") + smoothing * bins) / width)
+        .alias("__ld"))
+    te_long = test.select(*gkey, F.col(id_col).alias("row_id"), F.col(label).alias("obs"),
+                          *[F.col(c).cast("double").alias(c) for c in features]) \
+        .unpivot(gkey + ["row_id", "obs"], features, "feature", "x").where(F.col("x").isNotNull())
+    te_b = te_long.join(rng, gkey + ["feature"]).withColumn("bin", bin_of(F.col("x"))).drop("x", "lo", "hi")
+    lp = te_b.join(dens, gkey + ["feature", "bin"]).groupBy(*gkey, "row_id", "obs", "__cls", "__logprior") \
+        .agg(F.sum("__ld").alias("__ll")).withColumn("__lp", F.col("__ll") + F.col("__logprior"))
+    per_row = lp.groupBy(*gkey, "row_id", "obs").agg(
+        F.max("__lp").alias("__mx"),
+        F.max(F.when(F.col("__cls") == F.lit(positive), F.col("__lp"))).alias("__lpos"),
+        F.collect_list("__lp").alias("__lps"))  # one entry per class
+    den = F.aggregate("__lps", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("__mx")))
+    return per_row.select(*group, "row_id", "obs",
+                          F.coalesce(F.exp(F.col("__lpos") - F.col("__mx")) / den, F.lit(0.0)).alias("prob"))
+
+
 # ---------------------------------------------------------------------------
 # MLlib detectors
 # ---------------------------------------------------------------------------

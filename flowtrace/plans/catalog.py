@@ -834,6 +834,15 @@ def gaussian_nb(spark, sf_dir):
     return ml.gaussian_nb_score(lab.where(F.col("part") == "test"), model, _NB_FEATS).select("row_id", "prob")
 
 
+@query("kernel_nb_scores", "L9 (kernel form: per-class histogram densities)")
+def kernel_nb_scores(spark, sf_dir):
+    t = _model_table(spark, sf_dir)
+    feats = [f for f in _SK if f not in {feature_name(c) for c in NB_DROPPED_FLAGS}]
+    s = ml.histogram_nb_grouped(t.where(F.col("part") == "train"), t.where(F.col("part") == "test"), feats,
+                                label="label", positive=1.0)
+    return s.withColumn("pred", (F.col("prob") > 0.5).cast("int"))
+
+
 def _train_test(spark, sf_dir):
     t = _model_table(spark, sf_dir)
     return t.where(F.col("part") == "train"), t.where(F.col("part") == "test")

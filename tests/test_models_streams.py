@@ -133,3 +133,17 @@ def test_windowed_stream_emits_closed_windows(spark, scratch):
     got = spark.read.parquet(out).collect()
     # the first hour closed once the watermark passed it; the last window stays open in state
     assert len(got) == 1 and got[0]["flowct"] == 2 and got[0]["mean_intvl"] == pytest.approx(10.0)
+
+
+def test_histogram_nb_learns_bimodal_class(spark):
+    from flowtrace.operators import evaluate as ev
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 600)
+    x = np.where(y == 1, rng.choice([-2.0, 2.0], 600) + rng.normal(0, 0.3, 600), rng.normal(0, 0.3, 600))
+    df = spark.createDataFrame([(str(i), int(a), float(b)) for i, (a, b) in enumerate(zip(y, x))],
+                               "row_id string, label int, f double")
+    tr, te = df.where("CAST(row_id AS INT) % 3 <> 0"), df.where("CAST(row_id AS INT) % 3 = 0")
+    k = ml.histogram_nb_grouped(tr, te, ["f"], bins=16)
+    assert k.count() == te.count()
+    auc = ev.auc(k.withColumnRenamed("obs", "label").withColumnRenamed("prob", "score")).first()["auc"]
+    assert auc > 0.95
