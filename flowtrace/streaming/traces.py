@@ -84,18 +84,22 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     if not state.exists:
         st["last_ts"] = -np.inf
         st["first_ts"] = np.inf
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "uid"], kind="stable")
-    late = pdf["ts"].to_numpy() < st["last_ts"]
+    parts = list(batches)
+    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    ts = pdf["ts"].to_numpy(float)
+    order = np.lexsort((pdf["uid"].to_numpy(), ts))  # by ts, then uid
+    ts = ts[order]
+    X = pdf[TRACE_VALUES].to_numpy(float)[order]
+    late = ts < st["last_ts"]
     st["late"] += float(late.sum())
-    pdf = pdf[~late]
-    if len(pdf):
-        X = pdf[TRACE_VALUES].to_numpy(float)
+    if late.any():
+        ts, X = ts[~late], X[~late]
+    if len(ts):
         n0 = st["n"]
         s0 = np.array([st["s_" + x] for x in TRACE_VALUES])
-        cnt = n0 + np.arange(1, len(pdf) + 1)
+        cnt = n0 + np.arange(1, len(ts) + 1)
         run_mean = (s0 + np.cumsum(X, axis=0)) / cnt[:, None]
         dev = np.abs(X - run_mean).sum(axis=0)
-        ts = pdf["ts"].to_numpy(float)
         gaps = np.diff(np.concatenate([[st["last_ts"]], ts])) if n0 > 0 else np.diff(ts)
         for j, x in enumerate(TRACE_VALUES):
             st["s_" + x] += float(X[:, j].sum())
@@ -107,18 +111,19 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             st["gm2"] += gq + d * d * st["gn"] * gk / tot
             st["gmean"] += d * gk / tot
             st["gn"] = tot
-        st["n"] = n0 + len(pdf)
+        st["n"] = n0 + len(ts)
         st["first_ts"] = min(st["first_ts"], float(ts[0]))
         st["last_ts"] = float(ts[-1])
     state.update(tuple(st[c] for c in _STATE_COLS))
     n = st["n"]
-    row = {"srcIP": key[0], "destIP": key[1], "destPt": int(key[2]), "protocol": key[3], "flowct": int(n)}
+    row = {"srcIP": [key[0]], "destIP": [key[1]], "destPt": [int(key[2])], "protocol": [key[3]],
+           "flowct": [int(n)]}
     for x in TRACE_VALUES:
-        row["stdev_" + x] = st["mad_" + x] / n if n else 0.0
-    row["mean_intvl"] = st["gmean"] if st["gn"] else 0.0
-    row["stdev_intvl"] = float(np.sqrt(st["gm2"] / st["gn"])) if st["gn"] else 0.0
-    row["late_rows"] = int(st["late"])
-    yield pd.DataFrame([row])
+        row["stdev_" + x] = [st["mad_" + x] / n if n else 0.0]
+    row["mean_intvl"] = [st["gmean"] if st["gn"] else 0.0]
+    row["stdev_intvl"] = [float(np.sqrt(st["gm2"] / st["gn"])) if st["gn"] else 0.0]
+    row["late_rows"] = [int(st["late"])]
+    yield pd.DataFrame(row)
 
 
 def stream_running_deviation(flows: DataFrame) -> DataFrame:
@@ -129,8 +134,7 @@ def stream_running_deviation(flows: DataFrame) -> DataFrame:
 
 # --- running a stream to completion ------------------------------------------
 
-def run_available(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
-                  keep_last_by: Sequence[str] | None = None) -> None:
+def run_available(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available, then stop.
 
     ``append``: a Parquet file sink.  ``complete``/``update``: each trigger's
