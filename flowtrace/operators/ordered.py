@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 
 
 def require_checkpoint_dir(df: DataFrame) -> None:
-    if not df.sparkSession.sparkContext.getCheckpointDir():
+    try:
+        sc = df.sparkSession.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: the server checks its own folder)
+        return
+    if not sc.getCheckpointDir():
         raise RuntimeError("ordered scans need spark.checkpoint.dir (a shared folder); "
                            "see flowtrace.session.ensure_checkpoint_dir")
 
@@ -54,7 +58,11 @@ def slice_count(df: DataFrame) -> int:
     cores work.  (AQE does not coalesce an explicit range repartition, so the
     floor is not the shuffle-partition count alone.)"""
     spark = df.sparkSession
-    base = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        base = min(base, spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001  (Spark Connect)
+        pass
     target = int(spark.conf.get("flowtrace.slice.bytes", None) or DEFAULT_SLICE_BYTES)
     try:
         est = _input_bytes(df)

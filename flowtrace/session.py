@@ -51,19 +51,30 @@ def ship_package(spark: SparkSession) -> None:
     ``applyInPandasWithState``) pickle functions by module reference, so the
     workers must be able to import ``flowtrace``.  Done once per context.
     """
-    import shutil
-    import tempfile
-
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: ship with addArtifacts instead)
+        try:
+            spark.addArtifacts(_package_archive(), pyfile=True)
+        except Exception:  # noqa: BLE001
+            pass
+        return
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    sc.addPyFile(_package_archive())
+    _SHIPPED.add(app)
+
+
+def _package_archive() -> str:
+    """Zip of this package on the driver (Spark copies it to the executors)."""
+    import shutil
+    import tempfile
+
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     staging = tempfile.mkdtemp(prefix="flowtrace-pkg-")
-    archive = shutil.make_archive(os.path.join(staging, "flowtrace"), "zip",
-                                  root_dir=os.path.dirname(pkg_dir), base_dir="flowtrace")
-    sc.addPyFile(archive)
-    _SHIPPED.add(app)
+    return shutil.make_archive(os.path.join(staging, "flowtrace"), "zip",
+                               root_dir=os.path.dirname(pkg_dir), base_dir="flowtrace")
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
@@ -71,7 +82,10 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 
     A fallback is set only when the cluster names none (tests, local runs).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: the server owns the checkpoint folder)
+        return None
     current = sc.getCheckpointDir()
     if current:
         return current

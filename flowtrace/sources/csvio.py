@@ -16,7 +16,10 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local)."""
-    base = spark.sparkContext.getCheckpointDir()
+    try:
+        base = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001  (Spark Connect: read the setting)
+        base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         raise RuntimeError("no spark.checkpoint.dir set; it names the shared folder for written tables")
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
