@@ -11,7 +11,9 @@
   per key the state is a fixed set of numbers (count, sums, deviations, last
   time, gap count/mean/M2).  Within a trigger a key's rows are applied in
   (ts, uid) order; a row older than the key's last applied time is late: it
-  is counted and dropped.
+  is counted and dropped.  Ordering needs a key's rows of one trigger
+  together, so bound the trigger (``maxFilesPerTrigger`` /
+  ``maxBytesPerTrigger``) to bound that; the state itself stays O(1) per key.
 * :func:`stream_conn_logs` - log files arriving in a folder, parsed as in
   batch (``maxFilesPerTrigger`` bounds each trigger).
 """
