@@ -990,7 +990,9 @@ SELECT {_TK}, startTime, flowct, mean_dest_bytes, mean_dest_pkts, mean_duration,
        mean_intvl, {_FLAGS_SQL} FROM traces"""))
 def stream_traces(spark, sf_dir):
     out, ck = csvio.scratch_path(spark, "stream_traces"), csvio.scratch_path(spark, "stream_traces_ck")
-    st.run_available(st.stream_trace_aggregates(st.flows_stream(spark, sf_dir)), out, ck, mode="complete")
+    # update mode: each trigger writes only the keys it changed; readers keep each key's latest row
+    st.run_available(st.stream_trace_aggregates(st.flows_stream(spark, sf_dir, max_files=1)), out, ck,
+                     mode="update")
     return st.read_latest(spark, out, tr.TRACE_KEY)
 
 
