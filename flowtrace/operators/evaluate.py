@@ -236,3 +236,8 @@ def merge_predictions(frames: dict[str, DataFrame], keys: Sequence[str], value:
 def melt(df: DataFrame, keys: Sequence[str], models: Sequence[str], value: str = "prob") -> DataFrame:
     """Wide prediction table to long (keys..., model, value)."""
     return df.unpivot(list(keys), list(models), "model", value)
+
+
+def rows_with_prediction(df: DataFrame, model_col: str) -> DataFrame:
+    """Rows where a model's prediction is present (after a merge of models)."""
+    return df.where(F.col(model_col).isNotNull())

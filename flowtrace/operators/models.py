@@ -264,6 +264,31 @@ def random_forest(train: DataFrame, test: DataFrame, features, label="label", id
     return scored_frame(pred, id_col, label, prob_of_one()), model
 
 
+def cv_predictions(df: DataFrame, features: Sequence[str], settings: Sequence[dict], make, label="label",
+                   id_col="row_id", fold_col="fold") -> DataFrame:
+    """Out-of-fold predictions for every parameter setting (k-fold CV with the
+    predictions kept): for each setting and fold, fit on the other folds and
+    score the held-out fold.  Each fit is distributed; the result is one
+    table with the setting's parameters as columns.
+
+    ``make(**setting)`` returns an MLlib classifier using ``features``/``label``.
+    """
+    data = assemble(df, features).select(id_col, label, fold_col, "features").cache()
+    try:
+        folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
+        out = None
+        for setting in settings:
+            for f in folds:
+                model = make(**setting).fit(data.where(F.col(fold_col) != f))
+                pred = model.transform(data.where(F.col(fold_col) == f))
+                part = scored_frame(pred, id_col, label, prob_of_one()).select(
+                    "*", F.lit(f).alias("fold"), *[F.lit(v).alias(k) for k, v in setting.items()])
+                out = part if out is None else out.unionByName(part)
+        return out.checkpoint(eager=True)
+    finally:
+        data.unpersist()
+
+
 def decision_tree(train, test, features, label="label", id_col="row_id", max_depth=10, seed=11):
     dt = DecisionTreeClassifier(featuresCol="features", labelCol=label, maxDepth=max_depth, seed=seed)
     model = dt.fit(assemble(train, features))

@@ -98,8 +98,10 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return wide.unpivot([a], names, b, "n")
 
 
-def group_summary(df: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
-    """Median and sample sd of each metric per group (medians exact, distributed)."""
+def group_summary(df: DataFrame, by: str, metrics: Sequence[str], digits: int | None = None) -> DataFrame:
+    """Median and sample sd of each metric per group (medians exact, distributed).
+
+    ``digits``: round with half-to-even (``bround``), as R's ``round`` does."""
     long = long_form(df, metrics, keep=[by])
     med = exact_quantiles(long, "value", [0.5], group=[by, "metric"])
     sd = long.groupBy(by, "metric").agg(F.stddev_samp("value").alias("sd"))
@@ -108,7 +110,10 @@ def group_summary(df: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
     for m in metrics:
         aggs += [F.max(F.when(F.col("metric") == m, F.col("q"))).alias("median_" + m),
                  F.max(F.when(F.col("metric") == m, F.col("sd"))).alias("sd_" + m)]
-    return joined.groupBy(by).agg(*aggs)
+    out = joined.groupBy(by).agg(*aggs)
+    if digits is not None:
+        out = out.withColumns({c: F.bround(c, digits) for c in out.columns if c != by})
+    return out
 
 
 def below_quantile(df: DataFrame, metrics: Sequence[str], keep: Sequence[str], prob: float = 0.9) -> DataFrame:

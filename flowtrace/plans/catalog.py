@@ -855,7 +855,20 @@ def rf_scores(spark, sf_dir):
     return scored
 
 
-@query("rf_grid", "L5 J7 F7 O6")
+@query("cv_predictions", "M6 F7 P15 (out-of-fold predictions, one setting kept)")
+def cv_predictions(spark, sf_dir):
+    from pyspark.ml.classification import RandomForestClassifier
+    train, _ = _train_test(spark, sf_dir)
+
+    def make(mtry, ntree):
+        return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=ntree,
+                                      featureSubsetStrategy=str(mtry), maxDepth=12, seed=11)
+
+    preds = ml.cv_predictions(train, _SK, [{"mtry": 2, "ntree": 20}, {"mtry": 6, "ntree": 20}], make)
+    return preds.where(F.col("mtry") == 6)
+
+
+@query("rf_grid", "L5 J7 O6")
 def rf_grid(spark, sf_dir):
     """Cross-validated AUC of every (mtry, ntree) setting, sorted by mtry."""
     from pyspark.ml.classification import RandomForestClassifier

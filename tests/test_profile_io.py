@@ -28,3 +28,15 @@ def test_trace_tables_prune_by_file(spark, scratch):
     assert sel.count() == 10
     plan = sel._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "traces_2_1.log.csv" in plan
+
+
+def test_summary_rounds_half_to_even(spark):
+    df = spark.createDataFrame([("x", 2.0), ("x", 2.5), ("y", 2.25), ("y", 2.25)], "g string, v double")
+    got = {r["g"]: r["median_v"] for r in pf.group_summary(df, "g", ["v"], digits=1).collect()}
+    assert got == {"x": 2.2, "y": 2.2}  # 2.25 -> 2.2 (half to even), as R's round
+
+
+def test_rows_with_prediction(spark):
+    from flowtrace.operators import evaluate as ev
+    df = spark.createDataFrame([(1, 0.3), (2, None)], "id int, m double")
+    assert [r["id"] for r in ev.rows_with_prediction(df, "m").collect()] == [1]
