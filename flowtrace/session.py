@@ -36,7 +36,8 @@ def get_spark(master: str | None = None, app: str = "flowtrace", shuffle_partiti
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark, checkpoint_dir)
+    if checkpoint_dir:
+        ensure_checkpoint_dir(spark, checkpoint_dir)
     ship_package(spark)
     return spark
 
@@ -80,7 +81,9 @@ def _package_archive() -> str:
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    A fallback is set only when the cluster names none (tests, local runs).
+    A fallback is for sessions whose tasks all run on this machine (tests, local
+    runs) and name no folder; without one a session must name its folder, as a
+    machine-local folder would lose rows on a cluster.
     """
     try:
         sc = spark.sparkContext
@@ -91,10 +94,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     target = configured or fallback
-    if target:
-        if fallback and not configured:
-            os.makedirs(target, exist_ok=True)
-        sc.setCheckpointDir(target)
+    if not target:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not configured:
+        os.makedirs(target, exist_ok=True)
+    sc.setCheckpointDir(target)
     return sc.getCheckpointDir()
 
 
