@@ -55,7 +55,7 @@ RATIO_RULES = (
     Rule("symbols", "n_symbols", "n_words", 100, over=10),
     Rule("shouting", "n_bangs", "n_words", 100, over=50),
     Rule("stop_words", "n_stop_words", "n_words", 100, under=4),
-    Rule("repeats_lines", "n_dup_lines", "n_lines", 100, over=30),
+    Rule("repeats_lines", "n_dup_lines", "n_lines", 100, over=50),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", 100, over=30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", 100, over=90),
 )
