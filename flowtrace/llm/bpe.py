@@ -189,8 +189,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         bpe = load(path)
         return {"ids": _lists([bpe.encode(t) for t in batch.column("text").to_pylist()])}
 
-    source = id_and_text(df, id_col, text_col)
-    return map_batches(source, ids, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_batches(id_and_text(df, id_col, text_col), ids, "ids array<int>").drop("text")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -201,19 +200,17 @@ def decode(df: DataFrame, path: str) -> DataFrame:
         bpe = load(path)
         return {"decoded": pa.array([bpe.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())}
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return map_batches(df.select("doc_id", "ids"), texts, f"doc_id {kind}, ids array<int>, decoded string")
+    return map_batches(df, texts, "decoded string")
 
 
 def digest_ids(df: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded`` of rows with ids and their text."""
+    """``df`` (with ``ids``) with ``n_tokens`` and ``ids_sha256``."""
 
     def digest(batch: pa.RecordBatch) -> dict[str, object]:
-        lists = batch.column("ids")
+        lists = batch.column("ids").fill_null([])
         ends = lists.offsets.to_numpy()
         raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<u4")).cast("B")
         return {"n_tokens": pa.array(np.diff(ends).astype("i8")),
                 "ids_sha256": pa.array([hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())}
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return map_batches(df, digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded string")
+    return map_batches(df, digest, "n_tokens bigint, ids_sha256 string")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as the contracts name it: space and code points 9 to 13.
 ASCII_SPACE = " \t\n\x0b\f\r"
@@ -36,41 +37,24 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return df.select(F.col(id_col).alias("doc_id"), (text.cast("binary") if binary else text).alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function that turns a batch into columns named as in ``schema``.
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], added: str) -> DataFrame:
+    """``df`` with the columns named in the DDL text ``added``, which ``fn`` makes of each Arrow batch.
 
-    Columns of the batch that the function does not return, but the schema
-    names, are passed through.
+    The columns of ``df`` pass through; an added column replaces one of its name.
     """
-    names = [f.split()[0] for f in _fields(schema)]
+    new = T.StructType.fromDDL(added)
+    schema = T.StructType([f for f in df.schema if f.name not in new.names] + list(new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 made = fn(batch)
                 yield pa.RecordBatch.from_arrays(
-                    [as_array(made[n]) if n in made else batch.column(n) for n in names], names=names)
+                    [made[n] if n in made else batch.column(n) for n in schema.names], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def as_array(values: object) -> pa.Array:
-    return values if isinstance(values, pa.Array) else pa.array(values)
-
-
-def _fields(schema: str) -> list[str]:
-    """Split a DDL schema at its top-level commas."""
-    out, depth, part = [], 0, ""
-    for c in schema:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append(part.strip())
-            part = ""
-        else:
-            part += c
-    return [*out, part.strip()]
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there.
 

@@ -132,6 +132,8 @@ def judge(df: DataFrame, text_col: str = "text", base: tuple[Rule, ...] = BASE_R
 
 def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + RATIO_RULES) -> DataFrame:
     """Rows of ``df`` that no rule rejects, with the columns of ``df``."""
-    columns = list(df.columns)
-    row = df.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.col(text_col).alias("text"))
-    return (text_metrics(row).select("_row", "_m.*").filter(F.size(compile_rules(rules)) == 0).select("_row.*"))
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(text_col).alias("text"))
+    # the row number keeps the filter above the projection: pushed below it, every metric
+    # would be computed again for each of its uses
+    judged = text_metrics(row).select("_row", "_m.*", F.monotonically_increasing_id().alias("_n"))
+    return judged.filter((F.size(compile_rules(rules)) == 0) & (F.col("_n") >= 0)).select("_row.*")

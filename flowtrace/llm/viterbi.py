@@ -117,6 +117,4 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         return {"n_tokens": pa.array([model.count(t) for t in texts], pa.int64()),
                 "n_chars": pa.array([len(t) for t in texts], pa.int64())}
 
-    source = id_and_text(df, id_col, text_col)
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return map_batches(source, counts, f"doc_id {kind}, n_tokens bigint, n_chars bigint")
+    return map_batches(id_and_text(df, id_col, text_col), counts, "n_tokens bigint, n_chars bigint").drop("text")
