@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -62,3 +63,14 @@ def materialise(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir`` (set for the session by its owner).
     """
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it from there.
+
+    Unlike a checkpoint it is compressed, and later reads take only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

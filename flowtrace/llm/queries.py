@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtrace.llm import bpe, decontaminate, lines, rules, simhash, viterbi
-from flowtrace.llm.common import fold, table
+from flowtrace.llm import bpe, decontaminate, langid, lines, lm, quality, rules, secrets, simhash, viterbi
+from flowtrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_decontamination")
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    count = lambda kind: F.size(secrets.of_kinds(F.col("spans"), kind)).cast("bigint")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(secrets.joined(secrets.of_kinds(F.col("spans"), "assign", "access", "hex")), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"))
+
+
+@_query("op8_language_model")
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_held_out(table(spark, sf_dir, "documents"))
