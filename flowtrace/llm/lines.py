@@ -1,12 +1,13 @@
 """Fuzzy line dedup by MinHash, with built-in functions only (operator 6).
 
-Every line becomes a set of character shingles.  One 64-bit hash of each shingle
-is xor-ed with fixed random numbers; the least value under each is a MinHash
-value (the shingle nearest to a random point, so equal for two lines with the
-chance of their Jaccard similarity).  Bands of four values make candidates, the
-exact Jaccard similarity of the shingle sets verifies them, and connected
-components of the links decide: of each component the first line stays, by
-document and place.
+Lines are compared by their sets of character shingles.  Each shingle is hashed
+once to 64 bits; xor-ed with a fixed random number, the least value over a line is
+a MinHash value (the shingle nearest to a random point, so equal for two lines
+with the chance of their Jaccard similarity).  Long lines take the shingles whose
+hash is divisible by SAMPLED, a sample that is the same for all lines.  Bands of
+four values make candidates, the exact Jaccard similarity of all shingles verifies
+them, and connected components of the links decide: of each component the first
+line stays, by document and place.
 
 Candidates are not all pairs of a band's bucket.  First each line is held against
 the bucket's least line only.  Then, where a bucket holds lines of different
@@ -15,9 +16,7 @@ where the triangle inequality through the least line or the sizes of the two set
 rule a link out.  Pairs inside one component would change nothing.
 
 A line is what stands between line feeds; lines without any character other than
-ASCII white space always stay.  Equal lines are one vertex from the start.  The
-identity of a line is its 64-bit hash.
-
+ASCII white space always stay.  Equal lines are one vertex from the start.
 Defined results: null text stays null; a document that loses all its lines stays
 with what is left; rows with the same id and the same text are one document, and
 each of them gets the same text.
@@ -31,10 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from flowtrace.llm.common import ASCII_SPACE, materialise
+from flowtrace.llm.common import ASCII_SPACE, materialise, stored
 from flowtrace.llm.components import components
 
 SHINGLE_CHARS, BANDS, BAND_ROWS = 9, 8, 4
+#: Lines of more than WHOLE shingles use one in SAMPLED for their signature.
+WHOLE, SAMPLED = 128, 4
 #: Links need a Jaccard similarity of SIMILAR_PARTS / OF_PARTS.
 SIMILAR_PARTS, OF_PARTS = 4, 5
 #: Rows that are broadcast at most (16 bytes each); larger sides are joined by shuffle.
@@ -46,54 +47,86 @@ def _masks(n: int) -> list[int]:
     return [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
 
 
-def line_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``text_hash``, ``place``, ``line`` and ``line_id`` of every line that holds a character."""
+def _text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
-    rows = text.select("id", F.xxhash64("t").alias("text_hash"), F.posexplode(F.split("t", "\n")).alias("place", "line"))
-    return rows.filter(F.length(F.btrim("line", F.lit(ASCII_SPACE))) > 0).withColumn("line_id", F.xxhash64("line"))
+    return text.withColumn("text_hash", F.xxhash64("t"))
+
 
+def _explode_lines(texts: DataFrame) -> DataFrame:
+    """``id``, ``text_hash``, ``place``, ``line`` of every line that holds a character."""
+    rows = texts.select("id", "text_hash", F.posexplode(F.split("t", "\n")).alias("place", "line"))
+    return rows.filter(F.length(F.btrim("line", F.lit(ASCII_SPACE))) > 0)
 
-def _code_points(line: Column) -> Column:
-    """Four bytes for each character, so that a shingle is cut out without walking the line."""
-    return F.encode(line, "UTF-32")
+
+def _all_hashes(line: str) -> Column:
+    """Hashes of all shingles of ``line``, cut out of ``wide`` (four bytes a character, so no cut walks the line)."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE_CHARS, F.lit(0))), lambda i: _shingle_hash(F.col("wide"), i))
 
 
 def _shingle_hash(wide: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(wide, at * 4 + 1, F.lit(4 * SHINGLE_CHARS)))
 
 
-def _last_shingle(wide: Column) -> Column:
-    return F.greatest(F.expr("octet_length(wide) div 4") - SHINGLE_CHARS, F.lit(0)).cast("int")
-
+def line_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``text_hash``, ``place`` and ``line_id`` (64-bit hash) of every line."""
+    return _explode_lines(_text_rows(df, id_col, text_col)).withColumn("line_id", F.xxhash64("line")).drop("line")
 
-def shingle_set(line: str) -> Column:
-    """The distinct shingle hashes of a column of lines, as an array."""
-    return F.expr(
-        f"array_distinct(transform(sequence(0, int(greatest(length({line}) - {SHINGLE_CHARS}, 0))), "
-        f"i -> xxhash64(substring(encode({line}, 'UTF-32'), i * 4 + 1, {4 * SHINGLE_CHARS}))))")
 
+def band_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``bucket`` and ``line_id``: a row for each band of each different line.
 
-def band_table(lines: DataFrame) -> DataFrame:
-    """``bucket`` and ``line_id``: a row for each band of each different line."""
-    wide = lines.select("line_id", _code_points(F.col("line")).alias("wide"))
-    at = wide.select("line_id", "wide", F.explode(F.sequence(F.lit(0), _last_shingle(F.col("wide")))).alias("at"))
-    hashes = at.select("line_id", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
-    least = hashes.groupBy("line_id").agg(
-        *(F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(m)), 32).cast("int")).alias(f"m{i}")
-          for i, m in enumerate(_masks(BANDS * BAND_ROWS))))
-    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{i}" for i in range(b * BAND_ROWS, (b + 1) * BAND_ROWS))) for b in range(BANDS)))
+    Lines of up to WHOLE shingles use them all, longer ones the sample.  Lines a
+    little longer, which may be similar to one of WHOLE shingles, do both.
+    """
+    rows = _explode_lines(_text_rows(df, id_col, text_col))
+    wide = rows.select(F.xxhash64("line").alias("line_id"), F.encode("line", "UTF-32").alias("wide"))
+    last = wide.withColumn("last", F.greatest(F.expr("octet_length(wide) div 4") - SHINGLE_CHARS, F.lit(0)).cast("int"))
+    whole, sampled = F.col("last") < WHOLE, F.col("last") * SIMILAR_PARTS >= WHOLE * OF_PARTS
+    at = last.select("line_id", "wide", whole.alias("whole"), (~whole & ~sampled).alias("twice"), F.explode(F.sequence(F.lit(0), "last")).alias("at"))
+    hashes = at.select("line_id", "whole", "twice", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
+    in_sample = F.pmod("h", F.lit(SAMPLED)) == 0
+    hashes = hashes.filter(F.col("whole") | F.col("twice") | in_sample)
+    level = F.when(F.col("whole"), F.lit(0)).when(~F.col("twice"), F.lit(1)).otherwise(F.lit(2))
+    # of lines that do both: all shingles count for level 0, those in the sample also for level 1
+    each = hashes.select("line_id", "h", F.explode(F.when(level == 0, F.array(F.lit(0))).when(level == 1, F.array(F.lit(1))).when(
+        in_sample, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("level"))
+    least = each.groupBy("line_id", "level").agg(
+        *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(BANDS * BAND_ROWS))))
+    bands = F.array(*(F.xxhash64(F.lit(b), "level", *(f"m{i}" for i in range(b * BAND_ROWS, (b + 1) * BAND_ROWS))) for b in range(BANDS)))
     return least.select("line_id", F.explode(bands).alias("bucket"))
 
 
-def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``n_a``, ``n_b`` (shingles of each) and ``n_both``, from the lines' own text."""
-    pairs = materialise(pairs.select("a", "b").distinct())
-    wanted = materialise(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct())
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    text = lines.select("line_id", "line").join(side, "line_id", "left_semi").dropDuplicates(["line_id"])
-    sets = materialise(text.select("line_id", shingle_set("line").alias("set")))
-    both = (pairs.join(sets.select(F.col("line_id").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("line_id").alias("b"), F.col("set").alias("set_b")), "b"))
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _meetings(bands: DataFrame) -> DataFrame:
+    """``bucket``, ``line_id``, ``centre``, ``size``: the buckets that hold different lines."""
+    bucket = Window.partitionBy("bucket")
+    met = bands.withColumn("centre", F.min("line_id").over(bucket)).withColumn("size", F.count("*").over(bucket))
+    return materialise(met.filter("size > 1"))
+
+
+def _line_texts(df: DataFrame, lines: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``line_id`` and ``line`` of the lines that meet others, from one document each."""
+    wanted = met.select("line_id").distinct()
+    at = lines.join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.min(F.struct("id", "text_hash", "place")).alias("at"))
+    at = materialise(at.select("line_id", F.col("at.id").alias("id"), F.col("at.text_hash").alias("text_hash"), "at.place"))
+    holders = materialise(at.select("text_hash").distinct())
+    texts = _text_rows(df, id_col, text_col).join(_small(holders), "text_hash", "left_semi")
+    rows = _explode_lines(texts).withColumn("line_id", F.xxhash64("line"))
+    return materialise(rows.join(_small(materialise(wanted)), "line_id", "left_semi").select("line_id", "line").dropDuplicates(["line_id"]))
+
+
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``n_a``, ``n_b`` (shingles of each) and ``n_both``."""
+    both = (pairs.select("a", "b").distinct()
+            .join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a")), "a")
+            .join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b")), "b"))
+    for side in ("a", "b"):
+        both = both.withColumn("wide", F.encode(f"line_{side}", "UTF-32"))
+        both = both.withColumn(f"set_{side}", F.array_distinct(_all_hashes(f"line_{side}")))
     return both.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"),
                        F.size(F.array_intersect("set_a", "set_b")).alias("n_both"))
 
@@ -102,20 +135,26 @@ def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 LINKED = f"{OF_PARTS} * n_both >= {SIMILAR_PARTS} * (n_a + n_b - n_both)"
 
 
-def line_groups(lines: DataFrame) -> DataFrame:
+def line_groups(df: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``line_id`` and ``root`` for every line that is linked to a different line."""
-    bucket = Window.partitionBy("bucket")
-    met = (band_table(lines).withColumn("centre", F.min("line_id").over(bucket)).withColumn("size", F.count("*").over(bucket))
-           .filter("size > 1"))
-    met = materialise(met)
-    stars = materialise(_near(met.filter("line_id <> centre").select(F.col("centre").alias("a"), F.col("line_id").alias("b")), lines))
+    met = _meetings(band_table(df, id_col, text_col))
+    texts = _line_texts(df, lines, met, id_col, text_col)
+    stars = materialise(_near(met.filter("line_id <> centre").select(F.col("centre").alias("a"), F.col("line_id").alias("b")), texts))
     links = stars.filter(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = materialise(components(links))
     rest = _across(met.filter("size > 2"), stars, roots)
     if rest.isEmpty():
         return roots.withColumnRenamed("vertex", "line_id")
-    more = _near(rest, lines).filter(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return components(links.union(more)).withColumnRenamed("vertex", "line_id")
+    more = materialise(_near(rest, texts).filter(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # links between components only: their ends' roots stand for them
+    root = roots.select("vertex", "root")
+    over = (more.join(root.withColumnRenamed("root", "ru"), F.col("u") == F.col("vertex"), "left").drop("vertex")
+            .join(root.withColumnRenamed("root", "rv"), F.col("v") == F.col("vertex"), "left").drop("vertex")
+            .select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
+    higher = materialise(components(over).withColumnRenamed("root", "top"))
+    lifted = roots.join(higher, roots.root == higher.vertex, "left").select(
+        roots.vertex.alias("line_id"), F.coalesce("top", "root").alias("root"))
+    return lifted.union(higher.select(F.col("vertex").alias("line_id"), F.col("top").alias("root"))).distinct()
 
 
 def _across(met: DataFrame, stars: DataFrame, roots: DataFrame) -> DataFrame:
@@ -142,10 +181,11 @@ def _across(met: DataFrame, stars: DataFrame, roots: DataFrame) -> DataFrame:
         .select(F.col("a.line_id").alias("a"), F.col("b.line_id").alias("b")).distinct())
 
 
-def dropped_lines(lines: DataFrame) -> DataFrame:
+def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``text_hash`` and ``dropped`` (sorted places) of the documents that lose a line."""
+    lines = stored(line_table(df, id_col, text_col))
     at = lines.select("id", "text_hash", "place", "line_id")
-    roots = line_groups(lines)
+    roots = line_groups(df, lines, id_col, text_col)
     first = at.groupBy("line_id").agg(F.min(F.struct("id", "text_hash", "place")).alias("first"), F.count("*").alias("n"))
     vertex = first.join(roots, "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
     kept = vertex.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).filter("n > 1")
@@ -155,13 +195,14 @@ def dropped_lines(lines: DataFrame) -> DataFrame:
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with ``_dropped`` (array of the places of lines that go) and its text without them."""
-    gone = dropped_lines(line_table(df, id_col, text_col))
-    keyed = df.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
+    """``df`` with its text less the dropped lines, and ``_dropped`` (the places of these lines)."""
+    gone = stored(dropped_lines(df, id_col, text_col))
+    if gone.agg(F.coalesce(F.sum(F.size("dropped") + 8), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    keyed = df.withColumn("_text_hash", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     both = keyed.join(gone, keyed[id_col].eqNullSafe(gone.id) & (keyed._text_hash == gone.text_hash), "left")
-    parts = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped")), lambda i: F.get(F.col("_parts"), i))
-    made = both.withColumn("_parts", parts).withColumn(
-        "_left", F.when(F.col("dropped").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n")))
+    made = both.withColumn("_parts", F.when(F.col("dropped").isNotNull(), F.split(F.col(f"`{text_col}`").cast("string"), "\n")))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("dropped")), lambda i: F.get(F.col("_parts"), i))
+    made = made.withColumn("_left", F.when(F.col("dropped").isNull(), keyed[text_col]).otherwise(F.array_join(left, "\n")))
     return made.select(*(F.col("_left").alias(c) if c == text_col else keyed[c] for c in df.columns),
                        F.coalesce("dropped", F.array().cast("array<int>")).alias("_dropped"))
