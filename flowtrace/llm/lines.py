@@ -10,8 +10,9 @@ them, and connected components of the links decide: of each component the first
 line stays, by document and place.
 
 Candidates are not all pairs of a band's bucket.  First each line is held against
-the bucket's least line only.  Then, where a bucket holds lines of different
-components, lines of different components are held against one another, except
+the bucket's least line only; where a bucket then holds lines of different
+components, against another centre in one more round.  At last lines of one
+bucket and different components are held against one another, except
 where the triangle inequality through the least line or the sizes of the two sets
 rule a link out.  Pairs inside one component would change nothing.
 
@@ -34,6 +35,10 @@ from flowtrace.llm.common import ASCII_SPACE, materialise, stored
 from flowtrace.llm.components import components
 
 SHINGLE_CHARS, BANDS, BAND_ROWS = 9, 8, 4
+#: Rounds in which the lines of a bucket are held against another centre.
+STAR_ROUNDS = 1
+#: MinHash values (of all BANDS * BAND_ROWS) in which two lines must agree to be verified beside a bucket's centre.
+AGREEING = 18
 #: Lines of more than WHOLE shingles use one in SAMPLED for their signature.
 WHOLE, SAMPLED = 128, 4
 #: Links need a Jaccard similarity of SIMILAR_PARTS / OF_PARTS.
@@ -59,8 +64,16 @@ def _explode_lines(texts: DataFrame) -> DataFrame:
 
 
 def _all_hashes(line: str) -> Column:
-    """Hashes of all shingles of ``line``, cut out of ``wide`` (four bytes a character, so no cut walks the line)."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE_CHARS, F.lit(0))), lambda i: _shingle_hash(F.col("wide"), i))
+    """Hashes of all shingles of ``line``.
+
+    The line's characters, four bytes each so that no cut walks the line, are a
+    variable of the outer function: made once, and not again for every shingle.
+    """
+    def of(wide: Column) -> Column:
+        last = F.greatest((F.octet_length(wide) / 4).cast("int") - SHINGLE_CHARS, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: _shingle_hash(wide, i))
+
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), of), F.lit(0))
 
 
 def _shingle_hash(wide: Column, at: Column) -> Column:
@@ -72,6 +85,19 @@ def line_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _explode_lines(_text_rows(df, id_col, text_col)).withColumn("line_id", F.xxhash64("line")).drop("line")
 
 
+def _min_hashes() -> list[Column]:
+    return [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(BANDS * BAND_ROWS))]
+
+
+def _signatures(texts: DataFrame) -> DataFrame:
+    """``line_id`` and ``signature``, the MinHash values of all shingles of a line."""
+    wide = texts.select("line_id", F.encode("line", "UTF-32").alias("wide"))
+    last = F.greatest(F.expr("octet_length(wide) div 4") - SHINGLE_CHARS, F.lit(0)).cast("int")
+    at = wide.select("line_id", "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    least = at.select("line_id", _shingle_hash(F.col("wide"), F.col("at")).alias("h")).groupBy("line_id").agg(*_min_hashes())
+    return least.select("line_id", F.array(*(f"m{i}" for i in range(BANDS * BAND_ROWS))).alias("signature"))
+
+
 def band_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``bucket`` and ``line_id``: a row for each band of each different line.
 
@@ -90,8 +116,7 @@ def band_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # of lines that do both: all shingles count for level 0, those in the sample also for level 1
     each = hashes.select("line_id", "h", F.explode(F.when(level == 0, F.array(F.lit(0))).when(level == 1, F.array(F.lit(1))).when(
         in_sample, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("level"))
-    least = each.groupBy("line_id", "level").agg(
-        *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(BANDS * BAND_ROWS))))
+    least = each.groupBy("line_id", "level").agg(*_min_hashes())
     bands = F.array(*(F.xxhash64(F.lit(b), "level", *(f"m{i}" for i in range(b * BAND_ROWS, (b + 1) * BAND_ROWS))) for b in range(BANDS)))
     return least.select("line_id", F.explode(bands).alias("bucket"))
 
@@ -125,7 +150,6 @@ def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a")), "a")
             .join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b")), "b"))
     for side in ("a", "b"):
-        both = both.withColumn("wide", F.encode(f"line_{side}", "UTF-32"))
         both = both.withColumn(f"set_{side}", F.array_distinct(_all_hashes(f"line_{side}")))
     return both.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"),
                        F.size(F.array_intersect("set_a", "set_b")).alias("n_both"))
@@ -139,45 +163,58 @@ def line_groups(df: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_co
     """``line_id`` and ``root`` for every line that is linked to a different line."""
     met = _meetings(band_table(df, id_col, text_col))
     texts = _line_texts(df, lines, met, id_col, text_col)
+    ends = lambda near: near.filter(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
     stars = materialise(_near(met.filter("line_id <> centre").select(F.col("centre").alias("a"), F.col("line_id").alias("b")), texts))
-    links = stars.filter(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = materialise(components(links))
-    rest = _across(met.filter("size > 2"), stars, roots)
-    if rest.isEmpty():
-        return roots.withColumnRenamed("vertex", "line_id")
-    more = materialise(_near(rest, texts).filter(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # links between components only: their ends' roots stand for them
-    root = roots.select("vertex", "root")
-    over = (more.join(root.withColumnRenamed("root", "ru"), F.col("u") == F.col("vertex"), "left").drop("vertex")
-            .join(root.withColumnRenamed("root", "rv"), F.col("v") == F.col("vertex"), "left").drop("vertex")
-            .select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
-    higher = materialise(components(over).withColumnRenamed("root", "top"))
-    lifted = roots.join(higher, roots.root == higher.vertex, "left").select(
-        roots.vertex.alias("line_id"), F.coalesce("top", "root").alias("root"))
-    return lifted.union(higher.select(F.col("vertex").alias("line_id"), F.col("top").alias("root"))).distinct()
-
-
-def _across(met: DataFrame, stars: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket, neither its centre, that lie in different components and may be linked.
-
-    With distances d to the centre, a link needs |d(a) - d(b)| <= 1 - similarity,
-    and sets whose sizes differ by no more than the similarity.
-    """
+    links, large = materialise(ends(stars)), met.filter("size > 2")
+    for round_ in range(STAR_ROUNDS + 1):
+        roots = materialise(components(links))
+        members = _mixed_members(large, stars, roots)
+        if members.isEmpty():
+            break
+        # rounds with another centre join more of a large group; what is left is held against one another
+        pairs = _star_pairs(members, round_) if round_ < STAR_ROUNDS else _across(members, texts)
+        links = materialise(links.union(ends(_near(pairs, texts))))
+    return components(links).withColumnRenamed("vertex", "line_id")
+
+
+def _mixed_members(met: DataFrame, stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lines, less the centres, of buckets with more than one component: ``bucket``, ``line_id``, ``n``, ``d``, ``root``."""
     member = (met.filter("line_id <> centre")
               .join(stars.select(F.col("a").alias("centre"), F.col("b").alias("line_id"), F.col("n_b").alias("n"),
                                  (1 - F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both"))).alias("d")),
                     ["centre", "line_id"])
               .join(roots.select(F.col("vertex").alias("line_id"), "root"), "line_id", "left")
               .select("bucket", "line_id", "n", "d", F.coalesce("root", "line_id").alias("root")))
-    # a bucket whose members are all of one component has nothing to add
     mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    member = materialise(member.join(mixed, "bucket", "left_semi"))
+    return materialise(member.join(mixed, "bucket", "left_semi"))
+
+
+def _star_pairs(members: DataFrame, round_: int) -> DataFrame:
+    """Each line with a centre of its bucket, another one in each round, unless they are of one component."""
+    centre = members.groupBy("bucket").agg(F.min_by(F.struct("line_id", "root"), F.xxhash64("line_id", F.lit(round_))).alias("c"))
+    return members.join(centre, "bucket").filter(F.col("root") != F.col("c.root")).select(
+        F.least("c.line_id", "line_id").alias("a"), F.greatest("c.line_id", "line_id").alias("b"))
+
+
+def _across(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of one bucket that lie in different components and may be linked.
+
+    With distances d to the first centre, a link needs |d(a) - d(b)| <= 1 -
+    similarity, and sets whose sizes differ by no more than the similarity.  Lines
+    with a common passage fill buckets without being similar; there the whole
+    signatures must agree in AGREEING values (fewer have a chance under 0.001 at
+    the least similarity).
+    """
+    signed = _signatures(texts.join(members.select("line_id").distinct(), "line_id", "left_semi"))
+    member = members.join(signed, "line_id")
+    agreeing = F.size(F.filter(F.zip_with("a.signature", "b.signature", lambda x, y: x == y), lambda same: same))
     a, b = member.alias("a"), member.alias("b")
     far = 1 - SIMILAR_PARTS / OF_PARTS + 1e-9
     return materialise(
         a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.line_id") < F.col("b.line_id"))
                & (F.col("a.root") != F.col("b.root")) & (F.abs(F.col("a.d") - F.col("b.d")) <= far)
-               & (F.least("a.n", "b.n") * OF_PARTS >= F.greatest("a.n", "b.n") * SIMILAR_PARTS))
+               & (F.least("a.n", "b.n") * OF_PARTS >= F.greatest("a.n", "b.n") * SIMILAR_PARTS)
+               & (agreeing >= AGREEING))
         .select(F.col("a.line_id").alias("a"), F.col("b.line_id").alias("b")).distinct())
 
 
