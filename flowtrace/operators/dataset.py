@@ -18,17 +18,17 @@ def capture_from_source(src_col: str = "srcIP") -> F.Column:
 def label_traces(traces: DataFrame, captures: DataFrame, capture_col: F.Column | None = None) -> DataFrame:
     """Attach File, Family, Type and Malicious (1 unless Family is Normal).
 
-    The capture table has one row per capture file (a fixed, small list), so
-    it is broadcast; unlabelled captures keep NULL labels (left join).
+    Captures without a label keep NULL in all four columns (left join); models
+    leave them out.  AQE broadcasts the capture table if its bytes are few.
     """
     t = traces.withColumn("capture", capture_col if capture_col is not None else capture_from_source())
-    out = t.join(F.broadcast(captures), "capture", "left").drop("capture")
-    return out.withColumn("Malicious", F.when(F.col("Family") != NORMAL_FAMILY, 1).otherwise(0))
+    out = t.join(captures, "capture", "left").drop("capture")
+    return out.withColumn("Malicious", (F.col("Family") != NORMAL_FAMILY).cast("int"))
 
 
 def drop_files(df: DataFrame, files: Sequence[str], col: str = "File") -> DataFrame:
-    """Remove rows of the listed files (e.g. a corrupted capture)."""
-    return df.where(~F.col(col).isin(list(files)))
+    """Remove rows of the listed files (e.g. a corrupted capture); rows without a file stay."""
+    return df.where(F.col(col).isNull() | ~F.col(col).isin(list(files)))
 
 
 def with_family_order(df: DataFrame, col: str = "Family", levels: Sequence[str] = FAMILY_LEVELS) -> DataFrame:
@@ -44,10 +44,10 @@ def log1p_features(df: DataFrame, names: Sequence[str] = SKEWED_FEATURES) -> Dat
 
 
 def recode_label(df: DataFrame, col: str = "Malicious") -> DataFrame:
-    """0/1 label as No/Yes and Benign/Malicious text."""
+    """0/1 label as No/Yes and Benign/Malicious text; NULL stays NULL."""
     return df.withColumns({
-        col + "_yn": F.when(F.col(col) == 1, "Yes").otherwise("No"),
-        col + "_class": F.when(F.col(col) == 1, "Malicious").otherwise("Benign"),
+        col + "_yn": F.when(F.col(col) == 1, "Yes").when(F.col(col) == 0, "No"),
+        col + "_class": F.when(F.col(col) == 1, "Malicious").when(F.col(col) == 0, "Benign"),
     })
 
 
@@ -56,15 +56,13 @@ def encode_category(df: DataFrame, col: str, out: str | None = None) -> DataFram
 
     The distinct values are ranked with a range-sliced running count (no
     single-task global window, so high-cardinality columns such as addresses
-    also work) and joined back; broadcast only when the code table is small
-    (checked).
+    also work) and joined back; AQE broadcasts the code table if it is small.
     """
-    from flowtrace.operators.joins import join_small
     from flowtrace.operators.ordered import global_prefix
     out = out or col + "_code"
     levels = df.select(col).distinct().where(F.col(col).isNotNull())
     coded = global_prefix(levels, [col]).select(col, F.col("rank").cast("int").alias(out))
-    return join_small(df, coded, col, "left")
+    return df.join(coded, col, "left")
 
 
 def prefix_flags(df: DataFrame, letters: Sequence[str]) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowtrace.functions.exprs import key_text, unset_to_zero
-from flowtrace.operators.joins import join_small
 from flowtrace.operators.ordered import ordered_slices, slice_edges, with_edges
 from flowtrace.schema import CONN_KEY
 
@@ -185,7 +184,7 @@ def trace_ids(flows: DataFrame, key: Sequence[str] = CONN_KEY, exact: bool = Tru
 
 def flows_with_ids(flows: DataFrame, ids: DataFrame, key: Sequence[str] = CONN_KEY) -> DataFrame:
     """Left join of flows to their trace ids (broadcast only below a checked size)."""
-    return join_small(flows, ids, list(key), "left")
+    return flows.join(ids, list(key), "left")
 
 
 def mean_gap(flows: DataFrame, key: Sequence[str] = CONN_KEY) -> DataFrame:

@@ -53,7 +53,7 @@ def _first_orig_port() -> F.Column:
     return F.min_by("id_orig_p", F.struct("ts", "uid")).alias("id_orig_p")
 
 
-def traces_layout_b(flows: DataFrame, exclude_protocols: Sequence[str] = ("icmp",),
+def traces_layout_b(flows: DataFrame, exclude_protocols: Sequence[str] = (),
                     num_partitions: int | None = None) -> DataFrame:
     """Layout B: first source port, start, count, mean and sample std of four
     values, mean and population std of gaps (NULL for one flow), flags."""
@@ -69,7 +69,7 @@ def traces_layout_b(flows: DataFrame, exclude_protocols: Sequence[str] = ("icmp"
     return rows.groupBy(*CONN_KEY).agg(*aggs).select(*LAYOUT_B)
 
 
-def traces_layout_c(flows: DataFrame, exclude_protocols: Sequence[str] = ("icmp",), exact: bool = True,
+def traces_layout_c(flows: DataFrame, exclude_protocols: Sequence[str] = (), exact: bool = True,
                     accuracy: int = 10000, num_partitions: int | None = None) -> DataFrame:
     """Layout C: first source port, mean / median / sample std of four values, flags.
 

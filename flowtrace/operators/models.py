@@ -8,6 +8,7 @@ per feature) ever reach the driver.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -58,8 +59,8 @@ def box_cox_lambdas(df: DataFrame, cols: Sequence[str], grid: Sequence[float] =
     """Box-Cox lambda per column by profile log-likelihood over a grid.
 
     One pass: the columns are unpivoted and every value is paired with every
-    lambda inside the row (``explode``); a single aggregate gives n, sum y,
-    sum y^2 and sum log x per (column, lambda).  Columns with a value <= 0 are
+    lambda inside the row (``explode``); a single aggregate gives n, the
+    variance of y and sum log x per (column, lambda).  Columns with a value <= 0 are
     left out (not transformable).  Output: field, bc_lambda, loglik.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "field", "x")
@@ -68,10 +69,9 @@ def box_cox_lambdas(df: DataFrame, cols: Sequence[str], grid: Sequence[float] =
     y = (F.when(F.col("x") <= 0, F.lit(None)).when(F.col("lam") == 0, F.log("x"))
          .otherwise((F.pow("x", F.col("lam")) - 1) / F.col("lam")))
     per = (long.select("field", "x", lam).groupBy("field", "lam")
-           .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
+           .agg(F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("var"),
                 F.sum(F.when(F.col("x") > 0, F.log("x"))).alias("slx"), F.min("x").alias("xmin")))
-    var = F.col("syy") / F.col("n") - (F.col("sy") / F.col("n")) ** 2
-    ll = -F.col("n") / 2 * F.log(var) + (F.col("lam") - 1) * F.col("slx")
+    ll = -F.col("n") / 2 * F.log("var") + (F.col("lam") - 1) * F.col("slx")
     scored = per.where(F.col("xmin") > 0).select("field", F.col("lam").alias("bc_lambda"), ll.alias("loglik"))
     best = scored.groupBy("field").agg(F.max_by("bc_lambda", "loglik").alias("bc_lambda"),
                                        F.max("loglik").alias("loglik"))
@@ -416,18 +416,19 @@ def glm_aic(df: DataFrame, features: Sequence[str], label="label") -> tuple[floa
     return s.aic, s.deviance
 
 
-def stepwise_aic(df: DataFrame, features: Sequence[str], label="label", max_steps: int = 10) -> list[tuple]:
+def stepwise_aic(df: DataFrame, features: Sequence[str], label="label", max_steps: int | None = None) -> list[tuple]:
     """Both-direction stepwise choice by AIC from the full model.
 
     Each candidate is one distributed GLM fit; the loop over candidates is
-    on the driver (few steps, few terms).  Returns [(step, action, term, aic)].
+    on the driver (few terms).  It ends when no step lowers the AIC, as each
+    must, or after ``max_steps`` if given.  Returns [(step, action, term, aic)].
     """
     current = list(features)
     aic, _ = glm_aic(df, current, label)
     out = [(0, "start", "", aic)]
     data = df.select(*features, label).cache()
     try:
-        for step in range(1, max_steps + 1):
+        for step in itertools.islice(itertools.count(1), max_steps):
             cands = [("drop", t, [c for c in current if c != t]) for t in current]
             cands += [("add", t, current + [t]) for t in features if t not in current]
             scored = [(glm_aic(data, cols, label)[0], act, t, cols) for act, t, cols in cands]

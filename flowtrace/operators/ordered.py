@@ -46,14 +46,16 @@ def _input_bytes(df: DataFrame) -> int:
     for i in range(leaves.size()):
         size = leaves.apply(i).stats().sizeInBytes()
         size = int(size if isinstance(size, int) else size.toString())
-        if size < unknown:  # leaves without statistics (checkpoints, local rows) are skipped
-            total += size
+        if size >= unknown:  # no usable statistics (a checkpoint keeps the estimate of its joins): use its rows
+            return df.count() * (16 * len(df.columns) + 8)
+        total += size
     return total
 
 
 def slice_count(df: DataFrame) -> int:
     """Number of slices: enough that each holds about ``flowtrace.slice.bytes``
-    (default 256 MiB) of the data read (no job is run for the estimate), and
+    (default 256 MiB) of the data read (its rows are counted where a plan has no
+    usable estimate), and
     at least min(``spark.sql.shuffle.partitions``, default parallelism) so all
     cores work.  (AQE does not coalesce an explicit range repartition, so the
     floor is not the shuffle-partition count alone.)"""
@@ -68,7 +70,7 @@ def slice_count(df: DataFrame) -> int:
         est = _input_bytes(df)
     except Exception:  # noqa: BLE001  (estimates are optional)
         est = 0
-    return max(base, min(-(-est // target), 1_000_000))
+    return max(base, -(-est // target))
 
 
 def ordered_slices(df: DataFrame, key: Sequence[str], order: Sequence[str],

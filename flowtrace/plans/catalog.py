@@ -165,7 +165,7 @@ SELECT {_K}, any_value(first_p) AS id_orig_p, min(ts) AS ts, count(*) AS flow_ct
        avg(gap) AS mean_intvl, stddev_pop(gap) AS std_intvl, {_FLAGS_SUM}
 FROM bw GROUP BY {_K}"""))
 def traces_layout_b(spark, sf_dir):
-    return ly.traces_layout_b(fx.flows(spark, sf_dir))
+    return ly.traces_layout_b(fx.flows(spark, sf_dir), exclude_protocols=["icmp"])
 
 
 @query("traces_layout_c", "A12", with_ctes(_BIN, f"""
@@ -174,7 +174,7 @@ SELECT {_K}, any_value(first_p) AS id_orig_p,
        {_FLAGS_SUM}
 FROM bw GROUP BY {_K}"""))
 def traces_layout_c(spark, sf_dir):
-    return ly.traces_layout_c(fx.flows(spark, sf_dir))
+    return ly.traces_layout_c(fx.flows(spark, sf_dir), exclude_protocols=["icmp"])
 
 
 _B_AS_A = ("srcIP, destIP, destPt, protocol, startTime, flowct, mean_dest_bytes, stdev_dest_bytes, mean_duration, "
@@ -373,21 +373,19 @@ _BCOLS = ", ".join(ly.LAYOUT_B)
 SELECT {_BCOLS} FROM b WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in ly.LAYOUT_B)).replace("\n, b AS", ", b AS", 1)
        .replace(f"FROM bin)\n, b AS", "FROM bin), b AS"))
 def complete_cases(spark, sf_dir):
-    return ds.complete_cases(ly.traces_layout_b(fx.flows(spark, sf_dir)))
+    return ds.complete_cases(ly.traces_layout_b(fx.flows(spark, sf_dir), exclude_protocols=["icmp"]))
 
 
 @query("dns_join", "J4", with_ctes(V.FLOWS, """
 SELECT f.id_orig_h AS host, d.name, count(*) AS visits
 FROM flows f JOIN (SELECT DISTINCT id_orig_h AS host,
-                          'host' || split_part(id_orig_h, '.', 4) || '.example.net' AS name
-                   FROM flows WHERE id_orig_h LIKE '10.0.0.%'
-                     AND CAST(split_part(id_orig_h, '.', 4) AS INTEGER) % 3 = 0) d ON f.id_orig_h = d.host
+                          'host-' || replace(id_orig_h, '.', '-') || '.example.net' AS name
+                   FROM flows WHERE CAST(split_part(id_orig_h, '.', 4) AS INTEGER) % 3 = 0) d ON f.id_orig_h = d.host
 GROUP BY f.id_orig_h, d.name"""))
 def dns_join(spark, sf_dir):
-    from flowtrace.operators.joins import join_small
     f = fx.flows(spark, sf_dir)
     visits = f.groupBy(F.col("id_orig_h").alias("host")).agg(F.count(F.lit(1)).alias("visits"))
-    return join_small(visits, fx.dns_names(f), "host", "inner").select("host", "name", "visits")
+    return visits.join(fx.dns_names(f), "host").select("host", "name", "visits")
 
 
 # --- profiles -------------------------------------------------------------
@@ -785,11 +783,10 @@ long AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS field, CAST({c} AS DOUBLE) A
                                   + f"""),
 lams AS (SELECT unnest([{_LAMS}]::DOUBLE[]) AS lam),
 per AS (SELECT field, lam, count(*) AS n,
-               sum(CASE WHEN x <= 0 THEN NULL WHEN lam = 0 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END) AS sy,
-               sum(power(CASE WHEN x <= 0 THEN NULL WHEN lam = 0 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END, 2)) AS syy,
+               var_pop(CASE WHEN x <= 0 THEN NULL WHEN lam = 0 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END) AS v,
                sum(CASE WHEN x > 0 THEN ln(x) END) AS slx, min(x) AS xmin
         FROM long CROSS JOIN lams WHERE x IS NOT NULL GROUP BY field, lam),
-sc AS (SELECT field, lam AS bc_lambda, -n / 2.0 * ln(syy / n - power(sy / n, 2)) + (lam - 1) * slx AS loglik
+sc AS (SELECT field, lam AS bc_lambda, -n / 2.0 * ln(v) + (lam - 1) * slx AS loglik
        FROM per WHERE xmin > 0)""", "SELECT field, arg_max(bc_lambda, loglik) AS bc_lambda, max(loglik) AS loglik FROM sc GROUP BY field"))
 def box_cox(spark, sf_dir):
     return ml.box_cox_lambdas(_traces(spark, sf_dir), _BC_COLS)
@@ -800,14 +797,14 @@ def _model_table(spark, sf_dir, folds: int = 3):
 
     Model fits pass over their input many times (one job per iteration), so
     the table is materialised once (reliable checkpoint: lineage cut, survives
-    executor loss) with no more partitions than there are cores.
+    executor loss).  Traces without a label teach nothing and are left out.
     """
     lab = sp.with_id(_labelled(spark, sf_dir), tr.TRACE_KEY)
     lab = ds.log1p_features(lab)
     lab = lab.withColumn("label", F.col("Malicious").cast("double"))
     lab = sp.split_fraction(lab, "row_id", 0.7)
     lab = sp.cv_folds(lab, "row_id", folds).select("row_id", "Family", "Malicious", "label", "part", "fold", *_SK)
-    return lab.coalesce(spark.sparkContext.defaultParallelism).checkpoint(eager=True)
+    return lab.where("label IS NOT NULL").checkpoint(eager=True)
 
 
 _NB_TRAIN = V.LABELLED + f""",
@@ -922,7 +919,7 @@ _GLM_FEATS = ["flowct", "mean_duration", "mean_src_pkts", "mean_dest_bytes", "me
 @query("stepwise", "L12")
 def stepwise(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
-    rows = ml.stepwise_aic(train, _GLM_FEATS, "label", max_steps=6)
+    rows = ml.stepwise_aic(train, _GLM_FEATS, "label")
     return spark.createDataFrame(rows, "step int, action string, term string, aic double")
 
 

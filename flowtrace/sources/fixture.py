@@ -103,15 +103,15 @@ def http_records(flow_df: DataFrame) -> DataFrame:
 
 
 def dns_names(flow_df: DataFrame) -> DataFrame:
-    """Host name table: one name per source address 10.0.0.x with x % 3 = 0.
+    """Host name table: one name per source address that ends in a multiple of 3.
 
     Derived from the flows' own addresses so it grows with the data.
     """
     hosts = flow_df.select("id_orig_h").distinct()
     x = F.split("id_orig_h", r"\.").getItem(3).cast("int")
-    return (hosts.where(F.col("id_orig_h").startswith("10.0.0.") & (x % 3 == 0))
-            .select(F.col("id_orig_h").alias("host"),
-                    F.concat(F.lit("host"), x.cast("string"), F.lit(".example.net")).alias("name")))
+    return hosts.where(x % 3 == 0).select(
+        F.col("id_orig_h").alias("host"),
+        F.concat(F.lit("host-"), F.replace(F.col("id_orig_h"), F.lit("."), F.lit("-")), F.lit(".example.net")).alias("name"))
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,8 +75,8 @@ def test_conn_trace_golden(flows, method):
 
 
 def test_layout_b_golden(flows):
-    b = {(r["id_orig_h"], r["id_resp_p"]): r for r in ly.traces_layout_b(flows, num_partitions=2).collect()}
-    assert len(b) == 3  # icmp left out
+    b = {(r["id_orig_h"], r["id_resp_p"]): r for r in ly.traces_layout_b(flows, ["icmp"], num_partitions=2).collect()}
+    assert len(b) == 3 and ly.traces_layout_b(flows, num_partitions=2).count() == 4  # nothing is left out unasked
     two = b[("192.168.1.110", 53)]
     assert two["id_orig_p"] == 50501 and two["ts"] == pytest.approx(11.471177)
     assert two["std_resp_bytes"] == pytest.approx(8.485281, abs=1e-6)

@@ -40,3 +40,28 @@ def test_rows_with_prediction(spark):
     from flowtrace.operators import evaluate as ev
     df = spark.createDataFrame([(1, 0.3), (2, None)], "id int, m double")
     assert [r["id"] for r in ev.rows_with_prediction(df, "m").collect()] == [1]
+
+
+def test_unlabelled_captures_and_null_files_stay(spark):
+    from flowtrace.operators import dataset as ds
+    t = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "capture string, x int")
+    labels = spark.createDataFrame([("a", "f1", "Zeus", "t"), ("b", "f2", "Normal", "t")], "capture string, File string, Family string, Type string")
+    from pyspark.sql import functions as F
+    out = ds.recode_label(ds.label_traces(t, labels, F.col("capture"))).orderBy("x").collect()
+    assert [(r.Malicious, r.Malicious_yn, r.Malicious_class) for r in out] == [
+        (1, "Yes", "Malicious"), (0, "No", "Benign"), (None, None, None)]
+    files = spark.createDataFrame([("f1",), (None,)], "File string")
+    assert ds.drop_files(files, ["f1"]).count() == 1
+
+
+def test_contingency_counts_known_pairs_only(spark):
+    from flowtrace.operators.profile import contingency
+    df = spark.createDataFrame([("x", "p"), ("x", None), ("y", "q"), (None, "p")], "a string, b string")
+    assert {tuple(r) for r in contingency(df, "a", "b").collect()} == {("x", "p", 1), ("x", "q", 0), ("y", "p", 0), ("y", "q", 1)}
+
+
+def test_box_cox_far_from_zero(spark):
+    from flowtrace.operators.models import box_cox_lambdas
+    df = spark.range(2000).selectExpr("1e9 + id / 2000.0 AS v").selectExpr("CAST(v AS DOUBLE) AS v")
+    got = box_cox_lambdas(df, ["v"]).first()
+    assert got.loglik > 0  # a variance by differences of large squares gave -3594 here
