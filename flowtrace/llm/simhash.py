@@ -32,12 +32,14 @@ from flowtrace.llm.common import map_batches, materialise, small_batches
 from flowtrace.llm.components import components
 
 SHINGLE_WORDS, MAX_DISTANCE, SEED = 3, 2, 42
-#: Points in the sample that the top tree is fitted on, at most.
-SAMPLE_POINTS = 1 << 14
+#: One in SAMPLED points, and no more than SAMPLE_POINTS, is in the sample that the top tree is fitted on.
+SAMPLED, SAMPLE_POINTS = 1 << 9, 1 << 20
 #: Points that a shard should hold; the top tree is as deep as that takes.
 SHARD_POINTS = 1 << 14
-#: Sample points that each shard must rest on at least.
+#: Sample points that each fitted node must rest on at least.
 LEAF_SAMPLE = 16
+#: Radius around the fixed vantage points of levels below the fitted ones: half of 64 bits, less the middle.
+DEEP_RADIUS = 31
 #: Points in a leaf of a shard's own tree.
 LEAF_POINTS = 256
 
@@ -79,15 +81,23 @@ def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
 
 
 class TopTree:
-    """The tree that deals points to shards: arrays of vantage points and radii in heap order."""
+    """The tree that deals points to shards: arrays of vantage points and radii in heap order.
+
+    The sample decides the upper levels.  Where more are needed to keep shards
+    small, each level below has one vantage point for all its nodes, from a
+    seeded generator, so the tree is small however many shards there are.
+    """
 
     def __init__(self, sample: np.ndarray, depth: int) -> None:
-        self.depth = depth
-        self.vantage, self.radius = np.zeros(1 << depth, "u8"), np.full(1 << depth, 64, "i8")
+        self.depth, self.fitted = depth, 0
+        while self.fitted < depth and len(sample) >> self.fitted > LEAF_SAMPLE:
+            self.fitted += 1
+        self.vantage, self.radius = np.zeros(1 << self.fitted, "u8"), np.full(1 << self.fitted, 64, "i8")
+        self.deep = np.random.default_rng(SEED).integers(0, 1 << 64, depth - self.fitted, "u8")
         self._fit(np.unique(sample), 1)
 
     def _fit(self, points: np.ndarray, node: int) -> None:
-        if node >= 1 << self.depth or not len(points):
+        if node >= 1 << self.fitted or not len(points):
             return
         vantage = points[0]
         away = distances(points, vantage)
@@ -99,9 +109,11 @@ class TopTree:
     def deal(self, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the point, shard, is it its home) for every shard that a point belongs to or may have to see."""
         which, node, home = np.arange(len(points)), np.ones(len(points), "i8"), np.ones(len(points), bool)
-        for _ in range(self.depth):
-            away = np.bitwise_count(points[which] ^ self.vantage[node]).astype("i8")
-            radius = self.radius[node]
+        for level in range(self.depth):
+            fitted = level < self.fitted
+            vantage = self.vantage[node] if fitted else self.deep[level - self.fitted]
+            radius = self.radius[node] if fitted else DEEP_RADIUS
+            away = np.bitwise_count(points[which] ^ vantage).astype("i8")
             inner, outer = away - reach <= radius, away + reach > radius
             inside = away <= radius
             which = np.concatenate([which[inner], which[outer]])
@@ -157,7 +169,7 @@ def _links(points: DataFrame, reach: int, top: TopTree) -> DataFrame:
         values = batch.column("fp").to_numpy(zero_copy_only=False).view("u8")
         which, shard, home = top.deal(values, reach)
         return pa.RecordBatch.from_arrays(
-            [pa.array(shard.astype("i4")), pa.array(values[which].view("i8")), pa.array(home)], names=["shard", "fp", "home"])
+            [pa.array(shard), pa.array(values[which].view("i8")), pa.array(home)], names=["shard", "fp", "home"])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +184,7 @@ def _links(points: DataFrame, reach: int, top: TopTree) -> DataFrame:
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"u": values[linked].view("i8"), "v": values[root[linked]].view("i8")})
 
-    return (points.mapInArrow(dealt, "shard int, fp bigint, home boolean")
+    return (points.mapInArrow(dealt, "shard bigint, fp bigint, home boolean")
             .groupBy("shard").applyInArrow(search, "u bigint, v bigint"))
 
 
@@ -181,9 +193,10 @@ def groups(rows: DataFrame, reach: int = MAX_DISTANCE) -> DataFrame:
     points = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     total = points.count()
     # the smallest hashes: the same sample every time, and one of all points
-    sample = [r.fp for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_POINTS).collect()]
+    size = min(SAMPLE_POINTS, total // SAMPLED)
+    sample = [r.fp for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()] if size else []
     depth = 0
-    while total >> depth > SHARD_POINTS and len(sample) >> depth > LEAF_SAMPLE:
+    while total >> depth > SHARD_POINTS:
         depth += 1
     top = TopTree(np.array(sample, "i8").view("u8"), depth)
     roots = components(_links(points.select("fp"), reach, top)).withColumnRenamed("vertex", "fp")
