@@ -197,8 +197,9 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     small_batches(df.sparkSession)
 
     def texts(batch: pa.RecordBatch) -> dict[str, object]:
-        bpe = load(path)
-        return {"decoded": pa.array([bpe.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())}
+        bpe, lists = load(path), batch.column("ids").fill_null([])
+        ends, ids = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False).tolist()
+        return {"decoded": pa.array([bpe.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())}
 
     return map_batches(df, texts, "decoded string")
 
