@@ -44,12 +44,12 @@ def test_tree_finds_every_close_pair(monkeypatch):
     want = {(i, j) for i, j in combinations(range(len(points)), 2) if int(points[i] ^ points[j]).bit_count() <= 2}
     got = {(min(a, b), max(a, b)) for p, q in simhash.close_pairs(points, points, 2) for a, b in zip(p.tolist(), q.tolist(), strict=True) if a != b}
     assert got == want
-    top = simhash.TopTree(points, 3)
-    which, shard, home = top.deal(points, 2)
-    assert sorted(which[home].tolist()) == list(range(len(points)))  # one home each
-    sees = {(int(w), int(s)) for w, s in zip(which, shard, strict=True)}
-    at = dict(zip(which[home].tolist(), shard[home].tolist(), strict=True))
-    assert all((a, at[b]) in sees and (b, at[a]) in sees for a, b in want)
+    for top in (simhash.TopTree(points, 3), simhash.TopTree(points[:40], 6), simhash.TopTree(points[:0], 2)):  # the last two go below the fitted levels
+        which, shard, home = top.deal(points, 2)
+        assert sorted(which[home].tolist()) == list(range(len(points)))  # one home each
+        sees = {(int(w), int(s)) for w, s in zip(which, shard, strict=True)}
+        at = dict(zip(which[home].tolist(), shard[home].tolist(), strict=True))
+        assert all((a, at[b]) in sees and (b, at[a]) in sees for a, b in want)
 
 
 def test_near_duplicates_by_brute_force(spark, docs, no_docs, monkeypatch):
