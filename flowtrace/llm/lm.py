@@ -7,11 +7,13 @@ level back, with a small chance of a level too many.  The probability of a word
 after another is the pair's count, smoothed with the word's own:
 (c(vw) + A p(w)) / (c(v) + A).
 
-The filter is cut into segments by the n-gram's hash.  One shuffle brings the
-pre-summed counts of a segment together, where its bits are set; the segments are
-joined on the driver and broadcast.  A segment has BITS_PER_ITEM bits for each
-item, but all together have MAX_BYTES at most: beyond it no n-gram is left out,
-the chance of a level too many grows.
+The filter is cut into segments by the n-gram's hash.  One pass over the training
+texts counts words and pairs together; one shuffle brings the pre-summed counts of
+a segment together, packed as one row for each task and segment, where its bits
+are set and the exact counts of its words are summed up.  The segments are joined
+on the driver and broadcast.  A segment has BITS_PER_ITEM bits for each item, but
+all together have MAX_BYTES at most: beyond it no n-gram is left out, the chance
+of a level too many grows.
 
 The base score needs exact counts.  The HOT_WORDS most frequent words go to the
 workers with their counts; occurrences of other words are joined with the table
@@ -26,7 +28,6 @@ word has probability 1 by the given formula; rows are scored one by one.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +42,12 @@ END = b"\n"  # no word holds a line feed
 BITS_PER_ITEM, PROBES, MAX_BYTES = 8, 4, 256 << 20
 #: Words whose counts are broadcast.
 HOT_WORDS = 200_000
-#: Different words, or n-grams, that a task sums up before it hands them on.
-PENDING_WORDS, PENDING_NGRAMS = 400_000, 2_000_000
-#: Training tokens to a segment of the filter, about; segments are powers of two.
-SEGMENT_TOKENS, LEAST_SEGMENTS = 1 << 20, 64
+#: Tokens whose n-grams a task sums up before it hands them on, and different words that it numbers at most.
+PENDING_TOKENS, NUMBERED_WORDS = 1 << 22, 1 << 19
+#: Bytes of training text to a segment of the filter, about; segments are powers of two.
+SEGMENT_BYTES, LEAST_SEGMENTS = 8 << 20, 64
 #: Weight of a word's own probability, in pair counts.
 SMOOTHING = 2.0
-CACHE_SIZE = 1 << 19
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -59,26 +59,20 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``token`` (binary) and ``n`` over all texts."""
+class Numbers(dict):
+    """Numbers words in the order they come, from 0 for the end token; ``words`` has them in that order."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: Counter = Counter()
+    def __init__(self) -> None:
+        super().__init__({END: 0})
+        self.words = [END]
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(pending), pa.binary()), pa.array(list(pending.values()), pa.int64())], names=["token", "n"])
-            pending.clear()
-            return out
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.words)
+        self.words.append(word)
+        return number
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                pending.update(tokens(text))
-                if len(pending) >= PENDING_WORDS:
-                    yield flush()
-        if pending:
-            yield flush()
-
-    return texts.select("text").mapInArrow(count, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), "i4", len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,59 +81,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes:
-    """Hashes of words, kept in a bounded cache."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) >= CACHE_SIZE:
-            known.clear()
-        out = list(map(known.get, words))
-        for i, h in enumerate(out):
-            if h is None:
-                w = words[i]
-                out[i] = known[w] = xxhash.xxh64_intdigest(w, 8)
-        return np.array(out, "u8")
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, 8) for w in words], "u8")
 
 
-def ngrams(words: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and of the pairs that they end (the first word follows the end token)."""
-    before = np.concatenate([np.array([end], "u8"), words[:-1]])
-    return _mix(words), _mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
+def _pair_hashes(numbers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs that the words end.  Texts follow one another, so the first word of each follows an end token."""
+    own = hashes[numbers]
+    before = np.concatenate([hashes[:1], own[:-1]])
+    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + own)
 
 
 def _ngram_counts(texts: DataFrame, segments: int) -> DataFrame:
-    """``segment``, ``h``, ``n``: counts of n-grams, summed up within tasks."""
+    """Counts of n-grams, summed up within tasks: a row for each segment.
+
+    ``h`` and ``n`` pack hashes and counts; the first of them belong to the words in ``tokens``.
+    """
     shift = np.uint64(64 - segments.bit_length() + 1)
+    bounds = np.arange(1, segments, dtype="u8") << shift
+
+    def cut(h: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]])
+
+    def packed(numbered: Numbers, pending: list[np.ndarray]) -> pa.RecordBatch:
+        numbers, hashes = np.concatenate(pending), _word_hashes(numbered.words)
+        pairs, n_pairs = np.unique(_pair_hashes(numbers, hashes), return_counts=True)
+        n_words = np.bincount(numbers, minlength=len(hashes))
+        words = _mix(hashes)
+        order = np.argsort(words)
+        order = order[n_words[order] > 0]
+        words, n_words = words[order], n_words[order]
+        tokens_ = [numbered.words[i] for i in order.tolist()]
+        at_word, at_pair = cut(words), cut(pairs)
+        rows = []
+        for s in range(segments):
+            w, p = slice(at_word[s], at_word[s + 1]), slice(at_pair[s], at_pair[s + 1])
+            if w.stop > w.start or p.stop > p.start:
+                rows.append((s, words[w].tobytes() + pairs[p].tobytes(),
+                             n_words[w].astype("u4").tobytes() + n_pairs[p].astype("u4").tobytes(), tokens_[w]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())), strict=True)],
+            names=["segment", "h", "n", "tokens"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pending, size = Hashes(), [], 0
-        end = hashes.of([END])[0]
-
-        def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(pending), return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array((h >> shift).astype("i4")), pa.array(h.view("i8")), pa.array(n.astype("i4"))], names=["segment", "h", "n"])
-
+        numbered, pending, size = Numbers(), [], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                pending += ngrams(hashes.of(tokens(text)), end)
-                size += 2 * len(pending[-1])
-                if size >= PENDING_NGRAMS:
-                    yield flush()
-                    pending, size = [], 0
+                pending.append(numbered.of(tokens(text)))
+                size += len(pending[-1])
+                if size >= PENDING_TOKENS or len(numbered) >= NUMBERED_WORDS:
+                    yield packed(numbered, pending)
+                    numbered, pending, size = Numbers(), [], 0
         if pending:
-            yield flush()
+            yield packed(numbered, pending)
+
+    return texts.select("text").mapInArrow(count, "segment int, h binary, n binary, tokens array<binary>")
 
-    return texts.select("text").mapInArrow(count, "segment int, h bigint, n int")
 
+def _items(h: np.ndarray, level: int) -> np.ndarray:
+    """The hash of each n-gram's item of a level."""
+    return _mix(h + np.uint64(level * 0xD1B54A32D192ED03 % 2**64))
 
-def _slots(h: np.ndarray, level: int, probe: int, sizes: np.ndarray | int) -> np.ndarray:
-    """The bit of each n-gram's item of a level for one probe, within its segment."""
-    return _mix(h + np.uint64((level * PROBES + probe) * 0xD1B54A32D192ED03 % 2**64)) % sizes
+
+def _slots(items: np.ndarray, probe: int, sizes: np.ndarray | np.uint64) -> np.ndarray:
+    """The bit of each item for one probe, within its segment of ``sizes`` bits."""
+    low = np.uint64(0xFFFFFFFF)
+    at = ((items >> np.uint64(32)) + np.uint64(probe) * (items & low | np.uint64(1))) & low
+    return (at * sizes) >> np.uint64(32)
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -147,18 +155,29 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 
 def _segment_bits(most: int):
-    """Sum up the counts of a segment and set its bits."""
+    """Sum up the counts of a segment: a row with its bits, and a row for each of its words."""
 
     def build(rows: pa.Table) -> pa.Table:
-        h, inverse = np.unique(rows.column("h").to_numpy().view("u8"), return_inverse=True)
-        levels = _levels(np.bincount(inverse, rows.column("n").to_numpy()))
+        hs = [np.frombuffer(x, "u8") for x in rows.column("h").to_pylist()]
+        ns = [np.frombuffer(x, "u4") for x in rows.column("n").to_pylist()]
+        lists = rows.column("tokens").to_pylist()
+        words = pa.table({"token": pa.array([t for some in lists for t in some], pa.binary()),
+                          "n": np.concatenate([n[:len(some)] for n, some in zip(ns, lists, strict=True)]).astype("i8")})
+        words = words.group_by("token").aggregate([("n", "sum")])
+        h, inverse = np.unique(np.concatenate(hs), return_inverse=True)
+        levels = _levels(np.bincount(inverse, np.concatenate(ns)))
         size = max(64, min(most, int(levels.sum()) * BITS_PER_ITEM) // 64 * 64)
         bits = np.zeros(size, bool)
         for level in range(1, int(levels.max()) + 1):
-            some = h[levels >= level]
+            items = _items(h[levels >= level], level)
             for probe in range(PROBES):
-                bits[_slots(some, level, probe, np.uint64(size))] = True
-        return pa.table({"segment": rows.column("segment")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+                bits[_slots(items, probe, np.uint64(size))] = True
+        made, segment = np.packbits(bits, bitorder="little").tobytes(), rows.column("segment")[0].as_py()
+        return pa.table({
+            "segment": pa.array([segment] * (1 + len(words)), pa.int32()),
+            "bits": pa.array([made] + [None] * len(words), pa.binary()),
+            "token": pa.array([None] + words.column("token").to_pylist(), pa.binary()),
+            "n": pa.array([None] + words.column("n_sum").to_pylist(), pa.int64())})
 
     return build
 
@@ -179,10 +198,12 @@ class Filter:
         alive = np.flatnonzero(self.sizes[segment] > 0)
         at = 1
         while len(alive):
+            items = _items(h[alive], at)
             for probe in range(PROBES):
                 own = segment[alive]
-                slot = self.starts[own] + _slots(h[alive], at, probe, self.sizes[own])
-                alive = alive[(self.bytes[(slot >> np.uint64(3)).astype("i8")] >> (slot & np.uint64(7)).astype("u1")) & 1 == 1]
+                slot = self.starts[own] + _slots(items, probe, self.sizes[own])
+                there = (self.bytes[(slot >> np.uint64(3)).astype("i8")] >> (slot & np.uint64(7)).astype("u1")) & 1 == 1
+                alive, items = alive[there], items[there]
             level[alive] = at
             at += 1
             if at > 62:
@@ -190,14 +211,16 @@ class Filter:
         return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1)))
 
 
-def build_filter(texts: DataFrame, train_tokens: int) -> Filter:
-    segments = LEAST_SEGMENTS
-    while segments * SEGMENT_TOKENS < train_tokens:
+def learn_counts(texts: DataFrame) -> tuple[Filter, DataFrame]:
+    """The filter, and ``token`` (binary) and ``n`` of every word."""
+    n_bytes, segments = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], LEAST_SEGMENTS
+    while segments * SEGMENT_BYTES < n_bytes:
         segments *= 2
-    counts = _ngram_counts(texts, segments)
-    made = counts.groupBy("segment").applyInArrow(_segment_bits(8 * MAX_BYTES // segments), "segment int, bits binary")
+    build = _segment_bits(8 * MAX_BYTES // segments)
+    made = stored(_ngram_counts(texts, segments).groupBy("segment").applyInArrow(build, "segment int, bits binary, token binary, n bigint"))
     # MAX_BYTES at most come back, whatever the corpus
-    return Filter({r.segment: bytes(r.bits) for r in made.toLocalIterator()}, segments)
+    parts = {r.segment: bytes(r.bits) for r in made.filter("bits is not null").select("segment", "bits").toLocalIterator()}
+    return Filter(parts, segments), made.filter("token is not null").select("token", "n")
 
 
 def score(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,16 +230,15 @@ def score(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = df.sparkSession
     small_batches(spark)
-    learn = _texts(training, id_col, text_col)
-    counts = stored(word_counts(learn))
+    bloom, counts = learn_counts(_texts(training, id_col, text_col))
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = {bytes(r.token): r.n for r in counts.orderBy(F.desc("n"), "token").limit(HOT_WORDS).collect()}
     below = total + 0.5 * (different + 1)
-    shared = spark.sparkContext.broadcast((build_filter(learn, total), hot))
+    hot = {bytes(r.token): math.log10((r.n + 0.5) / below) for r in counts.orderBy(F.desc("n"), "token").limit(HOT_WORDS).collect()}
+    shared = spark.sparkContext.broadcast((bloom, hot))
     rows = _texts(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = stored(rows.mapInArrow(
-        _scorer(shared, total, below),
+        _scorer(shared, below),
         f"doc_id {kind}, row bigint, n_tokens bigint, n_hot bigint, hot_score double, score double, rest array<binary>"))
     rest = scored.select("row", F.explode("rest").alias("token"))
     # words are counted before the join, within the row that has them
@@ -228,40 +250,44 @@ def score(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
         (F.col("hot_score") + F.coalesce("rest_score", F.lit(0.0))).alias("base_score"), "score")
 
 
-def _scorer(shared, total: int, below: float):
+def _scorer(shared, below: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, hot = shared.value
-        logs = {w: math.log10((n + 0.5) / below) for w, n in hot.items()}
-        hashes = Hashes()
-        end = hashes.of([END])[0]
-        own_end = bloom.counts(_mix(np.array([end], "u8")))[0]
+        numbered, hashes = Numbers(), np.zeros(0, "u8")
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n_tokens, n_hot, hot_score, rest, singles, pairs = [], [], [], [], [], []
+            if len(numbered) >= NUMBERED_WORDS:
+                numbered, hashes = Numbers(), hashes[:0]
+            words, n_tokens = [], []
             for text in batch.column("text").to_pylist():
-                words = tokens(text)
-                found = list(map(logs.get, words))
-                other = [w for w, x in zip(words, found, strict=True) if x is None]
-                n_tokens.append(len(words))
-                n_hot.append(len(words) - len(other))
-                hot_score.append(math.fsum(x for x in found if x is not None))
-                rest.append(other)
-                one, two = ngrams(hashes.of(words), end)
-                singles.append(one)
-                pairs.append(two)
-            words, inverse = np.unique(np.concatenate(singles), return_inverse=True)
-            single = bloom.counts(words)[inverse]
-            pair = bloom.counts(np.concatenate(pairs))
+                own = tokens(text)
+                words += own
+                n_tokens.append(len(own))
+            numbers = numbered.of(words)
+            if not len(hashes):
+                logs = single = np.zeros(0)
+            new = numbered.words[len(hashes):]  # what is known of a word is looked up once
+            fresh = _word_hashes(new)
+            hashes = np.concatenate([hashes, fresh])
+            single = np.concatenate([single, bloom.counts(_mix(fresh))])
+            logs = np.concatenate([logs, [hot.get(w, math.nan) for w in new]])
+
             first = np.concatenate([[0], np.cumsum(n_tokens)[:-1]])
-            before = np.concatenate([[own_end], single[:-1]])
-            before[first] = own_end
-            alone = (single + 0.5) / below
+            base = logs[numbers]
+            is_rest = np.isnan(base)
+            n_rest = np.add.reduceat(is_rest.astype("i8"), first)
+            rest = pa.array([words[i] for i in np.flatnonzero(is_rest).tolist()], pa.binary())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n_rest)]).astype("i4"))
+            pair = bloom.counts(_pair_hashes(numbers, hashes))
+            own = single[numbers]
+            before = np.concatenate([single[:1], own[:-1]])
+            alone = (own + 0.5) / below
             p = (np.minimum(pair, before) + SMOOTHING * alone) / (before + SMOOTHING)
-            score = np.add.reduceat(np.log10(np.minimum(1.0, p)), first)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(n_tokens, pa.int64()), pa.array(n_hot, pa.int64()),
-                 pa.array(hot_score, pa.float64()), pa.array(score), pa.array(rest, pa.list_(pa.binary()))],
+                [batch.column("doc_id"), batch.column("row"), pa.array(n_tokens, pa.int64()), pa.array(np.array(n_tokens) - n_rest, pa.int64()),
+                 pa.array(np.add.reduceat(np.where(is_rest, 0.0, base), first)),
+                 pa.array(np.add.reduceat(np.log10(np.minimum(1.0, p)), first)), pa.ListArray.from_arrays(offsets, rest)],
                 names=["doc_id", "row", "n_tokens", "n_hot", "hot_score", "score", "rest"])
 
     return run

@@ -140,8 +140,13 @@ def test_bloom_filter_never_undercounts():
     for s in range(64):
         own = (h >> shift) == s
         if own.any():
-            t = pa.table({"segment": pa.array([s] * own.sum(), pa.int32()), "h": h[own].view("i8"), "n": n[own].astype("i4")})
-            parts[s] = lm._segment_bits(1 << 30)(t).column("bits")[0].as_py()
+            # two tasks, each with some of the counts; the first n-gram of each is a word
+            cuts = [n[own] // 2, n[own] - n[own] // 2]
+            t = pa.table({"segment": pa.array([s, s], pa.int32()), "h": [h[own].tobytes()] * 2,
+                          "n": [c.astype("u4").tobytes() for c in cuts], "tokens": [[b"w"], [b"w"]]})
+            made = lm._segment_bits(1 << 30)(t)
+            parts[s] = made.column("bits")[0].as_py()
+            assert made.column("token").to_pylist() == [None, b"w"] and made.column("n")[1].as_py() == n[own][0]
     found = lm.Filter(parts, 64).counts(h)
     level = np.floor(np.log2(n))
     assert (found >= 2.0 ** level).all() and (found > 3 * 2.0 ** level).mean() < 0.1
