@@ -66,3 +66,18 @@ def test_exact_quantiles_match_percentile(spark):
     ref = df.agg(F.percentile("v", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]).alias("p")).first()["p"]
     for p, r in zip([0.0, 0.1, 0.25, 0.5, 0.9, 1.0], ref):
         assert ours[p] == pytest.approx(r)
+
+
+def test_quantiles_rank_a_hot_value_once(spark, monkeypatch):
+    seen = []
+    prefix = stats.global_prefix
+    monkeypatch.setattr(stats, "global_prefix", lambda df, *a, **k: (seen.append(df), prefix(df, *a, **k))[1])
+    df = spark.range(20000).selectExpr("cast(if(id % 10 = 0, id % 70, 0) as double) v", "cast(id % 2 as int) g")
+    probs = [0.0, 0.25, 0.5, 0.91, 0.95, 1.0]
+    for group in ([], ["g"]):
+        got = {(*(r[c] for c in group), r["prob"]): r["q"] for r in stats.exact_quantiles(df, "v", probs, group, 4).collect()}
+        rows = df.groupBy(*group).agg(F.expr(f"percentile(v, array({', '.join(map(str, probs))}))").alias("q")).collect()
+        want = {(*(r[c] for c in group), p): q for r in rows for p, q in zip(probs, r["q"])}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert [d.count() for d in seen] == [7, 8]  # different values, not rows
+    assert stats.exact_quantiles(df.where("false"), "v", probs, [], 2).count() == 0
