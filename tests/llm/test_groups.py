@@ -107,6 +107,21 @@ def test_line_dedup_by_brute_force(spark, docs, no_docs):
     assert lines.dedup_lines(docs).columns == [*docs.columns, "_dropped"] and lines.dedup_lines(no_docs).count() == 0
 
 
+def test_lines_of_one_large_group(spark):
+    """Near copies of one line, of which many have no link to the bucket's least line."""
+    rng = random.Random(8)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)]
+    rows = []
+    for doc in range(120):
+        text = list(base)
+        for at in rng.sample(range(300), 1 if doc % 8 == 0 else 2):  # two lines with two changes each are mostly no link
+            text[at] = rng.choice("0123456789")
+        rows.append((doc, "".join(text)))
+    want = _line_brute(rows)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(map(bool, want.values())) < 10
+
+
 def test_leaks_by_brute_force(spark, docs, no_docs):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
