@@ -10,10 +10,12 @@ after another is the pair's count, smoothed with the word's own:
 The filter is cut into segments by the n-gram's hash.  One pass over the training
 texts counts words and pairs together; one shuffle brings the pre-summed counts of
 a segment together, packed as one row for each task and segment, where its bits
-are set and the exact counts of its words are summed up.  The segments are joined
-on the driver and broadcast.  A segment has BITS_PER_ITEM bits for each item, but
-all together have MAX_BYTES at most: beyond it no n-gram is left out, the chance
-of a level too many grows.
+are set and the exact counts of its words are summed up.  A segment has
+BITS_PER_ITEM bits for each item, whatever the corpus.  While all segments have
+MAX_BYTES at most, they are joined on the driver and broadcast.  Beyond it they
+stay a table: the texts to score are taken in chunks, the different n-grams of a
+chunk go to their segments by a shuffle, and the levels that are found come back
+to the chunk by another.  Either way gives the same score.
 
 The base score needs exact counts.  The HOT_WORDS most frequent words go to the
 workers with their counts; occurrences of other words are joined with the table
@@ -35,11 +37,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from flowtrace.llm.common import fold, small_batches, stored
+from flowtrace.llm.common import TEXT_BATCH_ROWS, fold, small_batches, stored
 
 END = b"\n"  # no word holds a line feed
-BITS_PER_ITEM, PROBES, MAX_BYTES = 8, 4, 256 << 20
+BITS_PER_ITEM, PROBES = 8, 4
+#: Bytes of a filter that is broadcast, at most; a larger one stays a table.
+MAX_BYTES = 256 << 20
+#: Bytes of text whose n-grams are looked up together in a filter that stays a table.
+CHUNK_BYTES = 16 << 20
+#: Bits of a segment that ``_slots`` can tell apart.
+MOST_BITS = 1 << 32
 #: Words whose counts are broadcast.
 HOT_WORDS = 200_000
 #: Tokens whose n-grams a task sums up before it hands them on, and different words that it numbers at most.
@@ -154,8 +163,16 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(counts)).astype("i8") + 1
 
 
+def _middles(level: np.ndarray) -> np.ndarray:
+    """Counts for levels: the middle of the level's range."""
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1)))
+
+
 def _segment_bits(most: int):
-    """Sum up the counts of a segment: a row with its bits, and a row for each of its words."""
+    """Sum up the counts of a segment: a row with its bits, and a row for each of its words.
+
+    A segment that would need more than ``most`` bits is an error.
+    """
 
     def build(rows: pa.Table) -> pa.Table:
         hs = [np.frombuffer(x, "u8") for x in rows.column("h").to_pylist()]
@@ -166,7 +183,9 @@ def _segment_bits(most: int):
         words = words.group_by("token").aggregate([("n", "sum")])
         h, inverse = np.unique(np.concatenate(hs), return_inverse=True)
         levels = _levels(np.bincount(inverse, np.concatenate(ns)))
-        size = max(64, min(most, int(levels.sum()) * BITS_PER_ITEM) // 64 * 64)
+        size = max(64, int(levels.sum()) * BITS_PER_ITEM // 64 * 64)
+        if size > most:
+            raise ValueError(f"a segment of {size} bits, more than {most}")
         bits = np.zeros(size, bool)
         for level in range(1, int(levels.max()) + 1):
             items = _items(h[levels >= level], level)
@@ -191,8 +210,8 @@ class Filter:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype("u8")
         self.bytes = np.frombuffer(b"".join(parts[s] for s in sorted(parts)), "u1")
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Counts of n-grams as the filter has them: the middle of the level's range, 0 if absent."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels of n-grams as the filter has them, 0 if absent."""
         level = np.zeros(len(h), "i8")
         segment = (h >> self.shift).astype("i8")
         alive = np.flatnonzero(self.sizes[segment] > 0)
@@ -208,19 +227,38 @@ class Filter:
             at += 1
             if at > 62:
                 break
-        return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1)))
+        return level
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return _middles(self.levels(h))
+
+
+class Found:
+    """The levels of a chunk's n-grams that the filter has."""
 
+    def __init__(self, h: np.ndarray, levels: np.ndarray) -> None:
+        order = np.argsort(h)
+        self.h, self.levels = h[order], levels[order]
 
-def learn_counts(texts: DataFrame) -> tuple[Filter, DataFrame]:
-    """The filter, and ``token`` (binary) and ``n`` of every word."""
-    n_bytes, segments = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], LEAST_SEGMENTS
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.h):
+            return np.zeros(len(h))
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return _middles(np.where(self.h[at] == h, self.levels[at], 0).astype("i8"))
+
+
+def _text_bytes(texts: DataFrame) -> int:
+    return texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def learn_counts(texts: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """The filter (``segment``, ``bits``), the number of its segments, and ``token`` (binary) and ``n`` of every word."""
+    n_bytes, segments = _text_bytes(texts), LEAST_SEGMENTS
     while segments * SEGMENT_BYTES < n_bytes:
         segments *= 2
-    build = _segment_bits(8 * MAX_BYTES // segments)
-    made = stored(_ngram_counts(texts, segments).groupBy("segment").applyInArrow(build, "segment int, bits binary, token binary, n bigint"))
-    # MAX_BYTES at most come back, whatever the corpus
-    parts = {r.segment: bytes(r.bits) for r in made.filter("bits is not null").select("segment", "bits").toLocalIterator()}
-    return Filter(parts, segments), made.filter("token is not null").select("token", "n")
+    made = stored(_ngram_counts(texts, segments).groupBy("segment").applyInArrow(
+        _segment_bits(MOST_BITS), "segment int, bits binary, token binary, n bigint"))
+    return made.filter("bits is not null").select("segment", "bits"), segments, made.filter("token is not null").select("token", "n")
 
 
 def score(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,16 +268,19 @@ def score(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = df.sparkSession
     small_batches(spark)
-    bloom, counts = learn_counts(_texts(training, id_col, text_col))
+    bits, segments, counts = learn_counts(_texts(training, id_col, text_col))
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = total + 0.5 * (different + 1)
     hot = {bytes(r.token): math.log10((r.n + 0.5) / below) for r in counts.orderBy(F.desc("n"), "token").limit(HOT_WORDS).collect()}
-    shared = spark.sparkContext.broadcast((bloom, hot))
     rows = _texts(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = stored(rows.mapInArrow(
-        _scorer(shared, below),
-        f"doc_id {kind}, row bigint, n_tokens bigint, n_hot bigint, hot_score double, score double, rest array<binary>"))
+    made = f"doc_id {kind}, row bigint, n_tokens bigint, n_hot bigint, hot_score double, score double, rest array<binary>"
+    size = bits.agg(F.coalesce(F.sum(F.octet_length("bits").cast("bigint")), F.lit(0))).first()[0]
+    if size <= MAX_BYTES:
+        bloom = Filter({r.segment: bytes(r.bits) for r in bits.toLocalIterator()}, segments)
+        scored = stored(rows.mapInArrow(_scorer(spark.sparkContext.broadcast((bloom, hot)), below), made))
+    else:
+        scored = stored(_score_chunks(rows, bits, segments, spark.sparkContext.broadcast((None, hot)), below, made))
     rest = scored.select("row", F.explode("rest").alias("token"))
     # words are counted before the join, within the row that has them
     rest = rest.join(counts, "token", "left").groupBy("row").agg(
@@ -250,9 +291,96 @@ def score(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
         (F.col("hot_score") + F.coalesce("rest_score", F.lit(0.0))).alias("base_score"), "score")
 
 
-def _scorer(shared, below: float):
+def _score_chunks(rows: DataFrame, bits: DataFrame, segments: int, shared, below: float, made: str) -> DataFrame:
+    """What ``_scorer`` makes of ``rows``, with a filter that is too large for a broadcast."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    # a chunk's rows, and the n-grams that it asks each segment for
+    asked = stored(rows.mapInArrow(_asker(segments, CHUNK_BYTES), f"chunk bigint, doc_id {kind}, row bigint, text binary, segment int, h binary"))
+    # a segment's n-grams are cut into parts if there is more to score than was learnt
+    parts = 1 + _text_bytes(rows) // (segments * SEGMENT_BYTES)
+    probes = asked.filter("h is not null").select("segment", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part"), "chunk", "h")
+    held = bits.select("segment", F.explode(F.sequence(F.lit(0), F.lit(parts - 1).cast("bigint"))).alias("part"), "bits")
+    levels = probes.groupBy("segment", "part").cogroup(held.groupBy("segment", "part")).applyInArrow(
+        _answerer(segments), "chunk bigint, h binary, level binary")
+    texts = asked.filter("text is not null").select("chunk", "doc_id", "row", "text")
+
+    def run(texts: pa.Table, levels: pa.Table) -> pa.Table:
+        h, level = (np.frombuffer(b"".join(levels.column(c).to_pylist()), t) for c, t in (("h", "u8"), ("level", "u1")))
+        score_rows = _scorer(shared, below, Found(h, level))
+        batches = list(score_rows(texts.select(["doc_id", "row", "text"]).to_batches(max_chunksize=TEXT_BATCH_ROWS)))
+        return pa.Table.from_batches(batches) if batches else none
+
+    none = pa.table({n: pa.array([], t) for n, t in (
+        ("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()),
+        ("hot_score", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.binary())))})
+    return texts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(run, made)
+
+
+def _asker(segments: int, chunk_bytes: int):
+    """Cut rows into chunks, named after their first row: the rows themselves, and the different n-grams for each segment."""
+    shift = np.uint64(64 - segments.bit_length() + 1)
+    bounds = np.arange(1, segments, dtype="u8") << shift
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size, numbered, pending, kind = None, 0, Numbers(), [], None
+
+        def asked() -> pa.RecordBatch:
+            hashes = _word_hashes(numbered.words)
+            h = np.unique(np.concatenate([_mix(hashes), _pair_hashes(np.concatenate(pending), hashes)]))
+            at = np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]])
+            some = np.flatnonzero(np.diff(at)).tolist()
+            n = len(some)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+                 pa.array(some, pa.int32()), pa.array([h[at[s]:at[s + 1]].tobytes() for s in some], pa.binary())], names=names)
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            texts, row, chunks = batch.column("text").to_pylist(), batch.column("row").to_pylist(), []
+            full = []
+            for text, at in zip(texts, row, strict=True):
+                if chunk is None:
+                    chunk = at
+                chunks.append(chunk)
+                pending.append(numbered.of(tokens(text)))
+                size += len(text)
+                if size >= chunk_bytes:
+                    full.append(asked())
+                    chunk, size, numbered, pending = None, 0, Numbers(), []
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(chunks, pa.int64()), batch.column("doc_id"), batch.column("row"), pa.array(texts, pa.binary()),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield from full
+        if pending:
+            yield asked()
+
+    names = ["chunk", "doc_id", "row", "text", "segment", "h"]
+    return run
+
+
+def _answerer(segments: int):
+    """The n-grams of each chunk that a segment has, with their levels."""
+
+    def run(probes: pa.Table, held: pa.Table) -> pa.Table:
+        chunks, hs, levels = [], [], []
+        if held.num_rows and probes.num_rows:
+            bloom = Filter({held.column("segment")[0].as_py(): held.column("bits")[0].as_py()}, segments)
+            for chunk, h in zip(probes.column("chunk").to_pylist(), probes.column("h").to_pylist(), strict=True):
+                h = np.frombuffer(h, "u8")
+                level = bloom.levels(h)
+                chunks.append(chunk)
+                hs.append(h[level > 0].tobytes())
+                levels.append(level[level > 0].astype("u1").tobytes())
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "h": pa.array(hs, pa.binary()), "level": pa.array(levels, pa.binary())})
+
+    return run
+
+
+def _scorer(shared, below: float, found: Found | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, hot = shared.value
+        bloom = found or bloom
         numbered, hashes = Numbers(), np.zeros(0, "u8")
         for batch in batches:
             if not batch.num_rows:

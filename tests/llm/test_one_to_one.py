@@ -150,3 +150,15 @@ def test_bloom_filter_never_undercounts():
     found = lm.Filter(parts, 64).counts(h)
     level = np.floor(np.log2(n))
     assert (found >= 2.0 ** level).all() and (found > 3 * 2.0 ** level).mean() < 0.1
+
+
+def test_language_model_score_without_a_broadcast_filter(spark, docs, monkeypatch):
+    """A filter over the broadcast bound has the same bits for an item, so the score is the same."""
+    table = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").union(docs.select("doc_id", "text"))
+    found = []
+    for most in (lm.MAX_BYTES, 0):
+        monkeypatch.setattr(lm, "MAX_BYTES", most)
+        monkeypatch.setattr(lm, "CHUNK_BYTES", 1 << 14, raising=False)
+        rows = lm.score(table, table.filter("doc_id % 3 > 0")).collect()
+        found.append(sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows))
+    assert found[0] == found[1] and len(found[0]) == table.count()
