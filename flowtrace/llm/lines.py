@@ -3,11 +3,10 @@
 Lines are compared by their sets of character shingles.  Each shingle is hashed
 once to 64 bits; xor-ed with a fixed random number, the least value over a line is
 a MinHash value (the shingle nearest to a random point, so equal for two lines
-with the chance of their Jaccard similarity).  Long lines take the shingles whose
-hash is divisible by SAMPLED, a sample that is the same for all lines.  Bands of
-four values make candidates, the exact Jaccard similarity of all shingles verifies
-them, and connected components of the links decide: of each component the first
-line stays, by document and place.
+with the chance of their Jaccard similarity).  Every line signs with all its
+shingles.  Bands of four values make candidates, the exact Jaccard similarity
+verifies them, and connected components of the links decide: of each component the
+first line stays, by document and place.
 
 Candidates are not all pairs of a band's bucket.  First each line is held against
 the bucket's least line only; where a bucket then holds lines of different
@@ -39,8 +38,6 @@ SHINGLE_CHARS, BANDS, BAND_ROWS = 9, 8, 4
 STAR_ROUNDS = 1
 #: MinHash values (of all BANDS * BAND_ROWS) in which two lines must agree to be verified beside a bucket's centre.
 AGREEING = 18
-#: Lines of more than WHOLE shingles use one in SAMPLED for their signature.
-WHOLE, SAMPLED = 128, 4
 #: Links need a Jaccard similarity of SIMILAR_PARTS / OF_PARTS.
 SIMILAR_PARTS, OF_PARTS = 4, 5
 #: Rows that are broadcast at most (16 bytes each); larger sides are joined by shuffle.
@@ -85,39 +82,26 @@ def line_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _explode_lines(_text_rows(df, id_col, text_col)).withColumn("line_id", F.xxhash64("line")).drop("line")
 
 
-def _min_hashes() -> list[Column]:
-    return [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(BANDS * BAND_ROWS))]
+def _min_hashes(lines: DataFrame) -> DataFrame:
+    """``line_id`` and m0, m1, ..., the MinHash values of all shingles of a line."""
+    wide = lines.select("line_id", F.encode("line", "UTF-32").alias("wide"))
+    last = F.greatest(F.expr("octet_length(wide) div 4") - SHINGLE_CHARS, F.lit(0)).cast("int")
+    at = wide.select("line_id", "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    hashes = at.select("line_id", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
+    return hashes.groupBy("line_id").agg(
+        *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(BANDS * BAND_ROWS))))
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
-    """``line_id`` and ``signature``, the MinHash values of all shingles of a line."""
-    wide = texts.select("line_id", F.encode("line", "UTF-32").alias("wide"))
-    last = F.greatest(F.expr("octet_length(wide) div 4") - SHINGLE_CHARS, F.lit(0)).cast("int")
-    at = wide.select("line_id", "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    least = at.select("line_id", _shingle_hash(F.col("wide"), F.col("at")).alias("h")).groupBy("line_id").agg(*_min_hashes())
-    return least.select("line_id", F.array(*(f"m{i}" for i in range(BANDS * BAND_ROWS))).alias("signature"))
+    """``line_id`` and ``signature``, the MinHash values of a line as an array."""
+    return _min_hashes(texts).select("line_id", F.array(*(f"m{i}" for i in range(BANDS * BAND_ROWS))).alias("signature"))
 
 
 def band_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``bucket`` and ``line_id``: a row for each band of each different line.
-
-    Lines of up to WHOLE shingles use them all, longer ones the sample.  Lines a
-    little longer, which may be similar to one of WHOLE shingles, do both.
-    """
+    """``bucket`` and ``line_id``: a row for each band of each different line."""
     rows = _explode_lines(_text_rows(df, id_col, text_col))
-    wide = rows.select(F.xxhash64("line").alias("line_id"), F.encode("line", "UTF-32").alias("wide"))
-    last = wide.withColumn("last", F.greatest(F.expr("octet_length(wide) div 4") - SHINGLE_CHARS, F.lit(0)).cast("int"))
-    whole, sampled = F.col("last") < WHOLE, F.col("last") * SIMILAR_PARTS >= WHOLE * OF_PARTS
-    at = last.select("line_id", "wide", whole.alias("whole"), (~whole & ~sampled).alias("twice"), F.explode(F.sequence(F.lit(0), "last")).alias("at"))
-    hashes = at.select("line_id", "whole", "twice", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
-    in_sample = F.pmod("h", F.lit(SAMPLED)) == 0
-    hashes = hashes.filter(F.col("whole") | F.col("twice") | in_sample)
-    level = F.when(F.col("whole"), F.lit(0)).when(~F.col("twice"), F.lit(1)).otherwise(F.lit(2))
-    # of lines that do both: all shingles count for level 0, those in the sample also for level 1
-    each = hashes.select("line_id", "h", F.explode(F.when(level == 0, F.array(F.lit(0))).when(level == 1, F.array(F.lit(1))).when(
-        in_sample, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("level"))
-    least = each.groupBy("line_id", "level").agg(*_min_hashes())
-    bands = F.array(*(F.xxhash64(F.lit(b), "level", *(f"m{i}" for i in range(b * BAND_ROWS, (b + 1) * BAND_ROWS))) for b in range(BANDS)))
+    least = _min_hashes(rows.select(F.xxhash64("line").alias("line_id"), "line"))
+    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{i}" for i in range(b * BAND_ROWS, (b + 1) * BAND_ROWS))) for b in range(BANDS)))
     return least.select("line_id", F.explode(bands).alias("bucket"))
 
 

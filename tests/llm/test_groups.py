@@ -122,6 +122,17 @@ def test_lines_of_one_large_group(spark):
     assert got == want and sum(map(bool, want.values())) < 10
 
 
+def test_line_dedup_of_rulers_and_repeated_phrases(spark):
+    """Long lines of few different shingles; their length says nothing about their similarity."""
+    marks = "*_#+=-~"
+    repeat = lambda phrase, n: (phrase * n)[:n]
+    made = [repeat(m, n) for m in marks for n in (20, 100, 170, 180, 200, 400)]
+    made += [repeat(f"phrase {c} again, ", n) for c in marks for n in (120, 180, 300)]
+    rows = [(doc, f"{x}\nonly here: {doc * 7919}") for doc, x in enumerate(made)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _line_brute(rows)
+
+
 def test_leaks_by_brute_force(spark, docs, no_docs):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
