@@ -7,7 +7,8 @@ votes).  A multi-index finds the items near a window: the 64 bits are cut into
 8 blocks, and two fingerprints within radius 23 differ by at most 2 bits in one
 block, so tables of the values within 2 bits of each block's value miss none.
 Exact weighted similarity of the 5-word shingles (each weighs as often as it
-occurs) then verifies: least weights over greatest weights, 0.8 or more.
+occurs) then verifies: least weights over greatest weights, 0.8 or more.  A text
+shorter than an item is one window, if it has 0.8 of the item's shingles or more.
 
 A window without a shingle of an item has similarity zero to it, so only windows
 that touch a shingle of an item of their length are fingerprinted.
@@ -122,7 +123,10 @@ class Index:
     @staticmethod
     def _windows(words: list[str], group: Items, places: list[int], best: dict) -> None:
         """Fingerprint the windows that touch a place; verify those near an item."""
-        n, k = group.n, group.k
+        n, k = min(group.n, len(words)), group.k
+        size, wanted = n - k + 1, group.n - k + 1
+        if size / wanted < SIMILARITY:  # a text too short to be that similar
+            return
         starts = sorted({s for a in places for s in range(max(0, a - n + k), min(a, len(words) - n) + 1)})
         for run in np.split(np.array(starts), np.flatnonzero(np.diff(starts) > 1) + 1) if starts else []:
             for part in range(0, len(run), 1 << 14):
@@ -130,12 +134,11 @@ class Index:
                 first, last = int(some[0]), int(some[-1])
                 hashes = np.array([_shingle(words[a:a + k]) for a in range(first, last + n - k + 1)], "u8")
                 sums = np.concatenate([np.zeros((1, 64), "i4"), np.cumsum(_votes(hashes), axis=0, dtype="i4")])
-                size = n - k + 1
                 window, item = group.near(_prints(sums[size:] - sums[:-size]))
                 for w, i in zip(window.tolist(), item.tolist(), strict=True):
                     have, want = Counter(hashes[w:w + size].tolist()), group.weights[i]
                     both = sum((have & want).values())
-                    s = both / (2 * size - both)
+                    s = both / (size + wanted - both)
                     key = group.numbers[i]
                     if s >= SIMILARITY and (key not in best or s > best[key][0]):
                         best[key] = (s, first + w, n)

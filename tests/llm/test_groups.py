@@ -159,6 +159,15 @@ def test_leaks_by_brute_force(spark, docs, no_docs):
     assert decontaminate.keep_clean(docs, bench.filter("false")).count() == 8
 
 
+def test_leaks_of_shortened_items_that_make_up_a_document():
+    words = [f"w{i}" for i in range(60)]
+    index = decontaminate.Index([(0, words)])
+    assert index.matches(" ".join(words[:57])) == [(0, 0, 57, 53 / 56)]
+    assert index.matches(" ".join(words[3:])) == [(0, 0, 57, 53 / 56)]
+    assert index.matches(" ".join(words)) == [(0, 0, 60, 1.0)]
+    assert [len(index.matches(" ".join(words[:n]))) for n in (50, 49, 48, 4)] == [1, 1, 0, 0]  # 45 of 56 shingles are the least
+
+
 @pytest.mark.parametrize("stage", range(4))
 def test_stages_keep_the_columns(spark, docs, stage):
     assert corpus_pipeline.STAGES[stage][1](spark, docs, SF001).columns == docs.columns
