@@ -3,9 +3,9 @@
 Reading is ``spark.read.text`` + ``split``: comment lines are dropped by
 prefix (so no data line is lost), fields are picked by the position the
 ``#fields`` header gives them, the unset marker ``-`` becomes NULL and
-``(empty)`` an empty set.  Headers come from the first lines of a sample of
-files (no pass over the data); only if they differ is each file's header
-found by a scan, and files that share a header share one projection.
+``(empty)`` an empty set.  The header of every file is found by a scan; only if
+headers differ are the lines joined to the header of their file, and files that
+share a header share one projection.
 
 Writing produces the same layout, one file per partition, each with its own
 header and footer, so no single task or the driver sees all rows.
@@ -41,18 +41,15 @@ def _typed(raw: Column, log_type: str, as_text: bool) -> Column:
     return val.try_cast(target)
 
 
-def log_headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, list[str], list[str]]]:
-    """(file, field names, field types) for every file; one short row per file."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    heads = (raw.where(F.col("value").startswith("#fields") | F.col("value").startswith("#types"))
-             .groupBy("file").agg(F.max(F.when(F.col("value").startswith("#fields"), F.col("value"))).alias("f"),
-                                  F.max(F.when(F.col("value").startswith("#types"), F.col("value"))).alias("t")))
-    out = []
-    for r in heads.collect():  # one row per file
-        names = r["f"].split(_SEP)[1:] if r["f"] else []
-        types = r["t"].split(_SEP)[1:] if r["t"] else ["string"] * len(names)
-        out.append((r["file"], names, types))
-    return out
+def log_headers(raw: DataFrame) -> DataFrame:
+    """``file``, its ``#fields`` and ``#types`` lines (``f``, ``t``), whether it has several different ones
+    (``mixed``), and whether it has data lines (``data``).  ``raw`` has ``value`` and ``file`` of every line."""
+    line = F.col("value")
+    fields, types = F.when(line.startswith("#fields"), line), F.when(line.startswith("#types"), line)
+    return raw.groupBy("file").agg(
+        F.max(fields).alias("f"), F.max(types).alias("t"),
+        ((F.max(fields) != F.min(fields)) | F.coalesce(F.max(types) != F.min(types), F.lit(False))).alias("mixed"),
+        F.bool_or(~line.startswith("#") & (F.length(line) > 0)).alias("data"))
 
 
 def parse_lines(lines: DataFrame, names: Sequence[str], types: Sequence[str],
@@ -70,7 +67,7 @@ def parse_lines(lines: DataFrame, names: Sequence[str], types: Sequence[str],
         raise ValueError(f"fields not in log header: {missing}")
     data = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
     parts = F.split(F.col("value"), _SEP)
-    if validate:  # the header came from a sample of files: check every line's width in the same pass
+    if validate:  # check every line's width in the same pass
         parts = F.when(F.size(parts) == len(names), parts).otherwise(
             F.raise_error(F.lit(f"log line has not {len(names)} fields; pass header= for mixed logs")).cast(
                 "array<string>"))
@@ -79,85 +76,43 @@ def parse_lines(lines: DataFrame, names: Sequence[str], types: Sequence[str],
                        *extra)
 
 
-def sample_headers(spark: SparkSession, path: str, max_files: int = 32,
-                   max_lines: int = 16) -> list[tuple[str, list[str], list[str]]] | None:
-    """Headers from the first lines of up to ``max_files`` files (Hadoop
-    FileSystem on the driver: a few hundred bytes per file, no Spark job).
-
-    Returns None when the path cannot be listed this way.
-    """
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(conf)
-        statuses = fs.globStatus(root)
-        files = []
-        for st in statuses or []:
-            if st.isDirectory():
-                files += [c for c in fs.listStatus(st.getPath()) if c.isFile()]
-            else:
-                files.append(st)
-        files = [f for f in files if not f.getPath().getName().startswith(("_", "."))]
-        out = []
-        for st in files[:max_files]:
-            stream = fs.open(st.getPath())
-            try:
-                reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-                names, types = None, None
-                for _ in range(max_lines):
-                    line = reader.readLine()
-                    if line is None or not line.startswith("#"):
-                        break
-                    if line.startswith("#fields"):
-                        names = line.split(_SEP)[1:]
-                    elif line.startswith("#types"):
-                        types = line.split(_SEP)[1:]
-            finally:
-                stream.close()
-            if names:
-                out.append((st.getPath().toString(), names, types or ["string"] * len(names)))
-        return out, len(files)
-    except Exception:  # noqa: BLE001  (fall back to a Spark scan)
-        return None
-
-
 def read_log(spark: SparkSession, path: str | Sequence[str], keep: Sequence[str] | None = None,
              as_text: bool = False, with_file: bool = False,
              header: tuple[Sequence[str], Sequence[str]] | None = None) -> DataFrame:
     """Read one or many logs of one kind; files may differ in field order.
 
     ``header``: (names, types) when known, so no discovery is needed.
-    Otherwise the headers of a sample of files are read on the driver; when
-    they agree (the usual case: one writer version) that header is used for
-    all files, and only when they differ is every file's header found with a
-    scan, files then being grouped by header.
+    Otherwise a scan finds the header of every file.  When all agree (the usual
+    case: one writer version) it is used for all files, else lines are joined to
+    the header of their file.  Lines of another width than their header, data
+    without a header and files with several headers are errors.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
                                        F.col("_metadata.file_name").alias("file_name"))
-    groups: dict[tuple, list[str]] | None = None
-    validate = False
     if header is not None:
-        groups = {(tuple(header[0]), tuple(header[1])): []}
-    elif isinstance(path, str):
-        sampled = sample_headers(spark, path)
-        if sampled:
-            heads, n_files = sampled
-            distinct = {(tuple(n), tuple(t)) for _, n, t in heads}
-            if len(distinct) == 1:
-                groups = {distinct.pop(): []}
-                validate = True
-    if groups is None:
-        headers = log_headers(spark, path)
-        if not headers:
+        parts = [(raw, *header)]
+    else:
+        heads = log_headers(raw.select("value", "file"))
+        # one row per layout
+        layouts = heads.groupBy("f", "t").agg(F.min("file").alias("file"), F.bool_or("mixed").alias("mixed"),
+                                              F.bool_or("data").alias("data")).orderBy("file").collect()
+        for r in layouts:
+            if r["mixed"]:
+                raise ValueError(f"several different headers in one of the files like {r['file']}")
+            if r["f"] is None and r["data"]:
+                raise ValueError(f"no #fields header in {r['file']}")
+        layouts = [r for r in layouts if r["f"] is not None]
+        if not layouts:
             raise ValueError(f"no #fields header under {path}")
-        groups = {}
-        for file, names, types in headers:
-            groups.setdefault((tuple(names), tuple(types)), []).append(file)
+        parts = []
+        for r in layouts:
+            names = r["f"].split(_SEP)[1:]
+            types = r["t"].split(_SEP)[1:] if r["t"] else ["string"] * len(names)
+            own = heads.where(F.col("f").eqNullSafe(F.lit(r["f"])) & F.col("t").eqNullSafe(F.lit(r["t"]))).select("file")
+            parts.append((raw if len(layouts) == 1 else raw.join(own, "file", "left_semi"), names, types))
     frames = []
-    for (names, types), files in groups.items():
-        part = raw if len(groups) == 1 else raw.where(F.col("file").isin(files))
-        df = parse_lines(part.select("value", "file_name"), names, types, keep, as_text, validate)
+    for part, names, types in parts:
+        df = parse_lines(part.select("value", "file_name"), names, types, keep, as_text, validate=header is None)
         frames.append(df if with_file else df.drop("file_name"))
     out = frames[0]
     for f in frames[1:]:

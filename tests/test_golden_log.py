@@ -111,3 +111,18 @@ def test_files_with_different_field_order(spark):
     got = {r["uid"]: (r["ts"], r["resp_bytes"]) for r in
            zeek.read_log(spark, single, ["uid", "ts", "resp_bytes"]).collect()}
     assert got == {"Ca": (1.5, 10), "Cb": (2.5, 20)}
+
+
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    """Late files of a folder with the same fields in another order, or with more fields."""
+    fields = [("ts", "time"), ("uid", "string"), ("resp_bytes", "count")]
+    for i in range(40):
+        order = fields if i < 36 else fields[::-1] if i < 38 else [("proto", "enum"), *fields]
+        row = {"ts": f"{i}.5", "uid": f"C{i}", "resp_bytes": str(100 + i), "proto": "tcp"}
+        lines = zeek.header_lines("conn", order) + ["\t".join(row[n] for n, _ in order), "#close\tx"]
+        (tmp_path / f"conn-{i:03d}.log").write_text("\n".join(lines) + "\n")
+    got = {r["uid"]: (r["ts"], r["resp_bytes"]) for r in zeek.read_log(spark, str(tmp_path), ["uid", "ts", "resp_bytes"]).collect()}
+    assert got == {f"C{i}": (i + 0.5, 100 + i) for i in range(40)}
+    (tmp_path / "conn-040.log").write_text("1.5\tCx\t7\n")
+    with pytest.raises(ValueError, match="conn-040"):
+        zeek.read_log(spark, str(tmp_path), ["uid"])
