@@ -1010,8 +1010,8 @@ def stream_traces(spark, sf_dir):
 SELECT {_TK}, flowct, stdev_dest_bytes, stdev_dest_pkts, stdev_duration, stdev_src_bytes, stdev_src_pkts,
        mean_intvl, stdev_intvl, CAST(0 AS BIGINT) AS late_rows FROM traces"""))
 def stream_deviation(spark, sf_dir):
-    out, ck = csvio.scratch_path(spark, "stream_dev"), csvio.scratch_path(spark, "stream_dev_ck")
-    st.run_available(st.stream_running_deviation(st.flows_stream(spark, sf_dir)), out, ck, mode="update")
+    out, rows, ck = (csvio.scratch_path(spark, n) for n in ("stream_dev", "stream_dev_rows", "stream_dev_ck"))
+    st.run_deviation(st.flows_stream(spark, sf_dir), out, rows, ck)
     return st.read_latest(spark, out, tr.TRACE_KEY)
 
 
