@@ -189,7 +189,8 @@ def _links(points: DataFrame, reach: int, top: TopTree) -> DataFrame:
 
 
 def groups(rows: DataFrame, reach: int = MAX_DISTANCE) -> DataFrame:
-    """``fp``, ``least`` (least id with it) and ``component_id`` for every fingerprint of ``rows`` (doc_id, fp)."""
+    """``fp``, ``least`` (least id with it), ``component_id`` and ``root`` (least fingerprint of the component) for every
+    fingerprint of ``rows`` (doc_id, fp)."""
     points = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     total = points.count()
     # the smallest hashes: the same sample every time, and one of all points
@@ -203,7 +204,7 @@ def groups(rows: DataFrame, reach: int = MAX_DISTANCE) -> DataFrame:
     of_point = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = roots.join(points, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     return of_point.join(linked, "root", "left").select(
-        "fp", "least", F.coalesce("component_id", "least").alias("component_id"))
+        "fp", "least", F.coalesce("component_id", "least").alias("component_id"), "root")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS,
@@ -230,7 +231,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     rows = materialise(fingerprints(ids, n=n).select("row.doc_id", "fp"))
     found = groups(rows, reach).filter(F.col("least").eqNullSafe(F.col("component_id")))
     # of several fingerprints that have the least id, the least one
-    keep = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min("fp").alias("fp"))
+    keep = found.groupBy("root", "component_id").agg(F.min("fp").alias("fp"))
     whole = fingerprints(df, text_col, n)
     kept = whole.join(keep, (whole.fp == keep.fp) & whole.row[id_col].eqNullSafe(keep.component_id), "left_semi")
     return kept.select("row", "fp", F.col(f"row.`{id_col}`").alias("id")).dropDuplicates(["fp", "id"]).select("row.*")

@@ -69,6 +69,13 @@ def test_near_duplicates_by_brute_force(spark, docs, no_docs, monkeypatch):
     assert simhash.keep_one(docs).filter("doc_id = 7").count() == 1 and simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_groups_that_share_an_id_each_keep_a_row(spark):
+    one, other = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(1, one), (1, other), (2, one), (3, other)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, one), (1, other)]
+
+
 def _line_brute(rows):
     first = {}
     for doc, text in rows:
