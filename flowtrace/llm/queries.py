@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtrace.llm import bpe, decontaminate, langid, lines, lm, quality, rules, secrets, simhash, viterbi
+from flowtrace.llm import bpe, decontaminate, langid, lines, lm, merkle, quality, rules, secrets, simhash, viterbi
 from flowtrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,46 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_language_model")
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_held_out(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Levels are written out: enough for 16 to the power of ``levels`` leaves a source, and as many sources."""
+    digest = lambda text: "sha256(" + " || ".join(
+        f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 of the id's digits, bit by bit
+    crc = ("xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), "
+           "lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], "
+           "[0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))")
+    parts = [f"""d AS (SELECT doc_id, source, {digest("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {digest(low)} END AS bad FROM documents),
+r AS (SELECT doc_id, leaf, coalesce(bad, leaf) AS x, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+a0 AS (SELECT s, i, n, leaf AS h FROM r)"""]
+    run = "string_agg(h, '' ORDER BY i)"
+    side = lambda frame: f"coalesce(string_agg(h, '') OVER (PARTITION BY s, i // 16 ORDER BY i ROWS BETWEEN {frame}), '')"
+    for tree in "ab":
+        if tree == "b":
+            parts.append(f"b0 AS (SELECT 0 AS s, s AS i, count(*) OVER () AS n, h FROM a{levels})")
+        for k in range(levels):
+            parts.append(f"{tree}{k + 1} AS (SELECT s, i // 16 AS i, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN min(h) ELSE sha256({run}) END AS h "
+                         f"FROM {tree}{k} GROUP BY s, i // 16, n)")
+            parts.append(f"{tree}p{k} AS (SELECT s, i, n, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, "
+                         f"{side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS g FROM {tree}{k})")
+    last = "r"
+    for tree, top in (("a", "last.s"), ("b", "0")):
+        for k in range(levels):
+            place = "last.i" if tree == "a" else "last.s"
+            seen = "''" if last == "r" else "last.proof"
+            parts.append(f"{tree}w{k} AS (SELECT last.doc_id, last.leaf, last.s, last.i, {seen} || p.l || p.g AS proof, "
+                         f"CASE WHEN p.n = 1 THEN last.x ELSE sha256(p.l || last.x || p.g) END AS x "
+                         f"FROM {last} AS last JOIN {tree}p{k} AS p ON p.s = {top} AND p.i = {place} // {16 ** k})")
+            last = f"{tree}w{k}"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT w.doc_id, w.leaf, t.h AS subroot, u.h AS root, sha256(w.proof) AS proof_sha256, w.x AS folded_root, w.x = u.h AS verified
+FROM {last} AS w JOIN a{levels} AS t ON t.s = w.s CROSS JOIN b{levels} AS u"""
+
+
+@_query("op11_merkle_manifest", _merkle_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.audit(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
