@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtrace.llm import bpe, decontaminate, langid, lines, lm, merkle, quality, rules, secrets, simhash, viterbi
+from flowtrace.llm import bpe, decontaminate, langid, lines, lm, merkle, quality, rules, search, secrets, simhash, viterbi
 from flowtrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,22 @@ FROM {last} AS w JOIN a{levels} AS t ON t.s = w.s CROSS JOIN b{levels} AS u"""
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle.audit(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@_query("op12_lexical_search", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS t FROM d) GROUP BY r, doc_id, len(w), t),
+f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, n_docs),
+q AS (SELECT k, item_id, t, count(*) AS qtf FROM (SELECT row_number() OVER () AS k, item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY k, item_id, t),
+m AS (SELECT k, item_id, r, doc_id,
+  sum(qtf * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN f USING (t) JOIN p USING (t), s GROUP BY k, item_id, r, doc_id),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank, doc_id, score FROM m WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
