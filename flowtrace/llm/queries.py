@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtrace.llm import bpe, decontaminate, langid, lines, lm, merkle, quality, rules, search, secrets, simhash, viterbi
+from flowtrace.llm import bpe, decontaminate, langid, lines, lm, merkle, quality, rules, search, secrets, setjoin, simhash, viterbi
 from flowtrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,21 @@ o AS (SELECT item_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""")
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op13_jaccard_join", r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM d),
+u AS (SELECT r, len(g) AS n, unnest(g) AS t FROM s),
+p AS (SELECT a.r AS x, b.r AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM u AS a JOIN u AS b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 85 * (nx + ny - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y AS x, x AS y FROM l),
+reach AS (SELECT x AS r, x AS v FROM e UNION SELECT reach.r, e.y AS v FROM reach JOIN e ON e.x = reach.v),
+comp AS (SELECT reach.r, min(s.doc_id) AS least FROM reach JOIN s ON s.r = reach.v GROUP BY reach.r)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, CASE WHEN comp.r IS NULL THEN s.doc_id ELSE comp.least END AS component_id
+FROM s LEFT JOIN comp ON comp.r = s.r""")
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join_components(table(spark, sf_dir, "documents"))
