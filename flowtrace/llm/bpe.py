@@ -34,10 +34,10 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: No pre-token goes on behind a chunk: a run of other characters with the blank before it, or white space.
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
-#: Chunks kept by a worker, and the longest one that is kept.
-CACHE_SIZE, CACHE_CHARS = 1 << 19, 64
-#: Pairs of tokens whose compatibility is kept by a worker.
-PAIR_CACHE_SIZE, PAIR_BASE = 1 << 20, 1 << 24
+#: Bytes of chunks with their ids that a worker keeps, what an entry takes beside its characters, and the longest chunk that is kept.
+CACHE_BYTES, ENTRY_BYTES, CACHE_CHARS = 64 << 20, 200, 64
+#: Pairs of tokens whose compatibility is kept by a worker (about 120 bytes each).
+PAIR_CACHE_SIZE, PAIR_BASE = 1 << 19, 1 << 24
 
 
 def byte_letters() -> list[str]:
@@ -49,16 +49,36 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class Bpe:
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+class Pieces:
+    """The bytes of every token: all that decoding needs."""
+
+    def __init__(self, spec: dict) -> None:
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.token_bytes: list[bytes | None] = [None] * (max([*spec["model"]["vocab"].values(), *special.values()]) + 1)
+        for text, token in spec["model"]["vocab"].items():
+            self.token_bytes[token] = bytes(byte_of[c] for c in text)
+        for text, token in special.items():
+            self.token_bytes[token] = text.encode()
+
+    def decode(self, ids: list[int]) -> str:
+        pieces = self.token_bytes
+        return b"".join([pieces[i] for i in ids]).decode("utf-8", errors="replace")
+
+
+class Bpe(Pieces):
     """A byte-level BPE vocabulary with its encoder and decoder."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, spec: dict) -> None:
+        super().__init__(spec)
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.letters = byte_letters()
-        byte_of = {c: b for b, c in enumerate(self.letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pattern = regex.compile(PRE_TOKEN)
@@ -75,14 +95,9 @@ class Bpe:
             if token not in self.parts or self._whole(token):
                 self.automaton.add_word(text, (token, len(text)))
         self.automaton.make_automaton()
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.token_bytes: list[bytes | None] = [None] * size
-        for text, token in vocab.items():
-            self.token_bytes[token] = bytes(byte_of[c] for c in text)
-        for text, token in self.special.items():
-            self.token_bytes[token] = text.encode()
         self.pairs: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     def _whole(self, token: int) -> bool:
         """Do the merges make this token of its own bytes?  True if its two parts may meet up to its own merge."""
@@ -142,8 +157,10 @@ class Bpe:
             ids += self._last_tokens("".join([letters[b] for b in word.encode()]))
         packed = np.array(ids, "<u4").tobytes()
         if len(chunk) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_SIZE:
+            self.cached += len(chunk) + len(packed) + ENTRY_BYTES
+            if self.cached > CACHE_BYTES:
                 self.cache.clear()
+                self.cached = 0
             self.cache[chunk] = packed
         return packed
 
@@ -161,19 +178,15 @@ class Bpe:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
-    def decode(self, ids: list[int]) -> str:
-        pieces = self.token_bytes
-        return b"".join([pieces[i] for i in ids]).decode("utf-8", errors="replace")
-
 
-_LOADED: dict[str, Bpe] = {}
+_LOADED: dict[tuple[type, str], Pieces] = {}
 
 
-def load(path: str) -> Bpe:
-    """The vocabulary, read once in each worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+def load(path: str, kind: type = Bpe) -> Pieces:
+    """The vocabulary, read once in each worker; ``Pieces`` for workers that only decode."""
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(_spec(path))
+    return _LOADED[kind, path]
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -197,7 +210,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     small_batches(df.sparkSession)
 
     def texts(batch: pa.RecordBatch) -> dict[str, object]:
-        bpe, lists = load(path), batch.column("ids").fill_null([])
+        bpe, lists = load(path, Pieces), batch.column("ids").fill_null([])
         ends, ids = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False).tolist()
         return {"decoded": pa.array([bpe.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())}
 
@@ -215,3 +228,22 @@ def digest_ids(df: DataFrame) -> DataFrame:
                 "ids_sha256": pa.array([hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())}
 
     return map_batches(df, digest, "n_tokens bigint, ids_sha256 string")
+
+
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids``, ``ids_sha256`` and ``decoded_sha256`` (digest of the text that the ids decode to).
+
+    Encoding, decoding and both digests in one pass, so that a task has one worker.
+    """
+    small_batches(df.sparkSession)
+
+    def made(batch: pa.RecordBatch) -> dict[str, object]:
+        bpe = load(path)
+        packed = [bpe.encode(t) for t in batch.column("text").to_pylist()]
+        decoded = [hashlib.sha256(bpe.decode(np.frombuffer(p, "<u4").tolist()).encode()).hexdigest() for p in packed]
+        return {"n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()), "ids": _lists(packed),
+                "ids_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                "decoded_sha256": pa.array(decoded, pa.string())}
+
+    return map_batches(id_and_text(df, id_col, text_col), made,
+                       "n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string").drop("text")

@@ -43,8 +43,8 @@ from flowtrace.llm.common import TEXT_BATCH_ROWS, fold, small_batches, stored
 
 END = b"\n"  # no word holds a line feed
 BITS_PER_ITEM, PROBES = 8, 4
-#: Bytes of a filter that is broadcast, at most; a larger one stays a table.
-MAX_BYTES = 256 << 20
+#: Bytes of a filter that is broadcast, at most; a larger one stays a table.  The driver holds it twice for a moment.
+MAX_BYTES = 128 << 20
 #: Bytes of text whose n-grams are looked up together in a filter that stays a table.
 CHUNK_BYTES = 16 << 20
 #: Bits of a segment that ``_slots`` can tell apart.
@@ -101,16 +101,22 @@ def _pair_hashes(numbers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return _mix(before * np.uint64(0x9E3779B97F4A7C15) + own)
 
 
+def _shift(segments: int) -> np.uint64:
+    return np.uint64(64 - segments.bit_length() + 1)
+
+
+def _by_segment(h: np.ndarray, shift: np.uint64) -> dict[int, slice]:
+    """Where the sorted hashes of each segment lie, for segments that have any."""
+    found, starts = np.unique(h >> shift, return_index=True)
+    return {s: slice(a, b) for s, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True)}
+
+
 def _ngram_counts(texts: DataFrame, segments: int) -> DataFrame:
     """Counts of n-grams, summed up within tasks: a row for each segment.
 
     ``h`` and ``n`` pack hashes and counts; the first of them belong to the words in ``tokens``.
     """
-    shift = np.uint64(64 - segments.bit_length() + 1)
-    bounds = np.arange(1, segments, dtype="u8") << shift
-
-    def cut(h: np.ndarray) -> np.ndarray:
-        return np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]])
+    shift, none = _shift(segments), slice(0, 0)
 
     def packed(numbered: Numbers, pending: list[np.ndarray]) -> pa.RecordBatch:
         numbers, hashes = np.concatenate(pending), _word_hashes(numbered.words)
@@ -121,13 +127,11 @@ def _ngram_counts(texts: DataFrame, segments: int) -> DataFrame:
         order = order[n_words[order] > 0]
         words, n_words = words[order], n_words[order]
         tokens_ = [numbered.words[i] for i in order.tolist()]
-        at_word, at_pair = cut(words), cut(pairs)
-        rows = []
-        for s in range(segments):
-            w, p = slice(at_word[s], at_word[s + 1]), slice(at_pair[s], at_pair[s + 1])
-            if w.stop > w.start or p.stop > p.start:
-                rows.append((s, words[w].tobytes() + pairs[p].tobytes(),
-                             n_words[w].astype("u4").tobytes() + n_pairs[p].astype("u4").tobytes(), tokens_[w]))
+        at_word, at_pair, rows = _by_segment(words, shift), _by_segment(pairs, shift), []
+        for s in sorted(at_word.keys() | at_pair.keys()):
+            w, p = at_word.get(s, none), at_pair.get(s, none)
+            rows.append((s, words[w].tobytes() + pairs[p].tobytes(),
+                         n_words[w].astype("u4").tobytes() + n_pairs[p].astype("u4").tobytes(), tokens_[w]))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())), strict=True)],
             names=["segment", "h", "n", "tokens"])
@@ -204,16 +208,31 @@ def _segment_bits(most: int):
 class Filter:
     """The log-frequency Bloom filter."""
 
-    def __init__(self, parts: dict[int, bytes], segments: int) -> None:
-        self.shift = np.uint64(64 - segments.bit_length() + 1)
-        self.sizes = np.array([8 * len(parts.get(s, b"")) for s in range(segments)], "u8")
+    def __init__(self, sizes: np.ndarray, held: np.ndarray, shift: np.uint64 | None) -> None:
+        """``sizes``: bytes of each segment; ``held``: their bits, one after another; no ``shift``: one segment for all."""
+        self.shift, self.sizes = shift, sizes.astype("u8") * np.uint64(8)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype("u8")
-        self.bytes = np.frombuffer(b"".join(parts[s] for s in sorted(parts)), "u1")
+        self.bytes = held
+
+    @classmethod
+    def whole(cls, bits: DataFrame, segments: int) -> Filter:
+        """The filter of all segments (``segment``, ``bits``), taken to the driver segment by segment."""
+        sizes = np.zeros(segments, "i8")
+        for r in bits.select("segment", F.octet_length("bits").alias("n")).collect():
+            sizes[r.segment] = r.n
+        ends, held = np.cumsum(sizes), np.zeros(int(sizes.sum()), "u1")
+        for r in bits.toLocalIterator():
+            held[ends[r.segment] - sizes[r.segment]:ends[r.segment]] = np.frombuffer(r.bits, "u1")
+        return cls(sizes, held, _shift(segments))
+
+    @classmethod
+    def one(cls, bits: bytes) -> Filter:
+        return cls(np.array([len(bits)]), np.frombuffer(bits, "u1"), None)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Levels of n-grams as the filter has them, 0 if absent."""
         level = np.zeros(len(h), "i8")
-        segment = (h >> self.shift).astype("i8")
+        segment = np.zeros(len(h), "i8") if self.shift is None else (h >> self.shift).astype("i8")
         alive = np.flatnonzero(self.sizes[segment] > 0)
         at = 1
         while len(alive):
@@ -276,11 +295,12 @@ def score(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = f"doc_id {kind}, row bigint, n_tokens bigint, n_hot bigint, hot_score double, score double, rest array<binary>"
     size = bits.agg(F.coalesce(F.sum(F.octet_length("bits").cast("bigint")), F.lit(0))).first()[0]
-    if size <= MAX_BYTES:
-        bloom = Filter({r.segment: bytes(r.bits) for r in bits.toLocalIterator()}, segments)
-        scored = stored(rows.mapInArrow(_scorer(spark.sparkContext.broadcast((bloom, hot)), below), made))
-    else:
-        scored = stored(_score_chunks(rows, bits, segments, spark.sparkContext.broadcast((None, hot)), below, made))
+    bloom = Filter.whole(bits, segments) if size <= MAX_BYTES else None
+    shared = spark.sparkContext.broadcast((bloom, hot))
+    del bloom, hot  # the workers have them
+    whole = rows.mapInArrow(_scorer(shared, below), made) if size <= MAX_BYTES else _score_chunks(rows, bits, segments, shared, below, made)
+    scored = stored(whole)
+    shared.destroy()
     rest = scored.select("row", F.explode("rest").alias("token"))
     # words are counted before the join, within the row that has them
     rest = rest.join(counts, "token", "left").groupBy("row").agg(
@@ -301,7 +321,7 @@ def _score_chunks(rows: DataFrame, bits: DataFrame, segments: int, shared, below
     probes = asked.filter("h is not null").select("segment", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part"), "chunk", "h")
     held = bits.select("segment", F.explode(F.sequence(F.lit(0), F.lit(parts - 1).cast("bigint"))).alias("part"), "bits")
     levels = probes.groupBy("segment", "part").cogroup(held.groupBy("segment", "part")).applyInArrow(
-        _answerer(segments), "chunk bigint, h binary, level binary")
+        _answer, "chunk bigint, h binary, level binary")
     texts = asked.filter("text is not null").select("chunk", "doc_id", "row", "text")
 
     def run(texts: pa.Table, levels: pa.Table) -> pa.Table:
@@ -318,8 +338,7 @@ def _score_chunks(rows: DataFrame, bits: DataFrame, segments: int, shared, below
 
 def _asker(segments: int, chunk_bytes: int):
     """Cut rows into chunks, named after their first row: the rows themselves, and the different n-grams for each segment."""
-    shift = np.uint64(64 - segments.bit_length() + 1)
-    bounds = np.arange(1, segments, dtype="u8") << shift
+    shift = _shift(segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size, numbered, pending, kind = None, 0, Numbers(), [], None
@@ -327,12 +346,11 @@ def _asker(segments: int, chunk_bytes: int):
         def asked() -> pa.RecordBatch:
             hashes = _word_hashes(numbered.words)
             h = np.unique(np.concatenate([_mix(hashes), _pair_hashes(np.concatenate(pending), hashes)]))
-            at = np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]])
-            some = np.flatnonzero(np.diff(at)).tolist()
-            n = len(some)
+            at = _by_segment(h, shift)
+            n = len(at)
             return pa.RecordBatch.from_arrays(
                 [pa.array([chunk] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-                 pa.array(some, pa.int32()), pa.array([h[at[s]:at[s + 1]].tobytes() for s in some], pa.binary())], names=names)
+                 pa.array(list(at), pa.int32()), pa.array([h[part].tobytes() for part in at.values()], pa.binary())], names=names)
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
@@ -359,22 +377,18 @@ def _asker(segments: int, chunk_bytes: int):
     return run
 
 
-def _answerer(segments: int):
+def _answer(probes: pa.Table, held: pa.Table) -> pa.Table:
     """The n-grams of each chunk that a segment has, with their levels."""
-
-    def run(probes: pa.Table, held: pa.Table) -> pa.Table:
-        chunks, hs, levels = [], [], []
-        if held.num_rows and probes.num_rows:
-            bloom = Filter({held.column("segment")[0].as_py(): held.column("bits")[0].as_py()}, segments)
-            for chunk, h in zip(probes.column("chunk").to_pylist(), probes.column("h").to_pylist(), strict=True):
-                h = np.frombuffer(h, "u8")
-                level = bloom.levels(h)
-                chunks.append(chunk)
-                hs.append(h[level > 0].tobytes())
-                levels.append(level[level > 0].astype("u1").tobytes())
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "h": pa.array(hs, pa.binary()), "level": pa.array(levels, pa.binary())})
-
-    return run
+    chunks, hs, levels = [], [], []
+    if held.num_rows and probes.num_rows:
+        bloom = Filter.one(held.column("bits")[0].as_py())
+        for chunk, h in zip(probes.column("chunk").to_pylist(), probes.column("h").to_pylist(), strict=True):
+            h = np.frombuffer(h, "u8")
+            level = bloom.levels(h)
+            chunks.append(chunk)
+            hs.append(h[level > 0].tobytes())
+            levels.append(level[level > 0].astype("u1").tobytes())
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "h": pa.array(hs, pa.binary()), "level": pa.array(levels, pa.binary())})
 
 
 def _scorer(shared, below: float, found: Found | None = None):

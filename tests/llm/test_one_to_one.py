@@ -42,6 +42,22 @@ def test_bpe_operator_edge_rows(docs, no_docs):
     assert bpe.decode(bpe.encode(no_docs, BPE), BPE).count() == 0
 
 
+def test_bpe_round_trip_in_one_pass(docs, no_docs):
+    made = bpe.round_trip(docs, BPE)
+    assert made.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and bpe.round_trip(no_docs, BPE).count() == 0
+    steps = bpe.digest_ids(bpe.decode(bpe.encode(docs, BPE), BPE)).withColumn("decoded_sha256", F.sha2("decoded", 256)).select(made.columns)
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(map(tuple, steps.collect()), key=repr)
+
+
+def test_bpe_cache_is_bounded_and_changes_nothing(monkeypatch):
+    texts = _random_texts(300, "abcd éß  ", 3)
+    want = [bpe.load(BPE).encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    small = bpe.Bpe(bpe._spec(BPE))
+    assert [small.encode(t) for t in texts] == want and small.cached <= 2000 and len(small.cache) < 10
+    assert bpe.load(BPE, bpe.Pieces).decode(np.frombuffer(want[0], "<u4").tolist()) == texts[0]
+
+
 def test_viterbi_counts_equal_the_library(docs, no_docs):
     model = viterbi.load(PIECES)
     pieces = [("<unk>", 0.0), *model.scores.items(), *((f"<0x{i:02X}>", 0.0) for i in range(256))]
@@ -147,7 +163,11 @@ def test_bloom_filter_never_undercounts():
             made = lm._segment_bits(1 << 30)(t)
             parts[s] = made.column("bits")[0].as_py()
             assert made.column("token").to_pylist() == [None, b"w"] and made.column("n")[1].as_py() == n[own][0]
-    found = lm.Filter(parts, 64).counts(h)
+    sizes = np.array([len(parts.get(s, b"")) for s in range(64)])
+    found = lm.Filter(sizes, np.frombuffer(b"".join(parts[s] for s in sorted(parts)), "u1"), lm._shift(64)).counts(h)
+    for s in parts:  # a segment of its own has the same answers
+        own = (h >> shift) == s
+        assert (lm.Filter.one(parts[s]).counts(h[own]) == found[own]).all()
     level = np.floor(np.log2(n))
     assert (found >= 2.0 ** level).all() and (found > 3 * 2.0 ** level).mean() < 0.1
 
