@@ -12,7 +12,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowtrace.llm import bpe, decontaminate, lines, rules, simhash
 from flowtrace.llm.common import table
@@ -41,9 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: the token ids of every text, and the digest of the text that they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.digest_ids(bpe.decode(bpe.encode(docs, path), path))
-    return both.select("doc_id", "n_tokens", "ids", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
