@@ -990,6 +990,70 @@ def loo_run(spark, sf_dir):
     return leave_one_family_out(_model_table(spark, sf_dir), model="nb")
 
 
+# --- lasso from moments, all 33 features ----------------------------------
+
+from flowtrace.operators import lasso as ls  # noqa: E402
+
+#: every numeric column of the trace layout; the skewed ones are log-transformed for linear scores
+ALL_FEATURES = [c for c in TRACE_COLUMNS_A[5:]]
+_LOG = set(_SK)
+
+
+def _loo_rows(spark, sf_dir):
+    """Labelled traces with the linear models' preparation, fold and band: one row a trace."""
+    lab = ds.log1p_features(sp.with_id(_labelled(spark, sf_dir), tr.TRACE_KEY))
+    lab = lab.withColumn("label", F.col("Malicious").cast("double")).where("label IS NOT NULL")
+    lab = sp.cv_folds(lab, "row_id", 10).select("row_id", "Family", "label", "fold", *[F.col(c).cast("double").alias(c) for c in ALL_FEATURES])
+    rows, sizes = ls.with_bands(lab, "row_id", MALWARE_FAMILIES)
+    return rows.checkpoint(eager=True), sizes
+
+
+@query("loo_moments", "L6 M3 (training rows of each left-out family: count, mean, deviation, correlation with the label)", with_ctes(V.LABELLED + f""",
+lab AS (SELECT {_RID} AS row_id, Family, CAST(Malicious AS DOUBLE) AS label, """ + ", ".join(
+    (f"ln(1 + CAST({c} AS DOUBLE))" if c in _LOG else f"CAST({c} AS DOUBLE)") + f" AS {c}" for c in ALL_FEATURES) + f""" FROM labelled),
+nr AS (SELECT row_id, row_number() OVER (ORDER BY {_MD5}) AS nrank FROM lab WHERE Family = 'Normal'),
+folds AS (SELECT f AS family, (SELECT count(*) FROM lab WHERE Family = f) AS nf FROM (SELECT unnest([{_FAMS}]) AS f)),
+tr AS (SELECT f.family, l.* EXCLUDE (Family) FROM lab l LEFT JOIN nr USING (row_id) JOIN folds f
+       ON l.Family <> f.family AND (l.Family <> 'Normal' OR nr.nrank > f.nf))""", " UNION ALL ".join(f"""
+SELECT family, '{c}' AS feature, count(*) AS n, avg({c}) AS mean, stddev_pop({c}) AS sd,
+  CASE WHEN stddev_pop({c}) > 0 THEN covar_pop({c}, label) / stddev_pop({c}) / stddev_pop(label) END AS label_corr FROM tr GROUP BY family""" for c in ALL_FEATURES)))
+def loo_moments(spark, sf_dir):
+    rows, sizes = _loo_rows(spark, sf_dir)
+    names = sorted({*MALWARE_FAMILIES, "Normal"})
+    columns = [*ALL_FEATURES, "label"]
+    rows = ds.complete_cases(rows, columns)
+    about = [v or 0.0 for v in rows.agg(*[F.avg(c) for c in columns]).first()]
+    cells = ls.cell_moments(rows, ls.cell_number(names, MALWARE_FAMILIES, 10), columns, about)
+    out = []
+    for family, by_fold in ls.training_moments(cells, names, MALWARE_FAMILIES, sizes, 10).items():
+        n, mean, scale, _, covariance = ls.standardised(sum(by_fold))
+        for c, m, a, s, v in zip(ALL_FEATURES, mean, about, scale, covariance):
+            out.append((family, c, int(n), float(m + a), float(s), float(v / scale[-1]) if s > 0 else None))
+    return spark.createDataFrame(out, "family string, feature string, n bigint, mean double, sd double, label_corr double")
+
+
+def _loo_lasso(spark, sf_dir):
+    rows, sizes = _loo_rows(spark, sf_dir)
+    fits = ls.leave_family_out_fits(rows, ALL_FEATURES, MALWARE_FAMILIES, sizes)
+    return rows, sizes, fits
+
+
+@query("loo_lasso", "L6 L16 E7 (lasso without each family: 100 lambdas x 10 folds, one-standard-error rule, all 33 features)")
+def loo_lasso(spark, sf_dir):
+    rows, sizes, fits = _loo_lasso(spark, sf_dir)
+    metrics = ev.metric_table(ls.score_left_out(rows, fits, ALL_FEATURES, sizes), ["family"], label="obs", score="prob", pred="pred")
+    chosen = spark.createDataFrame([(f, t.n, t.chosen, t.best, sum(s != 0 for s in t.slopes)) for f, t in fits.items()],
+                                   "family string, n_train bigint, lambda_1se double, lambda_min double, n_terms int")
+    return chosen.join(metrics, "family")
+
+
+@query("loo_lasso_path", "L6 (cross-validated error and its standard error at each lambda, for each left-out family)")
+def loo_lasso_path(spark, sf_dir):
+    _, _, fits = _loo_lasso(spark, sf_dir)
+    rows = [(f, i, *r) for f, t in fits.items() for i, r in enumerate(t.path)]
+    return spark.createDataFrame(rows, "family string, step int, lambda double, cv_mse double, cv_se double, n_terms int")
+
+
 # --- streams --------------------------------------------------------------
 
 from flowtrace.streaming import traces as st  # noqa: E402
