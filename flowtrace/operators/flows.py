@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowtrace.functions.exprs import key_text, unset_to_zero
-from flowtrace.operators.ordered import ordered_slices, slice_edges, with_edges
+from flowtrace.operators.ordered import ordered_slices, slice_edges, slice_windows, with_edges
 from flowtrace.schema import CONN_KEY
 
 ORDER = ["ts", "uid"]
@@ -37,96 +35,32 @@ def distinct_keys(flows: DataFrame, key: Sequence[str] = CONN_KEY) -> DataFrame:
 # ordered per-row scan (skew safe)
 # ---------------------------------------------------------------------------
 
-def _row_schema(key_fields: list[T.StructField], values: Sequence[str],
-                carry_fields: Sequence[T.StructField] = ()) -> T.StructType:
-    return T.StructType(
-        key_fields + list(carry_fields)
-        + [T.StructField("ts", T.DoubleType()), T.StructField("uid", T.StringType()),
-                      T.StructField("pos", T.LongType()), T.StructField("gap_prev", T.DoubleType()),
-                      T.StructField("gap_next", T.DoubleType())]
-        + [T.StructField("run_mean_" + v, T.DoubleType()) for v in values]
-        + [T.StructField("dev_" + v, T.DoubleType()) for v in values])
-
-
-def _row_scanner(key: Sequence[str], values: Sequence[str], carry_cols: Sequence[str] = ()):
-    key = list(key)
-    carry_cols = list(carry_cols)
-    nv = len(values)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None  # (key tuple, count so far, sums so far, last ts) of the open run
-        pending = None  # last row of the previous batch, waiting for its next ts
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            karr = [pdf[k].to_numpy() for k in key]
-            start = np.zeros(n, dtype=bool)
-            start[0] = True
-            for a in karr:
-                start[1:] |= a[1:] != a[:-1]
-            first_key = tuple(a[0] for a in karr)
-            cont = carry is not None and carry[0] == first_key
-            starts = np.flatnonzero(start)
-            rid = np.cumsum(start) - 1
-            off_n = np.nan_to_num(pdf["off_n"].to_numpy(float)[starts])
-            off_s = np.nan_to_num(pdf[["off_" + v for v in values]].to_numpy(float)[starts])
-            prev_last = pdf["prev_last"].to_numpy(float)[starts]
-            if cont:
-                off_n[0], off_s[0], prev_last[0] = carry[1], carry[2], carry[3]
-            X = pdf[list(values)].to_numpy(float)
-            csum = np.vstack([np.zeros((1, nv)), np.cumsum(X, axis=0)])
-            local = csum[1:] - csum[starts][rid]
-            pos = (np.arange(n) - starts[rid] + 1) + off_n[rid]
-            rmean = (local + off_s[rid]) / pos[:, None]
-            ts = pdf["ts"].to_numpy(float)
-            gap_prev = np.empty(n)
-            gap_prev[1:] = ts[1:] - ts[:-1]
-            gap_prev[starts] = ts[starts] - prev_last  # NaN when no earlier flow
-            gap_next = np.empty(n)
-            gap_next[:-1] = ts[1:] - ts[:-1]
-            ends = np.append(starts[1:] - 1, n - 1)
-            gap_next[ends] = pdf["next_first"].to_numpy(float)[ends] - ts[ends]
-            out = pdf[key + carry_cols + ["ts", "uid"]].copy()
-            out["pos"] = pos.astype(np.int64)
-            out["gap_prev"] = gap_prev
-            out["gap_next"] = gap_next
-            for j, v in enumerate(values):
-                out["run_mean_" + v] = rmean[:, j]
-                out["dev_" + v] = np.abs(X[:, j] - rmean[:, j])
-            if pending is not None:
-                if cont:  # the previous batch's last row continues into this batch
-                    pending.loc[pending.index[-1], "gap_next"] = ts[0] - pending["ts"].iat[-1]
-                yield pending
-            last = n - 1
-            r = rid[last]
-            carry = (tuple(a[last] for a in karr), pos[last], local[last] + off_s[r], ts[last])
-            pending = out
-        if pending is not None:
-            yield pending
-
-    return scan
-
-
 def ordered_rows(df: DataFrame, key: Sequence[str] = CONN_KEY, values: Sequence[str] = (),
                  num_partitions: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Per row, in (ts, uid) order within the key: position, gap to the previous
     and next row, running mean (frame: first row .. current) and distance to it.
 
     Equals ``lag``/``lead``/``avg() OVER (ROWS UNBOUNDED PRECEDING)`` by key,
-    but a hot key is spread over many tasks (see :mod:`ordered`).  ``carry``
-    columns are passed through unchanged.
+    but a hot key is spread over many tasks (see :mod:`ordered`): the windows run
+    inside a slice, and the edge table adds what lies before and after it.
+    NULL key fields are equal to one another.  ``carry`` columns are passed
+    through unchanged.
     """
     values = list(values)
     carry = [c for c in carry if c not in values]
     src = df.select(*key, *carry, "ts", "uid", *[F.col(v).cast("double").alias(v) for v in values])
     R = ordered_slices(src, key, ORDER, num_partitions)
-    edges = slice_edges(R, key, values)
-    key_fields = [f for f in R.schema.fields if f.name in key]
-    key_fields.sort(key=lambda f: list(key).index(f.name))
-    carry_fields = [R.schema[c] for c in carry]
-    return with_edges(R, edges, key).mapInPandas(_row_scanner(key, values, carry),
-                                                 _row_schema(key_fields, values, carry_fields))
+    w, run = slice_windows(key, ORDER)
+    inside = R.select("*", F.row_number().over(w).alias("__n"), F.lag("ts").over(w).alias("__prev"), F.lead("ts").over(w).alias("__next"),
+                      *[F.sum(v).over(run).alias("__s_" + v) for v in values])
+    rows = with_edges(inside, slice_edges(R, key, values), key)
+    pos = F.col("__n") + F.coalesce("off_n", F.lit(0))
+    mean = {v: (F.col("__s_" + v) + F.coalesce("off_" + v, F.lit(0.0))) / pos for v in values}
+    return rows.select(
+        *key, *carry, "ts", "uid", pos.cast("bigint").alias("pos"),
+        (F.col("ts") - F.coalesce("__prev", "prev_last")).alias("gap_prev"),
+        (F.coalesce("__next", "next_first") - F.col("ts")).alias("gap_next"),
+        *[mean[v].alias("run_mean_" + v) for v in values], *[F.abs(F.col(v) - mean[v]).alias("dev_" + v) for v in values])
 
 
 def reference_values(flows: DataFrame) -> DataFrame:

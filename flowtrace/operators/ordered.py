@@ -3,7 +3,7 @@
 A window ``PARTITION BY key ORDER BY ts`` sends every row of a key to one
 task.  Here rows are range-partitioned on (key, order...) instead: Spark
 samples the data and cuts even a single hot key into contiguous slices, one
-per partition.  Each slice is scanned in order (Arrow batches, numpy); what a
+per partition.  Inside a slice plain window functions do the work; what a
 slice needs from earlier or later slices of the same key (row count and sums
 before it, last time before it, first time after it) comes from a small JVM
 aggregate over the slices.  A key can only continue across a partition edge,
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -87,19 +87,24 @@ def ordered_slices(df: DataFrame, key: Sequence[str], order: Sequence[str],
 
 
 def slice_edges(R: DataFrame, key: Sequence[str], sums: Sequence[str] = (), ts: str = "ts") -> DataFrame:
-    """Per (key, pid) where the key also lies in another slice: what the scan needs.
+    """Per (key, pid) where the key also lies in another slice: what the windows need.
 
     Columns: ``off_n`` and ``off_<c>`` (count and sums of the key in earlier
     slices), ``prev_last`` (last ``ts`` of the key before this slice) and
-    ``next_first`` (first ``ts`` after it).  Rows: at most two per partition.
+    ``next_first`` (first ``ts`` after it).  A key can go on in another slice only
+    if it is the first or the last of its own, so only the rows of these keys are
+    summed up: at most two rows per partition.
     """
+    one = F.struct(*key)
+    ends = R.groupBy("pid").agg(F.min(one).alias("__lo"), F.max(one).alias("__hi"))  # one row a slice: broadcast
+    at_end = R.join(F.broadcast(ends), "pid").where(one.eqNullSafe(F.col("__lo")) | one.eqNullSafe(F.col("__hi")))
     wk = Window.partitionBy(*key).orderBy("pid")
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = R.groupBy(*key, "pid").agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"),
-                                           F.max(ts).alias("hi"), *[F.sum(c).alias("s_" + c) for c in sums])
+    per_slice = at_end.groupBy(*key, "pid").agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"),
+                                                F.max(ts).alias("hi"), *[F.sum(c).alias("s_" + c) for c in sums])
     edges = per_slice.select(
         *key, "pid",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).cast("double").alias("off_n"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("off_n"),
         *[F.coalesce(F.sum("s_" + c).over(before), F.lit(0.0)).cast("double").alias("off_" + c) for c in sums],
         F.lag("hi").over(wk).cast("double").alias("prev_last"),
         F.lead("lo").over(wk).cast("double").alias("next_first"),
@@ -108,12 +113,22 @@ def slice_edges(R: DataFrame, key: Sequence[str], sums: Sequence[str] = (), ts:
 
 
 def with_edges(R: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Attach edge values to each row (broadcast; keeps the slices' order).
+    """Attach edge values to each row (broadcast); rows of keys within one slice get NULLs.
 
-    A broadcast-hash left join streams the big side in place, so partitioning
-    and the in-partition order survive; rows of keys within one slice get NULLs.
+    Keys are compared null-safely: a key with an unset field is a key like any other.
     """
-    return R.join(F.broadcast(edges), list(key) + ["pid"], "left")
+    names = [*key, "pid"]
+    its = edges.withColumnsRenamed({c: "__e_" + c for c in names})
+    same = F.lit(True)
+    for c in names:
+        same = same & R[c].eqNullSafe(its["__e_" + c])
+    return R.join(F.broadcast(its), same, "left").drop(*["__e_" + c for c in names])
+
+
+def slice_windows(key: Sequence[str], order: Sequence[str]) -> tuple[WindowSpec, WindowSpec]:
+    """The window of a key's rows in one slice, and its running frame."""
+    w = Window.partitionBy("pid", *key).orderBy(*order)
+    return w, w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def global_prefix(df: DataFrame, order: Sequence[str], sums: Sequence[str] = (), group: Sequence[str] = (),

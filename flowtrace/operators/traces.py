@@ -7,26 +7,22 @@ Two physical forms give the same connection-trace table:
   share of all flows becomes one long task.
 * ``method="segmented"`` (default): flows are cut into ordered slices by a
   range exchange on (key, ts, uid) (:mod:`flowtrace.operators.ordered`), so a
-  hot key runs in many tasks.  Each slice is scanned once with numpy over
-  Arrow batches and gives one partial row per key run (count, sums, running
-  deviation, gap count/mean/M2, flags).  The running mean of a run that began
-  in an earlier slice starts from that slice's prefix count and sums, taken
-  from a broadcast edge table of at most two rows per partition.  Partials
-  are then merged per key with JVM aggregates.
+  hot key runs in many tasks.  Window functions inside a slice give one
+  partial row per key and slice (count, sums, running deviation, gap
+  count/mean/M2, flags).  The running mean of a key that began in an earlier
+  slice starts from the count and sums before it, taken from a broadcast edge
+  table of at most two rows per partition.  Partials are then merged per key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowtrace.functions.exprs import history_flags, unset_to_zero
-from flowtrace.operators.ordered import ordered_slices, slice_edges, with_edges
+from flowtrace.operators.ordered import ordered_slices, slice_edges, slice_windows, with_edges
 from flowtrace.schema import FLAG_COLUMNS, TRACE_COLUMNS_A, TRACE_KEY, TRACE_VALUES
 
 # flow column feeding each trace value (reference naming: src = originator)
@@ -89,151 +85,6 @@ def conn_traces_window(flows: DataFrame, single_flow: str = "zero",
 # segmented form
 # ---------------------------------------------------------------------------
 
-_NV = len(TRACE_VALUES)
-_NF = len(FLAG_COLUMNS)
-_PARTIAL_SCHEMA = T.StructType(
-    [T.StructField("srcIP", T.StringType()), T.StructField("destIP", T.StringType()),
-     T.StructField("destPt", T.IntegerType()), T.StructField("protocol", T.StringType()),
-     T.StructField("pid", T.IntegerType()), T.StructField("n", T.LongType()),
-     T.StructField("first_ts", T.DoubleType()), T.StructField("last_ts", T.DoubleType())]
-    + [T.StructField("s_" + x, T.DoubleType()) for x in TRACE_VALUES]
-    + [T.StructField("mad_" + x, T.DoubleType()) for x in TRACE_VALUES]
-    + [T.StructField("gn", T.LongType()), T.StructField("gmean", T.DoubleType()),
-       T.StructField("gm2", T.DoubleType())]
-    + [T.StructField(c, T.LongType()) for c in FLAG_COLUMNS])
-
-
-class _Run:
-    """Open run of one key inside a slice (carried across Arrow batches)."""
-
-    __slots__ = ("key", "pre_n", "pre_s", "n", "s", "mad", "first_ts", "last_ts", "gn", "gmean", "gm2", "flags")
-
-    def as_row(self, pid: int) -> list:
-        return [*self.key, pid, self.n, self.first_ts, self.last_ts, *self.s.tolist(), *self.mad.tolist(),
-                self.gn, self.gmean, self.gm2, *self.flags.tolist()]
-
-
-def _chan(n1, m1, q1, n2, m2, q2):
-    """Merge (count, mean, M2) of two sets of gaps."""
-    n = n1 + n2
-    if n == 0:
-        return 0, 0.0, 0.0
-    d = m2 - m1
-    return n, m1 + d * n2 / n, q1 + q2 + d * d * n1 * n2 / n
-
-
-def _scan_with_offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Scan one range partition sorted by (key, ts, uid); one output row per key run.
-
-    Rows carry ``off_n`` and ``off_<v>`` (NULL when the key starts in this
-    partition): count and sums of the same key in earlier partitions, used
-    by the running mean.
-    """
-    keys = TRACE_KEY
-    open_run: _Run | None = None
-    pid = None
-    out: list[list] = []
-    done: list[pd.DataFrame] = []
-    bits = np.arange(_NF, dtype=np.int64)
-    for pdf in batches:
-        n = len(pdf)
-        if n == 0:
-            continue
-        pid = int(pdf["pid"].iat[0])
-        karr = [pdf[k].to_numpy() for k in keys]
-        change = np.zeros(n, dtype=bool)
-        change[0] = True
-        for a in karr:
-            change[1:] |= a[1:] != a[:-1]
-        starts = np.flatnonzero(change)
-        nr = len(starts)
-        lens = np.diff(np.append(starts, n))
-        rid = np.cumsum(change) - 1
-        first_key = tuple(a[0] for a in karr)
-        cont = open_run is not None and open_run.key == first_key
-        off_n = np.zeros(nr)
-        off_s = np.zeros((nr, _NV))
-        if cont:
-            off_n[0] = open_run.pre_n + open_run.n
-            off_s[0] = open_run.pre_s + open_run.s
-        else:
-            off_n[:] = np.nan_to_num(pdf["off_n"].to_numpy(float)[starts])
-            off_s[:] = np.nan_to_num(pdf[["off_" + x for x in TRACE_VALUES]].to_numpy(float)[starts])
-        X = pdf[TRACE_VALUES].to_numpy(float)
-        csum = np.vstack([np.zeros((1, _NV)), np.cumsum(X, axis=0)])
-        local = csum[1:] - csum[starts][rid]
-        cnt = (np.arange(n) - starts[rid] + 1) + off_n[rid]
-        dev = np.abs(X - (local + off_s[rid]) / cnt[:, None])
-        mad = np.add.reduceat(dev, starts, axis=0)
-        sums = np.add.reduceat(X, starts, axis=0)
-        ts = pdf["ts"].to_numpy(float)
-        gaps = np.diff(ts)
-        inside = ~change[1:]
-        g_r = rid[1:][inside]
-        g_v = gaps[inside]
-        gn = np.bincount(g_r, minlength=nr).astype(np.int64)
-        gsum = np.bincount(g_r, weights=g_v, minlength=nr)
-        gmean = np.divide(gsum, gn, out=np.zeros(nr), where=gn > 0)
-        gm2 = np.bincount(g_r, weights=(g_v - gmean[g_r]) ** 2, minlength=nr)
-        fl = np.add.reduceat((pdf["fmask"].to_numpy(np.int64)[:, None] >> bits) & 1, starts, axis=0)
-        first_ts = ts[starts]
-        last_ts = ts[starts + lens - 1]
-
-        def new_run(r: int) -> _Run:
-            run = _Run()
-            run.key = tuple(a[starts[r]] for a in karr)
-            run.pre_n, run.pre_s = off_n[r], off_s[r].copy()
-            run.n, run.s, run.mad = int(lens[r]), sums[r].copy(), mad[r].copy()
-            run.first_ts, run.last_ts = float(first_ts[r]), float(last_ts[r])
-            run.gn, run.gmean, run.gm2 = int(gn[r]), float(gmean[r]), float(gm2[r])
-            run.flags = fl[r].copy()
-            return run
-
-        if cont:  # the batch's first run continues the open run
-            run = open_run
-            bg = first_ts[0] - run.last_ts
-            run.gn, run.gmean, run.gm2 = _chan(run.gn, run.gmean, run.gm2, 1, bg, 0.0)
-            run.gn, run.gmean, run.gm2 = _chan(run.gn, run.gmean, run.gm2, int(gn[0]), gmean[0], gm2[0])
-            run.n += int(lens[0])
-            run.s = run.s + sums[0]
-            run.mad = run.mad + mad[0]
-            run.flags = run.flags + fl[0]
-            run.last_ts = float(last_ts[0])
-            first_closed = 1
-        else:
-            first_closed = 0
-        whole_batch_continues = cont and nr == 1
-        if open_run is not None and not whole_batch_continues:
-            out.append(open_run.as_row(pid))  # the open run ends where the next run starts
-        # runs that start and end inside the batch are complete: emitted column-wise
-        inner = np.arange(first_closed, nr - 1)
-        if len(inner):
-            cols = {k: a[starts[inner]] for k, a in zip(keys, karr)}
-            cols["pid"] = np.full(len(inner), pid, dtype=np.int32)
-            cols["n"] = lens[inner].astype(np.int64)
-            cols["first_ts"], cols["last_ts"] = first_ts[inner], last_ts[inner]
-            for j, x in enumerate(TRACE_VALUES):
-                cols["s_" + x] = sums[inner, j]
-            for j, x in enumerate(TRACE_VALUES):
-                cols["mad_" + x] = mad[inner, j]
-            cols["gn"], cols["gmean"], cols["gm2"] = gn[inner], gmean[inner], gm2[inner]
-            for j, c in enumerate(FLAG_COLUMNS):
-                cols[c] = fl[inner, j].astype(np.int64)
-            done.append(pd.DataFrame(cols, columns=_PARTIAL_SCHEMA.fieldNames()))
-        if not whole_batch_continues:
-            open_run = new_run(nr - 1)
-        if out:
-            done.append(pd.DataFrame(out, columns=_PARTIAL_SCHEMA.fieldNames()))
-            out = []
-        for frame in done:
-            yield frame
-        done = []
-    if open_run is not None:
-        out.append(open_run.as_row(pid))
-    if out:
-        yield pd.DataFrame(out, columns=_PARTIAL_SCHEMA.fieldNames())
-
-
 def sorted_slices(flows: DataFrame, num_partitions: int | None = None,
                   exclude_protocols: Sequence[str] = ()) -> DataFrame:
     """Flows in the reference view, range-sliced on (key, ts, uid) and checkpointed."""
@@ -247,8 +98,19 @@ def conn_traces_segmented(flows: DataFrame, single_flow: str = "zero", num_parti
                           exclude_protocols: Sequence[str] = ()) -> DataFrame:
     """Connection traces, safe for hot keys (see module doc)."""
     R = sorted_slices(flows, num_partitions, exclude_protocols)
-    edges = slice_edges(R, TRACE_KEY, TRACE_VALUES).drop("prev_last", "next_first")
-    part = with_edges(R.drop("uid"), edges, TRACE_KEY).mapInPandas(_scan_with_offsets, _PARTIAL_SCHEMA)
+    w, run = slice_windows(TRACE_KEY, ORDER)
+    inside = R.select("*", F.row_number().over(w).alias("pos"), (F.col("ts") - F.lag("ts").over(w)).alias("gap"),
+                      *[F.sum(x).over(run).alias("run_" + x) for x in TRACE_VALUES])
+    rows = with_edges(inside, slice_edges(R, TRACE_KEY, TRACE_VALUES).drop("prev_last", "next_first"), TRACE_KEY)
+    pos = F.col("pos") + F.coalesce("off_n", F.lit(0))
+    mean = {x: (F.col("run_" + x) + F.coalesce("off_" + x, F.lit(0.0))) / pos for x in TRACE_VALUES}
+    # one partial row per key and slice, with the exchange that the windows have made
+    part = rows.groupBy("pid", *TRACE_KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        *[F.sum(x).alias("s_" + x) for x in TRACE_VALUES], *[F.sum(F.abs(F.col(x) - mean[x])).alias("mad_" + x) for x in TRACE_VALUES],
+        F.count("gap").alias("gn"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gmean"),
+        F.coalesce(F.var_pop("gap") * F.count("gap"), F.lit(0.0)).alias("gm2"),
+        *[F.sum(F.shiftright("fmask", i).bitwiseAND(F.lit(1).cast("bigint"))).alias(c) for i, c in enumerate(FLAG_COLUMNS)])
     wk = Window.partitionBy(*TRACE_KEY)
     wo = wk.orderBy("pid")
     fixed = part.select("*", (F.col("first_ts") - F.lag("last_ts").over(wo)).alias("bgap"))

@@ -87,3 +87,20 @@ def test_runs_crossing_arrow_batches(spark, batch):
         assert rows(ref) == rows(got)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_unset_key_fields_are_keys_like_any_other(spark):
+    """Flows without a responder port: their runs, gaps and running values, also over slice edges."""
+    from pyspark.sql import Window
+    five = spark.createDataFrame([(float(i), f"u{i}", "10.0.0.1", "192.0.2.1", None, "icmp", 4 * i) for i in range(5)],
+                                 "ts double, uid string, id_orig_h string, id_resp_h string, id_resp_p int, proto string, resp_bytes bigint")
+    got = fl.ordered_rows(five, fl.CONN_KEY, ["resp_bytes"], num_partitions=3).orderBy("ts").collect()
+    assert [r.gap_next for r in got] == [1.0] * 4 + [None] and [r.gap_prev for r in got] == [None] + [1.0] * 4
+    assert [r.pos for r in got] == [1, 2, 3, 4, 5] and [r.run_mean_resp_bytes for r in got] == [0.0, 2.0, 4.0, 6.0, 8.0]
+    f = hot_flows(spark).withColumn("id_resp_p", F.when(F.col("proto") != "icmp", F.col("id_resp_p"))).withColumn(
+        "id_orig_h", F.when(F.col("id_orig_h") != "10.0.0.3", F.col("id_orig_h")))
+    w = Window.partitionBy(*fl.CONN_KEY).orderBy("ts", "uid")
+    ref = f.select("uid", (F.col("ts") - F.lag("ts").over(w)).alias("a"), (F.lead("ts").over(w) - F.col("ts")).alias("b"))
+    for parts in (1, 11):
+        assert rows(fl.gaps(f, parts).select("uid", F.col("gap_prev").alias("a"), F.col("gap_next").alias("b"))) == rows(ref)
+        assert rows(tr.conn_traces(f, num_partitions=parts)) == rows(tr.conn_traces(f, method="window"))
