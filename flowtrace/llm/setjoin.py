@@ -4,13 +4,15 @@ A document is the set of its word shingles, hashed to 64 bits.  Equal sets are o
 set from the start (a 128-bit digest names it).  All shingles have one order,
 rarest first, by counts in a table of a fixed number of cells that all documents
 are counted into; any order gives the same links, a good one keeps lists short.
-Two linked sets share a shingle among the first few of each, so only these are
-indexed, with the size of the set and the shingle's position in it.
+Two linked sets share COMMON shingles among the first few of each, so only these
+are indexed, with the size of the set and the shingle's position in it.
 
 Index lists are skipped by position: a list is cut into blocks of sets of similar
 size, and a block is passed over if its sizes and least position leave too few
 shingles behind for a link.  Sets that every block of their list passes over leave
-the list.
+the list.  Lists are then cut into ranges of size, two overlapping covers of them,
+so that any two sets of similar size are in one range together; sets that are left
+in fewer lists of a range than linked sets share leave all of these.
 
 The sets left in a list are held against one of them, the list's centre, and only
 against it are whole sets compared.  The answers of the others follow from that:
@@ -34,6 +36,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,12 +54,18 @@ from flowtrace.operators.ordered import slice_count
 SHINGLE_WORDS = 4
 #: Links need SIMILAR_PARTS / OF_PARTS of the union in common.
 SIMILAR_PARTS, OF_PARTS = 85, 100
+#: Shingles that two linked sets share among their first, as far as the sets are large enough.
+COMMON = 8
+#: Rounds in which sets of too few lists leave all their lists.
+LEAVING_ROUNDS = 2
 #: Cells that shingles are counted in, as a power of two.
 CELL_BITS = 18
 #: Entries in a block of an index list; sets in a block of a group.
 LIST_BLOCK, GROUP_BLOCK = 64, 1024
 #: Entries of one list that a task holds at once.
 LIST_PART = 1 << 18
+#: Lists of differing shingles up to this length are counted side by side.
+SHORT_LIST = 12
 #: Rows that are broadcast at most (about 60 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1 << 20
 
@@ -87,6 +96,18 @@ def least_common(total: np.ndarray | int) -> np.ndarray | int:
     return -(-SIMILAR_PARTS * total // (OF_PARTS + SIMILAR_PARTS))
 
 
+def first_shingles(n: int) -> int:
+    """How many of a set's first shingles are indexed: sets with ``m`` in common share ``k`` among the first n - m + k of each."""
+    least = -(-SIMILAR_PARTS * n // OF_PARTS)
+    return n - least + min(COMMON, least) if n else 0
+
+
+def shared_lists(n: F.Column) -> F.Column:
+    """Lists that a set of ``n`` shingles shares with any set it is linked to, at least (that set may be smaller)."""
+    smaller = F.ceil(F.ceil(n * SIMILAR_PARTS / OF_PARTS) * SIMILAR_PARTS / OF_PARTS)
+    return F.least(F.lit(COMMON), smaller)
+
+
 def linked(total: np.ndarray, apart: np.ndarray) -> np.ndarray:
     """Are sets of ``total`` shingles together that differ in ``apart`` of them linked?"""
     return OF_PARTS * (total - apart) >= SIMILAR_PARTS * (total + apart)
@@ -141,7 +162,7 @@ def index_entries(df: DataFrame, order: np.ndarray, id_col: str, text_col: str)
             for text in batch.column("text").to_pylist():
                 mine = shingles(text)
                 n = len(mine)
-                first = n - int(-(-SIMILAR_PARTS * n // OF_PARTS)) + 1 if n else 0
+                first = first_shingles(n)
                 token.append(mine[np.lexsort((mine, order[_cells(mine)]))[:first]])
                 at.append(np.arange(first))
                 size.append(np.full(first, n))
@@ -155,8 +176,9 @@ def index_entries(df: DataFrame, order: np.ndarray, id_col: str, text_col: str)
 
 
 def may_link(n: np.ndarray, at: np.ndarray, other_n: np.ndarray, other_at: np.ndarray) -> np.ndarray:
-    """Can sets of these sizes, with the list's shingle at these positions, be linked?"""
-    return np.minimum(n - at, other_n - other_at) >= least_common(n + other_n)
+    """Can sets of these sizes be linked, the list's shingle being one of the first COMMON that they share?"""
+    behind = np.minimum(n - at, other_n - other_at) + COMMON - 1
+    return np.minimum(behind, np.minimum(n, other_n)) >= least_common(n + other_n)
 
 
 def _stay(n: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -176,12 +198,12 @@ def _stay(n: np.ndarray, at: np.ndarray) -> np.ndarray:
             rest = a + np.flatnonzero(~stay[a:b])
             rest = rest[rest // LIST_BLOCK != block]
             # the block's least size and position: the weakest condition for any of its sets
-            stay[rest] = np.minimum(n[rest] - at[rest], most - position) >= least_common(n[rest] + least)
+            stay[rest] = np.minimum(n[rest] - at[rest], most - position) + COMMON - 1 >= least_common(n[rest] + least)
     return stay
 
 
 def skipped_lists(entries: DataFrame) -> DataFrame:
-    """``token`` and ``key`` of the entries that may have a partner in their list.
+    """``token``, ``n`` and ``key`` of the entries that may have a partner in their list.
 
     Lists come in slices of the range of (token, size); a list may go on in the next
     slice, so the entries of a slice's first and last list all stay.
@@ -204,10 +226,10 @@ def skipped_lists(entries: DataFrame) -> DataFrame:
         chosen = np.concatenate([*keep, np.zeros(0, "i8")]).astype("i8")
         if not len(chosen):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(token[chosen]), key.take(pa.array(chosen))], names=["token", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(token[chosen]), pa.array(n[chosen].astype("i4")), key.take(pa.array(chosen))], names=["token", "n", "key"])
 
     def plain(rows: pa.Table) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks() for c in ("token", "key")], names=["token", "key"])
+        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks() for c in ("token", "n", "key")], names=["token", "n", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, edge = [], 0, True  # edge: the first list of the held rows may have begun before them
@@ -233,13 +255,35 @@ def skipped_lists(entries: DataFrame) -> DataFrame:
             yield plain(pa.Table.from_batches(held))
 
     sliced = entries.repartitionByRange(slice_count(entries), *columns).sortWithinPartitions(*columns)
-    return sliced.mapInArrow(run, "token bigint, key binary").distinct()
+    return sliced.mapInArrow(run, "token bigint, n int, key binary").distinct()
+
+
+def size_ranges(n: F.Column) -> F.Column:
+    """Two ranges of size that a set of ``n`` shingles is in; linked sets have one in common.
+
+    Steps are a little wider than the sizes of two linked sets can differ, so these
+    are in the same step or in neighbouring ones, and each pair of neighbours makes
+    a range of one of the covers.
+    """
+    step = F.floor(F.log(n) / F.lit(-math.log(SIMILAR_PARTS / OF_PARTS - 0.01))).cast("int")
+    return F.array(F.shiftright(step, 1) * 2, F.shiftright(step + 1, 1) * 2 + 1)
+
+
+def leave_lists(lists: DataFrame) -> DataFrame:
+    """``lists`` by ``range``, without lists of one set, and without sets of fewer lists than they share with a set they are linked to."""
+    lists = lists.select("token", "n", "key", F.explode(size_ranges(F.col("n"))).alias("range"))
+    for _ in range(LEAVING_ROUNDS):
+        many = lists.groupBy("token", "range").agg(F.count("*").alias("k")).filter("k > 1").select("token", "range")
+        lists = stored(lists.join(many, ["token", "range"], "left_semi"))
+        enough = lists.groupBy("key", "range", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= shared_lists(F.col("n")))
+        lists = stored(lists.join(enough.select("key", "range"), ["key", "range"], "left_semi"))
+    return lists
 
 
 def centre_pairs(lists: DataFrame) -> DataFrame:
     """``centre`` and ``key``: each set with the centre of each of its lists, the centre itself included."""
-    centre = lists.groupBy("token").agg(F.count("*").alias("k"), F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("centre"))
-    return lists.join(centre.filter("k > 1").drop("k"), "token").select("centre", "key").distinct()
+    centre = lists.groupBy("token", "range").agg(F.count("*").alias("k"), F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("centre"))
+    return lists.join(centre.filter("k > 1").drop("k"), ["token", "range"]).select("centre", "key").distinct()
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -274,20 +318,47 @@ def differences(df: DataFrame, pairs: DataFrame, sets: DataFrame, id_col: str, t
                        F.concat(F.array_except("mine", "its"), F.array_except("its", "mine")).alias("apart"))
 
 
-def _common(parts: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
-    """|a & b| for each a of ``parts`` and b of ``others``, along the lists of the shingles that both sides have."""
-    token = np.concatenate([*parts, *others, np.zeros(0, "i8")])
-    owner = np.repeat(np.arange(len(parts) + len(others)), [len(p) for p in (*parts, *others)])
+def _holders(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners of all shingles, shingle by shingle (owners ascending), and where the lists of two owners or more start and end."""
+    token = np.concatenate([*parts, np.zeros(0, "i8")])
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, "i8")
     ends = np.append(starts[1:], len(token))
+    several = ends - starts > 1
+    return owner, starts[several], ends[several]
+
+
+def _common(parts: list[np.ndarray]) -> np.ndarray:
+    """|a & b| for any two of ``parts``, along the lists of the shingles; the diagonal has the sizes."""
+    owner, starts, ends = _holders(parts)
+    common = np.zeros((len(parts), len(parts)), "i4")
+    length = ends - starts
+    for m in np.unique(length).tolist():
+        if m <= SHORT_LIST:  # all lists of this length at once, one pair of places after the other
+            who = owner[starts[length == m][:, None] + np.arange(m)]
+            for i in range(m):
+                for j in range(i + 1, m):
+                    np.add.at(common, (who[:, i], who[:, j]), 1)
+        else:
+            for a in starts[length == m].tolist():
+                who = owner[a:a + m]
+                common[who[:, None], who] += np.triu(np.ones((m, m), "i4"), 1)
+    common += common.T
+    common[np.diag_indices(len(parts))] = [len(p) for p in parts]
+    return common
+
+
+def _common_between(parts: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """|a & b| for each a of ``parts`` and b of ``others``."""
+    owner, starts, ends = _holders([*parts, *others])
     common = np.zeros((len(parts), len(others)), "i4")
-    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         who = owner[a:b]
         cut = int(np.searchsorted(who, len(parts)))
         if 0 < cut < len(who):
-            common[np.ix_(who[:cut], who[cut:] - len(parts))] += 1
+            common[who[:cut, None], who[cut:] - len(parts)] += 1
     return common
 
 
@@ -313,7 +384,7 @@ def _columns(rows: pa.Table) -> tuple[np.ndarray, pa.Array, list[np.ndarray], np
 def _inside(rows: pa.Table) -> pa.Table:
     """A spanning forest of the links in a block of a group."""
     n, key, parts, size = _columns(rows)
-    apart = size[:, None] + size[None, :] - 2 * _common(parts, parts)
+    apart = size[:, None] + size[None, :] - 2 * _common(parts)
     root = _roots(linked(n[:, None] + n[None, :], apart))
     which = np.flatnonzero(root != np.arange(len(root)))
     return pa.table({"u": key.take(pa.array(which)), "v": key.take(pa.array(root[which]))})
@@ -326,7 +397,7 @@ def _between(rows: pa.Table) -> pa.Table:
     (n, key, parts, size), (its_n, its_key, its_parts, its_size) = map(_columns, sides)
     if not len(n) or not len(its_n):
         return pa.table({"u": pa.array([], pa.binary()), "v": pa.array([], pa.binary())})
-    apart = size[:, None] + its_size[None, :] - 2 * _common(parts, its_parts)
+    apart = size[:, None] + its_size[None, :] - 2 * _common_between(parts, its_parts)
     root, its_root = (np.array(s.column("root").to_pylist(), "S16") for s in sides)
     meets = linked(n[:, None] + its_n[None, :], apart) & (root[:, None] != its_root[None, :])
     a, b = np.nonzero(meets)
@@ -372,7 +443,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, order = set_table(df, id_col, text_col)
     sets = materialise(rows.filter("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n")))
-    lists = stored(skipped_lists(stored(index_entries(df, order, id_col, text_col))))
+    lists = leave_lists(stored(skipped_lists(stored(index_entries(df, order, id_col, text_col)))))
     pairs = stored(centre_pairs(lists))
     roots = components(set_links(differences(df, pairs, sets, id_col, text_col))).withColumnRenamed("vertex", "key")
     of = sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

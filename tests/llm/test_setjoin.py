@@ -96,7 +96,8 @@ def test_answers_that_follow_from_the_centre():
     whole = [np.unique(rng.integers(0, 60, rng.integers(1, 60))) for _ in range(30)]
     parts = [np.setxor1d(s, whole[0]) for s in whole]
     size = np.array([len(p) for p in parts])
-    apart = size[:, None] + size[None, :] - 2 * setjoin._common(parts, parts)
+    apart = size[:, None] + size[None, :] - 2 * setjoin._common(parts)
+    assert (setjoin._common_between(parts[:9], parts[9:]) == setjoin._common(parts)[:9, 9:]).all()
     for i, j in combinations(range(30), 2):
         assert apart[i, j] == len(np.setxor1d(whole[i], whole[j]))
         total = len(whole[i]) + len(whole[j])
@@ -109,3 +110,29 @@ def test_shingles_are_counted_once():
     assert len(setjoin.shingles(b"a a a a a a")) == 1 and len(setjoin.shingles(b" ")) == 0
     assert len(setjoin.shingles("Ä ä b c d".encode())) == 2 and (setjoin.shingles(b"A B c D") == setjoin.shingles(b"a b\x0bC d")).all()
     assert len(np.intersect1d(setjoin.shingles(b"a b c d"), setjoin.shingles(b"d c b a"))) == 0
+
+
+def test_linked_sets_share_lists_and_a_range_of_size(spark):
+    """What the filters rest on, for sets of all sizes: shared first shingles, and the ranges of any two linked sizes."""
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        both = rng.integers(0, 1 << 62, rng.integers(1, 120))
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 62, rng.integers(0, 1 + len(both) // 6))])) for _ in range(2))
+        common = len(np.intersect1d(x, y))
+        if OF * common < PARTS * len(np.union1d(x, y)):
+            continue
+        first = [s[:setjoin.first_shingles(len(s))] for s in (x, y)]
+        shared = len(np.intersect1d(*first))
+        least = [min(setjoin.COMMON, -(-PARTS * -(-PARTS * len(s) // OF) // OF)) for s in (x, y)]
+        assert shared >= max(least)
+        at = [np.searchsorted(s, np.intersect1d(*first)[:setjoin.COMMON]) for s in (x, y)]
+        assert setjoin.may_link(len(x), at[0], len(y), at[1]).all()
+    from pyspark.sql import functions as F
+    sizes = spark.range(1, 3000).select(F.col("id").alias("n"), setjoin.size_ranges(F.col("id")).alias("r"), setjoin.shared_lists(F.col("id")).alias("s"))
+    ranges = {r.n: set(r.r) for r in sizes.collect()}
+    for n, mine in ranges.items():
+        for other in {-(-PARTS * n // OF), n - 1, (n + -(-PARTS * n // OF)) // 2} - {0}:
+            assert other < -(-PARTS * n // OF) or mine & ranges[other], (n, other)
+
+
+PARTS, OF = setjoin.SIMILAR_PARTS, setjoin.OF_PARTS
