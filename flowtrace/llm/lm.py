@@ -44,7 +44,7 @@ from flowtrace.llm.common import TEXT_BATCH_ROWS, fold, small_batches, stored
 END = b"\n"  # no word holds a line feed
 BITS_PER_ITEM, PROBES = 8, 4
 #: Bytes of a filter that is broadcast, at most; a larger one stays a table.  The driver holds it twice for a moment.
-MAX_BYTES = 128 << 20
+MAX_BYTES = 64 << 20
 #: Bytes of text whose n-grams are looked up together in a filter that stays a table.
 CHUNK_BYTES = 16 << 20
 #: Bits of a segment that ``_slots`` can tell apart.
