@@ -1056,6 +1056,7 @@ def loo_lasso_path(spark, sf_dir):
 
 # --- streams --------------------------------------------------------------
 
+from flowtrace.streaming import running as rn  # noqa: E402
 from flowtrace.streaming import traces as st  # noqa: E402
 
 
@@ -1079,6 +1080,17 @@ def stream_deviation(spark, sf_dir):
     return st.read_latest(spark, out, tr.TRACE_KEY)
 
 
+@query("stream_running_stats", "T2 (event-time order, state bounded by the watermark)", with_ctes(V.TRACES, f"""
+SELECT {_TK}, startTime, flowct, {", ".join(f"mean_{v}, stdev_{v}" for v in tr.TRACE_VALUES)}, mean_intvl, stdev_intvl, CAST(0 AS BIGINT) AS held_rows FROM traces"""))
+def stream_running_stats(spark, sf_dir):
+    flows = st.stream_inputs(fx.flows(spark, sf_dir)).select(*tr.TRACE_KEY, "ts", "uid", *tr.TRACE_VALUES)
+    src, out, ck = (csvio.scratch_path(spark, n) for n in ("running_src", "running_out", "running_ck"))
+    delay = rn.write_in_files(flows, src, 8)
+    stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    st.run_available(rn.running_stats(stream, f"{math.ceil(delay)} seconds"), out, ck, mode="update")
+    return st.read_latest(spark, out, tr.TRACE_KEY)
+
+
 @query("stream_log_dir", "T3 S1", with_ctes(V.FLOWS, f"SELECT {_KEPT_COLS} FROM flows"))
 def stream_log_dir(spark, sf_dir):
     logs, out, ck = (csvio.scratch_path(spark, n) for n in ("stream_logs", "stream_logs_out", "stream_logs_ck"))

@@ -6,31 +6,22 @@
   and ``watermark`` the state is per event-time window and is dropped once
   the watermark passes it (finite state); without them the state holds one
   row per key (a global table, as in batch).
-* :func:`stream_running_deviation` - the order-dependent statistics (running
-  mean absolute deviation, gap mean/std) with ``applyInPandasWithState``:
-  per key the state is a fixed set of numbers (count, sums, deviations, last
-  time, gap count/mean/M2).  Within a trigger a key's rows are applied in
-  (ts, uid) order; a row older than the key's last applied time is late: it
-  is counted and dropped.  Ordering needs a key's rows of one trigger
-  together, so bound the trigger (``maxFilesPerTrigger`` /
-  ``maxBytesPerTrigger``) to bound that; the state itself stays O(1) per key.
-* :func:`run_deviation` - the same statistics with no row left out: each
-  trigger's rows are appended to a written table, and the keys that they touch
-  are computed again from all their rows by the range-sliced ordered scan, so
-  rows may come in any order and a hot key is cut into slices.
+* :func:`run_deviation` - the order-dependent statistics (running mean absolute
+  deviation, gap mean/std) for rows of any age: each trigger's rows are appended
+  to a written table, and the keys that they touch are computed again from all
+  their rows by the range-sliced windows, so rows may come in any order and a hot
+  key is cut into slices.  Where rows are late by a bounded time only,
+  :mod:`flowtrace.streaming.running` needs neither that table nor a second read.
 * :func:`stream_conn_logs` - log files arriving in a folder, parsed as in
   batch (``maxFilesPerTrigger`` bounds each trigger).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowtrace.functions.exprs import history_flags, unset_to_zero
 from flowtrace.operators.traces import VALUE_SOURCES, conn_traces
@@ -48,7 +39,7 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return reader.parquet(f"{sf_dir}/events.parque[t]")
 
 
-def _stream_inputs(flows: DataFrame) -> DataFrame:
+def stream_inputs(flows: DataFrame) -> DataFrame:
     return flows.select(
         F.col("id_orig_h").alias("srcIP"), F.col("id_resp_h").alias("destIP"),
         F.col("id_resp_p").alias("destPt"), F.col("proto").alias("protocol"), "ts", "uid",
@@ -57,7 +48,7 @@ def _stream_inputs(flows: DataFrame) -> DataFrame:
 
 
 def stream_trace_aggregates(flows: DataFrame, window: str | None = None, watermark: str | None = None) -> DataFrame:
-    v = _stream_inputs(flows)
+    v = stream_inputs(flows)
     keys = list(TRACE_KEY)
     if window:
         v = v.withColumn("ts_time", F.timestamp_seconds("ts"))
@@ -72,72 +63,6 @@ def stream_trace_aggregates(flows: DataFrame, window: str | None = None, waterma
         *[F.sum(c).alias(c) for c in FLAG_COLUMNS])
 
 
-# --- stateful running deviation ---------------------------------------------
-
-_STATE_COLS = (["n"] + ["s_" + x for x in TRACE_VALUES] + ["mad_" + x for x in TRACE_VALUES]
-               + ["first_ts", "last_ts", "gn", "gmean", "gm2", "late"])
-STATE_SCHEMA = ", ".join(f"{c} double" for c in _STATE_COLS)
-OUT_SCHEMA = ("srcIP string, destIP string, destPt int, protocol string, flowct long, "
-              + ", ".join(f"stdev_{x} double" for x in TRACE_VALUES)
-              + ", mean_intvl double, stdev_intvl double, late_rows long")
-
-
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    st = dict(zip(_STATE_COLS, state.get)) if state.exists else dict.fromkeys(_STATE_COLS, 0.0)
-    if not state.exists:
-        st["last_ts"] = -np.inf
-        st["first_ts"] = np.inf
-    parts = list(batches)
-    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    ts = pdf["ts"].to_numpy(float)
-    order = np.lexsort((pdf["uid"].to_numpy(), ts))  # by ts, then uid
-    ts = ts[order]
-    X = pdf[TRACE_VALUES].to_numpy(float)[order]
-    late = ts < st["last_ts"]
-    st["late"] += float(late.sum())
-    if late.any():
-        ts, X = ts[~late], X[~late]
-    if len(ts):
-        n0 = st["n"]
-        s0 = np.array([st["s_" + x] for x in TRACE_VALUES])
-        cnt = n0 + np.arange(1, len(ts) + 1)
-        run_mean = (s0 + np.cumsum(X, axis=0)) / cnt[:, None]
-        dev = np.abs(X - run_mean).sum(axis=0)
-        gaps = np.diff(np.concatenate([[st["last_ts"]], ts])) if n0 > 0 else np.diff(ts)
-        for j, x in enumerate(TRACE_VALUES):
-            st["s_" + x] += float(X[:, j].sum())
-            st["mad_" + x] += float(dev[j])
-        if len(gaps):
-            gm, gq, gk = float(gaps.mean()), float(((gaps - gaps.mean()) ** 2).sum()), len(gaps)
-            tot = st["gn"] + gk
-            d = gm - st["gmean"]
-            st["gm2"] += gq + d * d * st["gn"] * gk / tot
-            st["gmean"] += d * gk / tot
-            st["gn"] = tot
-        st["n"] = n0 + len(ts)
-        st["first_ts"] = min(st["first_ts"], float(ts[0]))
-        st["last_ts"] = float(ts[-1])
-    state.update(tuple(st[c] for c in _STATE_COLS))
-    n = st["n"]
-    row = {"srcIP": [key[0]], "destIP": [key[1]], "destPt": [int(key[2])], "protocol": [key[3]],
-           "flowct": [int(n)]}
-    for x in TRACE_VALUES:
-        row["stdev_" + x] = [st["mad_" + x] / n if n else 0.0]
-    row["mean_intvl"] = [st["gmean"] if st["gn"] else 0.0]
-    row["stdev_intvl"] = [float(np.sqrt(st["gm2"] / st["gn"])) if st["gn"] else 0.0]
-    row["late_rows"] = [int(st["late"])]
-    yield pd.DataFrame(row)
-
-
-def stream_running_deviation(flows: DataFrame) -> DataFrame:
-    v = _stream_inputs(flows).select(*TRACE_KEY, "ts", "uid", *TRACE_VALUES)
-    return v.groupBy(*TRACE_KEY).applyInPandasWithState(
-        _update, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-
-
 # --- running a stream to completion ------------------------------------------
 
 def run_available(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> None:
@@ -182,10 +107,11 @@ def run_deviation(flows: DataFrame, out_path: str, rows_path: str, checkpoint: s
 
 
 def read_latest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """Last emitted row per key from an update/complete stream's output."""
+    """Last emitted row per key from an update/complete stream's output; NULL key fields are equal."""
     df = spark.read.parquet(path)
-    last = df.groupBy(*key).agg(F.max("batch_id").alias("batch_id"))
-    return df.join(last, list(key) + ["batch_id"]).drop("batch_id")
+    rest = [c for c in df.columns if c not in (*key, "batch_id")]
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("__last"))
+    return last.select(*key, "__last.*")
 
 
 def stream_conn_logs(spark: SparkSession, log_dir: str, max_files: int = 2,

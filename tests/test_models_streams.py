@@ -18,27 +18,6 @@ def flow_rows(rows):
                  resp_pkts=1, resp_ip_bytes=0, tunnel_parents=[]) for uid, ts, rb in rows]
 
 
-def test_stream_late_rows_are_counted_and_dropped(spark, scratch):
-    from flowtrace.schema import conn_flow_schema
-    schema = conn_flow_schema()
-    src = scratch("late_src")
-    first = spark.createDataFrame(flow_rows([("C1", 10, 100), ("C2", 12, 300)]), schema)
-    second = spark.createDataFrame(flow_rows([("C3", 11, 999), ("C4", 15, 200)]), schema)  # C3 is late
-    first.coalesce(1).write.parquet(src + "/a")
-    second.coalesce(1).write.parquet(src + "/b")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
-    out, ck = scratch("late_out"), scratch("late_ck")
-    st.run_available(st.stream_running_deviation(stream), out, ck, mode="update")
-    r = st.read_latest(spark, out, ["srcIP", "destIP", "destPt", "protocol"]).first()
-    assert r["flowct"] == 3 and r["late_rows"] == 1
-    vals, means, dev = [100.0, 300.0, 200.0], [], 0.0
-    for i, v in enumerate(vals):
-        m = sum(vals[: i + 1]) / (i + 1)
-        dev += abs(v - m)
-    assert r["stdev_dest_bytes"] == pytest.approx(dev / 3)
-    assert r["mean_intvl"] == pytest.approx(2.5) and r["stdev_intvl"] == pytest.approx(0.5)
-
-
 def test_box_cox_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.lognormal(1.0, 0.6, 300)
