@@ -17,13 +17,15 @@ import datetime as _dt
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowtrace.schema import CONN_FIELDS, EMPTY, LOG_TYPE_TO_SPARK, UNSET, column_name
 
 _SEP = "\t"
+#: Files whose headers are broadcast at most (about 500 bytes each); more are joined by shuffle.
+BROADCAST_FILES = 50_000
 
 
 def _typed(raw: Column, log_type: str, as_text: bool) -> Column:
@@ -120,6 +122,79 @@ def read_log(spark: SparkSession, path: str | Sequence[str], keep: Sequence[str]
     return out
 
 
+def _checked(value: Column, log_type: str) -> tuple[Column, Column]:
+    """A field's typed value, and why it has none though the text isn't unset (NULL if all is well)."""
+    typed = _typed(value, log_type, False)
+    given = value.isNotNull() & ~value.isin(UNSET, EMPTY)
+    return typed, F.when(given & typed.isNull(), F.lit(f"not a {log_type}"))
+
+
+def parse_checked(raw: DataFrame, heads: DataFrame | None, layouts: Sequence[tuple[str, str | None]], keep: Sequence[str] | None) -> DataFrame:
+    """``file``, ``line``, ``row`` (struct of the typed fields) and ``bad`` (array of field and reason) of every data line.
+
+    One pass, whatever the number of layouts: a line's fields are found by name in
+    the header of its own file (no ``heads``: the one layout is that of all files).  A field has the type that the first layout with
+    it gives.  ``bad`` is empty for a good line; then ``row`` holds.
+    """
+    types: dict[str, str] = {}
+    for f, t in layouts:
+        names = f.split(_SEP)[1:]
+        for n, x in zip(names, t.split(_SEP)[1:] if t else ["string"] * len(names)):
+            types.setdefault(n, x)
+    keep = list(keep) if keep else list(types)
+    data = raw.where(~F.col("value").startswith("#") & (F.length("value") > 0))
+    if heads is None:
+        data = data.withColumn("f", F.lit(layouts[0][0]))
+    else:
+        data = data.join(heads.select("file", F.when(~F.coalesce("mixed", F.lit(False)), F.col("f")).alias("f")), "file", "left")
+    data = data.select("file", F.col("value").alias("line"), F.split("value", _SEP).alias("parts"),
+                       F.slice(F.split("f", _SEP), 2, 1 << 20).alias("names"))
+    fields, bad = [], [F.when(F.col("names").isNull(), F.struct(F.lit(None).cast("string").alias("field"), F.lit("no header, or several").alias("reason"))),
+                       F.when(F.size("parts") != F.size("names"), F.struct(
+                           F.lit(None).cast("string").alias("field"),
+                           F.concat(F.size("parts").cast("string"), F.lit(" of "), F.size("names").cast("string"), F.lit(" fields")).alias("reason")))]
+    whole = F.col("names").isNotNull() & (F.size("parts") == F.size("names"))
+    for k in keep:
+        # a field that the file's header doesn't have is NULL
+        value = F.when(whole, F.get("parts", F.nullif(F.array_position("names", k), F.lit(0)).cast("int") - 1))
+        typed, why = _checked(value, types.get(k, "string"))
+        fields.append(typed.alias(column_name(k)))
+        bad.append(F.when(why.isNotNull(), F.struct(F.lit(k).alias("field"), why.alias("reason"))))
+    return data.select("file", "line", F.struct(*fields).alias("row"), F.filter(F.array(*bad), lambda b: b.isNotNull()).alias("bad"))
+
+
+def read_log_checked(spark: SparkSession, path: str | Sequence[str], out_path: str,
+                     keep: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Typed rows, rejected lines and their counts: one parse, written to ``out_path``, read back as two tables.
+
+    A line is rejected if its number of fields isn't that of its file's header, if
+    its file has no header or several, or if a kept field holds text that isn't of
+    its type (unset and empty fields are fine).  ``rejects`` has ``file``,
+    ``line``, ``field`` (those at fault, comma-joined; NULL for the whole line)
+    and ``reason``.  Every data line is in one of the two tables; the counts
+    (``lines``, ``typed``, ``rejected``) are observed while the parse is written.
+    A folder without any header gives rejects only, with the kept fields as text.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = log_headers(raw).checkpoint(eager=True)  # one row per file
+    usable = F.col("f").isNotNull() & ~F.coalesce("mixed", F.lit(False))
+    found = heads.where(usable).groupBy("f", "t").agg(F.min("file").alias("file")).orderBy("file").collect()
+    layouts = [(r["f"], r["t"]) for r in found]  # one row per layout
+    files, others = heads.agg(F.count(F.lit(1)), F.count_if(~usable)).first()
+    alike = len(layouts) == 1 and not others
+    whole = parse_checked(raw, None if alike else F.broadcast(heads) if files <= BROADCAST_FILES else heads, layouts, keep)
+    seen = Observation()
+    rejected = F.size("bad") > 0
+    whole.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(~rejected).alias("typed"), F.count_if(rejected).alias("rejected")).write.mode(
+        "overwrite").parquet(out_path)
+    made = spark.read.schema(whole.schema).parquet(out_path)
+    typed = made.where(F.size("bad") == 0).select("row.*")
+    fields = F.array_join(F.transform("bad", lambda b: b["field"]), ",")
+    rejects = made.where(F.size("bad") > 0).select(
+        "file", "line", F.when(fields != "", fields).alias("field"), F.array_join(F.transform("bad", lambda b: b["reason"]), ",").alias("reason"))
+    return typed, rejects, seen.get
+
+
 def read_conn_log(spark: SparkSession, path, fields: str | Sequence[str] = "kept", **kw) -> DataFrame:
     """Connection log: ``fields='kept'`` (the 14 used fields), ``'*'`` (all) or a list."""
     from flowtrace.schema import CONN_KEPT
@@ -168,6 +243,11 @@ def write_log(df: DataFrame, path: str, fields: Sequence[tuple[str, str]] | None
               path_name: str = "conn", mode: str = "overwrite") -> None:
     """Write a typed frame as log text: each partition is a file with header and footer."""
     fields = list(fields or CONN_FIELDS)
+    write_lines(to_log_lines(df, fields), path, fields, path_name, mode)
+
+
+def write_lines(lines: DataFrame, path: str, fields: Sequence[tuple[str, str]], path_name: str = "conn", mode: str = "overwrite") -> None:
+    """Write data lines (column ``value``) as log text: each partition is a file with header and footer."""
     head = header_lines(path_name, fields)
     foot = f"#close{_SEP}" + _dt.datetime(2024, 1, 1).strftime("%Y-%m-%d-%H-%M-%S")
 
@@ -181,4 +261,4 @@ def write_log(df: DataFrame, path: str, fields: Sequence[tuple[str, str]] | None
         if not first:
             yield pd.DataFrame({"value": [foot]})
 
-    to_log_lines(df, fields).mapInPandas(frame, "value string").write.mode(mode).text(path)
+    lines.mapInPandas(frame, "value string").write.mode(mode).text(path)
