@@ -61,9 +61,9 @@ LEAVING_ROUNDS = 2
 #: Cells that shingles are counted in, as a power of two.
 CELL_BITS = 18
 #: Entries in a block of an index list; sets in a block of a group.
-LIST_BLOCK, GROUP_BLOCK = 64, 1024
-#: Entries of one list that a task holds at once.
-LIST_PART = 1 << 18
+LIST_BLOCK, GROUP_BLOCK = 64, 512
+#: Entries that a task looks through together, and of one list that it holds at once.
+CUT_ROWS, LIST_PART = 1 << 16, 1 << 18
 #: Lists of differing shingles up to this length are counted side by side.
 SHORT_LIST = 12
 #: Rows that are broadcast at most (about 60 bytes each); more are joined by shuffle.
@@ -238,6 +238,8 @@ def skipped_lists(entries: DataFrame) -> DataFrame:
                 continue
             held.append(batch)
             size += batch.num_rows
+            if size < CUT_ROWS:
+                continue
             if held[0].column("token")[0] == batch.column("token")[-1]:
                 if size >= LIST_PART:  # one list of very many entries is handed on in parts
                     yield plain(pa.Table.from_batches(held))
@@ -252,7 +254,13 @@ def skipped_lists(entries: DataFrame) -> DataFrame:
             held, edge = whole.slice(last).to_batches(), False
             size = whole.num_rows - last
         if held:
-            yield plain(pa.Table.from_batches(held))
+            whole = pa.Table.from_batches(held)
+            token = whole.column("token").to_numpy()
+            last = int(np.searchsorted(token, token[-1], "left"))
+            made = cut(whole.slice(0, last), edge) if last else None
+            if made is not None:
+                yield made
+            yield plain(whole.slice(last))
 
     sliced = entries.repartitionByRange(slice_count(entries), *columns).sortWithinPartitions(*columns)
     return sliced.mapInArrow(run, "token bigint, n int, key binary").distinct()
