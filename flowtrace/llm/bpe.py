@@ -35,9 +35,9 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 #: Bytes of chunks with their ids that a worker keeps, what an entry takes beside its characters, and the longest chunk that is kept.
-CACHE_BYTES, ENTRY_BYTES, CACHE_CHARS = 64 << 20, 200, 64
+CACHE_BYTES, ENTRY_BYTES, CACHE_CHARS = 160 << 20, 200, 64
 #: Pairs of tokens whose compatibility is kept by a worker (about 120 bytes each).
-PAIR_CACHE_SIZE, PAIR_BASE = 1 << 19, 1 << 24
+PAIR_CACHE_SIZE, PAIR_BASE = 1 << 20, 1 << 24
 
 
 def byte_letters() -> list[str]:
