@@ -25,6 +25,44 @@ def predict_at(df: DataFrame, score: str = "score", threshold: float = 0.5, out:
     return df.withColumn(out, (F.col(score) > F.lit(threshold)).cast("int"))
 
 
+def best_cuts(df: DataFrame, group: Sequence[str], label: str = "label", score: str = "score", positive=1) -> DataFrame:
+    """One cut per group: where true positive rate less false positive rate is greatest along the group's ROC points.
+
+    Rows *above* the cut are positive: it lies halfway between the best point's
+    score and the next lower one of the group, and at minus infinity below the
+    lowest.  Of equally good points the one with the highest score counts.
+    Groups without both classes have no cut (NULL); rows of no group (NULL) give none.
+    """
+    group = list(group)
+    points = roc_points(df, label, score, positive, group)
+    gain = F.col("tpr") - F.col("fpr")
+    best = points.groupBy(*group).agg(F.max_by("score", F.struct(gain, "score")).alias("at"), F.max(gain).alias("gain"))
+    # the points are read once more for the next lower score, with one row per group joined to them
+    its = best.withColumnsRenamed({g: "__g_" + g for g in group})
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col("__g_" + g))
+    both = points.join(its, same)
+    below = F.max(F.when(F.col("score") < F.col("at"), F.col("score")))
+    cut = F.coalesce((F.max("at") + below) / 2, F.lit(float("-inf")))
+    return both.groupBy(*group).agg(F.when(F.max("gain").isNotNull(), cut).alias("cut"))
+
+
+def predict_by_group(df: DataFrame, cuts: DataFrame, group: Sequence[str], score: str = "score", default: float = 0.5,
+                     out: str = "pred") -> DataFrame:
+    """Class 1 where score > the cut of the row's group (strict), else 0.
+
+    ``cuts``: the group columns and ``cut``, one row a group; groups without a cut
+    use ``default``.  AQE broadcasts the cuts if their bytes are few.
+    """
+    its = cuts.select(*[F.col(g).alias("__g_" + g) for g in group], F.col("cut").alias("__cut"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col("__g_" + g))
+    both = df.join(its, same, "left").withColumn(out, (F.col(score) > F.coalesce("__cut", F.lit(default))).cast("int"))
+    return both.drop("__cut", *["__g_" + g for g in group])
+
+
 def confusion_counts(df: DataFrame, label: str = "label", pred: str = "pred", positive=1,
                      group: Sequence[str] = ()) -> DataFrame:
     """tp, fp, fn, tn (as bigint) per group; ``positive`` names the positive class."""

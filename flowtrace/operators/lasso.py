@@ -59,6 +59,16 @@ def with_bands(df: DataFrame, id_col: str, families: Sequence[str], family_col:
     return normals.unionByName(df.where(~normal | F.col(family_col).isNull()).withColumn("band", F.lit(0))), sizes
 
 
+def tested_with(sizes: dict[str, int], family_col: str = "Family") -> F.Column:
+    """The left-out families that a row of :func:`with_bands` is a test row of (an array, mostly empty)."""
+    tests = []
+    for f, n in sizes.items():
+        smaller = sum(o < n for o in sizes.values())
+        own = F.col(family_col) == f
+        tests.append(F.when(own | ((F.col(family_col) == NORMAL_FAMILY) & (F.col("band") <= smaller)), F.lit(f)))
+    return F.array_compact(F.array(*tests))
+
+
 def _added(rows: pa.Table) -> pa.Table:
     sums = rows.column("moments").combine_chunks()
     total = sums.flatten().to_numpy().reshape(rows.num_rows, -1).sum(axis=0)

@@ -596,6 +596,7 @@ def cv_folds(spark, sf_dir):
 # --- evaluation -----------------------------------------------------------
 
 from flowtrace.operators import evaluate as ev  # noqa: E402
+from flowtrace.operators import lasso as ls  # noqa: E402
 
 _SCORED = """
 scored AS (SELECT l.doc_id, CAST(l.toxic AS INTEGER) AS label, CAST(d.n_chars AS DOUBLE) AS score,
@@ -708,9 +709,10 @@ a AS (SELECT fold_family, sum(pos * (cn - neg / 2)) / (sum(pos) * sum(neg)) AS a
 
 
 def _loo_test_scored(spark, sf_dir):
-    lf = sp.leave_family_out(_lab_ids(spark, sf_dir), "row_id", MALWARE_FAMILIES)
-    t = lf.where(F.col("part") == "test").select(
-        "row_id", "fold_family", F.col("Malicious").alias("label"), F.col("flowct").cast("double").alias("score"))
+    # test rows only, each once for every family that tests it: no row is copied for the folds it trains
+    rows, sizes = ls.with_bands(_lab_ids(spark, sf_dir), "row_id", MALWARE_FAMILIES)
+    t = rows.select("row_id", F.explode(ls.tested_with(sizes)).alias("fold_family"), F.col("Malicious").alias("label"),
+                    F.col("flowct").cast("double").alias("score"))
     return ev.predict_at(t, "score", 6.0)
 
 
@@ -726,6 +728,22 @@ def family_metrics(spark, sf_dir):
     return ev.metric_table(_loo_test_scored(spark, sf_dir), ["fold_family"])
 
 
+@query("predict_by_family", "P13 (a cut for each family from its ROC points, joined back; strict >)", with_ctes(_LOO_SCORED + """,
+tot AS (SELECT fold_family, sum(pos) AS P, sum(neg) AS N FROM sc GROUP BY fold_family),
+roc AS (SELECT sc.fold_family, score, sum(pos) OVER w / P - sum(neg) OVER w / N AS gain, lead(score) OVER w AS below
+        FROM sc JOIN tot ON tot.fold_family = sc.fold_family WINDOW w AS (PARTITION BY sc.fold_family ORDER BY score DESC)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_family ORDER BY gain DESC, score DESC) AS r FROM roc) WHERE r = 1),
+cuts AS (SELECT fold_family, coalesce((score + below) / 2, '-inf'::DOUBLE) AS cut FROM best)""", """
+SELECT t.fold_family, max(c.cut) AS cut, count_if(t.score > c.cut AND label = 1) AS tp, count_if(t.score > c.cut AND label <> 1) AS fp,
+  count_if(t.score <= c.cut AND label = 1) AS fn, count_if(t.score <= c.cut AND label <> 1) AS tn
+FROM t JOIN cuts c ON c.fold_family = t.fold_family GROUP BY t.fold_family"""))
+def predict_by_family(spark, sf_dir):
+    scored = _loo_test_scored(spark, sf_dir)
+    cuts = ev.best_cuts(scored, ["fold_family"])
+    pred = ev.predict_by_group(scored, cuts, ["fold_family"])
+    return ev.confusion_counts(pred, group=["fold_family"]).join(cuts, "fold_family").select("fold_family", "cut", "tp", "fp", "fn", "tn")
+
+
 @query("auc_by_params", "E8", with_ctes(_SCORED + """,
 g AS (SELECT d.lang, s.score, s.label FROM scored s JOIN documents d ON d.doc_id = s.doc_id),
 sc AS (SELECT lang, score, CAST(count_if(label = 1) AS DOUBLE) AS pos, CAST(count_if(label <> 1) AS DOUBLE) AS neg
@@ -1012,9 +1030,49 @@ def loo_run(spark, sf_dir):
     return leave_one_family_out(_model_table(spark, sf_dir), model="nb")
 
 
-# --- lasso from moments, all 33 features ----------------------------------
+# --- naive Bayes with smooth kernels --------------------------------------
 
-from flowtrace.operators import lasso as ls  # noqa: E402
+from flowtrace.operators import kernel_nb as kn  # noqa: E402
+
+#: naive Bayes has its features as they are, without the flags that no flow sets
+_KERNEL_FEATS = [c for c in TRACE_COLUMNS_A[5:] if c not in {feature_name(x) for x in NB_DROPPED_FLAGS}]
+_KERNEL_SQL = V.LABELLED + f""",
+lab AS (SELECT {_RID} AS row_id, Malicious AS label, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _KERNEL_FEATS)} FROM labelled),
+parts AS (SELECT *, CASE WHEN substr({_MD5}, 1, 8) < 'b3333334' THEN 'train' ELSE 'test' END AS part FROM lab),
+long AS ({" UNION ALL ".join(f"SELECT row_id, label, part, '{c}' AS feature, {c} AS x FROM parts" for c in _KERNEL_FEATS)}),
+tr AS (SELECT * FROM long WHERE part = 'train'),
+st AS (SELECT label, feature, count(*) AS n, coalesce(stddev_samp(x), 0) AS sd, min(x) AS a, max(x) AS b,
+              quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM tr GROUP BY label, feature),
+bw AS (SELECT *, 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd WHEN abs(a) > 0 THEN abs(a) ELSE 1.0 END
+              * power(n, -0.2) AS h FROM st),
+gr AS (SELECT *, a - 3 * h AS low, (b - a + 6 * h) / {kn.GRID - 1} AS step FROM bw),
+us AS (SELECT t.label, t.feature, (t.x - g.low) / g.step AS u FROM tr t JOIN gr g ON g.label = t.label AND g.feature = t.feature),
+bins AS (SELECT label, feature, CAST(floor(u) AS INTEGER) AS i, count(*) AS c, sum(u - floor(u)) AS up FROM us GROUP BY 1, 2, 3),
+mass AS (SELECT label, feature, i, sum(m) AS m FROM (SELECT label, feature, i, c - up AS m FROM bins
+         UNION ALL SELECT label, feature, i + 1 AS i, up AS m FROM bins) GROUP BY label, feature, i),
+dens AS (SELECT g.label, g.feature, p.j, sum(m.m * exp(-0.5 * power((p.j - m.i) * g.step / g.h, 2))) / (g.n * g.h * sqrt(2 * pi())) AS d
+         FROM gr g JOIN mass m ON m.label = g.label AND m.feature = g.feature CROSS JOIN (SELECT unnest(range({kn.GRID})) AS j) p
+         GROUP BY g.label, g.feature, p.j, g.n, g.h),
+te AS (SELECT l.row_id, g.label AS c, l.feature, (l.x - g.low) / g.step AS u FROM long l JOIN gr g ON g.feature = l.feature WHERE l.part = 'test'),
+lp AS (SELECT te.row_id, te.c, sum(ln(greatest(CASE WHEN u >= 0 AND u <= {kn.GRID - 1}
+              THEN coalesce(d0.d, 0) * (1 - (u - floor(u))) + coalesce(d1.d, 0) * (u - floor(u)) ELSE 0 END, {kn.FLOOR}))) AS l
+       FROM te LEFT JOIN dens d0 ON d0.label = te.c AND d0.feature = te.feature AND d0.j = floor(u)
+               LEFT JOIN dens d1 ON d1.label = te.c AND d1.feature = te.feature AND d1.j = floor(u) + 1 GROUP BY te.row_id, te.c),
+pr AS (SELECT label, ln(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM parts WHERE part = 'train')) AS p FROM parts WHERE part = 'train' GROUP BY label),
+w AS (SELECT lp.row_id, max(CASE WHEN lp.c = 1 THEN l + pr.p END) AS l1, max(CASE WHEN lp.c = 0 THEN l + pr.p END) AS l0
+      FROM lp JOIN pr ON pr.label = lp.c GROUP BY lp.row_id)"""
+
+
+@query("kernel_nb", "L9 L15 (Gaussian kernels by binning, density arrays looked up in one projection)", with_ctes(_KERNEL_SQL, """
+SELECT row_id, exp(l1 - greatest(l1, l0)) / (exp(l1 - greatest(l1, l0)) + exp(l0 - greatest(l1, l0))) AS prob FROM w"""))
+def kernel_nb(spark, sf_dir):
+    lab = sp.with_id(_labelled(spark, sf_dir), tr.TRACE_KEY).withColumn("label", F.col("Malicious").cast("double")).where("label IS NOT NULL")
+    lab = sp.split_fraction(lab, "row_id", 0.7).select("row_id", "label", "part", *_KERNEL_FEATS)
+    model = kn.fit(lab.where(F.col("part") == "train"), _KERNEL_FEATS)
+    return kn.score(lab.where(F.col("part") == "test"), model, _KERNEL_FEATS).select("row_id", "prob")
+
+
+# --- lasso from moments, all 33 features ----------------------------------
 
 #: every numeric column of the trace layout; the skewed ones are log-transformed for linear scores
 ALL_FEATURES = [c for c in TRACE_COLUMNS_A[5:]]

@@ -81,3 +81,17 @@ def test_quantiles_rank_a_hot_value_once(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert [d.count() for d in seen] == [7, 8]  # different values, not rows
     assert stats.exact_quantiles(df.where("false"), "v", probs, [], 2).count() == 0
+
+
+def test_cuts_of_groups_from_their_roc_points(spark):
+    import math
+    rows = [("a", 1, 5.0), ("a", 1, 4.0), ("a", 0, 4.0), ("a", 0, 1.0), ("a", 0, 1.0), ("b", 1, 2.0), ("b", 1, 2.0), ("b", 0, 2.0),
+            ("only", 1, 3.0), (None, 1, 9.0), (None, 0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, label int, score double")
+    cuts = {r.g: r.cut for r in ev.best_cuts(df, ["g"]).collect()}
+    # a: at 4 the rates are 1 and 1/3, at 5 they are 1/2 and 0; b: one score only, so all rows are positive
+    assert cuts == {"a": 2.5, "b": -math.inf, "only": None}
+    pred = ev.predict_by_group(df, ev.best_cuts(df, ["g"]), ["g"], default=3.0)
+    assert sorted(((r.g, r.score, r.pred) for r in pred.collect()), key=repr) == sorted(
+        [("a", 5.0, 1), ("a", 4.0, 1), ("a", 4.0, 1), ("a", 1.0, 0), ("a", 1.0, 0), ("b", 2.0, 1), ("b", 2.0, 1), ("b", 2.0, 1),
+         ("only", 3.0, 0), (None, 9.0, 1), (None, 2.0, 0)], key=repr)
