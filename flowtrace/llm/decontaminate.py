@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flowtrace.llm.common import small_batches
 
@@ -169,12 +170,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = None
     for block in _passes(items):
         shared = spark.sparkContext.broadcast(block)
-        part = source.mapInArrow(_matcher(shared, [f.name for f in schema]), schema)
+        part = source.mapInArrow(_matcher(shared, [f.name for f in schema], to_arrow_type(schema["item_id"].dataType)), schema)
         found = part if found is None else found.union(part)
     return found
 
 
-def _matcher(shared, names: list[str]):
+def _matcher(shared, names: list[str], id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         index = Index([(number, words) for number, (_, words) in enumerate(block)])
@@ -185,7 +186,7 @@ def _matcher(shared, names: list[str]):
             if rows:
                 at, number, first, n, s = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(at)), pa.array([block[i][0] for i in number]),
+                    ids.take(pa.array(at)), pa.array([block[i][0] for i in number], id_type),
                     pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64())], names=names)
 
     return run

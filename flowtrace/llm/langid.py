@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtrace.llm.common import fold, id_and_text, map_batches, materialise, small_batches
+from flowtrace.llm.common import fold, id_and_text, map_batches, materialise, small_batches, stored
 
 # Families of languages; any other language is a family of its own.
 FAMILIES = {
@@ -93,7 +93,7 @@ class Model:
 
 
 def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on rows ``doc_id``, ``text``, ``lang`` (rows without a language or a letter teach nothing)."""
+    """Fit on rows ``doc_id``, ``text``, ``lang`` (rows without a language or a text teach nothing)."""
     small_batches(labelled.sparkSession)
     rows = labelled.filter("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -108,7 +108,8 @@ def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -
         return {"x": pa.array([v.tolist() for v in made], pa.list_(pa.float64()))}
 
     made = map_batches(some.select("lang", "text"), vectors, "x array<double>").drop("text")
-    sample = materialise(made.select("lang", array_to_vector("x").alias("x")).coalesce(8))
+    # the sample is written by all tasks of the scan; only its few rows are taken together
+    sample = materialise(stored(made).select("lang", array_to_vector("x").alias("x")).coalesce(8))
     families = F.create_map(*(F.lit(x) for lang in sizes for x in (lang, family_of(lang))))
     for group, options in model.groups():
         label = families[F.col("lang")] if group == "" else F.col("lang")

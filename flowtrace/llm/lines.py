@@ -215,15 +215,25 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("dropped"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with its text less the dropped lines, and ``_dropped`` (the places of these lines)."""
+def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row`` (a struct with the columns of ``df``, its text less the dropped lines) and ``dropped`` (the places of these lines)."""
     gone = stored(dropped_lines(df, id_col, text_col))
     if gone.agg(F.coalesce(F.sum(F.size("dropped") + 8), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    keyed = df.withColumn("_text_hash", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    both = keyed.join(gone, keyed[id_col].eqNullSafe(gone.id) & (keyed._text_hash == gone.text_hash), "left")
-    made = both.withColumn("_parts", F.when(F.col("dropped").isNotNull(), F.split(F.col(f"`{text_col}`").cast("string"), "\n")))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("dropped")), lambda i: F.get(F.col("_parts"), i))
-    made = made.withColumn("_left", F.when(F.col("dropped").isNull(), keyed[text_col]).otherwise(F.array_join(left, "\n")))
-    return made.select(*(F.col("_left").alias(c) if c == text_col else keyed[c] for c in df.columns),
-                       F.coalesce("dropped", F.array().cast("array<int>")).alias("_dropped"))
+    row, text = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").cast("string")
+    keyed = df.select(row, F.col(f"`{id_col}`").alias("doc"), text.alias("t"), F.xxhash64(text).alias("h"))
+    both = keyed.join(gone, F.col("doc").eqNullSafe(gone.id) & (F.col("h") == gone.text_hash), "left")
+    made = both.withColumn("parts", F.when(F.col("dropped").isNotNull(), F.split("t", "\n")))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("dropped")), lambda i: F.get(F.col("parts"), i))
+    made = made.withColumn("left", F.when(F.col("dropped").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join(left, "\n")))
+    whole = F.struct(*((F.col("left") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns))
+    return made.select(whole.alias("row"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with its text less the dropped lines, and ``_dropped`` (the places of these lines).
+
+    A column of ``df`` that is named ``_dropped`` is replaced; :func:`dedup_rows` keeps any.
+    """
+    made = dedup_rows(df, id_col, text_col)
+    return made.select(*(F.col(f"row.`{c}`") for c in df.columns if c != "_dropped"), F.col("dropped").alias("_dropped"))

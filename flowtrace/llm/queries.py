@@ -72,8 +72,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op6_line_dedup")
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = lines.dedup_lines(table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "text", F.size("_dropped").cast("bigint").alias("n_dropped"))
+    made = lines.dedup_rows(table(spark, sf_dir, "documents"))
+    return made.select("row.doc_id", "row.text", F.size("dropped").cast("bigint").alias("n_dropped"))
 
 
 @_query("op7_simhash")

@@ -5,7 +5,8 @@ method adds kind ``random``: runs of 20 or more key characters that a tokenizer
 vocabulary cuts into very short pieces.  Ordinary words and identifiers are made
 of known pieces (many characters to a token); random strings are not.  Known
 digests (hexadecimal strings of a digest's length), UUIDs, plain numbers, runs of
-one class of characters and strings inside a base span are left out.
+one class of characters are left out.  A run is cut at the base spans, and each
+rest of 20 or more characters is tested.
 
 Places count code points, ends are exclusive.  Defined results: null and empty
 texts have no spans; rows are scanned one by one.
@@ -29,7 +30,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the same spans as runs of any length of which the short ones are dropped
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN_CHARS = 20
+RUN = re.compile(f"[A-Za-z0-9+/_=-]{{{RUN_CHARS},}}")
 #: A run with fewer characters to a token is taken for random.
 CHARS_PER_TOKEN = 2.0
 DIGEST = re.compile(r"[0-9a-fA-F]+")
@@ -74,11 +76,19 @@ def looks_random(run: str, path: str) -> bool:
 def spans_of(text: str, path: str) -> list[tuple[int, int, int]]:
     """All spans as (start, number of the kind, end), by start, then kind."""
     found = base_spans(text)
-    extra = [(m.start(), 3, m.end()) for m in RUN.finditer(text)
-             if not any(a < m.end() and m.start() < b for a, _, b in found) and looks_random(m[0], path)]
+    extra = [(a, 3, b) for m in RUN.finditer(text) for a, b in _rests(m.start(), m.end(), found) if looks_random(text[a:b], path)]
     return sorted(found + extra)
 
 
+def _rests(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the spans leave of a run, in parts that are runs themselves."""
+    parts, at = [], start
+    for a, _, b in sorted(s for s in spans if s[0] < end and s[2] > start):
+        parts.append((at, a))
+        at = max(at, b)
+    return [(a, b) for a, b in [*parts, (at, end)] if b - a >= RUN_CHARS]
+
+
 def find_secrets(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``spans`` (array of kind, start, end; by start, then kind) of every row's whole text."""
     small_batches(df.sparkSession)

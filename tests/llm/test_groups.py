@@ -187,3 +187,21 @@ def test_pipeline_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF001).persist()
     assert ids == {r.doc_id for r in docs.collect()} and 0 < len(ids)
+
+
+def test_leaks_keep_the_type_of_the_item_id(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"before {words} after")], "doc_id int, text string")
+    for kind in ("int", "smallint", "bigint", "string", "decimal(9,2)"):
+        bench = spark.createDataFrame([("7", words)], "item_id string, text string").selectExpr(f"cast(item_id as {kind}) as item_id", "text")
+        found = decontaminate.find_leaks(docs, bench)
+        assert found.schema["item_id"].dataType.simpleString() == kind and [int(r.item_id) for r in found.collect()] == [7]
+
+
+def test_line_dedup_keeps_columns_with_the_names_of_its_own(spark):
+    names = ["dropped", "parts", "left", "row", "h", "t", "doc", "_text_hash", "id", "text_hash"]
+    made = [(i, "the same line of text\n" + f"only here {i * 7919}", *[f"{n}{i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(made, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = sorted(map(tuple, lines.dedup_rows(df).select("row.*").collect()))
+    assert got == [(i, made[i][1] if i == 0 else f"only here {i * 7919}", *made[i][2:]) for i in range(3)]
+    assert corpus_pipeline.line_dedup(spark, df, SF001).columns == df.columns

@@ -182,3 +182,15 @@ def test_language_model_score_without_a_broadcast_filter(spark, docs, monkeypatc
         rows = lm.score(table, table.filter("doc_id % 3 > 0")).collect()
         found.append(sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows))
     assert found[0] == found[1] and len(found[0]) == table.count()
+
+
+def test_runs_are_cut_at_base_spans():
+    digest, random_ = "0123456789abcdef" * 2, "q7Zk2Xw9Lr4Tn8Vb3Ym6"
+    alone = [(a, b) for a, k, b in secrets.spans_of(random_, RANKS) if k == 3]
+    assert alone == [(0, 20)]
+    text = f"{digest}/{random_}/more"
+    spans = secrets.spans_of(text, RANKS)
+    assert (0, 2, 32) in spans and [s for s in spans if s[1] == 3 and s[0] == 32]
+    assert all(b <= 32 or a >= 32 for a, k, b in spans)  # nothing overlaps the base span
+    assert secrets._rests(0, 60, [(10, 0, 15), (12, 1, 30)]) == [(30, 60)] and secrets._rests(0, 19, []) == []
+    assert secrets._rests(5, 50, [(0, 2, 8), (48, 2, 90)]) == [(8, 48)]
