@@ -3,11 +3,11 @@
 Fingerprints are made of word shingles in Arrow batches.  Equal fingerprints are
 one point.  A vantage-point tree over a bounded sample of the points deals all
 points to shards: a node holds a vantage point and a radius, and points within
-the radius go to the inner branch.  A point also visits every shard that can hold
-a point within the maximum distance of it: by the triangle inequality that is a
-branch only if the point's distance to the vantage point is that close to the
-radius.  So each close pair meets in the home shard of either point, and nothing
-is lost.  Inside a shard a tree of its own is searched in the same way.
+the radius go to the inner branch.  A point whose distance to the vantage point is
+within half of the maximum distance of the radius goes to both branches: by the
+triangle inequality two points that part there are further from one another.  So
+each close pair meets in a shard, and nothing is lost.  Inside a shard a tree of
+its own is searched.
 
 A shard hands on a spanning forest of its close pairs (at most one link for each
 point), so groups of thousands of near copies give links, not pairs.  Components
@@ -106,20 +106,23 @@ class TopTree:
         self._fit(points[away <= radius][1:], 2 * node)
         self._fit(points[away > radius], 2 * node + 1)
 
-    def deal(self, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the point, shard, is it its home) for every shard that a point belongs to or may have to see."""
-        which, node, home = np.arange(len(points)), np.ones(len(points), "i8"), np.ones(len(points), bool)
+    def deal(self, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the point, shard) for every shard of a point; two points within ``reach`` have one in common.
+
+        A point goes to both branches if it is within half of ``reach`` of the
+        border.  Points that part at a node differ in their distances to its
+        vantage point, and so from one another, by more than ``reach``.
+        """
+        which, node, half = np.arange(len(points)), np.ones(len(points), "i8"), (reach + 1) // 2
         for level in range(self.depth):
             fitted = level < self.fitted
             vantage = self.vantage[node] if fitted else self.deep[level - self.fitted]
             radius = self.radius[node] if fitted else DEEP_RADIUS
             away = np.bitwise_count(points[which] ^ vantage).astype("i8")
-            inner, outer = away - reach <= radius, away + reach > radius
-            inside = away <= radius
+            inner, outer = away - half <= radius, away + half > radius
             which = np.concatenate([which[inner], which[outer]])
-            home = np.concatenate([(home & inside)[inner], (home & ~inside)[outer]])
             node = np.concatenate([2 * node[inner], 2 * node[outer] + 1])
-        return which, node - (1 << self.depth), home
+        return which, node - (1 << self.depth)
 
 
 def close_pairs(points: np.ndarray, queries: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -145,12 +148,10 @@ def close_pairs(points: np.ndarray, queries: np.ndarray, reach: int) -> Iterator
         todo.append((mine[~inside], asking[seen + reach > radius]))
 
 
-def forest(points: np.ndarray, reach: int, home: np.ndarray) -> np.ndarray:
-    """For every point the index of the least point that it is connected to through pairs with a home point."""
+def forest(points: np.ndarray, reach: int) -> np.ndarray:
+    """For every point the index of the least point that it is connected to."""
     root = np.arange(len(points))
-    own = np.flatnonzero(home)
-    for p, q in close_pairs(points[own], points, reach):
-        a, b = own[p], q
+    for a, b in close_pairs(points, points, reach):
         while True:  # hook the roots of the ends onto one another, then halve the paths
             ra, rb = root[a], root[b]
             apart = ra != rb
@@ -167,9 +168,8 @@ def _links(points: DataFrame, reach: int, top: TopTree) -> DataFrame:
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = batch.column("fp").to_numpy(zero_copy_only=False).view("u8")
-        which, shard, home = top.deal(values, reach)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(shard), pa.array(values[which].view("i8")), pa.array(home)], names=["shard", "fp", "home"])
+        which, shard = top.deal(values, reach)
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(values[which].view("i8"))], names=["shard", "fp"])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,14 +177,12 @@ def _links(points: DataFrame, reach: int, top: TopTree) -> DataFrame:
                 yield deal(batch)
 
     def search(shard: pa.Table) -> pa.Table:
-        values = shard.column("fp").to_numpy().view("u8")
-        order = np.argsort(values)
-        values, home = values[order], shard.column("home").to_numpy()[order]
-        root = forest(values, reach, home)
+        values = np.sort(shard.column("fp").to_numpy().view("u8"))
+        root = forest(values, reach)
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"u": values[linked].view("i8"), "v": values[root[linked]].view("i8")})
 
-    return (points.mapInArrow(dealt, "shard bigint, fp bigint, home boolean")
+    return (points.mapInArrow(dealt, "shard bigint, fp bigint")
             .groupBy("shard").applyInArrow(search, "u bigint, v bigint"))
 
 

@@ -45,11 +45,25 @@ def test_tree_finds_every_close_pair(monkeypatch):
     got = {(min(a, b), max(a, b)) for p, q in simhash.close_pairs(points, points, 2) for a, b in zip(p.tolist(), q.tolist(), strict=True) if a != b}
     assert got == want
     for top in (simhash.TopTree(points, 3), simhash.TopTree(points[:40], 6), simhash.TopTree(points[:0], 2)):  # the last two go below the fitted levels
-        which, shard, home = top.deal(points, 2)
-        assert sorted(which[home].tolist()) == list(range(len(points)))  # one home each
-        sees = {(int(w), int(s)) for w, s in zip(which, shard, strict=True)}
-        at = dict(zip(which[home].tolist(), shard[home].tolist(), strict=True))
-        assert all((a, at[b]) in sees and (b, at[a]) in sees for a, b in want)
+        which, shard = top.deal(points, 2)
+        sees = {i: set() for i in range(len(points))}
+        for w, x in zip(which.tolist(), shard.tolist(), strict=True):
+            assert x not in sees[w]  # once in a shard
+            sees[w].add(x)
+        assert all(sees.values()) and all(sees[a] & sees[b] for a, b in want)
+
+
+def test_few_copies_in_deep_trees():
+    """Points are dealt to a few shards each, also below the fitted levels, and no close pair is parted."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 20_000, dtype="u8")
+    flip = lambda: np.uint64(1) << rng.integers(0, 64, 20_000, dtype="u8")
+    other = base ^ flip() ^ flip()
+    top = simhash.TopTree(base[:500], 10)
+    (a, sa), (b, sb) = top.deal(base, 2), top.deal(other, 2)
+    assert len(a) < 8 * len(base)
+    shared = set(zip(a.tolist(), sa.tolist(), strict=True)) & set(zip(b.tolist(), sb.tolist(), strict=True))
+    assert {i for i, _ in shared} == set(range(len(base)))
 
 
 def test_near_duplicates_by_brute_force(spark, docs, no_docs, monkeypatch):
