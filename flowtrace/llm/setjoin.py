@@ -20,9 +20,9 @@ with D(x) the shingles in which x differs from the centre, sets x and y differ i
 |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles.  If D(x) and D(y) are small enough a
 link follows at once, else their common part decides, which is counted along the
 lists of the few differing shingles.  Sets with one centre form a group; a group is
-dealt to blocks of a bounded number of sets.  Sets that are one component after
-that need no more links, so across blocks only those outside of a group's largest
-component are held against the others.
+dealt to blocks of a bounded number of sets, with the centre in each.  Sets that
+reach the centre inside their blocks are one component, so across blocks only the
+others are held against all.
 
 A group hands on a spanning forest of its links, and components of these are found
 by :mod:`flowtrace.llm.components`.
@@ -57,7 +57,7 @@ SIMILAR_PARTS, OF_PARTS = 85, 100
 #: Shingles that two linked sets share among their first, as far as the sets are large enough.
 COMMON = 8
 #: Rounds in which sets of too few lists leave all their lists.
-LEAVING_ROUNDS = 2
+LEAVING_ROUNDS = 1
 #: Cells that shingles are counted in, as a power of two.
 CELL_BITS = 18
 #: Entries in a block of an index list; sets in a block of a group.
@@ -390,12 +390,15 @@ def _columns(rows: pa.Table) -> tuple[np.ndarray, pa.Array, list[np.ndarray], np
 
 
 def _inside(rows: pa.Table) -> pa.Table:
-    """A spanning forest of the links in a block of a group."""
+    """A spanning forest of the links in a block of a group; the centre is the root of its own component."""
+    is_centre = np.array([k == c for k, c in zip(rows.column("key").to_pylist(), rows.column("centre").to_pylist(), strict=True)])
+    rows = rows.take(pa.array(np.argsort(~is_centre, kind="stable")))
     n, key, parts, size = _columns(rows)
     apart = size[:, None] + size[None, :] - 2 * _common(parts)
     root = _roots(linked(n[:, None] + n[None, :], apart))
     which = np.flatnonzero(root != np.arange(len(root)))
-    return pa.table({"u": key.take(pa.array(which)), "v": key.take(pa.array(root[which]))})
+    return pa.table({"centre": rows.column("centre").combine_chunks().take(pa.array(which)),
+                     "u": key.take(pa.array(which)), "v": key.take(pa.array(root[which]))})
 
 
 def _between(rows: pa.Table) -> pa.Table:
@@ -419,31 +422,32 @@ LINK = "u binary, v binary"
 def set_links(apart: DataFrame) -> DataFrame:
     """Links ``u``, ``v`` that join all linked sets of the groups of ``apart`` (centre, key, n, apart)."""
     size = apart.groupBy("centre").agg(F.count("*").alias("k"))
-    blocks = F.ceil(F.col("k") / GROUP_BLOCK)
-    member = stored(apart.join(size, "centre").withColumn("block", F.pmod(F.xxhash64("key"), blocks)))
+    blocks = F.ceil(F.col("k") / GROUP_BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    member = stored(apart.join(size, "centre"))
     # a group of one pair needs no lists
     pair = member.filter("k = 2 and key <> centre").join(member.filter("key = centre").select("centre", F.col("n").alias("its")), "centre")
     total, differ = F.col("n") + F.col("its"), F.size("apart")
     direct = pair.filter(OF_PARTS * (total - differ) >= SIMILAR_PARTS * (total + differ)).select(F.col("key").alias("u"), F.col("centre").alias("v"))
-    inside = member.filter("k > 2").groupBy("centre", "block").applyInArrow(_inside, LINK)
-    links = materialise(direct.union(inside))
-    large = member.filter(F.col("k") > GROUP_BLOCK)
+    # the centre is in every block of its group, so what reaches it in some block is one component
+    dealt = member.filter("k > 2").withColumn("block", F.explode(
+        F.when(F.col("key") == F.col("centre"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block(blocks)))))
+    inside = stored(dealt.groupBy("centre", "block").applyInArrow(_inside, "centre binary, u binary, v binary"))
+    links = direct.union(inside.select("u", "v"))
+    large = member.filter((F.col("k") > GROUP_BLOCK) & (F.col("key") != F.col("centre")))
     if large.isEmpty():
         return links
-    roots = components(links)
-    known = large.join(roots.withColumnRenamed("vertex", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    known = stored(known.select("centre", "key", "n", "apart", "k", "root"))
-    parts = known.groupBy("centre", "root").agg(F.count("*").alias("c"))
-    main = parts.groupBy("centre").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("few_k"))
-    of = known.join(main.filter("few_k > 0"), "centre")
+    root = inside.select("centre", F.col("u").alias("key"), F.col("v").alias("root"))
+    known = stored(large.join(root, ["centre", "key"], "left").withColumn("root", F.coalesce("root", "key")))
+    few_k = known.filter("root <> centre").groupBy("centre").agg(F.count("*").alias("few_k"))
+    of = known.join(few_k, "centre")
     side = F.ceil(F.col("few_k") / GROUP_BLOCK).cast("int")
-    block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     every = of.select("centre", block(blocks).alias("block"), F.explode(F.sequence(F.lit(0), side - 1)).alias("other"),
                       F.lit(False).alias("few"), "key", "n", "apart", "root")
-    few = of.filter("root <> main").select(
-        "centre", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("block"), block(side).alias("other"),
+    few = of.filter("root <> centre").select(
+        "centre", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), block(side).alias("other"),
         F.lit(True).alias("few"), "key", "n", "apart", "root")
-    return links.union(materialise(every.union(few).groupBy("centre", "block", "other").applyInArrow(_between, LINK)))
+    return links.union(every.union(few).groupBy("centre", "block", "other").applyInArrow(_between, LINK))
 
 
 def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
