@@ -17,7 +17,7 @@ import datetime as _dt
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,7 +172,9 @@ def read_log_checked(spark: SparkSession, path: str | Sequence[str], out_path: s
     its type (unset and empty fields are fine).  ``rejects`` has ``file``,
     ``line``, ``field`` (those at fault, comma-joined; NULL for the whole line)
     and ``reason``.  Every data line is in one of the two tables; the counts
-    (``lines``, ``typed``, ``rejected``) are observed while the parse is written.
+    (``lines``, ``typed``, ``rejected``) come from one column of the written parse.
+    (No ``Observation``: a session that has made one can't be serialized any more,
+    and MLlib's models with a binary training summary hold their session.)
     A folder without any header gives rejects only, with the kept fields as text.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
@@ -183,16 +185,15 @@ def read_log_checked(spark: SparkSession, path: str | Sequence[str], out_path: s
     files, others = heads.agg(F.count(F.lit(1)), F.count_if(~usable)).first()
     alike = len(layouts) == 1 and not others
     whole = parse_checked(raw, None if alike else F.broadcast(heads) if files <= BROADCAST_FILES else heads, layouts, keep)
-    seen = Observation()
     rejected = F.size("bad") > 0
-    whole.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(~rejected).alias("typed"), F.count_if(rejected).alias("rejected")).write.mode(
-        "overwrite").parquet(out_path)
+    whole.write.mode("overwrite").parquet(out_path)
     made = spark.read.schema(whole.schema).parquet(out_path)
     typed = made.where(F.size("bad") == 0).select("row.*")
     fields = F.array_join(F.transform("bad", lambda b: b["field"]), ",")
     rejects = made.where(F.size("bad") > 0).select(
         "file", "line", F.when(fields != "", fields).alias("field"), F.array_join(F.transform("bad", lambda b: b["reason"]), ",").alias("reason"))
-    return typed, rejects, seen.get
+    seen = made.agg(F.count(F.lit(1)).alias("lines"), F.count_if(~rejected).alias("typed"), F.count_if(rejected).alias("rejected")).first()
+    return typed, rejects, seen.asDict()
 
 
 def read_conn_log(spark: SparkSession, path, fields: str | Sequence[str] = "kept", **kw) -> DataFrame:

@@ -51,3 +51,24 @@ def test_all_kept_fields_of_a_written_log(spark, scratch):
     typed, rejects, counts = zeek.read_log_checked(spark, path, scratch("parsed_conn"), CONN_KEPT)
     assert rejects.count() == 0 and counts["typed"] == typed.count()
     assert sorted(map(repr, typed.collect())) == sorted(map(repr, zeek.read_conn_log(spark, path).collect()))
+
+
+def _models_table(spark):
+    rows = [(str(i), float(i % 7 > 2), float(i % 7), float(i % 5), i % 3) for i in range(60)]
+    return spark.createDataFrame(rows, "row_id string, label double, a double, b double, fold int")
+
+
+def test_forests_score_in_a_session_that_has_read_a_log(spark, read):
+    """The counts must leave the session serializable: a model's binary summary holds it."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from flowtrace.operators import models as ml
+    assert len(read({"a.log": HEAD + "1.5\tA\t80\t0.5\n"})[0]) == 1
+
+    def make(ntree):
+        return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=ntree, maxDepth=3, seed=1)
+
+    table = _models_table(spark)
+    assert ml.cv_predictions(table, ["a", "b"], [{"ntree": 2}, {"ntree": 3}], make).count() == 2 * 60
+    scored, _ = ml.random_forest(table, table, ["a", "b"], num_trees=2, max_depth=3)
+    assert len(scored.collect()) == 60
