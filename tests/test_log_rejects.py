@@ -72,3 +72,11 @@ def test_forests_score_in_a_session_that_has_read_a_log(spark, read):
     assert ml.cv_predictions(table, ["a", "b"], [{"ntree": 2}, {"ntree": 3}], make).count() == 2 * 60
     scored, _ = ml.random_forest(table, table, ["a", "b"], num_trees=2, max_depth=3)
     assert len(scored.collect()) == 60
+
+
+def test_logistic_scores_in_a_session_that_has_read_a_log(spark, read):
+    from flowtrace.operators import models as ml
+    assert len(read({"a.log": HEAD + "1.5\tA\t80\t0.5\n"})[0]) == 1
+    table = _models_table(spark)
+    scored, _ = ml.logistic(table, table, ["a", "b"])
+    assert len(scored.collect()) == 60
