@@ -36,26 +36,28 @@ def require_checkpoint_dir(df: DataFrame) -> None:
 DEFAULT_SLICE_BYTES = 256 * 1024 * 1024
 
 
-def _input_bytes(df: DataFrame) -> int:
+def _input_bytes(df: DataFrame, enough: int) -> int:
     """Bytes read by the plan: the sum of its leaf relations' size estimates
     (file sizes for scans).  Estimates of derived nodes (joins, explode) are
-    products and can be far off, so only leaves are used."""
+    products and can be far off, so only leaves are used.  A checkpoint is a leaf
+    that keeps the estimate of its plan; where that gives more than ``enough``,
+    the rows are counted."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1)))
-    total = 0
+    total, guessed = 0, False
     for i in range(leaves.size()):
-        size = leaves.apply(i).stats().sizeInBytes()
+        leaf = leaves.apply(i)
+        size = leaf.stats().sizeInBytes()
         size = int(size if isinstance(size, int) else size.toString())
-        if size >= unknown:  # no usable statistics (a checkpoint keeps the estimate of its joins): use its rows
-            return df.count() * (16 * len(df.columns) + 8)
+        guessed = guessed or size >= unknown or leaf.nodeName() == "LogicalRDD"
         total += size
-    return total
+    return df.count() * (16 * len(df.columns) + 8) if guessed and total > enough else total
 
 
 def slice_count(df: DataFrame) -> int:
     """Number of slices: enough that each holds about ``flowtrace.slice.bytes``
     (default 256 MiB) of the data read (its rows are counted where a plan has no
-    usable estimate), and
+    usable estimate or reads a checkpoint with a large one), and
     at least min(``spark.sql.shuffle.partitions``, default parallelism) so all
     cores work.  (AQE does not coalesce an explicit range repartition, so the
     floor is not the shuffle-partition count alone.)"""
@@ -67,7 +69,7 @@ def slice_count(df: DataFrame) -> int:
         pass
     target = int(spark.conf.get("flowtrace.slice.bytes", None) or DEFAULT_SLICE_BYTES)
     try:
-        est = _input_bytes(df)
+        est = _input_bytes(df, base * target)
     except Exception:  # noqa: BLE001  (estimates are optional)
         est = 0
     return max(base, -(-est // target))

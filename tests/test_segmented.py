@@ -104,3 +104,17 @@ def test_unset_key_fields_are_keys_like_any_other(spark):
     for parts in (1, 11):
         assert rows(fl.gaps(f, parts).select("uid", F.col("gap_prev").alias("a"), F.col("gap_next").alias("b"))) == rows(ref)
         assert rows(tr.conn_traces(f, num_partitions=parts)) == rows(tr.conn_traces(f, method="window"))
+
+
+def test_slices_of_a_checkpoint_follow_its_rows_not_the_estimate_of_its_joins(spark):
+    from flowtrace.operators.ordered import slice_count
+    one = spark.range(3000).selectExpr("id", "id % 7 AS v")
+    joined = one.join(one.select("id"), "id").join(one.select("id"), "id").join(one.select("id"), "id").checkpoint(eager=True)
+    base = slice_count(one)
+    assert slice_count(joined.select("id", "v")) == base
+    assert slice_count(joined.groupBy("v").count()) == base
+    spark.conf.set("flowtrace.slice.bytes", "1000")
+    try:
+        assert slice_count(joined.select("id", "v")) == 3000 * 40 // 1000
+    finally:
+        spark.conf.unset("flowtrace.slice.bytes")
