@@ -240,13 +240,22 @@ def scored_frame(pred: DataFrame, id_col: str, label: str, prob: F.Column, thres
                        (prob > F.lit(threshold)).cast("int").alias("pred"))
 
 
+#: Fits at a time of a cross-validation: tails and driver steps of one overlap with tasks of the others.
+PARALLEL_FITS = 4
+
+
+def forest(label="label", **params) -> RandomForestClassifier:
+    """A random forest that keeps each row's node in every tree, so that a level takes one
+    step a row and tree, not the way down from the root.  The trees are the same."""
+    return RandomForestClassifier(featuresCol="features", labelCol=label, cacheNodeIds=True, **params)
+
+
 def random_forest(train: DataFrame, test: DataFrame, features, label="label", id_col="row_id",
                   num_trees=50, max_depth=12, subset="sqrt", seed=11, fold_col: str | None = None,
                   subsets: Sequence[str] | None = None, trees: Sequence[int] | None = None):
     """Random forest; with ``fold_col`` the feature-subset size (and tree
     count) are tuned by cross-validated AUC.  Returns (scored test, model)."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, maxDepth=max_depth,
-                                featureSubsetStrategy=subset, seed=seed)
+    rf = forest(label, numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy=subset, seed=seed)
     tr = assemble(train, features)
     if fold_col:
         grid = ParamGridBuilder()
@@ -256,7 +265,7 @@ def random_forest(train: DataFrame, test: DataFrame, features, label="label", id
             grid = grid.addGrid(rf.numTrees, list(trees))
         cv = CrossValidator(estimator=rf, estimatorParamMaps=grid.build(),
                             evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
-                            foldCol=fold_col, parallelism=2, collectSubModels=False)
+                            foldCol=fold_col, parallelism=PARALLEL_FITS, collectSubModels=False)
         model = cv.fit(tr).bestModel
     else:
         model = rf.fit(tr)

@@ -96,6 +96,21 @@ def test_forest_repeatable_and_learns_planted_rule(spark):
     assert auc > 0.9
 
 
+def test_forests_keep_node_ids_and_give_the_same_trees(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    rng = np.random.default_rng(12)
+    X = rng.normal(0, 1, (300, 4))
+    df = spark.createDataFrame([(str(i), float(x[0] * x[1] > x[2]), i % 3, *map(float, x)) for i, x in enumerate(X)],
+                               "row_id string, label double, fold int, a double, b double, c double, d double")
+    params = dict(numTrees=5, maxDepth=12, featureSubsetStrategy="2", seed=11)
+    data = ml.assemble(df, ["a", "b", "c", "d"])
+    plain = RandomForestClassifier(featuresCol="features", labelCol="label", **params).fit(data)
+    kept = ml.forest(**params).fit(data)
+    assert kept.getCacheNodeIds() and kept.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+    _, tuned = ml.random_forest(df, df, ["a", "b", "c", "d"], num_trees=2, fold_col="fold", subsets=["2", "4"])
+    assert tuned.getCacheNodeIds()
+
+
 def test_windowed_stream_emits_closed_windows(spark, scratch):
     """Event-time windows with a watermark: finite state, append output."""
     from flowtrace.schema import conn_flow_schema
