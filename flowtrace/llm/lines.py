@@ -9,11 +9,11 @@ verifies them, and connected components of the links decide: of each component t
 first line stays, by document and place.
 
 Candidates are not all pairs of a band's bucket.  First each line is held against
-the bucket's least line only; where a bucket then holds lines of different
-components, against another centre in one more round.  At last lines of one
-bucket and different components are held against one another, except
-where the triangle inequality through the least line or the sizes of the two sets
-rule a link out.  Pairs inside one component would change nothing.
+the centre of its buckets only, the line that meets most others.  Where a centre
+then has lines of different components, these are held against one another, by the
+shingles that part each of them from the centre; the sizes of the sets, the
+triangle inequality and then the exact similarity decide inside the join, so it
+gives out links only.  Pairs inside one component would change nothing.
 
 A line is what stands between line feeds; lines without any character other than
 ASCII white space always stay.  Equal lines are one vertex from the start.
@@ -34,10 +34,8 @@ from flowtrace.llm.common import ASCII_SPACE, materialise, stored
 from flowtrace.llm.components import components
 
 SHINGLE_CHARS, BANDS, BAND_ROWS = 9, 8, 4
-#: Rounds in which the lines of a bucket are held against another centre.
-STAR_ROUNDS = 1
-#: MinHash values (of all BANDS * BAND_ROWS) in which two lines must agree to be verified beside a bucket's centre.
-AGREEING = 18
+#: Lines of one centre that a task holds against all its lines.
+CELL_LINES = 1024
 #: Links need a Jaccard similarity of SIMILAR_PARTS / OF_PARTS.
 SIMILAR_PARTS, OF_PARTS = 4, 5
 #: Rows that are broadcast at most (16 bytes each); larger sides are joined by shuffle.
@@ -92,11 +90,6 @@ def _min_hashes(lines: DataFrame) -> DataFrame:
         *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(BANDS * BAND_ROWS))))
 
 
-def _signatures(texts: DataFrame) -> DataFrame:
-    """``line_id`` and ``signature``, the MinHash values of a line as an array."""
-    return _min_hashes(texts).select("line_id", F.array(*(f"m{i}" for i in range(BANDS * BAND_ROWS))).alias("signature"))
-
-
 def band_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``bucket`` and ``line_id``: a row for each band of each different line."""
     rows = _explode_lines(_text_rows(df, id_col, text_col))
@@ -111,10 +104,16 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _meetings(bands: DataFrame) -> DataFrame:
-    """``bucket``, ``line_id``, ``centre``, ``size``: the buckets that hold different lines."""
-    bucket = Window.partitionBy("bucket")
-    met = bands.withColumn("centre", F.min("line_id").over(bucket)).withColumn("size", F.count("*").over(bucket))
-    return materialise(met.filter("size > 1"))
+    """``bucket``, ``line_id`` and ``centre`` of the buckets that hold different lines.
+
+    A bucket's centre is the line that meets most others in all its buckets: of
+    near copies mostly the one that the others come from, or near to it.
+    """
+    met = materialise(bands.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).filter("size > 1"))
+    most = met.groupBy("line_id").agg(F.sum("size").alias("meets"))
+    met = met.join(most, "line_id")
+    centres = met.groupBy("bucket").agg(F.max(F.struct("meets", "line_id")).alias("c")).select("bucket", F.col("c.line_id").alias("centre"))
+    return materialise(met.select("bucket", "line_id").join(centres, "bucket"))
 
 
 def _line_texts(df: DataFrame, lines: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,78 +127,59 @@ def _line_texts(df: DataFrame, lines: DataFrame, met: DataFrame, id_col: str, te
     return materialise(rows.join(_small(materialise(wanted)), "line_id", "left_semi").select("line_id", "line").dropDuplicates(["line_id"]))
 
 
-def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``n_a``, ``n_b`` (shingles of each) and ``n_both``."""
-    both = (pairs.select("a", "b").distinct()
-            .join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a")), "a")
-            .join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b")), "b"))
-    for side in ("a", "b"):
-        both = both.withColumn(f"set_{side}", F.array_distinct(_all_hashes(f"line_{side}")))
-    return both.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"),
-                       F.size(F.array_intersect("set_a", "set_b")).alias("n_both"))
+def _apart(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (centre, line_id) with ``n_centre``, ``n`` (shingles of each) and ``apart`` (the shingles that only one of them has)."""
+    both = (pairs.join(texts.select("line_id", "line"), "line_id")
+            .join(texts.select(F.col("line_id").alias("centre"), F.col("line").alias("centre_line")), "centre"))
+    both = both.select("centre", "line_id", F.array_distinct(_all_hashes("centre_line")).alias("x"), F.array_distinct(_all_hashes("line")).alias("y"))
+    return both.select("centre", "line_id", F.size("x").alias("n_centre"), F.size("y").alias("n"),
+                       F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("apart"))
 
 
-#: In whole numbers: n_both / (n_a + n_b - n_both) >= SIMILAR_PARTS / OF_PARTS.
-LINKED = f"{OF_PARTS} * n_both >= {SIMILAR_PARTS} * (n_a + n_b - n_both)"
+#: In whole numbers: a Jaccard similarity of SIMILAR_PARTS / OF_PARTS; of n_a + n_b shingles (n_a + n_b - apart) / 2 are in both.
+LINKED = f"{OF_PARTS + SIMILAR_PARTS} * size(apart) <= {OF_PARTS - SIMILAR_PARTS} * (n_centre + n)"
 
 
 def line_groups(df: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``line_id`` and ``root`` for every line that is linked to a different line."""
     met = _meetings(band_table(df, id_col, text_col))
     texts = _line_texts(df, lines, met, id_col, text_col)
-    ends = lambda near: near.filter(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    stars = materialise(_near(met.filter("line_id <> centre").select(F.col("centre").alias("a"), F.col("line_id").alias("b")), texts))
-    links, large = materialise(ends(stars)), met.filter("size > 2")
-    for round_ in range(STAR_ROUNDS + 1):
-        roots = materialise(components(links))
-        members = _mixed_members(large, stars, roots)
-        if members.isEmpty():
-            break
-        # rounds with another centre join more of a large group; what is left is held against one another
-        pairs = _star_pairs(members, round_) if round_ < STAR_ROUNDS else _across(members, texts)
-        links = materialise(links.union(ends(_near(pairs, texts))))
-    return components(links).withColumnRenamed("vertex", "line_id")
-
-
-def _mixed_members(met: DataFrame, stars: DataFrame, roots: DataFrame) -> DataFrame:
-    """Lines, less the centres, of buckets with more than one component: ``bucket``, ``line_id``, ``n``, ``d``, ``root``."""
-    member = (met.filter("line_id <> centre")
-              .join(stars.select(F.col("a").alias("centre"), F.col("b").alias("line_id"), F.col("n_b").alias("n"),
-                                 (1 - F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both"))).alias("d")),
-                    ["centre", "line_id"])
-              .join(roots.select(F.col("vertex").alias("line_id"), "root"), "line_id", "left")
-              .select("bucket", "line_id", "n", "d", F.coalesce("root", "line_id").alias("root")))
-    mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    return materialise(member.join(mixed, "bucket", "left_semi"))
-
-
-def _star_pairs(members: DataFrame, round_: int) -> DataFrame:
-    """Each line with a centre of its bucket, another one in each round, unless they are of one component."""
-    centre = members.groupBy("bucket").agg(F.min_by(F.struct("line_id", "root"), F.xxhash64("line_id", F.lit(round_))).alias("c"))
-    return members.join(centre, "bucket").filter(F.col("root") != F.col("c.root")).select(
-        F.least("c.line_id", "line_id").alias("a"), F.greatest("c.line_id", "line_id").alias("b"))
-
-
-def _across(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of one bucket that lie in different components and may be linked.
-
-    With distances d to the first centre, a link needs |d(a) - d(b)| <= 1 -
-    similarity, and sets whose sizes differ by no more than the similarity.  Lines
-    with a common passage fill buckets without being similar; there the whole
-    signatures must agree in AGREEING values (fewer have a chance under 0.001 at
-    the least similarity).
+    stars = stored(_apart(met.filter("line_id <> centre").select("centre", "line_id").distinct(), texts))
+    roots = materialise(components(stars.filter(LINKED).select(F.col("centre").alias("u"), F.col("line_id").alias("v"))))
+    further = components(_across(_mixed_members(stars, roots))).select(F.col("vertex").alias("root"), F.col("root").alias("to"))
+    own = roots.select(F.col("vertex").alias("line_id"), "root").union(
+        further.join(roots, further.root == roots.vertex, "left_anti").select(F.col("root").alias("line_id"), "root"))
+    return own.join(further, "root", "left").select("line_id", F.coalesce("to", "root").alias("root"))
+
+
+def _mixed_members(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """``stars`` with ``root`` and ``cells`` for the centres whose lines are of more than one component."""
+    member = (stars.join(roots.select(F.col("vertex").alias("line_id"), "root"), "line_id", "left")
+              .withColumn("root", F.coalesce("root", "line_id")))
+    mixed = (member.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
+             .filter("lo <> hi").select("centre", F.ceil(F.col("size") / CELL_LINES).alias("cells")))
+    return stored(member.join(mixed, "centre").select("centre", "line_id", "root", "n", "apart", "cells"))
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """``u``, ``v``: roots of linked lines of one centre that lie in different components.
+
+    With the shingles that part each line from the centre, lines a and b have
+    |apart(a)| + |apart(b)| - 2 |apart(a) and apart(b)| different shingles, so the
+    test is exact and needs no text.  The lines of a large centre are dealt to cells,
+    each of which meets all lines: no task has all pairs.
     """
-    signed = _signatures(texts.join(members.select("line_id").distinct(), "line_id", "left_semi"))
-    member = members.join(signed, "line_id")
-    agreeing = F.size(F.filter(F.zip_with("a.signature", "b.signature", lambda x, y: x == y), lambda same: same))
-    a, b = member.alias("a"), member.alias("b")
-    far = 1 - SIMILAR_PARTS / OF_PARTS + 1e-9
-    return materialise(
-        a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.line_id") < F.col("b.line_id"))
-               & (F.col("a.root") != F.col("b.root")) & (F.abs(F.col("a.d") - F.col("b.d")) <= far)
-               & (F.least("a.n", "b.n") * OF_PARTS >= F.greatest("a.n", "b.n") * SIMILAR_PARTS)
-               & (agreeing >= AGREEING))
-        .select(F.col("a.line_id").alias("a"), F.col("b.line_id").alias("b")).distinct())
+    a = members.withColumn("cell", F.pmod(F.xxhash64("line_id"), "cells")).alias("a")
+    b = members.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1))).alias("b")
+    n, d = F.col("a.n") + F.col("b.n"), OF_PARTS + SIMILAR_PARTS
+    most = n * (OF_PARTS - SIMILAR_PARTS)
+    # the sizes alone rule most links out, by the triangle inequality; rows are compared by their sets only then
+    found = a.join(b, (F.col("a.centre") == F.col("b.centre")) & (F.col("a.cell") == F.col("b.cell"))
+                   & (F.col("a.line_id") < F.col("b.line_id")) & (F.col("a.root") != F.col("b.root"))
+                   & (F.least("a.n", "b.n") * OF_PARTS >= F.greatest("a.n", "b.n") * SIMILAR_PARTS)
+                   & (F.abs(F.size("a.apart") - F.size("b.apart")) * d <= most)
+                   & ((F.size("a.apart") + F.size("b.apart") - 2 * F.size(F.array_intersect("a.apart", "b.apart"))) * d <= most))
+    return found.select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

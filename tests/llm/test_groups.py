@@ -143,6 +143,34 @@ def test_lines_of_one_large_group(spark):
     assert got == want and sum(map(bool, want.values())) < 10
 
 
+def test_pairs_of_a_group_are_links_only(spark, monkeypatch):
+    """Near copies around the least similarity: the join gives out links between components, not pairs to be verified."""
+    rng = random.Random(12)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)]
+    rows = []
+    for doc in range(160):
+        text = list(base)
+        for at in rng.sample(range(300), rng.randint(2, 7)):
+            text[at] = rng.choice("0123456789")
+        rows.append((doc, "".join(text)))
+    made, across = [], lines._across
+
+    def counted(members):
+        pairs = across(members).persist()
+        made.append((members.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(lines, "_across", counted)
+    monkeypatch.setattr(lines, "CELL_LINES", 8)  # lines of a centre are dealt to many cells
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _line_brute(rows)
+    k = lines.SHINGLE_CHARS
+    sets = [{x[i:i + k] for i in range(len(x) - k + 1)} for _, x in rows]
+    links = sum(5 * len(x & y) >= 4 * len(x | y) for x, y in combinations(sets, 2))
+    members, pairs = made[0]
+    assert members > 20 and pairs <= 8 * links  # a link at most once for each centre
+
+
 def test_line_dedup_of_rulers_and_repeated_phrases(spark):
     """Long lines of few different shingles; their length says nothing about their similarity."""
     marks = "*_#+=-~"
