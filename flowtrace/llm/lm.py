@@ -29,6 +29,7 @@ word has probability 1 by the given formula; rows are scored one by one.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -53,12 +54,22 @@ MOST_BITS = 1 << 32
 HOT_WORDS = 200_000
 #: Tokens whose n-grams a task sums up before it hands them on, and different words that it numbers at most.
 PENDING_TOKENS, NUMBERED_WORDS = 1 << 22, 1 << 19
+#: Different words that a scoring task keeps what it has looked up of; it holds the filter as well.
+SCORED_WORDS = 1 << 17
 #: Bytes of training text to a segment of the filter, about; segments are powers of two.
 SEGMENT_BYTES, LEAST_SEGMENTS = 8 << 20, 64
 #: Weight of a word's own probability, in pair counts.
 SMOOTHING = 2.0
 
 
+def _give_back() -> None:
+    """Return freed memory to the system.  Workers are used again, with all that an earlier stage has left them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
@@ -147,6 +158,8 @@ def _ngram_counts(texts: DataFrame, segments: int) -> DataFrame:
                     numbered, pending, size = Numbers(), [], 0
         if pending:
             yield packed(numbered, pending)
+        del numbered, pending
+        _give_back()
 
     return texts.select("text").mapInArrow(count, "segment int, h binary, n binary, tokens array<binary>")
 
@@ -179,6 +192,7 @@ def _segment_bits(most: int):
     """
 
     def build(rows: pa.Table) -> pa.Table:
+        _give_back()
         hs = [np.frombuffer(x, "u8") for x in rows.column("h").to_pylist()]
         ns = [np.frombuffer(x, "u4") for x in rows.column("n").to_pylist()]
         lists = rows.column("tokens").to_pylist()
@@ -290,14 +304,16 @@ def score(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
     bits, segments, counts = learn_counts(_texts(training, id_col, text_col))
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = total + 0.5 * (different + 1)
-    hot = {bytes(r.token): math.log10((r.n + 0.5) / below) for r in counts.orderBy(F.desc("n"), "token").limit(HOT_WORDS).collect()}
+    most = counts.orderBy(F.desc("n"), "token").limit(HOT_WORDS).toArrow()  # rows as objects would take ten times the memory
+    hot = dict(zip(most.column("token").to_pylist(), [math.log10((n + 0.5) / below) for n in most.column("n").to_pylist()], strict=True))
     rows = _texts(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = f"doc_id {kind}, row bigint, n_tokens bigint, n_hot bigint, hot_score double, score double, rest array<binary>"
     size = bits.agg(F.coalesce(F.sum(F.octet_length("bits").cast("bigint")), F.lit(0))).first()[0]
     bloom = Filter.whole(bits, segments) if size <= MAX_BYTES else None
     shared = spark.sparkContext.broadcast((bloom, hot))
-    del bloom, hot  # the workers have them
+    del bloom, hot, most  # the workers have them
+    _give_back()
     whole = rows.mapInArrow(_scorer(shared, below), made) if size <= MAX_BYTES else _score_chunks(rows, bits, segments, shared, below, made)
     scored = stored(whole)
     shared.destroy()
@@ -393,13 +409,14 @@ def _answer(probes: pa.Table, held: pa.Table) -> pa.Table:
 
 def _scorer(shared, below: float, found: Found | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
         bloom, hot = shared.value
         bloom = found or bloom
         numbered, hashes = Numbers(), np.zeros(0, "u8")
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if len(numbered) >= NUMBERED_WORDS:
+            if len(numbered) >= SCORED_WORDS:
                 numbered, hashes = Numbers(), hashes[:0]
             words, n_tokens = [], []
             for text in batch.column("text").to_pylist():

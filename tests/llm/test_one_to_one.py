@@ -194,3 +194,17 @@ def test_runs_are_cut_at_base_spans():
     assert all(b <= 32 or a >= 32 for a, k, b in spans)  # nothing overlaps the base span
     assert secrets._rests(0, 60, [(10, 0, 15), (12, 1, 30)]) == [(30, 60)] and secrets._rests(0, 19, []) == []
     assert secrets._rests(5, 50, [(0, 2, 8), (48, 2, 90)]) == [(8, 48)]
+
+
+def test_scores_do_not_depend_on_the_words_a_task_keeps(spark, monkeypatch):
+    """Scoring forgets what it has looked up beyond a bound of its own, and gives freed memory back."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 50}" for j in range(30))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    given = []
+    give_back = lm._give_back
+    monkeypatch.setattr(lm, "_give_back", lambda: given.append(give_back()))
+    want = sorted(map(tuple, lm.score_held_out(df).collect()))
+    monkeypatch.setattr(lm, "SCORED_WORDS", 5)
+    monkeypatch.setattr(lm, "TEXT_BATCH_ROWS", 1)
+    assert sorted(map(tuple, lm.score_held_out(df).collect())) == want
+    assert len(given) == 2
