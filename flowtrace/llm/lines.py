@@ -34,6 +34,9 @@ from flowtrace.llm.common import ASCII_SPACE, materialise, stored
 from flowtrace.llm.components import components
 
 SHINGLE_CHARS, BANDS, BAND_ROWS = 9, 8, 4
+#: Shingles of a line that go to its minima as one row: their least values first, so that a
+#: row of 32 minima is found and written once for all of them.
+STEP = 8
 #: Lines of one centre that a task holds against all its lines.
 CELL_LINES = 1024
 #: Links need a Jaccard similarity of SIMILAR_PARTS / OF_PARTS.
@@ -83,11 +86,13 @@ def line_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _min_hashes(lines: DataFrame) -> DataFrame:
     """``line_id`` and m0, m1, ..., the MinHash values of all shingles of a line."""
     wide = lines.select("line_id", F.encode("line", "UTF-32").alias("wide"))
-    last = F.greatest(F.expr("octet_length(wide) div 4") - SHINGLE_CHARS, F.lit(0)).cast("int")
-    at = wide.select("line_id", "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    hashes = at.select("line_id", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
+    last = F.greatest(F.expr("octet_length(wide) div 4") - SHINGLE_CHARS, F.lit(0)).cast("int").alias("last")
+    at = wide.select("line_id", "wide", last).withColumn("at", F.explode(F.sequence(F.lit(0), "last", F.lit(STEP))))
+    # behind the last shingle stands the last one again, which changes no minimum
+    hashes = at.select("line_id", *(_shingle_hash(F.col("wide"), F.least(F.col("at") + j, "last")).alias(f"h{j}") for j in range(STEP)))
     return hashes.groupBy("line_id").agg(
-        *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(BANDS * BAND_ROWS))))
+        *(F.min(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(STEP)))).alias(f"m{i}")
+          for i, m in enumerate(_masks(BANDS * BAND_ROWS))))
 
 
 def band_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
