@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowtrace.llm import components, decontaminate, lines, simhash
@@ -247,3 +248,27 @@ def test_line_dedup_keeps_columns_with_the_names_of_its_own(spark):
     got = sorted(map(tuple, lines.dedup_rows(df).select("row.*").collect()))
     assert got == [(i, made[i][1] if i == 0 else f"only here {i * 7919}", *made[i][2:]) for i in range(3)]
     assert corpus_pipeline.line_dedup(spark, df, SF001).columns == df.columns
+
+
+def test_minima_are_those_of_all_shingles(spark):
+    """Lines of every length around the steps in which shingles are taken together."""
+    rng = random.Random(15)
+    made = [(n, "".join(rng.choice("abcé𝄞 ") for _ in range(n))) for n in range(1, 3 * lines.STEP + lines.SHINGLE_CHARS + 2)]
+    df = spark.createDataFrame(made, "line_id long, line string")
+    single = df.select("line_id", F.explode(lines._all_hashes("line")).alias("h")).groupBy("line_id").agg(F.collect_list("h").alias("hs"))
+    want = {r.line_id: tuple(min(h ^ m for h in r.hs) for m in lines._masks(32)) for r in single.collect()}
+    assert {r[0]: tuple(r[1:]) for r in lines._min_hashes(df).collect()} == want
+
+
+@pytest.mark.parametrize("links, rounds", [([(900, i) for i in range(50)] + [(i, 900) for i in range(20)], 1), ([(i, 5) for i in range(6, 60)], 0),
+                                           ([(i, i + 1) for i in range(60)] + [(99, 99), (None, 3)], None), ([], 0)])
+def test_components_stop_at_stars(spark, monkeypatch, links, rounds):
+    """No round is spent on links that are stars already, and few links stay in one partition."""
+    seen, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda now: seen.append(now.rdd.getNumPartitions()) or star(now))
+    got = components.components(spark.createDataFrame(links, "u long, v long")).collect()
+    real = [e for e in links if None not in e and e[0] != e[1]]
+    names = sorted({x for e in real for x in e})
+    roots = _roots(len(names), [(names.index(a), names.index(b)) for a, b in real])
+    assert len(got) == len(names) and {r.vertex: r.root for r in got} == {x: names[r] for x, r in zip(names, roots, strict=True)}
+    assert set(seen) <= {1} and (rounds is None or len(seen) == rounds)
