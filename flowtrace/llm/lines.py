@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from flowtrace.llm.common import ASCII_SPACE, materialise, stored
+from flowtrace.llm.common import ASCII_SPACE, stored
 from flowtrace.llm.components import components
 
 SHINGLE_CHARS, BANDS, BAND_ROWS = 9, 8, 4
@@ -68,14 +68,15 @@ def _all_hashes(line: str) -> Column:
     variable of the outer function: made once, and not again for every shingle.
     """
     def of(wide: Column) -> Column:
-        last = F.greatest((F.octet_length(wide) / 4).cast("int") - SHINGLE_CHARS, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: _shingle_hash(wide, i))
+        last = F.greatest(F.octet_length(wide) - 4 * SHINGLE_CHARS, F.lit(0)) + 1
+        return F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda byte: _shingle_hash(wide, byte))
 
     return F.get(F.transform(F.array(F.encode(line, "UTF-32")), of), F.lit(0))
 
 
-def _shingle_hash(wide: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(wide, at * 4 + 1, F.lit(4 * SHINGLE_CHARS)))
+def _shingle_hash(wide: Column, byte: Column) -> Column:
+    """Hash of the shingle that begins at a byte of ``wide``, counted from 1."""
+    return F.xxhash64(F.substring(wide, byte, F.lit(4 * SHINGLE_CHARS)))
 
 
 def line_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +90,7 @@ def _min_hashes(lines: DataFrame) -> DataFrame:
     last = F.greatest(F.expr("octet_length(wide) div 4") - SHINGLE_CHARS, F.lit(0)).cast("int").alias("last")
     at = wide.select("line_id", "wide", last).withColumn("at", F.explode(F.sequence(F.lit(0), "last", F.lit(STEP))))
     # behind the last shingle stands the last one again, which changes no minimum
-    hashes = at.select("line_id", *(_shingle_hash(F.col("wide"), F.least(F.col("at") + j, "last")).alias(f"h{j}") for j in range(STEP)))
+    hashes = at.select("line_id", *(_shingle_hash(F.col("wide"), F.least(F.col("at") + j, "last") * 4 + 1).alias(f"h{j}") for j in range(STEP)))
     return hashes.groupBy("line_id").agg(
         *(F.min(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(STEP)))).alias(f"m{i}")
           for i, m in enumerate(_masks(BANDS * BAND_ROWS))))
@@ -114,22 +115,22 @@ def _meetings(bands: DataFrame) -> DataFrame:
     A bucket's centre is the line that meets most others in all its buckets: of
     near copies mostly the one that the others come from, or near to it.
     """
-    met = materialise(bands.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).filter("size > 1"))
+    met = stored(bands.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).filter("size > 1"))
     most = met.groupBy("line_id").agg(F.sum("size").alias("meets"))
     met = met.join(most, "line_id")
     centres = met.groupBy("bucket").agg(F.max(F.struct("meets", "line_id")).alias("c")).select("bucket", F.col("c.line_id").alias("centre"))
-    return materialise(met.select("bucket", "line_id").join(centres, "bucket"))
+    return stored(met.select("bucket", "line_id").join(centres, "bucket"))
 
 
 def _line_texts(df: DataFrame, lines: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``line_id`` and ``line`` of the lines that meet others, from one document each."""
     wanted = met.select("line_id").distinct()
     at = lines.join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.min(F.struct("id", "text_hash", "place")).alias("at"))
-    at = materialise(at.select("line_id", F.col("at.id").alias("id"), F.col("at.text_hash").alias("text_hash"), "at.place"))
-    holders = materialise(at.select("text_hash").distinct())
+    at = stored(at.select("line_id", F.col("at.id").alias("id"), F.col("at.text_hash").alias("text_hash"), "at.place"))
+    holders = stored(at.select("text_hash").distinct())
     texts = _text_rows(df, id_col, text_col).join(_small(holders), "text_hash", "left_semi")
     rows = _explode_lines(texts).withColumn("line_id", F.xxhash64("line"))
-    return materialise(rows.join(_small(materialise(wanted)), "line_id", "left_semi").select("line_id", "line").dropDuplicates(["line_id"]))
+    return stored(rows.join(_small(stored(wanted)), "line_id", "left_semi").select("line_id", "line").dropDuplicates(["line_id"]))
 
 
 def _apart(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def line_groups(df: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_co
     met = _meetings(band_table(df, id_col, text_col))
     texts = _line_texts(df, lines, met, id_col, text_col)
     stars = stored(_apart(met.filter("line_id <> centre").select("centre", "line_id").distinct(), texts))
-    roots = materialise(components(stars.filter(LINKED).select(F.col("centre").alias("u"), F.col("line_id").alias("v"))))
+    roots = stored(components(stars.filter(LINKED).select(F.col("centre").alias("u"), F.col("line_id").alias("v"))))
     further = components(_across(_mixed_members(stars, roots))).select(F.col("vertex").alias("root"), F.col("root").alias("to"))
     own = roots.select(F.col("vertex").alias("line_id"), "root").union(
         further.join(roots, further.root == roots.vertex, "left_anti").select(F.col("root").alias("line_id"), "root"))

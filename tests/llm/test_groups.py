@@ -272,3 +272,19 @@ def test_components_stop_at_stars(spark, monkeypatch, links, rounds):
     roots = _roots(len(names), [(names.index(a), names.index(b)) for a, b in real])
     assert len(got) == len(names) and {r.vertex: r.root for r in got} == {x: names[r] for x, r in zip(names, roots, strict=True)}
     assert set(seen) <= {1} and (rounds is None or len(seen) == rounds)
+
+
+def test_line_tables_are_stored_as_parquet(spark, monkeypatch):
+    """Rows of the line tables are not written one object at a time; only the rounds of components are checkpoints."""
+    made, checkpoint = [], type(spark.range(1)).checkpoint
+
+    def watched(df, *args, **kwargs):
+        made.append(df.columns)
+        return checkpoint(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", watched)
+    text = "a line that many documents hold with a change in one place only, number "
+    rows = [(d, f"{text}{d}\nonly in {d * 7919}") for d in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == _line_brute(rows)
+    assert made and all(columns == ["u", "v"] for columns in made)
